@@ -3,9 +3,9 @@
 A long text is cut into leaves wherever they end, also inside words. Leaves are encoded on their own (all in one
 parallel batch), then joined pairwise up a tree. A join re-encodes a window around the seam and doubles it until the
 window's first unit equals what the left side had and its last unit equals what the right side had; only the units
-between are replaced. A unit is a run between ASCII white space: the tokenizer's patterns never match across white
-space and it drops white space, so a unit's ids depend on its characters alone and equal units have equal ids. Where a
-side is one unit without white space, the window is the whole of it, so the result is exact there too.
+between are replaced. A unit is a run between white space: the tokenizer's patterns never match across white space and
+it drops white space, so a unit's ids depend on its characters alone and equal units have equal ids. Where a side is
+one unit without white space, the window is the whole of it, so the result is exact there too.
 
 Ids of units come from the tokenizers library and are kept in a bounded memo for the worker's life.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,12 +26,16 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import common
 
-#: ASCII white space at which units end; ``bytes.split`` and these agree.
-SPACE = " \t\n\r\x0b\x0c"
+#: Characters that Python's ``str.split`` takes for white space and the tokenizer doesn't.
+_NO_SPACE = re.compile("[\x1c-\x1f]")
+#: Units end at these in texts that have such characters.
+_ASCII_SPACE = " \t\n\r\x0b\x0c"
+_TO_SPACE = str.maketrans({c: " " for c in _ASCII_SPACE})
+#: Stands between units that are encoded in one call; it is a word of its own.
+_BETWEEN = "\x1c"
+_TOGETHER = 200
 LEAF_CHARS = 4096
 MEMO_UNITS = 250_000
-MEMO_CHARS = 64  # longer units are not kept
-_TO_SPACE = str.maketrans({c: " " for c in SPACE})
 
 
 class UnitEncoder:
@@ -44,20 +49,44 @@ class UnitEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.memo_units, self.ids = memo_units, {}
-
-    def learn(self, units: set[str]) -> dict[str, tuple[int, ...]]:
+        mark = self.tok.encode(_BETWEEN, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def encode_units(self, units: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each unit. Units go to the library many at a time with a mark between; where the marks can't be told
+        from other ids, one by one."""
+        parts = [units[i : i + _TOGETHER] for i in range(0, len(units), _TOGETHER)]
+        between = f" {_BETWEEN} "
+        out: list[tuple[int, ...]] = []
+        for part, e in zip(parts, self.tok.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False)):
+            ids = e.ids
+            if self.mark is None or ids.count(self.mark) != len(part) - 1:
+                out += [tuple(x.ids) for x in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+                continue
+            at = -1
+            for _ in range(len(part) - 1):
+                end = ids.index(self.mark, at + 1)
+                out.append(tuple(ids[at + 1 : end]))
+                at = end
+            out.append(tuple(ids[at + 1 :]))
+        return out
+
+    def keep(self, value: tuple[int, ...]):
+        """What a unit's ids are kept as."""
+        return value
+
+    def learn(self, units: set[str]) -> dict[str, object]:
         """Make sure that the memo has ``units``; what comes back has them all."""
         new = [u for u in units if u not in self.ids]
         if not new:
             return self.ids
-        found = dict(zip(new, (tuple(e.ids) for e in self.tok.encode_batch_fast(new, add_special_tokens=False))))
+        found = dict(zip(new, map(self.keep, self.encode_units(new))))
         if len(self.ids) + len(found) > self.memo_units:
-            held = {u: self.ids[u] for u in units if u in self.ids}
+            found |= {u: self.ids[u] for u in units if u in self.ids}
             self.ids = {}
             self._forgot()
-            if len(found) + len(held) > self.memo_units:
-                return found | held
-            self.ids.update(held)
+            if len(found) > self.memo_units:
+                return found
         self.ids.update(found)
         return self.ids
 
@@ -75,8 +104,8 @@ def encoder(path: str) -> UnitEncoder:
 
 
 def split_units(text: str) -> list[str]:
-    """Runs without ASCII white space."""
-    return [u for u in text.translate(_TO_SPACE).split(" ") if u]
+    """Runs without white space."""
+    return [u for u in text.translate(_TO_SPACE).split(" ") if u] if _NO_SPACE.search(text) else text.split()
 
 
 class _Part:
@@ -84,13 +113,12 @@ class _Part:
 
     __slots__ = ("units", "open_left", "open_right")
 
-    def __init__(self, text: str):
-        self.units = split_units(text)
-        self.open_left = bool(text) and text[0] not in SPACE
-        self.open_right = bool(text) and text[-1] not in SPACE
+    def __init__(self, text: str, plain: bool):
+        self.units = text.split() if plain else [u for u in text.translate(_TO_SPACE).split(" ") if u]
+        self.open_left, self.open_right = ((not text[0].isspace(), not text[-1].isspace()) if plain else (text[0] not in _ASCII_SPACE, text[-1] not in _ASCII_SPACE)) if text else (False, False)
 
 
-def _join(left: _Part, right: _Part) -> _Part:
+def _join(left: _Part, right: _Part, plain: bool) -> _Part:
     """Join two parts exactly: grow a window of units around the seam until both its ends agree."""
     if not left.units and not right.units:
         left.open_left, left.open_right = left.open_left and right.open_left, left.open_right and right.open_right
@@ -103,7 +131,8 @@ def _join(left: _Part, right: _Part) -> _Part:
         width = 2
         while True:
             a, b = left.units[-width:], right.units[:width]
-            window = split_units(" ".join(a) + " ".join(b))
+            text = " ".join(a) + " ".join(b)
+            window = text.split() if plain else [u for u in text.split(" ") if u]
             left_whole, right_whole = len(a) == len(left.units), len(b) == len(right.units)
             if (left_whole or window[0] == a[0]) and (right_whole or window[-1] == b[-1]):
                 break
@@ -118,9 +147,12 @@ def _join(left: _Part, right: _Part) -> _Part:
 
 def tree_units(text: str, leaf_chars: int = LEAF_CHARS) -> list[str]:
     """The units of ``text`` by leaves and a tree of joins."""
-    parts = [_Part(text[i : i + leaf_chars]) for i in range(0, len(text), leaf_chars)] or [_Part("")]
+    if len(text) <= leaf_chars:
+        return split_units(text)
+    plain = _NO_SPACE.search(text) is None
+    parts = [_Part(text[i : i + leaf_chars], plain) for i in range(0, len(text), leaf_chars)]
     while len(parts) > 1:
-        parts = [_join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        parts = [_join(parts[i], parts[i + 1], plain) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
     return parts[0].units
 
 

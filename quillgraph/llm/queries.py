@@ -7,15 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe_tree, simhash_trie, token_count, weak_quality
+from quillgraph.llm import bpe_tree, repair, simhash_trie, token_count, warc, weak_quality
 from quillgraph.llm.common import prepare, table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.id_files(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return bpe_tree.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -31,10 +39,24 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
+    "op3_repair": op3_repair,
     "op5_bpe_tree": op5_bpe_tree,
     "op9_weak_quality": op9_weak_quality,
     "op10_simhash_trie": op10_simhash_trie,
 }
 
-ORACLES: dict[str, str] = {}
+#: Payload digests in DuckDB: SHA-1 in hex, read as bits, five at a time in the base32 alphabet.
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS s FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(0, 40), i -> ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', substr(s, i + 1, 1))]), '') AS bits FROM h),
+d AS (SELECT *, array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest FROM b),
+t AS (SELECT s, max(page_id) AS top FROM h GROUP BY s)
+SELECT d.page_id, payload_bytes, payload_digest, CASE WHEN d.page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN d.page_id < top THEN top END AS refers_to
+FROM d JOIN t USING (s)
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}
