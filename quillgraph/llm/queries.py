@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe_tree, repair, simhash_trie, token_count, warc, weak_quality
+from quillgraph.llm import bpe_tree, langid, repair, simhash_trie, token_count, toxicity_mil, warc, weak_quality
 from quillgraph.llm.common import prepare, table
 
 
@@ -29,6 +29,14 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.weak_quality(table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_repair": op3_repair,
     "op5_bpe_tree": op5_bpe_tree,
+    "op6_toxicity": op6_toxicity,
+    "op8_langid": op8_langid,
     "op9_weak_quality": op9_weak_quality,
     "op10_simhash_trie": op10_simhash_trie,
 }
