@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe_tree, langid, repair, simhash_trie, token_count, toxicity_mil, warc, weak_quality
+from quillgraph.llm import bpe_tree, langid, line_dedup, repair, simhash_trie, token_count, toxicity_mil, warc, weak_quality
 from quillgraph.llm.common import prepare, table
 
 
@@ -33,6 +33,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_duplicates(table(spark, sf_dir, "documents")).drop("__h")
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repair": op3_repair,
     "op5_bpe_tree": op5_bpe_tree,
     "op6_toxicity": op6_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op8_langid": op8_langid,
     "op9_weak_quality": op9_weak_quality,
     "op10_simhash_trie": op10_simhash_trie,
@@ -69,4 +74,23 @@ SELECT d.page_id, payload_bytes, payload_digest, CASE WHEN d.page_id = top THEN
 FROM d JOIN t USING (s)
 """
 
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}
+#: Word edit distance one, as: equal after deleting the word at the same place, or one is the other with a word deleted.
+OP7_SQL = """
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+l AS (SELECT doc_id, line_no, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM raw WHERE regexp_matches(raw, '\\S')),
+f AS (SELECT line, min({'d': doc_id, 'l': line_no}) AS f FROM l GROUP BY line),
+w AS (SELECT line, f, regexp_split_to_array(line, '\\s+') AS w FROM f),
+n AS (SELECT *, len(w) AS n, array_to_string(w, ' ') AS plain FROM w WHERE len(w) >= 5),
+g AS (SELECT *, unnest(range(1, n + 1)) AS i FROM n),
+v AS (SELECT line, f, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v FROM g),
+t AS (SELECT a.line, b.f FROM v a JOIN v b ON a.v = b.v AND a.i = b.i WHERE b.f < a.f
+  UNION ALL SELECT a.line, b.f FROM v a JOIN n b ON a.v = b.plain WHERE b.f < a.f
+  UNION ALL SELECT b.line, a.f FROM v a JOIN n b ON a.v = b.plain WHERE a.f < b.f),
+near AS (SELECT line, min(f) AS near FROM t GROUP BY line)
+SELECT doc_id, line_no, CASE WHEN {'d': doc_id, 'l': line_no} <> f.f THEN 'exact' WHEN near IS NOT NULL THEN 'near' ELSE 'kept' END AS kind,
+  CASE WHEN {'d': doc_id, 'l': line_no} <> f.f THEN f.f.d ELSE near.d END AS of_doc_id,
+  CASE WHEN {'d': doc_id, 'l': line_no} <> f.f THEN f.f.l ELSE near.l END AS of_line_no
+FROM l JOIN f USING (line) LEFT JOIN near USING (line)
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op7_line_dedup": OP7_SQL}
