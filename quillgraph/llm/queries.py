@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe_tree, langid, line_dedup, repair, simhash_trie, token_count, toxicity_mil, warc, weak_quality
+from quillgraph.llm import bpe_tree, langid, line_dedup, lsi_decontam, repair, simhash_trie, token_count, toxicity_mil, warc, weak_quality
 from quillgraph.llm.common import prepare, table
 
 
@@ -24,6 +24,10 @@ def op3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.id_files(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_lsi_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsi_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return bpe_tree.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
     "op3_repair": op3_repair,
+    "op4_lsi_decontam": op4_lsi_decontam,
     "op5_bpe_tree": op5_bpe_tree,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
