@@ -34,6 +34,10 @@ _TO_SPACE = str.maketrans({c: " " for c in _ASCII_SPACE})
 #: Stands between units that are encoded in one call; it is a word of its own.
 _BETWEEN = "\x1c"
 _TOGETHER = 200
+#: Words and punctuation on which a tokenizer shows how it splits.
+_PROBES = [("The", ","), ("the", "."), ("Élan", "!?"), ("STRASSE", ";"), ("über", "..."), ("Que", ",."), ("Ñandú", ":"), ("zqxv", "?!"), ("internationally", ".,"), ("ß", ".")]
+#: A Latin word with punctuation after it: the tokenizer's patterns split it there, and lower-case the word.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 LEAF_CHARS = 4096
 MEMO_UNITS = 250_000
 
@@ -48,9 +52,16 @@ class UnitEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.memo_units, self.ids = memo_units, {}
+        self.memo_units, self.ids, self.older = memo_units, {}, {}
         mark = self.tok.encode(_BETWEEN, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.words: dict[str, object] = {}
+        self.splits = all(self._whole(a + b) == self._whole(a.lower()) + self._whole(b) for a, b in _PROBES) and all(
+            self._whole(w) == [t.id for t in self.tok.model.tokenize(w)] for w in ("the", "of", "internationally", "zqxv")
+        )
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
 
     def encode_units(self, units: list[str]) -> list[tuple[int, ...]]:
         """Ids of each unit. Units go to the library many at a time with a mark between; where the marks can't be told
@@ -75,23 +86,52 @@ class UnitEncoder:
         """What a unit's ids are kept as."""
         return value
 
+    def plus(self, a, b):
+        """What is kept for a unit of two others, one after another."""
+        return a + b
+
+    def found(self, units: list[str]) -> list:
+        """What is kept for each of some new units. Forms of a word that differ in capitals and in the punctuation
+        after it share the word's ids, where the tokenizer is known to split and lower-case that way."""
+        if not self.splits:
+            return list(map(self.keep, self.encode_units(units)))
+        words, match = self.words, _WORD.fullmatch
+        parts = [(m[1].lower(), m[2]) if (m := match(u)) else (u, "") for u in units]
+        new = list({w for w, _ in parts if w not in words} | {t for _, t in parts if t and t not in words})
+        if len(words) + len(new) > self.memo_units:
+            kept = {x: words[x] for p in parts for x in p if x in words}
+            self.words = words = kept
+            new = list({x for p in parts for x in p if x and x not in words})
+        model, keep = self.tok.model.tokenize, self.keep
+        plain = [w.isascii() and w.isalpha() and w.islower() for w in new]
+        words.update((w, keep(tuple([t.id for t in model(w)]))) for w, p in zip(new, plain) if p)
+        other = [w for w, p in zip(new, plain) if not p]
+        words.update(zip(other, map(keep, self.encode_units(other))))
+        plus = self.plus
+        return [plus(words[w], words[t]) if t else words[w] for w, t in parts]
+
     def learn(self, units: set[str]) -> dict[str, object]:
-        """Make sure that the memo has ``units``; what comes back has them all."""
-        new = [u for u in units if u not in self.ids]
-        if not new:
-            return self.ids
-        found = dict(zip(new, map(self.keep, self.encode_units(new))))
-        if len(self.ids) + len(found) > self.memo_units:
-            found |= {u: self.ids[u] for u in units if u in self.ids}
-            self.ids = {}
-            self._forgot()
-            if len(found) > self.memo_units:
-                return found
-        self.ids.update(found)
-        return self.ids
+        """Make sure that the memo has ``units``; what comes back has them all.
 
-    def _forgot(self) -> None:
-        """Called when the memo was emptied."""
+        The memo is two generations: when the newer is full it becomes the older, and a unit that the older one has
+        moves on without being encoded again.
+        """
+        ids = self.ids
+        new = [u for u in units if u not in ids]
+        if not new:
+            return ids
+        if len(ids) + len(new) > self.memo_units:
+            self.older, self.ids = ids, {u: ids[u] for u in units if u in ids}
+            ids = self.ids
+        older = self.older
+        unknown = []
+        for u in new:
+            if (known := older.get(u)) is None:
+                unknown.append(u)
+            else:
+                ids[u] = known
+        ids.update(zip(unknown, self.found(unknown)))
+        return ids
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -173,30 +213,24 @@ def decode(ids: list[int], path: str) -> str:
 
 
 class _Digests(UnitEncoder):
-    """Also keeps each unit's number of ids, their decimal text and their decoded text."""
+    """Keeps, of each unit, the decimal text of its ids and its decoded text."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.path, self.n, self.said, self.back = path, {}, {}, {}
+        size = self.tok.get_vocab_size(with_added_tokens=True)
+        self.decimal, self.token = [str(i) for i in range(size)], [self.tok.id_to_token(i) or "" for i in range(size)]
 
-    def _forgot(self) -> None:
-        self.n, self.said, self.back = {}, {}, {}
+    def keep(self, value: tuple[int, ...]) -> tuple[str, str]:
+        return " ".join([self.decimal[i] for i in value]), " ".join([self.token[i] for i in value])
 
-    def views(self, units: set[str]) -> tuple[dict, dict, dict]:
-        ids = self.learn(units)
-        n, said, back = (self.n, self.said, self.back) if ids is self.ids else ({}, {}, {})
-        to_token = self.tok.id_to_token
-        for u in units:
-            if u not in n:
-                got = ids[u]
-                n[u], said[u], back[u] = len(got), " ".join(map(str, got)), " ".join(map(to_token, got))
-        return n, said, back
+    def plus(self, a: tuple[str, str], b: tuple[str, str]) -> tuple[str, str]:
+        return f"{a[0]} {b[0]}", f"{a[1]} {b[1]}"
 
 
 _digesters: dict[str, _Digests] = {}
 
 
-def _joined(parts: Iterator[str]) -> bytes:
+def _joined(parts: list[str]) -> bytes:
     """Parts with one space between; parts that are empty leave no space."""
     out = " ".join(parts)
     return (out if "  " not in out and out[:1] != " " and out[-1:] != " " else " ".join(p for p in out.split(" ") if p)).encode()
@@ -226,10 +260,12 @@ def _round_trip(path: str, leaf_chars: int):
             out: list[tuple[int, str, str]] = []
             for group in groups(batch.column("text").to_pylist()):
                 units = [tree_units(t, leaf_chars) for t in group]
-                n, said, back = d.views(set().union(*units))
+                known = d.learn(set().union(*units))
                 for us in units:
-                    decoded = _joined(map(back.__getitem__, us)) if plain else decode([int(i) for u in us for i in said[u].split()], path).encode()
-                    out.append((sum(map(n.__getitem__, us)), sha(_joined(map(said.__getitem__, us))), sha(decoded)))
+                    both = [known[u] for u in us]
+                    said = _joined([x for x, _ in both])
+                    decoded = _joined([x for _, x in both]) if plain else decode([int(i) for i in said.split()], path).encode()
+                    out.append((said.count(b" ") + 1 if said else 0, sha(said), sha(decoded)))
             new = pa.table(list(zip(*out)) or [[], [], []], schema=schema).to_batches()
             for b in new or []:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *b.columns], names=["doc_id", *schema.names])
