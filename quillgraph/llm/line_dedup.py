@@ -49,11 +49,6 @@ def digest(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.strip().encode("utf-8", "surrogatepass"))
 
 
-def short(h: bytes) -> int:
-    """64 of those bits, as a signed long."""
-    return int.from_bytes(h[:8], "little", signed=True)
-
-
 def half_keys(words: list[str], min_words: int = MIN_WORDS) -> list[int]:
     """Keys of which two lines within one word edit share at least one.
 
@@ -132,7 +127,7 @@ def _candidates(table: Broadcast, min_words: int):
                         place.append(at)
                         hs.append(digest(line))
                         lines.append(line)
-            h = np.frombuffer(b"".join(hs), dtype="<u8")[::2]
+            h = np.frombuffer(b"".join(hs), dtype=">u8")[::2].astype(np.uint64)
             keep = np.flatnonzero((bits[(h >> np.uint64(6)) % np.uint64(len(bits))] >> (h & np.uint64(63))) & np.uint64(1))
             keep = np.array([i for i in keep.tolist() if len(lines[i].split()) >= min_words], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -143,19 +138,34 @@ def _candidates(table: Broadcast, min_words: int):
     return run
 
 
-def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _variant_rows(batches: Iterator[pa.RecordBatch], most: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Variants of each line, in batches of bounded size however long the lines are."""
     for batch in batches:
-        got = [variants(x.split()) for x in batch.column("line").to_pylist()]
-        row = np.repeat(np.arange(len(got)), [len(k) for k, _ in got])
-        cat = lambda i, t: np.concatenate([g[i] for g in got]) if got else np.zeros(0, t)
-        firsts = batch.column("first").take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([pa.array(cat(0, np.int64)), pa.array(cat(1, np.int32)), firsts, batch.column("h").take(pa.array(row))], names=["v", "at", "first", "h"])
+        keys, places, rows, held = [], [], [], 0
+        for k, line in enumerate(batch.column("line").to_pylist()):
+            v, at = variants(line.split())
+            for lo in range(0, len(v), most):
+                keys.append(v[lo : lo + most])
+                places.append(at[lo : lo + most])
+                rows.append(np.full(len(keys[-1]), k))
+                held += len(keys[-1])
+                if held >= most:
+                    yield _variant_batch(batch, keys, places, rows)
+                    keys, places, rows, held = [], [], [], 0
+        if rows:
+            yield _variant_batch(batch, keys, places, rows)
+
+
+def _variant_batch(batch: pa.RecordBatch, keys: list, places: list, rows: list) -> pa.RecordBatch:
+    row = pa.array(np.concatenate(rows))
+    own = [batch.column(c).take(row) for c in ("x", "doc_id", "line_no")]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places)), *own], names=["v", "at", "x", "doc_id", "line_no"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("line").to_pylist(), batch.column("line2").to_pylist()
-        yield batch.select(["h", "first", "h2", "first2"]).filter(pa.array([within_one(x.split(), y.split()) for x, y in zip(a, b)], pa.bool_()))
+        yield batch.select(["x", "x2"]).filter(pa.array([within_one(x.split(), y.split()) for x, y in zip(a, b)], pa.bool_()))
 
 
 def scan_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -166,35 +176,38 @@ def scan_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return common.stored(found, common.run_dir(docs.sparkSession, "lines"))
 
 
-def near_pairs(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Verified ties between different lines within one word edit: h, first, h2, first2 (first: earliest place)."""
+def near_ties(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Verified ties between different lines within one word edit: x and x2, each line by ``line_number``."""
     spark = docs.sparkSession
     base = common.run_dir(spark, "line-variants")
-    keyed = lines.select(F.xxhash64("h").alias("x"), "h", F.explode("keys").alias("key"))
+    keyed = lines.select(line_number().alias("x"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("key")
-    maybe = keyed.join(shared, "key", "left_semi").select("h")
-    # the digest's first 8 bytes, read as a little-endian number, give a place in the bit table
-    u = F.conv(F.hex(F.expr("concat(substring(h, 8, 1), substring(h, 7, 1), substring(h, 6, 1), substring(h, 5, 1), substring(h, 4, 1), substring(h, 3, 1), substring(h, 2, 1), substring(h, 1, 1))")), 16, -10).cast("long")
-    spots = maybe.select(u.alias("u")).select(
-        F.expr(f"shiftrightunsigned(u, 6) % {TABLE_WORDS}").alias("word"), F.expr("shiftleft(1L, cast(u & 63 AS int))").alias("bit")
-    )
+    maybe = keyed.join(shared, "key", "left_semi")
+    # a place in the bit table for each of these lines
+    spots = maybe.select(F.expr(f"shiftrightunsigned(x, 6) % {TABLE_WORDS}").alias("word"), F.expr("shiftleft(1L, cast(x & 63 AS int))").alias("bit"))
     filled = spots.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most TABLE_WORDS rows
     table = np.zeros(TABLE_WORDS, dtype=np.int64)
     table[filled.column("word").to_numpy()] = filled.column("bits").to_numpy()
     held = spark.sparkContext.broadcast(table.tobytes())
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_candidates(held, min_words), f"doc_id {kind}, line_no int, h binary, line string")
-    distinct = common.stored(found.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line")), f"{base}/lines")
-    rows = common.stored(distinct.mapInArrow(_variant_rows, f"v long, at int, first struct<doc_id: {kind}, line_no: int>, h binary"), f"{base}/variants")
-    group = rows.groupBy("v", "at").agg(F.min(F.struct("first", "h")).alias("m"), F.count(F.lit(1)).alias("n"))
-    one = group.where("at = -1").select("v", F.col("m.h").alias("h2"), F.col("m.first").alias("first2"))
-    many = group.where("at >= 0 AND n > 1").select("v", "at", F.col("m.h").alias("h2"), F.col("m.first").alias("first2"))
-    gaps = rows.where("at >= 0")
-    ties = gaps.join(many, ["v", "at"]).select("h", "first", "h2", "first2").unionByName(gaps.join(one, "v").select("h", "first", "h2", "first2"))
-    ties = ties.where("h <> h2").distinct()
-    text = distinct.select("h", "line")
-    both = ties.join(text, "h").join(text.select(F.col("h").alias("h2"), F.col("line").alias("line2")), "h2").select("h", "first", "line", "h2", "first2", "line2")
-    return both.mapInArrow(_verify, f"h binary, first struct<doc_id: {kind}, line_no: int>, h2 binary, first2 struct<doc_id: {kind}, line_no: int>")
+    distinct = found.groupBy(line_number().alias("x")).agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.first("line").alias("line"))
+    distinct = common.stored(distinct.select("x", "f.doc_id", "f.line_no", "line"), f"{base}/lines")
+    rows = common.stored(distinct.mapInArrow(_variant_rows, f"v long, at int, x long, doc_id {kind}, line_no int"), f"{base}/variants")
+    group = rows.groupBy("v", "at").agg(F.min(F.struct("doc_id", "line_no", "x")).alias("m"), F.count(F.lit(1)).alias("n"))
+    one = group.where("at = -1").select("v", F.col("m.x").alias("x2"))
+    many = group.where("at >= 0 AND n > 1").select("v", "at", F.col("m.x").alias("x2"))
+    gaps = rows.where("at >= 0").select("v", "at", "x")
+    ties = gaps.join(many, ["v", "at"]).select("x", "x2").unionByName(gaps.join(one, "v").select("x", "x2"))
+    ties = ties.where("x <> x2").distinct()
+    text = distinct.select("x", "line")
+    both = ties.join(text, "x").join(text.select(F.col("x").alias("x2"), F.col("line").alias("line2")), "x2").select("x", "line", "x2", "line2")
+    return both.mapInArrow(_verify, "x long, x2 long")
+
+
+def line_number():
+    """A line's number: the first 8 bytes of its digest ``h``."""
+    return F.conv(F.hex(F.substring("h", 1, 8)), 16, -10).cast("long")
 
 
 def line_duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -203,11 +216,14 @@ def line_duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Of a near line's earlier neighbours the earliest verified one is named. ``__h`` is the line's digest.
     """
     lines = scan_lines(docs, min_words)
-    pairs = near_pairs(docs, lines, min_words)
+    ties = near_ties(docs, lines, min_words)
+    firsts = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    firsts = common.stored(firsts.withColumn("x", line_number()), common.run_dir(docs.sparkSession, "line-firsts"))
+    other = firsts.select(F.col("x").alias("x2"), F.col("first").alias("first2"))
+    both = ties.join(firsts.select("x", "first"), "x").join(other, "x2")
     later = F.col("first") > F.col("first2")
-    ends = pairs.select(F.when(later, F.col("h")).otherwise(F.col("h2")).alias("h"), F.least("first", "first2").alias("of"))
-    near = ends.groupBy("h").agg(F.min("of").alias("near"))
-    firsts = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).join(near, "h", "left")
+    near = both.select(F.when(later, F.col("x")).otherwise(F.col("x2")).alias("x"), F.least("first", "first2").alias("of")).groupBy("x").agg(F.min("of").alias("near"))
+    firsts = firsts.join(near, "x", "left").select("h", "first", "near")
     place = F.struct("doc_id", "line_no")
     known = lines.select("doc_id", "line_no", "h").join(firsts, "h")
     kind = F.when(~place.eqNullSafe(F.col("first")), "exact").when(F.col("near").isNotNull(), "near").otherwise("kept")
