@@ -31,19 +31,26 @@ _NO_SPACE = re.compile("[\x1c-\x1f]")
 #: Units end at these in texts that have such characters.
 _ASCII_SPACE = " \t\n\r\x0b\x0c"
 _TO_SPACE = str.maketrans({c: " " for c in _ASCII_SPACE})
-#: Stands between units that are encoded in one call; it is a word of its own.
-_BETWEEN = "\x1c"
-_TOGETHER = 200
-#: Words and punctuation on which a tokenizer shows how it splits.
-_PROBES = [("The", ","), ("the", "."), ("Élan", "!?"), ("STRASSE", ";"), ("über", "..."), ("Que", ",."), ("Ñandú", ":"), ("zqxv", "?!"), ("internationally", ".,"), ("ß", ".")]
-#: A Latin word with punctuation after it: the tokenizer's patterns split it there, and lower-case the word.
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+#: A Latin word with ASCII punctuation (no apostrophe) after it: the tokenizer's patterns split it there, and lower-case
+#: the word.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Words and punctuation on which a tokenizer shows whether it does.
+_PROBES = [("The", ","), ("the", "."), ("Élan", "!?"), ("STRASSE", ";"), ("über", "..."), ("Que", "$$$"), ("Ñandú", ":"), ("zqxv", "%%%"), ("internationally", ".,"), ("ß", "-)"), ("of", "")]
+#: Characters that stand for the bytes of Latin-1 letters in byte-level vocabularies: those bytes are all printable there
+#: but 0x80 to 0xA0 and 0xAD, which come after the first 33 from U+0100 on.
+_SHIFTED = {b: chr(0x100 + 33 + k) for k, b in enumerate([*range(0x7F, 0xA1), 0xAD])}
+_BYTES = {i: "".join(_SHIFTED.get(b, chr(b)) for b in chr(i).encode()) for i in range(0xC0, 0x100)}
 LEAF_CHARS = 4096
 MEMO_UNITS = 250_000
 
 
-class UnitEncoder:
-    """Ids of white-space-free units by the tokenizers library, with a bounded memo."""
+class UnitEncoder(dict):
+    """Memo of units' ids: what it doesn't have, it asks the tokenizers library for.
+
+    Bounded to two generations: ``turn`` makes a full memo the older one, and a unit that the older one has moves on
+    without being encoded again. Forms of a word that differ in capitals and in the punctuation after it share the
+    word's ids, where the tokenizer is seen to split and lower-case that way.
+    """
 
     def __init__(self, path: str, memo_units: int = MEMO_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; tasks are the parallel part
@@ -52,86 +59,51 @@ class UnitEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.memo_units, self.ids, self.older = memo_units, {}, {}
-        mark = self.tok.encode(_BETWEEN, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-        self.words: dict[str, object] = {}
-        self.splits = all(self._whole(a + b) == self._whole(a.lower()) + self._whole(b) for a, b in _PROBES) and all(
-            self._whole(w) == [t.id for t in self.tok.model.tokenize(w)] for w in ("the", "of", "internationally", "zqxv")
-        )
+        self.model, self.memo_units, self.older, self.words = self.tok.model.tokenize, memo_units, {}, {}
+        self.splits = all(self._whole(w + p) == self._word(w.lower()) + self._whole(p) for w, p in _PROBES)
 
     def _whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def encode_units(self, units: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each unit. Units go to the library many at a time with a mark between; where the marks can't be told
-        from other ids, one by one."""
-        parts = [units[i : i + _TOGETHER] for i in range(0, len(units), _TOGETHER)]
-        between = f" {_BETWEEN} "
-        out: list[tuple[int, ...]] = []
-        for part, e in zip(parts, self.tok.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False)):
-            ids = e.ids
-            if self.mark is None or ids.count(self.mark) != len(part) - 1:
-                out += [tuple(x.ids) for x in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-                continue
-            at = -1
-            for _ in range(len(part) - 1):
-                end = ids.index(self.mark, at + 1)
-                out.append(tuple(ids[at + 1 : end]))
-                at = end
-            out.append(tuple(ids[at + 1 :]))
-        return out
-
-    def keep(self, value: tuple[int, ...]):
+    def _word(self, low: str) -> list[int]:
+        return [t.id for t in self.model(low if low.isascii() else low.translate(_BYTES))]
+
+    def keep(self, ids: list[int]):
         """What a unit's ids are kept as."""
-        return value
+        return ids
 
     def plus(self, a, b):
         """What is kept for a unit of two others, one after another."""
         return a + b
 
-    def found(self, units: list[str]) -> list:
-        """What is kept for each of some new units. Forms of a word that differ in capitals and in the punctuation
-        after it share the word's ids, where the tokenizer is known to split and lower-case that way."""
-        if not self.splits:
-            return list(map(self.keep, self.encode_units(units)))
-        words, match = self.words, _WORD.fullmatch
-        parts = [(m[1].lower(), m[2]) if (m := match(u)) else (u, "") for u in units]
-        new = list({w for w, _ in parts if w not in words} | {t for _, t in parts if t and t not in words})
-        if len(words) + len(new) > self.memo_units:
-            kept = {x: words[x] for p in parts for x in p if x in words}
-            self.words = words = kept
-            new = list({x for p in parts for x in p if x and x not in words})
-        model, keep = self.tok.model.tokenize, self.keep
-        plain = [w.isascii() and w.isalpha() and w.islower() for w in new]
-        words.update((w, keep(tuple([t.id for t in model(w)]))) for w, p in zip(new, plain) if p)
-        other = [w for w, p in zip(new, plain) if not p]
-        words.update(zip(other, map(keep, self.encode_units(other))))
-        plus = self.plus
-        return [plus(words[w], words[t]) if t else words[w] for w, t in parts]
-
-    def learn(self, units: set[str]) -> dict[str, object]:
-        """Make sure that the memo has ``units``; what comes back has them all.
-
-        The memo is two generations: when the newer is full it becomes the older, and a unit that the older one has
-        moves on without being encoded again.
-        """
-        ids = self.ids
-        new = [u for u in units if u not in ids]
-        if not new:
-            return ids
-        if len(ids) + len(new) > self.memo_units:
-            self.older, self.ids = ids, {u: ids[u] for u in units if u in ids}
-            ids = self.ids
-        older = self.older
-        unknown = []
-        for u in new:
-            if (known := older.get(u)) is None:
-                unknown.append(u)
+    def turn(self) -> "UnitEncoder":
+        """Between groups of texts: start a new generation if the memo is full."""
+        if len(self) > self.memo_units:
+            self.older = dict(self)
+            self.clear()
+        if len(self.words) > self.memo_units:
+            self.words.clear()
+        return self
+
+    def __missing__(self, unit: str):
+        value = self.older.get(unit)
+        if value is None:
+            m = _WORD.fullmatch(unit) if self.splits else None
+            if m is None:
+                value = self.keep(self._whole(unit))
             else:
-                ids[u] = known
-        ids.update(zip(unknown, self.found(unknown)))
-        return ids
+                word, after = m.groups()
+                word, words = word.lower(), self.words
+                value = words.get(word)
+                if value is None:
+                    value = words[word] = self.keep(self._word(word))
+                if after:
+                    tail = words.get(after)
+                    if tail is None:
+                        tail = words[after] = self.keep(self._whole(after))
+                    value = self.plus(value, tail)
+        self[unit] = value
+        return value
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -198,9 +170,8 @@ def tree_units(text: str, leaf_chars: int = LEAF_CHARS) -> list[str]:
 
 def encode(text: str | None, path: str, leaf_chars: int = LEAF_CHARS) -> list[int]:
     """Ids of a whole text, as the tokenizers library gives them without special tokens."""
-    units = tree_units(text or "", leaf_chars)
-    ids = encoder(path).learn(set(units))
-    return [i for u in units for i in ids[u]]
+    known = encoder(path).turn()
+    return [i for u in tree_units(text or "", leaf_chars) for i in known[u]]
 
 
 def decode(ids: list[int], path: str) -> str:
@@ -220,8 +191,8 @@ class _Digests(UnitEncoder):
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.decimal, self.token = [str(i) for i in range(size)], [self.tok.id_to_token(i) or "" for i in range(size)]
 
-    def keep(self, value: tuple[int, ...]) -> tuple[str, str]:
-        return " ".join([self.decimal[i] for i in value]), " ".join([self.token[i] for i in value])
+    def keep(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join([self.decimal[i] for i in ids]), " ".join([self.token[i] for i in ids])
 
     def plus(self, a: tuple[str, str], b: tuple[str, str]) -> tuple[str, str]:
         return f"{a[0]} {b[0]}", f"{a[1]} {b[1]}"
@@ -259,10 +230,9 @@ def _round_trip(path: str, leaf_chars: int):
         for batch in batches:
             out: list[tuple[int, str, str]] = []
             for group in groups(batch.column("text").to_pylist()):
-                units = [tree_units(t, leaf_chars) for t in group]
-                known = d.learn(set().union(*units))
-                for us in units:
-                    both = [known[u] for u in us]
+                known = d.turn().__getitem__
+                for t in group:
+                    both = list(map(known, tree_units(t, leaf_chars)))
                     said = _joined([x for x, _ in both])
                     decoded = _joined([x for _, x in both]) if plain else decode([int(i) for i in said.split()], path).encode()
                     out.append((said.count(b" ") + 1 if said else 0, sha(said), sha(decoded)))
@@ -287,9 +257,8 @@ def _ids(path: str, leaf_chars: int):
         for batch in batches:
             ids = []
             for group in groups(batch.column("text").to_pylist()):
-                units = [tree_units(t, leaf_chars) for t in group]
-                found = encoder(path).learn(set().union(*units))
-                ids += [[i for u in us for i in found[u]] for us in units]
+                known = encoder(path).turn()
+                ids += [[i for u in tree_units(t, leaf_chars) for i in known[u]] for t in group]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
