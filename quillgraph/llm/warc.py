@@ -106,7 +106,9 @@ def write_archives(pages: DataFrame, out_dir: str, revisit_from: int = 0, archiv
     common.prepare(pages.sparkSession)
     rows = revisits(pages, revisit_from)
     rows = rows.select(F.col("id").cast("string").alias("id"), F.col("url").cast("string").alias("url"), "payload", "sha1", F.col("refers_to").cast("string").alias("refers_to"))
-    return common.stored(rows.mapInArrow(_write(f"{out_dir}/raw", archive_bytes), "archive string, records long"), f"{out_dir}/raw-list")
+    # a row for each archive: their number follows the partitions, so the driver may hold the list
+    done = rows.mapInArrow(_write(f"{out_dir}/raw", archive_bytes), "archive string, records long").toArrow()
+    return pages.sparkSession.createDataFrame(done, "archive string, records long")
 
 
 # --- normalising -----------------------------------------------------------------------------------------------------
