@@ -1 +1 @@
-"""plans of the engine."""
+"""Registered queries and the query surface."""
