@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillgraph.functions.udf import lazy_udf
+
 #: Unicode white space for Java's regex engine, as Python's ``str.split`` sees it.
 SPACE = "(?U)\\s"
 
@@ -97,13 +99,13 @@ def without_span(c: Column, pattern: str) -> Column:
     return F.struct(out.alias("text_to_embed"), (out != collapse_space(c)).alias("ok"))
 
 
-@F.pandas_udf("string")
+@lazy_udf("string")
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC, trimmed; blank becomes null."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x).strip() or None)
 
 
-@F.pandas_udf("string")
+@lazy_udf("string")
 def without_accents(s: pd.Series) -> pd.Series:
     """Without combining marks U+0300 to U+036F, in NFC."""
     def one(x):
@@ -112,7 +114,7 @@ def without_accents(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("struct<text string, notes array<string>>")
+@lazy_udf("struct<text string, notes array<string>>")
 def without_brackets(s: pd.Series) -> pd.DataFrame:
     """Text outside square brackets of any depth, and the outermost bracketed notes."""
     def one(x):

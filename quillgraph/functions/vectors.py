@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillgraph.functions.udf import lazy_udf
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -40,7 +42,7 @@ def uuid5(namespace: str, key: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), third, F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12))
 
 
-@F.pandas_udf("string")
+@lazy_udf("string")
 def digest(v: pd.Series) -> pd.Series:
     """SHA-256 of the values as big-endian doubles; -0.0 counts as 0.0 and all NaN are one."""
     def one(x):

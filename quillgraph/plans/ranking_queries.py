@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text
@@ -119,8 +120,6 @@ def rerank_topk(spark, sf_dir):
     """Reranking with a stand-in scorer: shared distinct words."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     hits = bm25_rows(spark, sf_dir, 20).join(F.broadcast(table(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))), "query_id")
-    import pandas as pd
-
     def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([float(len(set((x or "").split()) & set((y or "").split()))) for x, y in zip(a, b)])
 

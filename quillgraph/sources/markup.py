@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions.udf import lazy_udf
+
 
 def xml_rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     """Rows of one tag, streamed by Spark's XML reader; attributes are columns that start with an underscore."""
@@ -119,12 +121,12 @@ def main_node(root: list) -> list:
     return max(divs, key=lambda x: x[:2])[2] if divs and max(divs, key=lambda x: x[:2])[0] else root
 
 
-@F.pandas_udf("string")
+@lazy_udf("string")
 def html_text(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else text_of(tree(x)))
 
 
-@F.pandas_udf("struct<text string, paragraphs array<string>, title string>")
+@lazy_udf("struct<text string, paragraphs array<string>, title string>")
 def main_content(s: pd.Series) -> pd.DataFrame:
     """Text and paragraphs of the main part, and the page's title."""
     rows = []
@@ -139,7 +141,7 @@ def main_content(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": [r[0] for r in rows], "paragraphs": [r[1] for r in rows], "title": [r[2] for r in rows]})
 
 
-@F.pandas_udf("array<struct<number int, title string, text string>>")
+@lazy_udf("array<struct<number int, title string, text string>>")
 def sections(s: pd.Series) -> pd.Series:
     """Numbered parts of a page: a heading, and the paragraphs up to the next one.
 
@@ -206,7 +208,7 @@ def unescape(s: str) -> str:
     return html.unescape(s)
 
 
-@F.pandas_udf("array<struct<verse string, pos int, id string, lemma string, morph string, surface string, kind string>>")
+@lazy_udf("array<struct<verse string, pos int, id string, lemma string, morph string, surface string, kind string>>")
 def osis_words(s: pd.Series) -> pd.Series:
     """Words of an OSIS book: a written form and the read form in the note right after it are both rows (kind)."""
     import xml.etree.ElementTree as ET
@@ -232,7 +234,7 @@ def osis_words(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("array<struct<path string, text string>>")
+@lazy_udf("array<struct<path string, text string>>")
 def tei_sections(s: pd.Series) -> pd.Series:
     """Visible text of each innermost numbered TEI division, by its path of numbers; notes are left out, their tails kept."""
     import xml.etree.ElementTree as ET
