@@ -132,13 +132,12 @@ class _Part:
 
 def _join(left: _Part, right: _Part, plain: bool) -> _Part:
     """Join two parts exactly: grow a window of units around the seam until both its ends agree."""
-    if not left.units and not right.units:
-        left.open_left, left.open_right = left.open_left and right.open_left, left.open_right and right.open_right
+    if not right.units:  # white space only
+        left.open_right = False
         return left
     if not left.units:
+        right.open_left = False
         return right
-    if not right.units:
-        return left
     if left.open_right and right.open_left:
         width = 2
         while True:

@@ -81,10 +81,7 @@ def variants(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * powers, dtype=np.uint64)])
     whole = upto[-1:]  # as an array: its arithmetic wraps around silently
     residual = upto[:-1] + (whole - upto[1:]) * _INVERSE + _salt(n - 1)
-    fresh = np.ones(n, dtype=bool)
-    fresh[1:] = w[1:] != w[:-1]  # deleting any of a run of equal words gives one variant
-    keys = np.concatenate([whole + _salt(n), residual[fresh]])
-    return keys.view(np.int64), np.concatenate([[-1], np.flatnonzero(fresh)]).astype(np.int32)
+    return np.concatenate([whole + _salt(n), residual]).view(np.int64), np.arange(-1, n, dtype=np.int32)
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
