@@ -132,10 +132,10 @@ def node_upsert(spark, sf_dir):
     return graph.upsert(base, new, ["k"])
 
 
-@query("edge_merge_identity", "SELECT l_partkey AS src_id, l_suppkey AS dst_id, l_returnflag AS source, arg_max(l_quantity, (l_orderkey, l_linenumber)) AS votes FROM lineitem GROUP BY 1, 2, 3")
+@query("edge_merge_identity", "SELECT l_partkey AS src_id, l_suppkey AS dst_id, l_returnflag AS source, arg_max(l_quantity, (l_orderkey, l_linenumber, l_quantity)) AS votes FROM lineitem GROUP BY 1, 2, 3")
 def edge_merge_identity(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src_id"), F.col("l_suppkey").alias("dst_id"), F.col("l_returnflag").alias("source"), F.col("l_quantity").alias("votes"), "l_orderkey", "l_linenumber")
-    return graph.merged_edges(e, ["src_id", "dst_id", "source"], ["l_orderkey", "l_linenumber"]).select("src_id", "dst_id", "source", "votes")
+    return graph.merged_edges(e, ["src_id", "dst_id", "source"], ["l_orderkey", "l_linenumber", "votes"]).select("src_id", "dst_id", "source", "votes")
 
 
 @query("attach_property", "SELECT p_partkey, p_name, q.phono FROM part LEFT JOIN (SELECT l_partkey, min(l_shipdate)::DATE::VARCHAR AS phono FROM lineitem GROUP BY 1) q ON p_partkey = l_partkey")

@@ -63,6 +63,13 @@ class _Tree(HTMLParser):
         self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
+        if tag in _BREAK and tag != "br":  # a block ends the paragraph that is open
+            for k in range(len(self.open) - 1, 0, -1):
+                if self.open[k][0] == "p":
+                    del self.open[k:]
+                    break
+                if self.open[k][0] in _BREAK:
+                    break
         node = [tag, dict(attrs), []]
         self.open[-1][2].append(node)
         if tag not in _VOID:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 
 def lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(file, line_no from 1, line); a byte-order mark is dropped. Files are read whole, one row each, then split."""
+    """(file, line_no from 1, line); a byte-order mark and the last line's end are dropped. Files are read whole, one row each, then split."""
     raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", encoding).alias("t"))
-    text = F.regexp_replace("t", "^﻿", "")
+    text = F.regexp_replace("t", "^\ufeff|(\r\n|\n|\r)\\z", "")
     out = raw.select("file", F.posexplode(F.split(text, "\r\n|\n|\r")).alias("at", "line"))
     return out.select("file", (F.col("at") + 1).alias("line_no"), "line")
 
