@@ -162,7 +162,7 @@ def _variant_batch(batch: pa.RecordBatch, keys: list, places: list, rows: list)
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("line").to_pylist(), batch.column("line2").to_pylist()
-        yield batch.select(["x", "x2"]).filter(pa.array([within_one(x.split(), y.split()) for x, y in zip(a, b)], pa.bool_()))
+        yield batch.select(["x", "first", "x2", "first2"]).filter(pa.array([within_one(x.split(), y.split()) for x, y in zip(a, b)], pa.bool_()))
 
 
 def scan_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -174,7 +174,8 @@ def scan_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def near_ties(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Verified ties between different lines within one word edit: x and x2, each line by ``line_number``."""
+    """Verified ties between different lines within one word edit: x, first and x2, first2 (a line's ``line_number``
+    and the earliest place that it has)."""
     spark = docs.sparkSession
     base = common.run_dir(spark, "line-variants")
     keyed = lines.select(line_number().alias("x"), F.explode("keys").alias("key"))
@@ -189,17 +190,20 @@ def near_ties(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_candidates(held, min_words), f"doc_id {kind}, line_no int, h binary, line string")
     distinct = found.groupBy(line_number().alias("x")).agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.first("line").alias("line"))
-    distinct = common.stored(distinct.select("x", "f.doc_id", "f.line_no", "line"), f"{base}/lines")
-    rows = common.stored(distinct.mapInArrow(_variant_rows, f"v long, at int, x long, doc_id {kind}, line_no int"), f"{base}/variants")
+    distinct = common.stored(distinct.select("x", "f.doc_id", "f.line_no", "line"), base)
+    # made anew for each use: cheaper than a table of them, as only lines with a neighbour are here
+    rows = distinct.mapInArrow(_variant_rows, f"v long, at int, x long, doc_id {kind}, line_no int")
     group = rows.groupBy("v", "at").agg(F.min(F.struct("doc_id", "line_no", "x")).alias("m"), F.count(F.lit(1)).alias("n"))
     one = group.where("at = -1").select("v", F.col("m.x").alias("x2"))
     many = group.where("at >= 0 AND n > 1").select("v", "at", F.col("m.x").alias("x2"))
     gaps = rows.where("at >= 0").select("v", "at", "x")
     ties = gaps.join(many, ["v", "at"]).select("x", "x2").unionByName(gaps.join(one, "v").select("x", "x2"))
     ties = ties.where("x <> x2").distinct()
-    text = distinct.select("x", "line")
-    both = ties.join(text, "x").join(text.select(F.col("x").alias("x2"), F.col("line").alias("line2")), "x2").select("x", "line", "x2", "line2")
-    return both.mapInArrow(_verify, "x long, x2 long")
+    text = distinct.select("x", F.struct("doc_id", "line_no").alias("first"), "line")
+    other = text.select(F.col("x").alias("x2"), F.col("first").alias("first2"), F.col("line").alias("line2"))
+    both = ties.join(text, "x").join(other, "x2").select("x", "first", "line", "x2", "first2", "line2")
+    place = f"struct<doc_id: {kind}, line_no: int>"
+    return both.mapInArrow(_verify, f"x long, first {place}, x2 long, first2 {place}")
 
 
 def line_number():
@@ -214,12 +218,10 @@ def line_duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     lines = scan_lines(docs, min_words)
     ties = near_ties(docs, lines, min_words)
-    firsts = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    firsts = common.stored(firsts.withColumn("x", line_number()), common.run_dir(docs.sparkSession, "line-firsts"))
-    other = firsts.select(F.col("x").alias("x2"), F.col("first").alias("first2"))
-    both = ties.join(firsts.select("x", "first"), "x").join(other, "x2")
     later = F.col("first") > F.col("first2")
-    near = both.select(F.when(later, F.col("x")).otherwise(F.col("x2")).alias("x"), F.least("first", "first2").alias("of")).groupBy("x").agg(F.min("of").alias("near"))
+    ends = ties.select(F.when(later, F.col("x")).otherwise(F.col("x2")).alias("x"), F.least("first", "first2").alias("of"))
+    near = ends.groupBy("x").agg(F.min("of").alias("near"))
+    firsts = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).withColumn("x", line_number())
     firsts = firsts.join(near, "x", "left").select("h", "first", "near")
     place = F.struct("doc_id", "line_no")
     known = lines.select("doc_id", "line_no", "h").join(firsts, "h")
