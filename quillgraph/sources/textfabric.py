@@ -24,7 +24,7 @@ def node_feature(rows: DataFrame, count_blank: bool = True) -> DataFrame:
     n = n.withColumn("a", anchor)
     own = F.coalesce(F.col("a.hi") + F.col("k") - F.col("a.k"), F.col("k").cast("long"))
     nodes = F.when(F.col("lo").isNotNull(), F.sequence("lo", F.greatest("lo", "hi"))).otherwise(F.array(own))
-    return n.withColumn("node", F.explode(nodes)).where(F.trim("value") != "").select("file", "node", "value")
+    return n.withColumn("node", F.explode(nodes)).where(F.col("lo").isNotNull() | (F.trim("value") != "")).select("file", "node", "value")
 
 
 def type_ranges(rows: DataFrame) -> DataFrame:
