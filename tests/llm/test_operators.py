@@ -134,6 +134,15 @@ def test_id_files(spark, docs, empty, tok, tmp_path):
     assert repair.id_files(spark, empty, WORD_BPE).count() == 0
 
 
+def test_packed_ids_of_random_texts(tok):
+    e = repair._Packed(WORD_BPE)
+    rng = random.Random(6)
+    for alphabet in ("abc DE  \t\n.,'!12éÉß-<|>_ \x1bøÿÀ'stmdrevl\x00\x7f\r\x0b\x0c", "aé\x1c日 ́.'"):
+        for _ in range(600):
+            t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 60)))
+            assert np.frombuffer(e.pack(t, 16), dtype="<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_repair_grammar():
     rng = np.random.default_rng(0)
     for ids in (rng.integers(2, 9, 5000), np.tile([3, 4, 5, 6], 700), np.full(1001, 7), np.array([1, 1, 1]), np.array([5]), np.array([], dtype=np.int64)):
