@@ -98,4 +98,39 @@ SELECT doc_id, line_no, CASE WHEN {'d': doc_id, 'l': line_no} <> f.f THEN 'exact
 FROM l JOIN f USING (line) LEFT JOIN near USING (line)
 """
 
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op7_line_dedup": OP7_SQL}
+
+
+def quality_sql() -> str:
+    """Measures, votes, EM (a recursion over the pattern counts as one list) and verdicts."""
+    n, (a0, b0, q0), k = len(weak_quality.RULES), weak_quality.START, weak_quality.PRIOR_VOTES
+    votes = ", ".join(f"CASE WHEN {good} THEN 1 WHEN {bad} THEN 0 END" for _, good, bad in weak_quality.RULES)
+
+    def odds(model: str) -> str:
+        side = lambda c: " * ".join(f"(CASE p.v[{j}] WHEN 1 THEN {model}.{c}[{j}] WHEN 0 THEN 1 - {model}.{c}[{j}] ELSE 1::DOUBLE END)" for j in range(1, n + 1))
+        return f"{model}.q * {side('a')} / ({model}.q * {side('a')} + (1 - {model}.q) * {side('b')})"
+
+    total = lambda x: f"list_sum(list_transform(e, lambda p: {x}))"
+
+    def rates(weight: str, start: float) -> str:
+        one = lambda j: f"({total(f'CASE WHEN p.v[{j}] = 1 THEN {weight} ELSE 0 END')} + {k * start}::DOUBLE) / ({total(f'CASE WHEN p.v[{j}] IS NOT NULL THEN {weight} ELSE 0 END')} + {k}::DOUBLE)"
+        return f"[{', '.join(map(one, range(1, n + 1)))}]"
+
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT doc_id, count(DISTINCT spot) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS spot FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
+v AS (SELECT *, [{votes}] AS v FROM m),
+pats AS (SELECT list({{'v': v, 'c': c}}) AS ps FROM (SELECT v, count(*)::DOUBLE AS c FROM v GROUP BY v)),
+em AS (SELECT 0 AS step, {q0}::DOUBLE AS q, {[a0] * n}::DOUBLE[] AS a, {[b0] * n}::DOUBLE[] AS b UNION ALL
+  SELECT step + 1, ({total('p.c * p.g')} + 1) / ({total('p.c')} + 2), {rates('p.c * p.g', a0)}, {rates('p.c * (1 - p.g)', b0)}
+  FROM (SELECT em.step, list_transform(ps, lambda p: {{'v': p.v, 'c': p.c, 'g': {odds('em')}}}) AS e FROM em, pats WHERE em.step < {weak_quality.ITERATIONS})),
+g AS (SELECT p.v, {odds('em')} AS quality FROM em, (SELECT unnest(ps) AS p FROM pats) WHERE step = {weak_quality.ITERATIONS})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND quality >= 0.5 AS kept, round(quality, 6) AS quality
+FROM v JOIN g ON v.v IS NOT DISTINCT FROM g.v
+"""
+
+
+ORACLES: dict[str, str] = {"op9_weak_quality": quality_sql(), "op1_warc": OP1_SQL, "op7_line_dedup": OP7_SQL}
