@@ -16,7 +16,6 @@ id unless no reachable id is known (then it is null); an empty table gives no ro
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np

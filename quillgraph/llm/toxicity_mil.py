@@ -142,7 +142,8 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE
     one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     few = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded, so it may be broadcast
     rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(few), "doc_id")
-    got = rows.select("doc_id", "text", "toxic").toArrow().to_pylist()
+    # one text for each id, also where rows repeat it: the sample stays within its bound
+    got = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow().to_pylist()
     return [(r["text"], r["toxic"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"] or ""))]
 
 
