@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import schemas
 from quillgraph.functions import text, vectors
-from quillgraph.operators import checks, ordered, verdict
+from quillgraph.operators import checks, verdict
 from quillgraph.plans.registry import query, table
 from quillgraph.plans.text_queries import DOC_WORDS
 
