@@ -1,13 +1,16 @@
 """BPE encoding by tree concatenation, and decoding.
 
-A long text is cut into leaves wherever they end, also inside words. Leaves are encoded on their own (all in one
-parallel batch), then joined pairwise up a tree. A join re-encodes a window around the seam and doubles it until the
-window's first unit equals what the left side had and its last unit equals what the right side had; only the units
-between are replaced. A unit is a run between white space: the tokenizer's patterns never match across white space and
-it drops white space, so a unit's ids depend on its characters alone and equal units have equal ids. Where a side is
-one unit without white space, the window is the whole of it, so the result is exact there too.
-
-Ids of units come from the tokenizers library and are kept in a bounded memo for the worker's life.
+A long text is cut into leaves wherever they end, also inside words. A leaf's runs between white space are encoded on
+their own; the two that touch its ends are encoded with the place of each id. Leaves are joined pairwise up a tree. The
+tokenizer's patterns never match across white space and drop it, so where there is white space at a seam the ids just
+follow one another. Elsewhere a join re-encodes a window of text around the seam, and doubles it until its first id is
+the one that the left side has there and one of its last ids is one that the right side has there; only the ids between
+are replaced. Ids that agree so are those of the whole: a row of BPE tokens is what the merges give if each pair of
+neighbours is, and every pair then is one of the left side, the window or the right side. The agreeing ids keep
+``margin`` characters from seam and window's end, so that no added token or contraction lies across. Where nothing
+agrees, the window ends up as the whole run.
+
+Ids of runs inside leaves come from the tokenizers library and are kept in a bounded memo for the worker's life.
 
 Defined results: a null text is the empty text (no ids, decoded ""); texts of any length are encoded whole; repeated
 rows give repeated results; null ids are kept; an empty table gives no rows; other columns are ignored.
@@ -18,6 +21,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +46,7 @@ _PROBES = [("The", ","), ("the", "."), ("Élan", "!?"), ("STRASSE", ";"), ("übe
 _SHIFTED = {b: chr(0x100 + 33 + k) for k, b in enumerate([*range(0x7F, 0xA1), 0xAD])}
 _BYTES = {i: "".join(_SHIFTED.get(b, chr(b)) for b in chr(i).encode()) for i in range(0xC0, 0x100)}
 LEAF_CHARS = 4096
+WINDOW_CHARS = 64
 MEMO_UNITS = 250_000
 
 
@@ -59,6 +65,8 @@ class UnitEncoder(dict):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        #: Further than an added token or a contraction looks.
+        self.margin = max([len(t.content) for t in self.tok.get_added_tokens_decoder().values()], default=0) + 3
         self.model, self.memo_units, self.older, self.words = self.tok.model.tokenize, memo_units, {}, {}
         self.splits = all(self._whole(w + p) == self._word(w.lower()) + self._whole(p) for w, p in _PROBES)
 
@@ -120,57 +128,130 @@ def split_units(text: str) -> list[str]:
     return [u for u in text.translate(_TO_SPACE).split(" ") if u] if _NO_SPACE.search(text) else text.split()
 
 
+class _Run:
+    """Ids of a stretch of text without white space that touches a seam, and the characters that each covers."""
+
+    __slots__ = ("lo", "hi", "ids", "starts", "ends")
+
+    def __init__(self, lo: int, hi: int, ids: list[int], starts: list[int], ends: list[int]):
+        self.lo, self.hi, self.ids, self.starts, self.ends = lo, hi, ids, starts, ends
+
+
+def _run(text: str, lo: int, hi: int, known: UnitEncoder) -> _Run:
+    got = known.tok.encode(text[lo:hi], add_special_tokens=False)
+    spans = got.offsets
+    return _Run(lo, hi, got.ids, [lo + a for a, _ in spans], [lo + b for _, b in spans])
+
+
+def _cut(text: str, run: _Run, k: int) -> bool:
+    """Whether text may be cut before the run's id ``k``: not inside a character, or what normalisation may compose."""
+    c = text[run.starts[k]]
+    return run.starts[k] >= run.ends[k - 1] and unicodedata.category(c)[0] != "M" and not "\u1160" <= c <= "\u11ff"
+
+
+def _seam(text: str, left: _Run, right: _Run, known: UnitEncoder, width: int = WINDOW_CHARS) -> _Run:
+    """Join two runs exactly: grow a window of text around the seam until the ids on both sides agree."""
+    seam, margin = right.lo, known.margin
+    width = max(width, 2 * margin)
+    while True:
+        i = bisect_right(left.starts, seam - width) - 1
+        while i > 0 and not _cut(text, left, i):
+            i -= 1
+        j = bisect_left(right.starts, seam + width)
+        while 0 < j < len(right.ids) and not _cut(text, right, j):
+            j += 1
+        from_start, to_end = i <= 0, j == 0 or j >= len(right.ids)
+        w = _run(text, left.lo if from_start else left.starts[i], right.hi if to_end else right.starts[j], known)
+        ok, head = True, i
+        if from_start:
+            head = 0
+        else:
+            ok = bool(w.ids) and (w.ids[0], w.starts[0], w.ends[0]) == (left.ids[i], left.starts[i], left.ends[i])
+        upto, tail = len(w.ids), len(right.ids)
+        if ok and not to_end:
+            ok = False
+            for k in range(len(w.ids) - 1, 0, -1):
+                if w.starts[k] < seam + margin:
+                    break
+                if w.ends[k] > w.hi - margin or not _cut(text, w, k):
+                    continue
+                t = bisect_left(right.starts, w.starts[k])
+                if 0 < t < j and (w.ids[k], w.starts[k], w.ends[k]) == (right.ids[t], right.starts[t], right.ends[t]) and _cut(text, right, t):
+                    ok, upto, tail = True, k, t
+                    break
+        if ok:
+            return _Run(left.lo, right.hi, *(a[:head] + b[:upto] + c[tail:] for a, b, c in ((left.ids, w.ids, right.ids), (left.starts, w.starts, right.starts), (left.ends, w.ends, right.ends))))
+        width *= 2
+
+
 class _Part:
-    """A stretch of text with its units; open sides touch a neighbour without white space between."""
-
-    __slots__ = ("units", "open_left", "open_right")
-
-    def __init__(self, text: str, plain: bool):
-        self.units = text.split() if plain else [u for u in text.translate(_TO_SPACE).split(" ") if u]
-        self.open_left, self.open_right = ((not text[0].isspace(), not text[-1].isspace()) if plain else (text[0] not in _ASCII_SPACE, text[-1] not in _ASCII_SPACE)) if text else (False, False)
-
-
-def _join(left: _Part, right: _Part, plain: bool) -> _Part:
-    """Join two parts exactly: grow a window of units around the seam until both its ends agree."""
-    if not right.units:  # white space only
-        left.open_right = False
-        return left
-    if not left.units:
-        right.open_left = False
-        return right
-    if left.open_right and right.open_left:
-        width = 2
-        while True:
-            a, b = left.units[-width:], right.units[:width]
-            text = " ".join(a) + " ".join(b)
-            window = text.split() if plain else [u for u in text.split(" ") if u]
-            left_whole, right_whole = len(a) == len(left.units), len(b) == len(right.units)
-            if (left_whole or window[0] == a[0]) and (right_whole or window[-1] == b[-1]):
-                break
-            width *= 2
-        left.units[-width:] = window
-        left.units += right.units[width:]
-    else:
-        left.units += right.units
-    left.open_right = right.open_right
-    return left
-
-
-def tree_units(text: str, leaf_chars: int = LEAF_CHARS) -> list[str]:
-    """The units of ``text`` by leaves and a tree of joins."""
+    """A stretch of text: the runs at its two ends where text goes on without white space (one and the same if it has
+    none), and what is kept for the runs between."""
+
+    __slots__ = ("head", "inner", "tail")
+
+    def __init__(self, head: _Run | None, inner: list, tail: _Run | None):
+        self.head, self.inner, self.tail = head, inner, tail
+
+    def close_left(self, known: UnitEncoder) -> None:
+        """Before it is white space or nothing."""
+        if self.head is not None and self.head is not self.tail:
+            self.inner.insert(0, known.keep(self.head.ids))
+        self.head = None
+
+    def close_right(self, known: UnitEncoder) -> None:
+        if self.tail is not None and self.tail is not self.head:
+            self.inner.append(known.keep(self.tail.ids))
+        self.tail = None
+
+
+def _leaf(text: str, lo: int, hi: int, plain: bool, known: UnitEncoder) -> _Part:
+    piece = text[lo:hi]
+    units = piece.split() if plain else [u for u in piece.translate(_TO_SPACE).split(" ") if u]
+    space = str.isspace if plain else _ASCII_SPACE.__contains__
+    head = tail = None
+    if units and not space(piece[0]):
+        head = _run(text, lo, lo + len(units[0]), known)
+    if units and not space(piece[-1]):
+        tail = head if head is not None and len(units) == 1 else _run(text, hi - len(units[-1]), hi, known)
+    inner = units[1 if head is not None else 0 : len(units) - 1 if tail is not None and tail is not head else None]
+    return _Part(head, list(map(known.__getitem__, inner)), tail)
+
+
+def _join(text: str, left: _Part, right: _Part, known: UnitEncoder) -> _Part:
+    a, b = left.tail, right.head
+    if a is None or b is None:
+        left.close_right(known)
+        right.close_left(known)
+        left.inner += right.inner
+        return _Part(left.head, left.inner, right.tail) if a is None or left.head is not a else _Part(a, right.inner, right.tail)
+    run = _seam(text, a, b, known)
+    whole_left, whole_right = left.head is a, right.tail is b
+    inner = left.inner if whole_left or whole_right else [*left.inner, known.keep(run.ids)]
+    inner += right.inner
+    return _Part(run if whole_left else left.head, inner, run if whole_right else right.tail)
+
+
+def tree(text: str, known: UnitEncoder, leaf_chars: int = LEAF_CHARS) -> list:
+    """What ``known`` keeps for the ids of the runs of ``text``, by leaves and a tree of joins."""
     if len(text) <= leaf_chars:
-        return split_units(text)
+        return list(map(known.__getitem__, split_units(text)))
     plain = _NO_SPACE.search(text) is None
-    parts = [_Part(text[i : i + leaf_chars], plain) for i in range(0, len(text), leaf_chars)]
+    parts = [_leaf(text, i, min(i + leaf_chars, len(text)), plain, known) for i in range(0, len(text), leaf_chars)]
     while len(parts) > 1:
-        parts = [_join(parts[i], parts[i + 1], plain) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0].units
+        parts = [_join(text, parts[i], parts[i + 1], known) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    last = parts[0]
+    whole = [known.keep(last.head.ids)] if last.head is not None and last.head is last.tail else None
+    if whole is None:
+        last.close_left(known)
+        last.close_right(known)
+    return last.inner if whole is None else whole
 
 
 def encode(text: str | None, path: str, leaf_chars: int = LEAF_CHARS) -> list[int]:
     """Ids of a whole text, as the tokenizers library gives them without special tokens."""
     known = encoder(path).turn()
-    return [i for u in tree_units(text or "", leaf_chars) for i in known[u]]
+    return [i for ids in tree(text or "", known, leaf_chars) for i in ids]
 
 
 def decode(ids: list[int], path: str) -> str:
@@ -229,9 +310,9 @@ def _round_trip(path: str, leaf_chars: int):
         for batch in batches:
             out: list[tuple[int, str, str]] = []
             for group in groups(batch.column("text").to_pylist()):
-                known = d.turn().__getitem__
+                d.turn()
                 for t in group:
-                    both = list(map(known, tree_units(t, leaf_chars)))
+                    both = tree(t, d, leaf_chars)
                     said = _joined([x for x, _ in both])
                     decoded = _joined([x for _, x in both]) if plain else decode([int(i) for i in said.split()], path).encode()
                     out.append((said.count(b" ") + 1 if said else 0, sha(said), sha(decoded)))
@@ -257,7 +338,7 @@ def _ids(path: str, leaf_chars: int):
             ids = []
             for group in groups(batch.column("text").to_pylist()):
                 known = encoder(path).turn()
-                ids += [[i for u in tree_units(t, leaf_chars) for i in known[u]] for t in group]
+                ids += [[i for x in tree(t, known, leaf_chars) for i in x] for t in group]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run

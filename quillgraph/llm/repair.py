@@ -255,7 +255,7 @@ class _Packed(bpe_tree.UnitEncoder):
         ``bpe_tree``.
         """
         if not self.splits or _OTHER.search(text) or "<|" in text:
-            return b"".join(map(self.__getitem__, bpe_tree.tree_units(text, leaf_chars)))
+            return b"".join(bpe_tree.tree(text, self, leaf_chars))
         return b"".join(map(self.pieces.__getitem__, _PIECE(text.lower())))
 
 

@@ -176,6 +176,32 @@ def test_bpe_trees_of_random_texts(tok):
         assert bpe_tree.decode(want, WORD_BPE) == tok.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_joins_inside_long_runs(tok):
+    """A run without white space is never encoded whole where windows agree, and its ids are those of the whole."""
+
+    class Seen:
+        def __init__(self, of):
+            self.of, self.longest = of, 0
+
+        def __getattr__(self, name):
+            return getattr(self.of, name)
+
+        def encode(self, text, **how):
+            self.longest = max(self.longest, len(text))
+            return self.of.encode(text, **how)
+
+    rng = random.Random(8)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "etaoin'.,!-s1É", "日本語のテキスト한국é́", "ab'<|endoftext|>"):
+        t = "".join(rng.choice(alphabet) for _ in range(30_000)) + "<|endoftext|>" * 50
+        e = bpe_tree.UnitEncoder(WORD_BPE)
+        e.tok = Seen(e.tok)
+        assert [i for ids in bpe_tree.tree(t, e, 500) for i in ids] == tok.encode(t, add_special_tokens=False).ids
+        assert e.tok.longest < 4000
+    for t in ("x" * 5000, "'" * 3001 + "s", "<|endoftext|>" * 300, "e" + "\u0301\u0323" * 900, "ab" * 2000 + " " + "''s" * 900):
+        for leaf in (7, 100, 333):
+            assert bpe_tree.encode(t, WORD_BPE, leaf) == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_bpe_memo_is_bounded(tok):
     e = bpe_tree.UnitEncoder(WORD_BPE, memo_units=50)
     for k in range(400):
