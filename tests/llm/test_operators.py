@@ -234,6 +234,20 @@ def test_decontamination(spark, sf_dir, sample, docs, empty):
     assert lsi_decontam.leaks(empty, odd).count() == 0 and lsi_decontam.leaks(docs, odd.limit(0)).count() == 0
 
 
+def invented(rng, n, size=20_000):
+    """``n`` words of a vocabulary with a few common and many rare ones."""
+    return [f"w{int(size ** rng.random())}" for _ in range(n)]
+
+
+def test_decontamination_with_thousands_of_items(spark):
+    rng = random.Random(11)
+    items = [invented(rng, 38) for _ in range(1800)]
+    rows = [(k, " ".join(invented(rng, rng.randrange(0, 200)) + w + invented(rng, 60))) for k, w in enumerate(items)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in lsi_decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(k, k) for k in range(len(items))}
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
