@@ -248,6 +248,28 @@ def test_decontamination_with_thousands_of_items(spark):
     assert got == {(k, k) for k in range(len(items))}
 
 
+def test_decontamination_of_long_items_among_rare_words(spark):
+    """Exact copies of long items, and of short ones in a corpus so large that other words have a large weight."""
+    rng = random.Random(12)
+    sizes = [20] * 30 + [150] * 10 + [300] * 10 + [500] * 10
+    items = [invented(rng, n) for n in sizes]
+    rows = [(k, " ".join(invented(rng, 100) + w + invented(rng, 100))) for k, w in enumerate(items)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in lsi_decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(k, k) for k in range(len(items))}
+    terms = lsi_decontam.Terms([b"common", *(b"w%d" % k for k in range(8))])
+    item, space = terms.numbers("common w1 w2 w3 w4 w5 w6 w7"), np.eye(terms.size)
+    cosines = []
+    for n in (10**4, 10**7):  # the item's words are as frequent in both; the others aren't in the benchmark
+        idf = np.log(np.array([n, 2, *[20] * 8], dtype=float)) + 1
+        idf[1:] = np.log([2, *[20] * 8]) + 1
+        fitted = lsi_decontam.Space(np.arange(terms.size), idf, space, [(0, item)])
+        index = lsi_decontam.Index(terms, idf, [(0, item)], [fitted])
+        found = index.candidates([terms.numbers("x y z " * 4 + "common w1 w2 w3 w4 w5 w6 w7 " + "x y z " * 4)], 0.35)
+        cosines.append(max(c for _, c in found.get((0, 0), [(0, 0.0)])))
+    assert cosines[0] == cosines[1] > 0.9
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
