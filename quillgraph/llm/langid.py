@@ -31,7 +31,8 @@ SAMPLE_DOCS = 128
 REFERENCE_CHARS = 24_576
 PIECE = 512
 BLOCK = 1024
-CLASSES = 64  # 0: space, 1: a letter that no reference has
+#: Letters of a language up to which its automaton is a full table; with more, its transitions are looked up by key.
+DENSE = 96
 SHARPNESS = 8.0
 
 
@@ -100,7 +101,11 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """Automata of all languages in one table: entry ``state + class`` is ``next state * 2 + (a phrase ended)``."""
+    """Automata of all languages, each over the letters of its own reference (class 0: space, 1: any other letter).
+
+    Those of few letters are one table: entry ``state + class`` is ``next state * 2 + (a phrase ended)``. The others, as
+    of Chinese, are sorted keys ``state * width + class`` with the next states; what isn't there goes on at the root's.
+    """
 
     def __init__(self, refs: dict[str, str]):
         self.langs = sorted(refs)
@@ -109,30 +114,43 @@ class Model:
             for c in r:
                 letters[c] = letters.get(c, 0) + 1
         letters.pop(" ", None)
-        best = sorted(letters, key=lambda c: (-letters[c], c))[: CLASSES - 2]
-        code = {c: i + 2 for i, c in enumerate(best)} | {" ": 0}
-        self.width = len(best) + 2
-        self.of = np.zeros(0x110000, dtype=np.uint8)
+        code = {c: i + 2 for i, c in enumerate(sorted(letters))} | {" ": 0}
+        self.of = np.zeros(0x110000, dtype=np.int32)
         for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
                 low = c.lower()
                 self.of[i] = code.get(low if len(low) == 1 else c, 1)
         tables, self.roots, self.bits, at = [], [], [], 0
-        for lang in self.langs:
-            auto = suffix_automaton([code.get(c, 1) for c in refs[lang]])
-            root = np.full(self.width, at * self.width, dtype=np.int64)
+        self.own = np.ones((len(self.langs), len(letters) + 2), dtype=np.int32)
+        self.own[:, 0] = 0
+        self.dense, self.sparse = [], {}
+        for k, lang in enumerate(self.langs):
+            used = sorted(set(refs[lang]) - {" "})
+            local = {c: i + 2 for i, c in enumerate(used)} | {" ": 0}
+            self.own[k, [code[c] for c in used]] = np.arange(2, len(used) + 2)
+            width = len(used) + 2
+            auto = suffix_automaton([local[c] for c in refs[lang]])
+            self.bits.append(math.log2(max(2, len(refs[lang]))))
+            if width > DENSE:
+                moves = sorted((i * width + c, s) for i, m in enumerate(auto) for c, s in m.items())
+                start = np.zeros(width, dtype=np.int64)
+                for c, s in auto[0].items():
+                    start[c] = s
+                self.sparse[k] = (width, np.array([m for m, _ in moves]), np.array([s for _, s in moves]), start)
+                continue
+            root = np.full(width, at, dtype=np.int64)
             for c, s in auto[0].items():
-                root[c] = (at + s) * self.width
+                root[c] = at + s * width
             t = np.tile(root * 2 + 1, (len(auto), 1))
             for i, moves in enumerate(auto):
                 for c, s in moves.items():
-                    t[i, c] = (at + s) * self.width * 2
-            tables.append(t)
-            self.roots.append(at * self.width)
-            self.bits.append(math.log2(max(2, len(refs[lang]))))
-            at += len(auto)
-        self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+                    t[i, c] = (at + s * width) * 2
+            tables.append(t.astype(np.int32).ravel())
+            self.dense.append(k)
+            self.roots.append(at)
+            at += t.size
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def rates(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(bits a character of each text in each language, letters in each text)."""
@@ -145,7 +163,7 @@ class Model:
         first = np.ones(len(raw), dtype=bool)
         first[1:] = doc[1:] != doc[:-1]
         keep = (raw > 0) | ~(first | np.concatenate([[True], raw[:-1] == 0]))
-        codes, doc = raw[keep].astype(np.int32), doc[keep]
+        codes, doc = raw[keep], doc[keep]
         size = np.bincount(doc, minlength=len(texts))
         start = np.cumsum(size) - size
         # blocks, the longest first, so that those still walking come first at every step
@@ -158,12 +176,26 @@ class Model:
         of, lo, long = of[order], lo[order], long[order]
         phrases = np.zeros((len(self.langs), len(of)), dtype=np.int64)
         live = np.searchsorted(-long, -np.arange(BLOCK), side="left")  # blocks longer than j
-        state = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], len(of), axis=1)
-        for j in range(int(long[0]) if len(long) else 0):
-            m = live[j]
-            v = self.table[state[:, :m] + codes[lo[:m] + j]]
-            phrases[:, :m] += v & 1
-            state[:, :m] = v >> 1
+        steps = int(long[0]) if len(long) else 0
+        if self.dense:
+            own, some = self.own[self.dense][:, codes], np.zeros((len(self.dense), len(of)), dtype=np.int64)
+            state = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], len(of), axis=1)
+            for j in range(steps):
+                m = live[j]
+                v = self.table[state[:, :m] + own[:, lo[:m] + j]]
+                some[:, :m] += v & 1
+                state[:, :m] = v >> 1
+            phrases[self.dense] = some
+        for k, (width, keys, to, start) in self.sparse.items():
+            own, state = self.own[k][codes], np.zeros(len(of), dtype=np.int64)
+            for j in range(steps):
+                m = live[j]
+                c = own[lo[:m] + j]
+                key = state[:m] * width + c
+                spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                found = keys[spot] == key
+                phrases[k, :m] += ~found
+                state[:m] = np.where(found, to[spot], start[c])
         out = np.empty((len(texts), len(self.langs)))
         for k in range(len(self.langs)):
             total = np.bincount(of, weights=phrases[k], minlength=len(texts)) + count  # the last phrase of each block

@@ -433,6 +433,20 @@ def test_cross_parsing_is_greedy_longest_match():
             assert abs(rates[0, k] * len(shown) / m.bits[k] - n) <= 1 + sum(c not in refs[lang] for c in shown)
 
 
+def test_languages_of_many_scripts():
+    """Rarer scripts are told apart, also one of many letters, and a script that no reference has fits none."""
+    rng = random.Random(2)
+    alphabets = {"la": "abcdefghijklmnopqrstuvwxyz", "fr": "abcdefghijklmnopqrstuvwxyzéèêàçùôîœï", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "el": "αβγδεζηθικλμνξοπρστυφχψω",
+                 "uk": "абвгґдеєжзиіїйклмнопрстуфхцчшщью", "ar": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 400))), "ja": "".join(map(chr, range(0x5000, 0x5000 + 400)))}
+    vocab = {k: ["".join(rng.choice(a) for _ in range(rng.randrange(2, 7))) for _ in range(120)] for k, a in alphabets.items()}
+    said = lambda k, n: " ".join(rng.choice(vocab[k]) for _ in range(n))
+    m = langid.Model({k: said(k, 2000 if k in ("la", "fr") else 300) for k in vocab})
+    texts = [(k, said(k, 12)) for k in vocab for _ in range(20)]
+    langs, _, bits = m.predict([t for _, t in texts])
+    assert langs == [k for k, _ in texts] and bits.max() < 6
+    assert m.predict(["".join(map(chr, range(0x10A0, 0x10C0))) * 5])[2][0] > 6  # Georgian
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------------------
 
 
