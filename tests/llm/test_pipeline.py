@@ -45,3 +45,12 @@ def test_pipeline(spark, sf_dir):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0, name
+
+
+def test_language_id_keeps_short_texts(spark):
+    text = "And the other one is here with them in that house. De la casa. A man and a dog were in it. "
+    rows = [(k, text * 5, "en") for k in range(5)] + [(10, "De.", None), (11, "A.", None), (12, "In", None), (13, "ЖЖЖЖ ЖЖЖЖЖ", None), (14, "Ж.", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    long = spark.createDataFrame([(20, " ".join(f"w{i}ab cd{i}" for i in range(2000)), "en")], docs.schema)  # a longer reference
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(long), "").collect()}
+    assert {0, 10, 11, 12} <= kept and not {13, 14} & kept
