@@ -25,6 +25,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import count as count_from
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,6 @@ from quillgraph.llm import bpe_tree, common, files
 
 MAGIC = b"RP01"
 SHARD_IDS = 1 << 21
-ROUNDS = 3
 MIN_COUNT = 16
 MEMO_UNITS = 500_000
 MANIFEST_SCHEMA = "file string, part int, docs long, ids long"
@@ -45,18 +45,18 @@ MANIFEST_SCHEMA = "file string, part int, docs long, ids long"
 # --- grammar ---------------------------------------------------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, vocab: int, barred: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT, most_symbols: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, vocab: int, barred: int, rounds: int | None = None, min_count: int = MIN_COUNT, most_symbols: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, rules); rule k is the pair that nonterminal ``vocab + k`` stands for.
 
-    A round replaces the pairs that occur at least ``min_count`` times, left to right where they overlap. ``barred`` is
-    in no pair.
+    A round replaces the pairs that occur at least ``min_count`` times, left to right where they overlap; rounds go on
+    until no pair is so frequent or all symbols are used (``rounds`` limits them, if given). ``barred`` is in no pair.
     """
     bits = max(16, int(most_symbols - 1).bit_length())
     kind = np.uint32 if bits == 16 else np.uint64
     seq, rules, held, barred_ = ids.astype(kind), [np.empty((0, 2), dtype=np.int64)], vocab, kind(barred)
     slots = 1 << 18
     holder = np.empty(slots, dtype=kind)
-    for turn in range(rounds):
+    for turn in count_from() if rounds is None else range(rounds):
         room = most_symbols - held
         if room <= 0 or len(seq) < 2:
             break
@@ -69,7 +69,10 @@ def compress(ids: np.ndarray, vocab: int, barred: int, rounds: int = ROUNDS, min
         count = np.bincount(slot[own], minlength=slots)
         chosen = np.flatnonzero(count >= min_count)
         if not len(chosen):
-            break
+            # pairs that lost their slot may be as frequent: they get another hash
+            if not len(rest := key[plain[:-1] & plain[1:] & ~own]) or np.unique(rest, return_counts=True)[1].max() < min_count:
+                break
+            continue
         if len(chosen) > room:
             chosen = chosen[np.argsort(-count[chosen], kind="stable")[:room]]
         often = np.zeros(slots, dtype=bool)

@@ -153,6 +153,16 @@ def test_repair_grammar():
     assert len(repair.compress(np.tile([3, 4, 5, 6], 700), 10, 1)[0]) < 1000
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([np.tile(rng.integers(2, 500, 64), 40), rng.integers(2, 500, 400_000)])  # long repeats, and most slots are shared
+    for most in (1 << 16, 900):
+        symbols, rules = repair.compress(ids, 500, 1, most_symbols=most)
+        assert (repair.expand(symbols, rules, repair.lengths(rules, 500), 500) == ids).all()
+        pairs = Counter(zip(symbols[:-1:2].tolist(), symbols[1::2].tolist()))  # every other place: none overlap
+        assert len(rules) == most - 500 or max(pairs.values()) < 16
+
+
 def test_bpe_round_trip(spark, docs, empty, tok):
     for leaf in (64, 4096):
         got = by_id(bpe_tree.round_trip(docs, WORD_BPE, leaf).collect())
