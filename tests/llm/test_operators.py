@@ -280,6 +280,74 @@ def test_decontamination_of_long_items_among_rare_words(spark):
     assert cosines[0] == cosines[1] > 0.9
 
 
+def brute_leaks(texts, items):
+    """(text, item) by the checks alone: longest common subsequence and answer, on the whole of each (short) text."""
+    terms = lsi_decontam.Terms(sorted({w for t in items for w in lsi_decontam.words_of(t)}))
+    docs, df = [terms.numbers(t) for t in texts], np.zeros(terms.size)
+    for d in docs:
+        df[sorted(set(d.tolist()))] += 1
+    idf = np.log((len(texts) + 1) / (df + 1)) + 1
+    out = set()
+    for k, t in enumerate(items):
+        item = terms.numbers(t)
+        answer = lsi_decontam.answer_terms(item, idf)
+        for j, d in enumerate(docs):
+            held = len(answer & set(d.tolist())) / len(answer) >= lsi_decontam.MIN_ANSWER
+            if held and lsi_decontam.common_subsequence(item, d) >= (len(item) if len(item) < lsi_decontam.SHORT else lsi_decontam.MIN_COMMON * len(item)):
+                out.add((j, k))
+    return out
+
+
+def test_decontamination_recall(spark):
+    """All that brute force accepts in texts of a few hundred words: words put between, replaced, left out, clauses moved."""
+    rng = random.Random(21)
+    items = [invented(rng, rng.choice([12, 24, 38, 59, 120])) for _ in range(60)]
+    filler = lambda: invented(rng, 1, 400)[0]  # noqa: E731  words that items have as well
+    forms = {
+        "exact": lambda w: w,
+        "one between": lambda w: [y for x in w for y in (x, filler())],
+        "two between": lambda w: [y for x in w for y in (x, filler(), "new%d" % rng.randrange(10**6))],
+        "replaced": lambda w: [x if rng.random() > 0.22 else filler() for x in w],
+        "replaced, one between": lambda w: [y for x in w for y in (x if rng.random() > 0.15 else filler(), filler())],
+        "left out": lambda w: [x for x in w if rng.random() > 0.2],
+        "moved": lambda w: w[len(w) // 5 :] + w[: len(w) // 5],
+    }
+    texts, form = [], []
+    for name, change in forms.items():
+        for w in items:
+            texts.append(" ".join(invented(rng, 50) + change(w) + invented(rng, 50)))
+            form.append(name)
+    texts += [" ".join(invented(rng, 300)) for _ in range(200)]
+    bench = [" ".join(w) for w in items]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in lsi_decontam.leaks(docs, spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")).collect()}
+    want = brute_leaks(texts, bench)
+    assert got <= want
+    for name in forms:
+        mine = {(j, k) for j, k in want if j < len(form) and form[j] == name}
+        assert len(mine) >= 25 and len(got & mine) >= 0.95 * len(mine), (name, len(mine), len(got & mine))
+
+
+def test_clean_judges_each_row(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs far away from here today"
+    schema = "doc_id long, text string, item long"
+    rows = [(None, f"so {item} it was", 1), (None, "a clean text of its own", 2), (None, None, 3), (5, f"{item}", 4), (5, "another clean text", 5), (5, "", 6)]
+    kept = lsi_decontam.clean(spark.createDataFrame(rows, schema), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r["item"] for r in kept.collect()) == [2, 3, 5, 6] and kept.columns == ["doc_id", "text", "item"]
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    rng = random.Random(22)
+    items = [" ".join(invented(rng, 30)) for _ in range(40)]
+    bench = spark.createDataFrame([*enumerate(items), (None, items[0]), (7, items[7])], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"x {t} y") for k, t in enumerate(items)], "doc_id long, text string")
+    seen = lambda: sorted((r["doc_id"], r["item_id"] is None, r["item_id"] or 0) for r in lsi_decontam.leaks(docs, bench).collect())
+    want = sorted([*((k, False, k) for k in range(40)), (0, True, 0), (7, False, 7)])
+    assert seen() == want
+    monkeypatch.setattr(lsi_decontam, "ITEMS_AT_ONCE", 10)
+    assert seen() == want
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
