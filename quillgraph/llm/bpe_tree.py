@@ -10,7 +10,11 @@ neighbours is, and every pair then is one of the left side, the window or the ri
 ``margin`` characters from seam and window's end, so that no added token or contraction lies across. Where nothing
 agrees, the window ends up as the whole run.
 
-Ids of runs inside leaves come from the tokenizers library and are kept in a bounded memo for the worker's life.
+Leaves don't depend on each other, nor do the joins of one level: a task that has several cores (``spark.task.cpus``)
+works on them in as many threads, as the library encodes outside of Python's lock.
+
+Ids of runs inside leaves come from the tokenizers library and are kept in a bounded memo for the worker's life. All this
+rests on what the tokenizer's file says of white space and words; a file that says otherwise is an error.
 
 Defined results: a null text is the empty text (no ids, decoded ""); texts of any length are encoded whole; repeated
 rows give repeated results; null ids are kept; an empty table gives no rows; other columns are ignored.
@@ -19,18 +23,27 @@ rows give repeated results; null ids are kept; an empty table gives no rows; oth
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import common
 
+#: The normalizers that may come before, and the pre-tokenizers, of files under which pieces never match
+#: across white space, which is dropped, and letters are lower-cased. Other files are refused.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLIT = {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+_BYTE_LEVEL = {"add_prefix_space": False, "use_regex": False}
 #: Characters that Python's ``str.split`` takes for white space and the tokenizer doesn't.
 _NO_SPACE = re.compile("[\x1c-\x1f]")
 #: Units end at these in texts that have such characters.
@@ -50,6 +63,20 @@ WINDOW_CHARS = 64
 MEMO_UNITS = 250_000
 
 
+def drops_space(path: str) -> bool:
+    """Whether a tokenizer's file has the parts under which its ids can be made run by run."""
+    with open(path, encoding="utf-8") as f:
+        about = json.load(f)
+    before, cut, model = about.get("normalizer") or {}, about.get("pre_tokenizer") or {}, about.get("model") or {}
+    steps, parts = before.get("normalizers") or [], cut.get("pretokenizers") or []
+    spaces = [n for n in steps if n["type"] == "Replace"]
+    return (
+        [n["type"] for n in steps] == _NORMALIZERS and all(n["pattern"] == {"Regex": "\\s+"} and n["content"] == " " for n in spaces)
+        and len(parts) == 2 and parts[0] == _SPLIT and parts[1]["type"] == "ByteLevel" and all(parts[1][k] == v for k, v in _BYTE_LEVEL.items())
+        and model.get("type") == "BPE" and not model.get("dropout") and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or not t["content"].isascii() or len(t["content"].split()) != 1 for t in about["added_tokens"])
+    )
+
+
 class UnitEncoder(dict):
     """Memo of units' ids: what it doesn't have, it asks the tokenizers library for.
 
@@ -62,6 +89,8 @@ class UnitEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; tasks are the parallel part
         from tokenizers import Tokenizer
 
+        if not drops_space(path):
+            raise ValueError(f"{path}: not a tokenizer whose pieces end at white space and drop it; its ids can't be joined from runs")
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -232,14 +261,23 @@ def _join(text: str, left: _Part, right: _Part, known: UnitEncoder) -> _Part:
     return _Part(run if whole_left else left.head, inner, run if whole_right else right.tail)
 
 
-def tree(text: str, known: UnitEncoder, leaf_chars: int = LEAF_CHARS) -> list:
+def tree(text: str, known: UnitEncoder, leaf_chars: int = LEAF_CHARS, threads: int | None = None) -> list:
     """What ``known`` keeps for the ids of the runs of ``text``, by leaves and a tree of joins."""
     if len(text) <= leaf_chars:
         return list(map(known.__getitem__, split_units(text)))
     plain = _NO_SPACE.search(text) is None
-    parts = [_leaf(text, i, min(i + leaf_chars, len(text)), plain, known) for i in range(0, len(text), leaf_chars)]
-    while len(parts) > 1:
-        parts = [_join(text, parts[i], parts[i + 1], known) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    if threads is None:
+        threads = task.cpus() if (task := TaskContext.get()) else 1
+    pool = ThreadPoolExecutor(threads) if threads > 1 else None
+    each = pool.map if pool else map
+    try:
+        parts = list(each(lambda i: _leaf(text, i, min(i + leaf_chars, len(text)), plain, known), range(0, len(text), leaf_chars)))
+        while len(parts) > 1:
+            odd = [parts.pop()] if len(parts) % 2 else []
+            parts = [*each(lambda a, b: _join(text, a, b, known), parts[::2], parts[1::2]), *odd]
+    finally:
+        if pool:
+            pool.shutdown()
     last = parts[0]
     whole = [known.keep(last.head.ids)] if last.head is not None and last.head is last.tail else None
     if whole is None:

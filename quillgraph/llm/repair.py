@@ -1,16 +1,16 @@
 """Token-id files with Re-Pair grammar compression.
 
-Documents are dealt out by ranges of doc_id, so file after file holds them in ascending order. A file is a row of
-shards, each with a grammar of its own: the pairs of neighbouring symbols that are frequent in the shard become
-nonterminals, round after round, until none is frequent or the symbol space is used up. The end-of-document id takes
-part in no rule, so every document starts at a symbol.
-
-File format, little-endian (``RP01``):
-    shard   symbols (uint16, or uint32 if the vocabulary needs it), rules (two symbols for each nonterminal, in the
-            order of making), expansion lengths (uint32 for each nonterminal),
+Documents are dealt out by ranges of doc_id, so file after file holds them in ascending order; the number of files follows
+the bytes. A file is a row of shards, each with an alphabet and a grammar of its own: the pairs of neighbouring symbols
+that are frequent in the shard become nonterminals, round after round, until none is frequent. The end-of-document id
+takes part in no rule, so every document starts at a symbol.
+
+File format, little-endian (``RP02``):
+    shard   alphabet (uint32 id of each terminal), symbols (uint16, or uint32 where terminals and rules need it), rules
+            (two symbols for each nonterminal, in the order of making), expansion lengths (uint32 for each nonterminal),
             documents (int64 doc_id, uint8 null flag, uint64 first symbol, uint64 first id; each as one array)
-    footer  JSON: vocabulary size, bytes of a symbol, and for each shard its offset, counts and first id
-    tail    uint64 footer length, ``RP01``
+    footer  JSON: vocabulary size, end id, and for each shard its offset, counts, bytes of a symbol and first id
+    tail    uint64 footer length, ``RP02``
 A document is read by a seek to its shard and by expanding its symbols alone; expansion lengths give every position.
 
 Defined results: a null text is the empty text, whose ids are just the end id; rows are written in ascending doc_id,
@@ -25,7 +25,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import count as count_from
 
 import numpy as np
 import pyarrow as pa
@@ -35,78 +34,106 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import bpe_tree, common, files
 
-MAGIC = b"RP01"
+MAGIC = b"RP02"
 SHARD_IDS = 1 << 21
 MIN_COUNT = 16
+MOST_SYMBOLS = 1 << 20
 MEMO_UNITS = 500_000
+#: Bytes of the table (as Spark estimates them) that one file holds, and up to how many files their bounds are literals.
+FILE_BYTES = 1 << 28
+MOST_BOUNDS = 2048
 MANIFEST_SCHEMA = "file string, part int, docs long, ids long"
 
 
 # --- grammar ---------------------------------------------------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, vocab: int, barred: int, rounds: int | None = None, min_count: int = MIN_COUNT, most_symbols: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, vocab: int, barred: int, rounds: int | None = None, min_count: int = MIN_COUNT, most_symbols: int = MOST_SYMBOLS) -> tuple[np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, rules); rule k is the pair that nonterminal ``vocab + k`` stands for.
 
     A round replaces the pairs that occur at least ``min_count`` times, left to right where they overlap; rounds go on
     until no pair is so frequent or all symbols are used (``rounds`` limits them, if given). ``barred`` is in no pair.
+    Pairs are counted exactly, by sorting them together with their places. After the first round only pairs can have
+    become frequent that have a symbol of the last round, or that waited as too many of their places overlapped others.
     """
     bits = max(16, int(most_symbols - 1).bit_length())
-    kind = np.uint32 if bits == 16 else np.uint64
-    seq, rules, held, barred_ = ids.astype(kind), [np.empty((0, 2), dtype=np.int64)], vocab, kind(barred)
-    slots = 1 << 18
-    holder = np.empty(slots, dtype=kind)
-    for turn in count_from() if rounds is None else range(rounds):
-        room = most_symbols - held
-        if room <= 0 or len(seq) < 2:
+    seq, made, held, fresh, waiting, turn = ids.astype(np.uint32), [np.empty((0, 2), dtype=np.int64)], vocab, 0, None, 0
+    while len(seq) > 1 and held < most_symbols and (rounds is None or turn < rounds):
+        if turn == 0:
+            at, key = None, seq[:-1].astype(np.uint64)
+            key <<= np.uint64(bits)
+            key |= seq[1:]
+        else:
+            new = seq >= fresh
+            if waiting is not None:
+                new[:-1] |= waiting[seq[:-1]]
+            at = np.flatnonzero(new[:-1] | (seq[1:] >= fresh))
+            key = seq[at].astype(np.uint64)
+            key <<= np.uint64(bits)
+            key |= seq[at + 1]
+        key, at = _sorted(key, at, bits, len(seq))
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(edge, len(key)))
+        often = np.flatnonzero(count >= min_count)
+        pairs = key[edge[often]].astype(np.int64)
+        a, b = pairs >> bits, pairs & ((1 << bits) - 1)
+        open_ = (a != barred) & (b != barred)
+        often, a, b = often[open_], a[open_], b[open_]
+        if len(often) > most_symbols - held:
+            most = np.sort(np.argsort(-count[often], kind="stable")[: most_symbols - held])
+            often, a, b = often[most], a[most], b[most]
+        if not len(often):
             break
-        key = (seq[:-1] << kind(bits)) | seq[1:]
-        # each pair has a slot, by another hash each round; of pairs in one slot one is counted, the others wait
-        slot = (key * kind(2654435761 + 2 * turn)) >> kind(14) if bits == 16 else (key * kind(0x9E3779B97F4A7C15 + 2 * turn)) >> kind(46)
-        plain = seq != barred_
-        holder[slot] = key
-        own = (holder[slot] == key) & plain[:-1] & plain[1:]
-        count = np.bincount(slot[own], minlength=slots)
-        chosen = np.flatnonzero(count >= min_count)
-        if not len(chosen):
-            # pairs that lost their slot may be as frequent: they get another hash
-            if not len(rest := key[plain[:-1] & plain[1:] & ~own]) or np.unique(rest, return_counts=True)[1].max() < min_count:
-                break
-            continue
-        if len(chosen) > room:
-            chosen = chosen[np.argsort(-count[chosen], kind="stable")[:room]]
-        often = np.zeros(slots, dtype=bool)
-        often[chosen] = True
-        hit = np.flatnonzero(often[slot] & own)
+        size = count[often]
+        label = np.zeros(len(seq), dtype=np.uint32)
+        label[at[ragged(edge[often], size)]] = np.repeat(np.arange(1, len(often) + 1, dtype=np.uint32), size)
+        hit = np.flatnonzero(label)
         hit = hit[_apart(hit)]
+        of = label[hit]
         # a pair that overlaps others may be left with few places: it waits
-        left = np.bincount(slot[hit], minlength=slots)
-        used = np.flatnonzero(left >= 2)
-        if not len(used):
-            break
-        name = np.zeros(slots, dtype=kind)
-        name[used] = np.arange(held, held + len(used))
-        new = name[slot[hit]]
-        hit, new = hit[new > 0], new[new > 0]
+        used = np.bincount(of, minlength=len(often) + 1) >= 2
+        n = int(used.sum())
+        name = np.zeros(len(often) + 1, dtype=np.uint32)
+        name[used] = np.arange(held, held + n)
+        new = name[of]
+        if n < len(often):
+            hit, new = hit[new > 0], new[new > 0]
         seq[hit] = new
         stay = np.ones(len(seq), dtype=bool)
         stay[hit + 1] = False
-        seq = seq[stay]
-        made = holder[used].astype(np.int64)
-        rules.append(np.stack([made >> bits, made & ((1 << bits) - 1)], axis=1))
-        held += len(used)
-    return seq.astype(np.int64), np.concatenate(rules)
+        seq, used, waiting = seq[stay], used[1:], None
+        if n < len(often):
+            waiting = np.zeros(held + n, dtype=bool)
+            waiting[a[~used]] = True
+        made.append(np.stack([a[used], b[used]], axis=1))
+        fresh, held, turn = held, held + n, turn + 1
+        if not n:
+            break
+    return seq.astype(np.int64), np.concatenate(made)
+
+
+def _sorted(key: np.ndarray, at: np.ndarray | None, bits: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pair keys in order, and their places in ascending order among equal keys (all places if ``at`` is None)."""
+    place = 64 - 2 * bits
+    if length > 1 << place:  # no room for the place in the key's word
+        order = np.argsort(key, kind="stable")
+        return key[order], order if at is None else at[order]
+    key <<= np.uint64(place)
+    key |= np.arange(len(key), dtype=np.uint64) if at is None else at.astype(np.uint64)
+    key.sort()
+    at = (key & np.uint64((1 << place) - 1)).astype(np.int64)
+    key >>= np.uint64(place)
+    return key, at
 
 
 def _apart(spots: np.ndarray) -> np.ndarray:
     """Which of the sorted spots (each covers itself and the next place) to take so that none overlap: left to right,
     which in a run of touching ones is every other one."""
-    n = len(spots)
-    fresh = np.ones(n, dtype=bool)
-    fresh[1:] = np.diff(spots) != 1
-    run = np.flatnonzero(fresh)
-    place = np.arange(n, dtype=np.int32) - np.repeat(run.astype(np.int32), np.diff(np.append(run, n)))
-    return (place & 1) == 0
+    at = np.arange(len(spots), dtype=np.int64)
+    first = at.copy()
+    first[1:][spots[1:] - spots[:-1] == 1] = 0
+    at -= np.maximum.accumulate(first)
+    return (at & 1) == 0
 
 
 def levels(rules: np.ndarray, vocab: int) -> Iterator[tuple[int, int]]:
@@ -137,11 +164,11 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, size: np.ndarray, vocab: int) -> np.ndarray:
-    """The ids that ``symbols`` stand for; ``size`` has every symbol's expansion length."""
+def expand(symbols: np.ndarray, rules: np.ndarray, size: np.ndarray, vocab: int, alphabet: np.ndarray | None = None) -> np.ndarray:
+    """The ids that ``symbols`` stand for; ``size`` has every symbol's expansion length, ``alphabet`` the terminals' ids."""
     start = np.cumsum(size) - size
     flat = np.empty(int(size.sum()), dtype=np.uint32)
-    flat[:vocab] = np.arange(vocab)
+    flat[:vocab] = np.arange(vocab) if alphabet is None else alphabet
     for lo, hi in levels(rules, vocab):
         parts = rules[lo:hi].ravel()
         flat[start[vocab + lo] : start[vocab + lo] + int(size[parts].sum())] = flat[ragged(start[parts], size[parts])]
@@ -157,21 +184,23 @@ class Writer:
     def __init__(self, out, vocab: int, end_id: int):
         self.out, self.vocab, self.end_id = out, vocab, end_id
         self.at, self.ids, self.docs, self.shards = 0, 0, 0, []
-        self.symbol = np.dtype("<u2") if vocab <= 1 << 16 else np.dtype("<u4")
-        self.most = 1 << 16 if vocab <= 1 << 16 else 1 << 24
 
     def shard(self, doc_ids: list[int | None], ids: np.ndarray, firsts: np.ndarray) -> None:
         """``ids`` of whole documents; ``firsts`` has where each starts."""
-        symbols, rules = compress(ids, self.vocab, self.end_id, most_symbols=self.most)
-        size = lengths(rules, self.vocab)
+        alphabet = np.flatnonzero(np.bincount(ids, minlength=self.vocab))
+        local = np.zeros(self.vocab, dtype=np.uint32)
+        local[alphabet] = np.arange(len(alphabet))
+        symbols, rules = compress(local[ids], len(alphabet), int(local[self.end_id]))
+        size = lengths(rules, len(alphabet))
         spot = np.cumsum(size[symbols]) - size[symbols]
         first_symbol = np.searchsorted(spot, firsts)
+        symbol = np.dtype("<u2") if len(size) <= 1 << 16 else np.dtype("<u4")
         parts = [
-            symbols.astype(self.symbol), rules.astype(self.symbol), size[self.vocab :].astype("<u4"),
+            alphabet.astype("<u4"), symbols.astype(symbol), rules.astype(symbol), size[len(alphabet) :].astype("<u4"),
             np.array([d or 0 for d in doc_ids], dtype="<i8"), np.array([d is None for d in doc_ids], dtype="u1"),
             first_symbol.astype("<u8"), firsts.astype("<u8"),
         ]
-        self.shards.append({"offset": self.at, "symbols": len(symbols), "rules": len(rules), "docs": len(doc_ids), "ids": len(ids), "first_id": self.ids})
+        self.shards.append({"offset": self.at, "alphabet": len(alphabet), "symbols": len(symbols), "symbol_bytes": symbol.itemsize, "rules": len(rules), "docs": len(doc_ids), "ids": len(ids), "first_id": self.ids})
         for p in parts:
             self.out.write(p.tobytes())
             self.at += p.nbytes
@@ -179,7 +208,7 @@ class Writer:
         self.docs += len(doc_ids)
 
     def close(self) -> None:
-        footer = json.dumps({"vocab": self.vocab, "end_id": self.end_id, "symbol_bytes": self.symbol.itemsize, "shards": self.shards}).encode()
+        footer = json.dumps({"vocab": self.vocab, "end_id": self.end_id, "shards": self.shards}).encode()
         self.out.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
 
 
@@ -196,34 +225,34 @@ class Reader:
         n = int.from_bytes(tail[:8], "little")
         self.f.seek(end - 12 - n)
         self.about = json.loads(self.f.read(n))
-        self.vocab, self.symbol = self.about["vocab"], np.dtype(f"<u{self.about['symbol_bytes']}")
+        self.vocab = self.about["vocab"]
 
     def _arrays(self, s: dict) -> list[np.ndarray]:
         self.f.seek(s["offset"])
-        kinds = [(self.symbol, s["symbols"]), (self.symbol, 2 * s["rules"]), ("<u4", s["rules"]), ("<i8", s["docs"]), ("u1", s["docs"]), ("<u8", s["docs"]), ("<u8", s["docs"])]
+        symbol = f"<u{s['symbol_bytes']}"
+        kinds = [("<u4", s["alphabet"]), (symbol, s["symbols"]), (symbol, 2 * s["rules"]), ("<u4", s["rules"]), ("<i8", s["docs"]), ("u1", s["docs"]), ("<u8", s["docs"]), ("<u8", s["docs"])]
         return [np.frombuffer(self.f.read(np.dtype(k).itemsize * n), dtype=k) for k, n in kinds]
 
     def shard(self, k: int) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         """(doc_ids, all ids, where each document starts) of shard ``k``."""
-        s = self.about["shards"][k]
-        symbols, rules, sizes, docs, null, _, firsts = self._arrays(s)
-        size = np.concatenate([np.ones(self.vocab, dtype=np.int64), sizes.astype(np.int64)])
-        ids = expand(symbols.astype(np.int64), rules.reshape(-1, 2), size, self.vocab)
+        alphabet, symbols, rules, sizes, docs, null, _, firsts = self._arrays(self.about["shards"][k])
+        size = np.concatenate([np.ones(len(alphabet), dtype=np.int64), sizes.astype(np.int64)])
+        ids = expand(symbols.astype(np.int64), rules.reshape(-1, 2), size, len(alphabet), alphabet)
         return [None if z else d for d, z in zip(docs.tolist(), null.tolist())], ids, firsts.astype(np.int64)
 
     def document(self, k: int, place: int) -> np.ndarray:
         """The ids of one document: only its own symbols are expanded."""
         s = self.about["shards"][k]
-        symbols, rules, _, _, _, first_symbol, _ = self._arrays(s)
+        alphabet, symbols, rules, _, _, _, first_symbol, _ = self._arrays(s)
         lo = int(first_symbol[place])
         hi = int(first_symbol[place + 1]) if place + 1 < s["docs"] else s["symbols"]
         out, todo, rules = [], symbols[lo:hi].tolist()[::-1], rules.reshape(-1, 2).tolist()
         while todo:
             x = todo.pop()
-            if x < self.vocab:
-                out.append(x)
+            if x < len(alphabet):
+                out.append(alphabet[x])
             else:
-                a, b = rules[x - self.vocab]
+                a, b = rules[x - len(alphabet)]
                 todo += [b, a]
         return np.array(out, dtype=np.uint32)
 
@@ -271,6 +300,8 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         value = self.older.get(piece)
         if value is None:
+            if len(piece) > bpe_tree.LEAF_CHARS:
+                return b"".join(bpe_tree.tree(piece, self.owner))
             value = self.owner.keep(self.owner._word(piece) if piece.isalpha() else self.owner._whole(piece))
         self[piece] = value
         return value
@@ -341,9 +372,18 @@ def _write(path: str, out_dir: str, end_id: int, shard_ids: int, leaf_chars: int
 
 
 def by_range(rows: DataFrame, key: str) -> DataFrame:
-    """Rows dealt out by ranges of a number, nulls first. The bounds come from a scan of the key alone, which
-    ``repartitionByRange`` would take from whole rows."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Rows dealt out by ranges of a number, nulls first, into at least as many as there are shuffle partitions, and so
+    many that each has about ``FILE_BYTES``.
+
+    The bounds come from a scan of the key alone, which ``repartitionByRange`` would take from whole rows; beyond
+    ``MOST_BOUNDS`` of them they would make too large an expression, and it does the job.
+    """
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if size >= 1 << 60:  # Spark has no estimate
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    if n > MOST_BOUNDS:
+        return rows.repartitionByRange(n, F.col(key).asc_nulls_first())
     bounds = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n) if n > 1 else F.lit(None)).first()[0] or []
     bounds = sorted(set(bounds))
     part = F.coalesce(_searched(key, bounds), F.lit(0))

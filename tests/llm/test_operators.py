@@ -212,6 +212,55 @@ def test_bpe_joins_inside_long_runs(tok):
             assert bpe_tree.encode(t, WORD_BPE, leaf) == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_halves_in_threads(tok):
+    """A megabyte without white space, its leaves and joins in threads: windows stay small, ids are those of the whole."""
+    rng = random.Random(14)
+    t = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz'.,") for _ in range(1_000_000))
+    windows = []
+
+    class Seen(bpe_tree.UnitEncoder):
+        pass
+
+    e, run = Seen(WORD_BPE), bpe_tree._run
+    try:
+        bpe_tree._run = lambda text, lo, hi, known: windows.append(hi - lo) or run(text, lo, hi, known)
+        got = [i for ids in bpe_tree.tree(t, e, 4096, threads=4) for i in ids]
+    finally:
+        bpe_tree._run = run
+    leaves = -(-len(t) // 4096)
+    assert got == tok.encode(t, add_special_tokens=False).ids
+    assert leaves - 1 <= sum(n < 4096 for n in windows) <= 4 * leaves and max(windows) <= 4096  # a window or a few at each join
+
+
+def test_bpe_refuses_other_tokenizers(tmp_path):
+    import json
+
+    with open(WORD_BPE, encoding="utf-8") as f:
+        about = json.load(f)
+    about["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    (tmp_path / "keeps_space.json").write_text(json.dumps(about))
+    with pytest.raises(ValueError, match="white space"):
+        bpe_tree.encode("a b", str(tmp_path / "keeps_space.json"))
+
+
+def test_shards_have_their_own_alphabet(tmp_path):
+    """Symbols take 16 bits though the vocabulary leaves little room, and no frequent pair is left; wide ones where needed."""
+    rng = np.random.default_rng(5)
+    for used, words, n, width in ((300, 400, 120_000, 2), (60_000, 3_000, 400_000, 4)):
+        vocab = 60_010
+        phrases = [rng.integers(2, 2 + used, 6) for _ in range(words)]
+        ids = np.concatenate([phrases[k] for k in rng.integers(0, words, n // 6)] + [np.arange(2, 2 + used), [1]])
+        with open(tmp_path / "f.rp", "wb") as out:
+            w = repair.Writer(out, vocab, 1)
+            w.shard([7], ids, np.array([0]))
+            w.close()
+        r = repair.Reader(f"file://{tmp_path}/f.rp")
+        s = r.about["shards"][0]
+        assert s["symbol_bytes"] == width and (r.shard(0)[1] == ids).all() and (r.document(0, 0) == ids).all()
+        symbols = r._arrays(s)[1]
+        assert max(Counter(zip(symbols[:-1:2].tolist(), symbols[1::2].tolist())).values()) < 16
+
+
 def test_bpe_memo_is_bounded(tok):
     e = bpe_tree.UnitEncoder(WORD_BPE, memo_units=50)
     for k in range(400):
