@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
+from operator import and_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,8 @@ REPO_ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows in one Arrow batch handed to Python; bounds a worker's memory when texts are long.
 ARROW_ROWS = 512
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
+#: A key is heavy if more than one row in so many has it; there are fewer heavy keys than this.
+HEAVY = 1000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -25,9 +29,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The cluster's shared folder (``spark.checkpoint.dir``); a local one where that is unset and all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = LOCAL_CHECKPOINTS
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(root)
@@ -52,6 +59,26 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], heavy: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` left-joined to ``values``, which has at most one row for each of ``keys``.
+
+    ``heavy`` has the rows of ``values`` whose keys are heavy: fewer than ``HEAVY``, so they are broadcast, and the rows that
+    they answer are dealt out by a hash of ``by`` and not by their key. Both tables should be written ones, as they are read twice.
+    """
+    own = [c for c in values.columns if c not in keys]
+    few = heavy.select(*(F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)), F.struct(*own).alias("__hv"))
+    rest = values.select(*(F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)), F.struct(*own).alias("__rv"), F.lit(0).alias("__rs"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = F.col("__hv").isNotNull()
+    marked = rows.join(F.broadcast(few), reduce(and_, (F.col(k) == F.col(f"__h{i}") for i, k in enumerate(keys))), "left")
+    marked = marked.select(
+        *(F.col(f"`{c}`") for c in rows.columns), "__hv", F.when(known, F.pmod(F.xxhash64(*by), F.lit(n)).cast("int") + 1).otherwise(0).alias("__s"),
+        *(F.when(~known, F.col(k)).alias(f"__k{i}") for i, k in enumerate(keys)),
+    )
+    on = reduce(and_, (F.col(f"__k{i}") == F.col(f"__r{i}") for i in range(len(keys)))) & (F.col("__s") == F.col("__rs"))
+    return marked.join(rest, on, "left").select(*(F.col(f"`{c}`") for c in rows.columns), *(F.coalesce(F.col(f"__hv.{c}"), F.col(f"__rv.{c}")).alias(c) for c in own))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

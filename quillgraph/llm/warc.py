@@ -96,9 +96,11 @@ def revisits(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     """pages (id, url, payload) with sha1 and, for those whose payload a row with a larger id has, refers_to."""
     hashed = pages.withColumn("sha1", F.unhex(F.sha1("payload")))
     group = hashed.where(F.length("payload") >= revisit_from).groupBy("sha1").agg(F.max("id").alias("__top"), F.count(F.lit(1)).alias("__n"))
-    group = group.where("__n > 1 AND __top IS NOT NULL").select("sha1", "__top")
+    group = common.stored(group.where("__n > 1 AND __top IS NOT NULL"), common.run_dir(pages.sparkSession, "revisits"))
+    heavy = group.where(F.col("__n") > F.lit(pages.count() // common.HEAVY)).select("sha1", "__top")
     later = F.when(F.length("payload") >= revisit_from, F.when(~F.col("id").eqNullSafe(F.col("__top")), F.col("__top")))
-    return hashed.join(group, "sha1", "left").withColumn("refers_to", later).select("id", "url", "payload", "sha1", "refers_to")
+    named = common.spread_join(hashed, group.select("sha1", "__top"), ["sha1"], heavy, ["id", "url"])
+    return named.withColumn("refers_to", later).select("id", "url", "payload", "sha1", "refers_to")
 
 
 def write_archives(pages: DataFrame, out_dir: str, revisit_from: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
