@@ -1,8 +1,10 @@
 """Token counts with a digest cache.
 
-Counts are kept in a Parquet table under ``(tokenizer_digest, content_digest)``. A request hashes each
-normalised text, groups the digests, anti-joins them to the stored counts, encodes one text for each
-distinct miss and appends those counts; the answer is a join of the narrow ``(row, digest)`` table to the cache.
+Counts are kept in a Parquet table under ``(tokenizer_digest, content_digest)``. A request hashes each normalised text
+once and writes the narrow ``(row, digest)`` table; its distinct digests are anti-joined to the stored counts. Only if
+there are misses are texts grouped, those of the misses alone: few misses (``FEW_MISSES``) are looked up on the scan's
+side, so the other texts are never shuffled. One text for each distinct miss is encoded and its count appended; the
+answer is a join of the narrow table to the cache. A digest that many rows have is not joined by a shuffle.
 
 Defined results: a null text counts as the empty text (0 bytes, the tokenizer's count for ""); repeated rows
 and equal texts get equal counts and are encoded once; null ids are kept; an empty table gives no rows;
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm import common
 
 CACHE_SCHEMA = "tokenizer_digest string, content_digest binary, n_tokens long"
+#: Digests of misses that are broadcast (32 bytes each); more are joined by a shuffle.
+FEW_MISSES = 100_000
 _loaded: dict[str, object] = {}
 
 
@@ -95,21 +99,38 @@ class TokenCountCache:
             kept = self.spark.createDataFrame([], CACHE_SCHEMA)
         return kept.where(F.col("tokenizer_digest") == self.digest).select("content_digest", "n_tokens")
 
-    def fill(self, df: DataFrame, text_col: str) -> None:
+    def digests(self, df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+        """``keep`` columns, n_bytes and the digest __d of each row's normalised text; written once, read often."""
+        text = self.normalise(F.col(text_col))
+        rows = df.select(*keep, F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("__d"))
+        return common.stored(rows, common.run_dir(self.spark, "text-digests"))
+
+    def fill(self, df: DataFrame, text_col: str, rows: DataFrame | None = None) -> None:
         """Encode each distinct text that has no stored count, and append the counts."""
         common.prepare(self.spark)
+        rows = self.digests(df, text_col, []) if rows is None else rows
+        distinct, stored = rows.select("__d").distinct(), self.stored()
+        missing = common.stored(distinct.join(stored, F.col("__d") == F.col("content_digest"), "left_anti"), common.run_dir(self.spark, "misses"))
+        n = missing.count()
+        if not n:
+            return
         text = self.normalise(F.col(text_col))
-        distinct = df.select(text.alias("t")).groupBy(F.unhex(F.sha2("t", 256)).alias("d")).agg(F.first("t").alias("t"))
-        misses = distinct.join(self.stored(), distinct["d"] == F.col("content_digest"), "left_anti")
-        misses.mapInArrow(_encode_misses(self.path, self.digest), CACHE_SCHEMA).write.mode("append").parquet(self.cache_path)
+        texts = df.select(text.alias("t"), F.unhex(F.sha2(text, 256)).alias("d"))
+        if n <= FEW_MISSES:
+            texts = texts.join(F.broadcast(missing), F.col("d") == F.col("__d"), "left_semi")
+        misses = texts.groupBy("d").agg(F.first("t").alias("t"))
+        if n > FEW_MISSES and not stored.isEmpty():
+            misses = misses.join(missing, F.col("d") == F.col("__d"), "left_semi")
+        misses.select("d", "t").mapInArrow(_encode_misses(self.path, self.digest), CACHE_SCHEMA).write.mode("append").parquet(self.cache_path)
 
     def counts(self, df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         """``keep`` columns, ``n_bytes`` and ``n_tokens`` for each row of ``df``; fills the cache first."""
-        self.fill(df, text_col)
-        text = self.normalise(F.col(text_col))
-        rows = df.select(*keep, F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("__digest"))
-        found = self.stored().groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-        return rows.join(found, rows["__digest"] == found["content_digest"], "left").select(*keep, "n_bytes", "n_tokens")
+        rows = self.digests(df, text_col, keep)
+        self.fill(df, text_col, rows)
+        found = self.stored().groupBy(F.col("content_digest").alias("__d")).agg(F.max("n_tokens").alias("n_tokens"))
+        heavy = rows.groupBy("__d").count().where(F.col("count") > F.lit(rows.count() // common.HEAVY)).select("__d")
+        heavy = common.stored(found.join(heavy, "__d", "left_semi"), common.run_dir(self.spark, "heavy-texts"))
+        return common.spread_join(rows, found, ["__d"], heavy, keep).select(*keep, "n_bytes", "n_tokens")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 4096) -> DataFrame:
