@@ -12,6 +12,9 @@ earliest as one. Tied pairs are then verified on their texts.
 Only lines that can have a neighbour emit variants. With one edit between two lines, the half of the shorter line that
 the edit isn't in is whole in both, so each line gives hashed keys of its halves, and lines whose keys no different
 line shares are left out. That set travels as a bit table of fixed size: lines that pass it by chance only cost time.
+Where more than a quarter of the table would be set, it would keep little out; the set is joined by line then.
+
+A line is known by 128 bits of a hash, and so is a variant.
 
 Defined results: words are runs without white space; lines without words (and null or empty texts) are no lines here
 and stay in the text; null doc_ids come first; rows that repeat an earlier row's doc_id and text have the same places,
@@ -21,6 +24,7 @@ so they are equals of each other and get the same result; an empty table gives n
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +39,8 @@ from quillgraph.llm import common
 MIN_WORDS = 5
 #: Words of 64 bits in the bit table of candidate lines: 8 MB, whatever the input.
 TABLE_WORDS = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bases of the two polynomial hashes of variants, odd so that they have inverses modulo 2**64.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def _salt(n: int) -> np.uint64:
@@ -49,6 +53,12 @@ def digest(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.strip().encode("utf-8", "surrogatepass"))
 
 
+def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last 64 bits of each digest, as signed numbers."""
+    both = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def half_keys(words: list[str], min_words: int = MIN_WORDS) -> list[int]:
     """Keys of which two lines within one word edit share at least one.
 
@@ -69,19 +79,25 @@ def _key(side: str, base: int, words: list[str]) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-def variants(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, places): the residual of deleting each word, and the line itself (place -1).
+def variants(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, places, second keys): the residual of deleting each word, and the line itself (place -1).
 
     Keys are polynomial hashes of word hashes modulo 2**64, so all residuals take one pass.
     """
     n = len(words)
-    w = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in words], dtype=np.uint64)
+    first, second = _halves([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in words])
+    a, b = (_residuals(w.view(np.uint64), base) for w, base in zip((first, second), _BASES))
+    return a, np.arange(-1, n, dtype=np.int32), b
+
+
+def _residuals(w: np.ndarray, base: int) -> np.ndarray:
+    n = len(w)
     powers = np.ones(n, dtype=np.uint64)
-    powers[1:] = np.cumprod(np.full(max(n - 1, 0), _BASE, dtype=np.uint64))
+    powers[1:] = np.cumprod(np.full(max(n - 1, 0), np.uint64(base), dtype=np.uint64))
     upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * powers, dtype=np.uint64)])
     whole = upto[-1:]  # as an array: its arithmetic wraps around silently
-    residual = upto[:-1] + (whole - upto[1:]) * _INVERSE + _salt(n - 1)
-    return np.concatenate([whole + _salt(n), residual]).view(np.int64), np.arange(-1, n, dtype=np.int32)
+    residual = upto[:-1] + (whole - upto[1:]) * np.uint64(pow(base, -1, 1 << 64)) + _salt(n - 1)
+    return np.concatenate([whole + _salt(n), residual]).view(np.int64)
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -105,16 +121,19 @@ def _scan(min_words: int):
                         place.append(at)
                         hs.append(digest(line))
                         keys.append(half_keys(words, min_words))
+            x, y = _halves(hs)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(place, pa.int32()), pa.array(hs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "line_no", "h", "keys"]
+                [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(place, pa.int32()), pa.array(x), pa.array(y), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "line_no", "x", "y", "keys"]
             )
 
     return run
 
 
-def _candidates(table: Broadcast, min_words: int):
+def _candidates(table: Broadcast | None, min_words: int):
+    """The lines of at least ``min_words`` words that the bit table has; all such lines without one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(table.value, dtype=np.uint64)
+        bits = np.frombuffer(table.value, dtype=np.uint64) if table else None
         for batch in batches:
             doc, place, hs, lines = [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
@@ -124,12 +143,13 @@ def _candidates(table: Broadcast, min_words: int):
                         place.append(at)
                         hs.append(digest(line))
                         lines.append(line)
-            h = np.frombuffer(b"".join(hs), dtype=">u8")[::2].astype(np.uint64)
-            keep = np.flatnonzero((bits[(h >> np.uint64(6)) % np.uint64(len(bits))] >> (h & np.uint64(63))) & np.uint64(1))
+            x, y = _halves(hs)
+            h = x.view(np.uint64)
+            keep = np.arange(len(h)) if bits is None else np.flatnonzero((bits[(h >> np.uint64(6)) % np.uint64(len(bits))] >> (h & np.uint64(63))) & np.uint64(1))
             keep = np.array([i for i in keep.tolist() if len(lines[i].split()) >= min_words], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(np.array(doc, dtype=np.int64)[keep])), pa.array(np.array(place, dtype=np.int32)[keep]), pa.array([hs[i] for i in keep], pa.binary()), pa.array([lines[i].strip() for i in keep], pa.string())],
-                names=["doc_id", "line_no", "h", "line"],
+                [batch.column(0).take(pa.array(np.array(doc, dtype=np.int64)[keep])), pa.array(np.array(place, dtype=np.int32)[keep]), pa.array(x[keep]), pa.array(y[keep]), pa.array([lines[i].strip() for i in keep], pa.string())],
+                names=["doc_id", "line_no", "x", "y", "line"],
             )
 
     return run
@@ -138,96 +158,101 @@ def _candidates(table: Broadcast, min_words: int):
 def _variant_rows(batches: Iterator[pa.RecordBatch], most: int = 1 << 15) -> Iterator[pa.RecordBatch]:
     """Variants of each line, in batches of bounded size however long the lines are."""
     for batch in batches:
-        keys, places, rows, held = [], [], [], 0
+        parts, rows, held = [], [], 0
         for k, line in enumerate(batch.column("line").to_pylist()):
-            v, at = variants(line.split())
+            v, at, w = variants(line.split())
             for lo in range(0, len(v), most):
-                keys.append(v[lo : lo + most])
-                places.append(at[lo : lo + most])
-                rows.append(np.full(len(keys[-1]), k))
-                held += len(keys[-1])
+                parts.append((v[lo : lo + most], w[lo : lo + most], at[lo : lo + most]))
+                rows.append(np.full(len(parts[-1][0]), k))
+                held += len(rows[-1])
                 if held >= most:
-                    yield _variant_batch(batch, keys, places, rows)
-                    keys, places, rows, held = [], [], [], 0
+                    yield _variant_batch(batch, parts, rows)
+                    parts, rows, held = [], [], 0
         if rows:
-            yield _variant_batch(batch, keys, places, rows)
+            yield _variant_batch(batch, parts, rows)
 
 
-def _variant_batch(batch: pa.RecordBatch, keys: list, places: list, rows: list) -> pa.RecordBatch:
+def _variant_batch(batch: pa.RecordBatch, parts: list, rows: list) -> pa.RecordBatch:
     row = pa.array(np.concatenate(rows))
-    own = [batch.column(c).take(row) for c in ("x", "doc_id", "line_no")]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places)), *own], names=["v", "at", "x", "doc_id", "line_no"])
+    own = [batch.column(c).take(row) for c in ("x", "y", "doc_id", "line_no")]
+    return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(p)) for p in zip(*parts)), *own], names=["v", "w", "at", "x", "y", "doc_id", "line_no"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("line").to_pylist(), batch.column("line2").to_pylist()
-        yield batch.select(["x", "first", "x2", "first2"]).filter(pa.array([within_one(x.split(), y.split()) for x, y in zip(a, b)], pa.bool_()))
+        yield batch.select(["x", "y", "first", "x2", "y2", "first2"]).filter(pa.array([within_one(x.split(), y.split()) for x, y in zip(a, b)], pa.bool_()))
 
 
 def scan_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every line with a word: doc_id, line_no, its digest h and the keys of its halves; written once, read often."""
+    """Every line with a word: doc_id, line_no, the two halves x and y of its digest, and the keys of its halves; written
+    once, read often."""
     common.prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scan(min_words), f"doc_id {kind}, line_no int, h binary, keys array<long>")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scan(min_words), f"doc_id {kind}, line_no int, x long, y long, keys array<long>")
     return common.stored(found, common.run_dir(docs.sparkSession, "lines"))
 
 
-def near_ties(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Verified ties between different lines within one word edit: x, first and x2, first2 (a line's ``line_number``
-    and the earliest place that it has)."""
+def near_ties(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS, table_words: int = TABLE_WORDS) -> DataFrame:
+    """Verified ties between different lines within one word edit: x, y, first and x2, y2, first2 (a line's digest and
+    the earliest place that it has)."""
     spark = docs.sparkSession
     base = common.run_dir(spark, "line-variants")
-    keyed = lines.select(line_number().alias("x"), F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("key")
-    maybe = keyed.join(shared, "key", "left_semi")
+    keyed = lines.select("x", "y", F.explode("keys").alias("key"))
+    ends = keyed.groupBy("key").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
+    shared = ends.where("a <> b OR c <> d").select("key")
+    maybe = common.stored(keyed.join(shared, "key", "left_semi").groupBy("x", "y").count().select("x", "y"), f"{base}/maybe")
     # a place in the bit table for each of these lines
-    spots = maybe.select(F.expr(f"shiftrightunsigned(x, 6) % {TABLE_WORDS}").alias("word"), F.expr("shiftleft(1L, cast(x & 63 AS int))").alias("bit"))
-    filled = spots.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most TABLE_WORDS rows
-    table = np.zeros(TABLE_WORDS, dtype=np.int64)
+    spots = maybe.select(F.expr(f"shiftrightunsigned(x, 6) % {table_words}").alias("word"), F.expr("shiftleft(1L, cast(x & 63 AS int))").alias("bit"))
+    filled = spots.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most table_words rows
+    table = np.zeros(table_words, dtype=np.int64)
     table[filled.column("word").to_numpy()] = filled.column("bits").to_numpy()
-    held = spark.sparkContext.broadcast(table.tobytes())
+    roomy = int(np.bitwise_count(table.view(np.uint64)).sum()) <= 16 * table_words
+    held = spark.sparkContext.broadcast(table.tobytes()) if roomy else None
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_candidates(held, min_words), f"doc_id {kind}, line_no int, h binary, line string")
-    distinct = found.groupBy(line_number().alias("x")).agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.first("line").alias("line"))
-    distinct = common.stored(distinct.select("x", "f.doc_id", "f.line_no", "line"), base)
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_candidates(held, min_words), f"doc_id {kind}, line_no int, x long, y long, line string")
+    distinct = found.groupBy("x", "y").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.first("line").alias("line"))
+    if not roomy:
+        distinct = distinct.join(maybe, ["x", "y"], "left_semi")
+    distinct = common.stored(distinct.select("x", "y", "f.doc_id", "f.line_no", "line"), f"{base}/distinct")
     # made anew for each use: cheaper than a table of them, as only lines with a neighbour are here
-    rows = distinct.mapInArrow(_variant_rows, f"v long, at int, x long, doc_id {kind}, line_no int")
-    group = rows.groupBy("v", "at").agg(F.min(F.struct("doc_id", "line_no", "x")).alias("m"), F.count(F.lit(1)).alias("n"))
-    one = group.where("at = -1").select("v", F.col("m.x").alias("x2"))
-    many = group.where("at >= 0 AND n > 1").select("v", "at", F.col("m.x").alias("x2"))
-    gaps = rows.where("at >= 0").select("v", "at", "x")
-    ties = gaps.join(many, ["v", "at"]).select("x", "x2").unionByName(gaps.join(one, "v").select("x", "x2"))
-    ties = ties.where("x <> x2").distinct()
-    text = distinct.select("x", F.struct("doc_id", "line_no").alias("first"), "line")
-    other = text.select(F.col("x").alias("x2"), F.col("first").alias("first2"), F.col("line").alias("line2"))
-    both = ties.join(text, "x").join(other, "x2").select("x", "first", "line", "x2", "first2", "line2")
+    rows = distinct.mapInArrow(_variant_rows, f"v long, w long, at int, x long, y long, doc_id {kind}, line_no int")
+    group = rows.groupBy("v", "w", "at").agg(F.min(F.struct("doc_id", "line_no", "x", "y")).alias("m"), F.count(F.lit(1)).alias("n"))
+    other = [F.col("m.x").alias("x2"), F.col("m.y").alias("y2")]
+    one = group.where("at = -1").select("v", "w", *other)
+    many = group.where("at >= 0 AND n > 1").select("v", "w", "at", *other)
+    gaps, both = rows.where("at >= 0").select("v", "w", "at", "x", "y"), ["x", "y", "x2", "y2"]
+    ties = gaps.join(many, ["v", "w", "at"]).select(*both).unionByName(gaps.join(one, ["v", "w"]).select(*both))
+    ties = ties.where("x <> x2 OR y <> y2").distinct()
+    text = distinct.select("x", "y", F.struct("doc_id", "line_no").alias("first"), "line")
+    other = text.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("first").alias("first2"), F.col("line").alias("line2"))
+    both = ties.join(text, ["x", "y"]).join(other, ["x2", "y2"]).select("x", "y", "first", "line", "x2", "y2", "first2", "line2")
     place = f"struct<doc_id: {kind}, line_no: int>"
-    return both.mapInArrow(_verify, f"x long, first {place}, x2 long, first2 {place}")
-
-
-def line_number():
-    """A line's number: the first 8 bytes of its digest ``h``."""
-    return F.conv(F.hex(F.substring("h", 1, 8)), 16, -10).cast("long")
+    return both.mapInArrow(_verify, f"x long, y long, first {place}, x2 long, y2 long, first2 {place}")
 
 
-def line_duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_duplicates(docs: DataFrame, min_words: int = MIN_WORDS, table_words: int = TABLE_WORDS) -> DataFrame:
     """For every line with a word: doc_id, line_no, ``kind`` (kept, exact, near), and the earlier line it repeats.
 
-    Of a near line's earlier neighbours the earliest verified one is named. ``__h`` is the line's digest.
+    Of a near line's earlier neighbours the earliest verified one is named. ``__x`` and ``__y`` are the line's digest.
     """
     lines = scan_lines(docs, min_words)
-    ties = near_ties(docs, lines, min_words)
+    ties = near_ties(docs, lines, min_words, table_words)
     later = F.col("first") > F.col("first2")
-    ends = ties.select(F.when(later, F.col("x")).otherwise(F.col("x2")).alias("x"), F.least("first", "first2").alias("of"))
-    near = ends.groupBy("x").agg(F.min("of").alias("near"))
-    firsts = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).withColumn("x", line_number())
-    firsts = firsts.join(near, "x", "left").select("h", "first", "near")
+    pick = lambda a, b: F.when(later, F.col(a)).otherwise(F.col(b)).alias(a)
+    ends = ties.select(pick("x", "x2"), pick("y", "y2"), F.least("first", "first2").alias("of"))
+    near = ends.groupBy("x", "y").agg(F.min("of").alias("near"))
+    firsts = lines.groupBy("x", "y").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = common.stored(firsts.join(near, ["x", "y"], "left"), common.run_dir(docs.sparkSession, "line-firsts"))
+    heavy = firsts.where(F.col("n") > F.lit(lines.count() // common.HEAVY)).drop("n")
     place = F.struct("doc_id", "line_no")
-    known = lines.select("doc_id", "line_no", "h").join(firsts, "h")
+    known = common.spread_join(lines.select("doc_id", "line_no", "x", "y"), firsts.drop("n"), ["x", "y"], heavy, ["doc_id", "line_no"])
     kind = F.when(~place.eqNullSafe(F.col("first")), "exact").when(F.col("near").isNotNull(), "near").otherwise("kept")
     of = F.when(~place.eqNullSafe(F.col("first")), F.col("first")).otherwise(F.col("near"))
-    return known.select("doc_id", "line_no", kind.alias("kind"), of["doc_id"].alias("of_doc_id"), of["line_no"].alias("of_line_no"), F.col("h").alias("__h"))
+    return known.select("doc_id", "line_no", kind.alias("kind"), of["doc_id"].alias("of_doc_id"), of["line_no"].alias("of_line_no"), F.col("x").alias("__x"), F.col("y").alias("__y"))
+
+
+_PAIR = struct.Struct(">qq")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +263,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text is not None and gone:
                 places: dict[int, set[bytes]] = {}
                 for g in gone:
-                    places.setdefault(g["line_no"], set()).add(g["h"])
+                    places.setdefault(g["line_no"], set()).add(_PAIR.pack(g["x"], g["y"]))
                 # the digest tells apart rows that share a doc_id
                 text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in places or digest(x) not in places[k])
             out.append(text)
@@ -249,7 +274,7 @@ def without_duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     """``docs`` without the lines that repeat earlier ones; ``n_chars``, if there, is counted again."""
     gone = line_duplicates(docs, min_words).where("kind <> 'kept'")
     # the same place and line several times only if rows repeat
-    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", F.col("__h").alias("h"))).alias("__gone"))
+    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", F.col("__x").alias("x"), F.col("__y").alias("y"))).alias("__gone"))
     gone = gone.withColumnRenamed("doc_id", "__id")
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left").select(*[docs[f"`{c}`"] for c in docs.columns], "__gone")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -12,44 +12,54 @@ from quillgraph.llm.common import prepare, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages as single gzip streams, normalised to a member for each record, and read back."""
     return warc.archive_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents through a digest cache."""
     prepare(spark)
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents with a grammar for each shard, read back."""
     return repair.id_files(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op4_lsi_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
     return lsi_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of all documents, by leaves and joins."""
     prepare(spark)
     return bpe_tree.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from document labels."""
     return toxicity_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_duplicates(table(spark, sf_dir, "documents")).drop("__h")
+    """Every line of all documents, and the earlier line that it repeats but for a word."""
+    return line_dedup.line_duplicates(table(spark, sf_dir, "documents")).drop("__x", "__y")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents by cross-parsing."""
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
 def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents from rules that vote or abstain."""
     return weak_quality.weak_quality(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components that they link into."""
     prepare(spark)
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
 
