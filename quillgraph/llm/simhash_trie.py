@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import common
@@ -217,7 +217,7 @@ def links(distinct: DataFrame, budget: int = 2, split_over: int = SPLIT_OVER) ->
     sizes = rows.groupBy("r", "block").count().where("count > 1")
     # groups of one have no link; of the others the large are dealt out by node pairs further down
     rows = rows.join(sizes, ["r", "block"]).withColumn(
-        "width", F.when(F.col("count") > split_over, F.least(F.lit(12), F.ceil(F.log2(F.col("count") / split_over)).cast("int") + 3)).otherwise(F.lit(0))
+        "width", F.when(F.col("count") > split_over, F.least(F.lit(30), F.ceil(F.log2(F.col("count") / split_over)).cast("int") + 3)).otherwise(F.lit(0))
     )
     s = F.col("shift")
     turned = F.when(s == 0, F.col("fp")).otherwise(F.expr("shiftrightunsigned(fp, shift) | shiftleft(fp, 64 - shift)"))
@@ -235,16 +235,48 @@ def links(distinct: DataFrame, budget: int = 2, split_over: int = SPLIT_OVER) ->
     return dealt.repartition(*group).sortWithinPartitions(*group, "side", F.expr("fp < 0"), "fp").mapInArrow(_group_links(budget), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links) of each row."""
+def _groups(marked: DataFrame, value: Column, budget: int) -> DataFrame:
+    """For each distinct fingerprint of ``marked``: fp, n (its rows) and ``least``, the least ``value`` of all rows that
+    its links reach."""
     if budget > 2:
         raise ValueError("groups are dealt out for budgets of up to 2 bits")
+    spark = marked.sparkSession
+    base = common.run_dir(spark, "simhash-groups")
+    own = common.stored(marked.groupBy("fp").agg(F.min(value).alias("least"), F.count(F.lit(1)).alias("n")), f"{base}/own")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # rows of two numbers
+    try:
+        found = components(links(own.select("fp"), budget))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    of = own.join(found, own["fp"] == found["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    of = common.stored(of, f"{base}/of")
+    tied = common.stored(of.groupBy("root").agg(F.min("least").alias("__least"), F.count(F.lit(1)).alias("__m")), f"{base}/tied")
+    heavy = tied.where(F.col("__m") > F.lit(of.count() // common.HEAVY)).select("root", "__least")
+    return common.spread_join(of, tied.select("root", "__least"), ["root"], heavy, ["fp"]).select("fp", "n", F.col("__least").alias("least"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links) of each row."""
     spark = docs.sparkSession
     marked = common.stored(fingerprints(docs, words), common.run_dir(spark, "simhash"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(least.select("fp"), budget))
-    of = least.join(found, least["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    tied = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(tied, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = common.stored(_groups(marked, F.col("doc_id"), budget), common.run_dir(spark, "simhash-named"))
+    heavy = named.where(F.col("n") > F.lit(marked.count() // common.HEAVY)).select("fp", "least")
+    out = common.spread_join(marked, named.select("fp", "least"), ["fp"], heavy, ["doc_id"])
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that with the smallest doc_id.
+
+    A row without an id is kept only if its whole group has none; of rows that share the smallest id, that with the
+    smallest hash of its text, and of equal rows one. Rows are told apart by numbers that are written with them.
+    """
+    spark = docs.sparkSession
+    base = common.run_dir(spark, "one-of-each")
+    numbered = common.stored(docs.withColumn("__row", F.monotonically_increasing_id()), f"{base}/rows")
+    # the rows' numbers take the place of ids
+    marked = fingerprints(numbered.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), F.col("__row").alias("row")).alias("doc_id"), "text"), words)
+    named = _groups(common.stored(marked, f"{base}/marked"), F.col("doc_id"), budget)
+    kept = named.select(F.col("least.row").alias("__row")).distinct()
+    return numbered.join(kept, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
