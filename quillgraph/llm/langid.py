@@ -1,7 +1,9 @@
 """Language identification by cross-parsing entropy.
 
-For each language a bounded sample of labelled text becomes a suffix automaton. A text is parsed greedily against each:
-a phrase is the longest match from where the last one ended. A language that explains a text well needs few phrases;
+For each language a bounded sample of labelled text becomes a suffix automaton: at most ``SAMPLE_DOCS`` documents, and of
+their whole texts pieces from all over, ``REFERENCE_CHARS`` characters together. A text is parsed greedily against each:
+a phrase is the longest match from where the last one ended; a character that the reference lacks ends a phrase, and the
+next one starts after it. A language that explains a text well needs few phrases;
 phrases are normalised to bits a character, ``phrases * log2(reference length) / characters``, and the lowest wins.
 
 The greedy parse is a walk through the automaton that starts again at its root where no transition goes on, so it is one
@@ -30,18 +32,32 @@ from quillgraph.llm import common
 SAMPLE_DOCS = 128
 REFERENCE_CHARS = 24_576
 PIECE = 512
+#: More values of lang than this are an error.
+MOST_LANGS = 10_000
 BLOCK = 1024
 #: Letters of a language up to which its automaton is a full table; with more, its transitions are looked up by key.
 DENSE = 96
 SHARPNESS = 8.0
 
 
-def sample(docs: DataFrame, learn: Column, per_lang: int = SAMPLE_DOCS, most_chars: int = REFERENCE_CHARS) -> dict[str, list[str]]:
-    """Texts to learn from: of each non-null lang the ``per_lang`` rows with the smallest hash of their id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    # a reference has no use for more of one text; Spark limits the groups before the shuffle
-    few = rows.withColumn("text", F.substring("text", 1, most_chars)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
+def sample(docs: DataFrame, learn: Column, per_lang: int = SAMPLE_DOCS, most_chars: int = REFERENCE_CHARS, piece: int = PIECE) -> dict[str, list[str]]:
+    """Texts to learn from: of each non-null lang the ``per_lang`` distinct rows with the smallest hash of id and text.
+
+    A longer text is as many pieces of it, spread evenly, as a reference can hold.
+    """
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"), "text")
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LANGS + 1).collect()  # a row for each language
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"lang has more than {MOST_LANGS} values: these are no languages")
+    if not sizes:
+        return {}
+    # so that what is ranked doesn't grow with the input: a hash below that of about eight times as many rows
+    below = [(r["lang"], min((1 << 63) - 1, int(min(1.0, 8 * per_lang / max(r["n"], 1)) * (1 << 64)) - (1 << 63))) for r in sizes]
+    limits = docs.sparkSession.createDataFrame(below, "lang string, below long")
+    n = max(2, -(-most_chars // piece))
+    spread = F.expr(f"array_join(transform(sequence(0, {n - 1}), i -> substring(text, cast(1 + cast(i AS bigint) * (length(text) - {piece}) div {n - 1} AS int), {piece})), ' ')")
+    near = rows.join(F.broadcast(limits), "lang").where("h <= below").withColumn("text", F.when(F.length("text") <= most_chars, F.col("text")).otherwise(spread))
+    few = near.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_lang)
     out: dict[str, list[tuple]] = {}
     for r in few.toArrow().to_pylist():
         out.setdefault(r["lang"], []).append((r["k"], r["text"]))
@@ -54,13 +70,16 @@ def _plain(text: str) -> str:
 
 
 def references(texts: dict[str, list[str]], chars: int = REFERENCE_CHARS, piece: int = PIECE) -> dict[str, str]:
-    """One reference of at most ``chars`` for each language: pieces of its texts in turn."""
+    """One reference of at most ``chars`` for each language: a piece of each of its texts in turn, of the first text its
+    first, of the second its second and so on, then the pieces after them."""
     out = {}
     for lang, all_ in texts.items():
         plain, got, size, k = [_plain(t) for t in all_], [], 0, 0
         while size < chars and any(len(p) > k * piece for p in plain):
-            for p in plain:
-                part = p[k * piece : (k + 1) * piece]
+            for j, p in enumerate(plain):
+                n = -(-len(p) // piece)
+                at = (j + k) % n * piece if k < n else len(p)
+                part = p[at : at + piece]
                 if part and size < chars:
                     got.append(part[: chars - size])
                     size += len(got[-1]) + 1
@@ -146,11 +165,13 @@ class Model:
             for i, moves in enumerate(auto):
                 for c, s in moves.items():
                     t[i, c] = (at + s * width) * 2
-            tables.append(t.astype(np.int32).ravel())
+            tables.append(t.ravel())
             self.dense.append(k)
             self.roots.append(at)
             at += t.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        # entries are up to twice the table's size
+        kind = np.int32 if 2 * at < 1 << 31 else np.int64
+        self.table = np.concatenate([t.astype(kind) for t in tables]) if tables else np.zeros(0, kind)
 
     def rates(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(bits a character of each text in each language, letters in each text)."""
@@ -179,7 +200,7 @@ class Model:
         steps = int(long[0]) if len(long) else 0
         if self.dense:
             own, some = self.own[self.dense][:, codes], np.zeros((len(self.dense), len(of)), dtype=np.int64)
-            state = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], len(of), axis=1)
+            state = np.repeat(np.array(self.roots, dtype=self.table.dtype)[:, None], len(of), axis=1)
             for j in range(steps):
                 m = live[j]
                 v = self.table[state[:, :m] + own[:, lo[:m] + j]]
