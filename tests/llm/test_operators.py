@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe_tree, components, langid, line_dedup, lsi_decontam, repair, simhash_trie, token_count, toxicity_mil, warc, weak_quality
+from quillgraph.llm import bpe_tree, common, components, langid, line_dedup, lsi_decontam, repair, simhash_trie, token_count, toxicity_mil, warc, weak_quality
 
 WORD_BPE, PIECE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Extra columns that clash with names used inside the operators.
@@ -441,6 +441,32 @@ def test_toxicity(spark, docs, empty):
     assert len(flat) <= 9 and all(r["score"] < 0.3 for r in flat)  # nothing to learn from
 
 
+def test_noisy_or_by_hand():
+    m = toxicity_mil.Model({"bad": 2.0, "awfu*": 1.5, "awful": 0.5}, -3.0)
+    text = "A bad thing. It is awfully awful! Nothing here.\nBad, bad day?"
+    logits = [-3 + 2, -3 + 1.5 + 1.5 + 0.5, -3, -3 + 2]
+    p = [1 / (1 + np.exp(-z)) for z in logits]
+    score, place, worst = m.score([text, None, "  "])
+    assert np.isclose(score[0], 1 - np.prod([1 - x for x in p])) and place[0] == 1 and np.isclose(worst[0], p[1])
+    assert np.allclose(score[1:], 1 / (1 + np.exp(3)))
+    index = {"bad": 0, "awful": 1, "awfu*": 2}
+    assert toxicity_mil.bag(text, index) == (1, [1, 3, 1], [0, 1, 2, 2, 0])
+    assert toxicity_mil.counted([(text, 1), ("bad", 0)])[0]["bad"] == 2
+
+
+def test_toxic_word_at_the_end_of_a_long_text(spark):
+    """Whole texts are learned from, and a document that counts as toxic has a span."""
+    rng = random.Random(3)
+    said = lambda n: " ".join(rng.choice("tree river stone cloud green walk".split()) for _ in range(n)) + ". "
+    rows = [(k, "".join(said(9) for _ in range(1200)) + ("what a scumbag you are." if k % 4 == 0 else "")) for k in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity_mil.classify(d, spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(80)], "doc_id long, toxic int")).collect()
+    assert min(len(t) for _, t in rows) > 50_000 and all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in got)
+    assert all((r["worst_start"] is not None) == bool(r["predicted"]) for r in got)
+    text = dict(rows)
+    assert all("scumbag" in text[r["doc_id"]][r["worst_start"] : r["worst_end"]] for r in got if r["predicted"])
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -519,6 +545,13 @@ def test_variants_share_a_key_if_and_only_if_near():
             assert set(line_dedup.half_keys(a)) & set(line_dedup.half_keys(b))
 
 
+def test_line_candidates_without_a_bit_table(spark):
+    rng = random.Random(14)
+    rows = [(d, "\n".join(" ".join(rng.choice("abc") for _ in range(rng.randrange(3, 8))) for _ in range(8))) for d in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got_lines(line_dedup.line_duplicates(df, table_words=1)) == brute_lines(rows)  # 64 bits fill up at once
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -560,6 +593,47 @@ def test_cross_parsing_is_greedy_longest_match():
             assert abs(rates[0, k] * len(shown) / m.bits[k] - n) <= 1 + sum(c not in refs[lang] for c in shown)
 
 
+def test_cross_parsing_counts_are_exact():
+    """Phrases, by searching the reference text: a match goes on while it is somewhere in the reference."""
+    refs = {"a": "the cat sat on the mat and the cat ran", "b": "".join(map(chr, range(0x4E00, 0x4E00 + 200))) * 2, "c": "le chat est sur le tapis et le chien dort"}
+    m = langid.Model(refs)
+    assert sorted(m.sparse) == [1]
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("the catsonmdrlpuxz\u4e00\u4e01\u4e02\u4e05жé ") for _ in range(rng.randrange(1, 200))) for _ in range(300)]
+    rates, letters = m.rates(texts)
+    for t, rate, n_letters in zip(texts, rates, letters):
+        shown = "".join(c if c.isalpha() else " " for c in t.lower())
+        shown = " ".join(shown.split()) + (" " if shown.strip() and shown.endswith(" ") else "")
+        assert n_letters == sum(c.isalpha() for c in t)
+        for k, lang in enumerate(m.langs):
+            phrases, match = 1, ""
+            for c in shown:
+                if match + c in refs[lang]:
+                    match += c
+                else:
+                    phrases += 1
+                    match = c if c in refs[lang] else ""
+            if shown:
+                assert round(rate[k] * len(shown) / m.bits[k], 6) == phrases, (t, lang)
+
+
+def test_languages_with_disjoint_large_alphabets(spark):
+    rng = random.Random(7)
+    letters = {"one": [chr(0x4E00 + k) for k in range(1500)], "two": [chr(0x6000 + k) for k in range(1500)]}
+    rows = [(k, "".join(rng.choice(letters[lang]) for _ in range(120)), lang) for k, lang in enumerate(["one", "two"] * 150)]
+    got = langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r["lang_pred"] == rows[r["doc_id"]][2] for r in got)
+
+
+def test_references_come_from_all_over_the_texts(spark):
+    texts = {"x": ["".join(chr(97 + k % 26) * 512 for k in range(j, j + 10)) for j in range(40)]}
+    ref = langid.references(texts, chars=10 * 513)["x"]
+    assert len(set(ref)) > 8
+    long = spark.createDataFrame([(1, "a" * 100_000 + "b" * 100_000 + "c" * 100_000, "x")] * 3, "doc_id long, text string, lang string")
+    (got,) = langid.sample(long, F.lit(True))["x"]
+    assert set(got) == set("abc ") and len(got) <= 1.1 * langid.REFERENCE_CHARS
+
+
 def test_languages_of_many_scripts():
     """Rarer scripts are told apart, also one of many letters, and a script that no reference has fits none."""
     rng = random.Random(2)
@@ -691,3 +765,43 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def test_one_row_of_each_group(spark):
+    a, b = "one two three four five six seven eight nine ten", "a wholly different text with other words in it today"
+    rows = [(5, a, 1), (3, a, 2), (None, a, 3), (3, b, 4), (3, b, 5), (None, "x y", 6), (None, "x y", 7), (9, None, 8), (None, "", 9), (8, "  ", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item long").withColumn("fp", F.lit(1)).withColumn("least", F.lit(2))
+    kept = simhash_trie.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted((r["doc_id"], r["item"]) for r in kept.collect() if r["doc_id"] is not None)
+    assert [d for d, _ in got] == [3, 3, 8] and {i for _, i in got} & {4, 5} and {2, 10} < {i for _, i in got}
+    assert len([1 for r in kept.collect() if r["doc_id"] is None]) == 1 and simhash_trie.one_of_each(df.limit(0)).count() == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "512"  # as before
+
+
+def test_heavy_keys_join_without_their_partition(spark):
+    rows = spark.createDataFrame([(k, 7 if k % 3 else k) for k in range(3000)], "i long, k long")
+    values = spark.createDataFrame([(k, f"v{k}") for k in range(0, 3000, 2)] + [(7, "v7")], "k long, v string")
+    got = common.spread_join(rows, values, ["k"], values.where("k = 7"), ["i"])
+    assert {(r["i"], r["k"], r["v"]) for r in got.collect()} == {(k, j, f"v{j}" if j == 7 or j % 2 == 0 else None) for k in range(3000) for j in [7 if k % 3 else k]}
+
+
+def test_token_cache_shuffles_no_text_when_warm(spark, docs, tmp_path):
+    cache = token_count.TokenCountCache(spark, WORD_BPE, str(tmp_path / "c"))
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD_BPE)
+    for few in (0, 10**6):  # the first as if there were too many misses to broadcast
+        token_count.FEW_MISSES, kept = few, token_count.FEW_MISSES
+        try:
+            more = docs.select("doc_id", F.concat_ws(" ", "text", F.lit(f"and {few}")).alias("text"))
+            before = cache.stored().count()
+            for df in (docs, more):
+                got = by_id(cache.counts(df.select("doc_id", "text"), "text", ["doc_id"]).collect())
+                assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(i, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in texts_of(df)]
+            after = cache.stored().count()
+            assert after > before
+            cache.fill(docs.select("text"), "text")
+            assert cache.stored().count() == after  # warm: nothing is encoded
+        finally:
+            token_count.FEW_MISSES = kept

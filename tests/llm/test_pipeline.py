@@ -54,3 +54,13 @@ def test_language_id_keeps_short_texts(spark):
     long = spark.createDataFrame([(20, " ".join(f"w{i}ab cd{i}" for i in range(2000)), "en")], docs.schema)  # a longer reference
     kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(long), "").collect()}
     assert {0, 10, 11, 12} <= kept and not {13, 14} & kept
+
+
+def test_stages_judge_rows_and_not_ids(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    clean = "the garden was quiet and nobody had seen the grey cat since the early morning of that day"
+    rows = [(None, f"Once {item} again", 1), (None, clean, 2), (4, item, 3), (4, clean + " or so they said to us", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra long")
+    assert sorted(r["extra"] for r in corpus_pipeline.decontaminate(spark, docs, sf_dir).collect()) == [2, 4]
+    copies = spark.createDataFrame([(None, clean, 1), (2, clean, 2), (None, "another text without an id that is kept as it is", 3), (2, "one more text", 4)], docs.schema)
+    assert sorted(r["extra"] for r in corpus_pipeline.dedup_documents(spark, copies, sf_dir).collect()) == [2, 3, 4]
