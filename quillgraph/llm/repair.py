@@ -84,11 +84,11 @@ def compress(ids: np.ndarray, vocab: int, barred: int, rounds: int | None = None
             often, a, b = often[most], a[most], b[most]
         if not len(often):
             break
-        size = count[often]
+        own = np.zeros(len(edge), dtype=np.uint32)
+        own[often] = np.arange(1, len(often) + 1)
         label = np.zeros(len(seq), dtype=np.uint32)
-        label[at[ragged(edge[often], size)]] = np.repeat(np.arange(1, len(often) + 1, dtype=np.uint32), size)
-        hit = np.flatnonzero(label)
-        hit = hit[_apart(hit)]
+        label[at] = np.repeat(own, count)
+        hit = _apart(label)
         of = label[hit]
         # a pair that overlaps others may be left with few places: it waits
         used = np.bincount(of, minlength=len(often) + 1) >= 2
@@ -126,14 +126,17 @@ def _sorted(key: np.ndarray, at: np.ndarray | None, bits: int, length: int) -> t
     return key, at
 
 
-def _apart(spots: np.ndarray) -> np.ndarray:
-    """Which of the sorted spots (each covers itself and the next place) to take so that none overlap: left to right,
-    which in a run of touching ones is every other one."""
-    at = np.arange(len(spots), dtype=np.int64)
-    first = at.copy()
-    first[1:][spots[1:] - spots[:-1] == 1] = 0
-    at -= np.maximum.accumulate(first)
-    return (at & 1) == 0
+def _apart(label: np.ndarray) -> np.ndarray:
+    """Places with a label (each covers itself and the next place, the last has none) to take so that none overlap: left
+    to right, which in a run of touching ones is every other one."""
+    spots = np.flatnonzero(label)
+    kind = np.int32 if len(label) < 1 << 31 else np.int64
+    at = spots.astype(kind)
+    first = np.where(label[spots - 1] == 0, at, kind(0))
+    np.maximum.accumulate(first, out=first)
+    at -= first
+    at &= 1
+    return spots[at == 0]
 
 
 def levels(rules: np.ndarray, vocab: int) -> Iterator[tuple[int, int]]:
