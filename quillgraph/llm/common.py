@@ -67,15 +67,15 @@ def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], heavy: Data
     """
     own = [c for c in values.columns if c not in keys]
     few = heavy.select(*(F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)), F.struct(*own).alias("__hv"))
-    rest = values.select(*(F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)), F.struct(*own).alias("__rv"), F.lit(0).alias("__rs"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = values.select(*(F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)), F.struct(*own).alias("__rv"), F.xxhash64(*keys).alias("__rh"))
     known = F.col("__hv").isNotNull()
     marked = rows.join(F.broadcast(few), reduce(and_, (F.col(k) == F.col(f"__h{i}") for i, k in enumerate(keys))), "left")
+    # the hash is a join key as well: for answered rows it is one of their own, and their key is null
     marked = marked.select(
-        *(F.col(f"`{c}`") for c in rows.columns), "__hv", F.when(known, F.pmod(F.xxhash64(*by), F.lit(n)).cast("int") + 1).otherwise(0).alias("__s"),
+        *(F.col(f"`{c}`") for c in rows.columns), "__hv", F.when(known, F.xxhash64(*by)).otherwise(F.xxhash64(*keys)).alias("__lh"),
         *(F.when(~known, F.col(k)).alias(f"__k{i}") for i, k in enumerate(keys)),
     )
-    on = reduce(and_, (F.col(f"__k{i}") == F.col(f"__r{i}") for i in range(len(keys)))) & (F.col("__s") == F.col("__rs"))
+    on = reduce(and_, (F.col(f"__k{i}") == F.col(f"__r{i}") for i in range(len(keys))), F.col("__lh") == F.col("__rh"))
     return marked.join(rest, on, "left").select(*(F.col(f"`{c}`") for c in rows.columns), *(F.coalesce(F.col(f"__hv.{c}"), F.col(f"__rv.{c}")).alias(c) for c in own))
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -783,6 +784,7 @@ def test_heavy_keys_join_without_their_partition(spark):
     rows = spark.createDataFrame([(k, 7 if k % 3 else k) for k in range(3000)], "i long, k long")
     values = spark.createDataFrame([(k, f"v{k}") for k in range(0, 3000, 2)] + [(7, "v7")], "k long, v string")
     got = common.spread_join(rows, values, ["k"], values.where("k = 7"), ["i"])
+    assert re.search(r"hashpartitioning\(__lh[^)]*, __k0", got._jdf.queryExecution().toString()) or "BroadcastHashJoin" in got._jdf.queryExecution().toString()
     assert {(r["i"], r["k"], r["v"]) for r in got.collect()} == {(k, j, f"v{j}" if j == 7 or j % 2 == 0 else None) for k in range(3000) for j in [7 if k % 3 else k]}
 
 
