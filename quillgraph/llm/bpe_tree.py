@@ -60,7 +60,8 @@ _SHIFTED = {b: chr(0x100 + 33 + k) for k, b in enumerate([*range(0x7F, 0xA1), 0x
 _BYTES = {i: "".join(_SHIFTED.get(b, chr(b)) for b in chr(i).encode()) for i in range(0xC0, 0x100)}
 LEAF_CHARS = 4096
 WINDOW_CHARS = 64
-MEMO_UNITS = 250_000
+#: Units in one generation of a worker's memo: some 35 MB.
+MEMO_UNITS = 100_000
 
 
 def drops_space(path: str) -> bool:

@@ -270,13 +270,20 @@ def one_of_each(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that with the smallest doc_id.
 
     A row without an id is kept only if its whole group has none; of rows that share the smallest id, that with the
-    smallest hash of its text, and of equal rows one. Rows are told apart by numbers that are written with them.
+    smallest hash of its text, and of rows equal in both one. Rows are told apart by id and 128 bits of a hash of the text.
     """
     spark = docs.sparkSession
     base = common.run_dir(spark, "one-of-each")
-    numbered = common.stored(docs.withColumn("__row", F.monotonically_increasing_id()), f"{base}/rows")
-    # the rows' numbers take the place of ids
-    marked = fingerprints(numbered.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), F.col("__row").alias("row")).alias("doc_id"), "text"), words)
-    named = _groups(common.stored(marked, f"{base}/marked"), F.col("doc_id"), budget)
-    kept = named.select(F.col("least.row").alias("__row")).distinct()
-    return numbered.join(kept, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("i"))
+    marked = common.stored(fingerprints(docs.select(own.alias("doc_id"), "text"), words), f"{base}/marked")
+    kept = _groups(marked, F.col("doc_id"), budget).select("least").distinct()
+    kept = common.stored(kept.select("least.*").withColumnsRenamed({c: f"__{c}" for c in ("none", "doc_id", "h", "i")}), f"{base}/kept")
+    same = docs["doc_id"].eqNullSafe(kept["__doc_id"]) & (F.xxhash64("text") == kept["__h"]) & (F.xxhash64(F.lit(1), "text") == kept["__i"])
+    out = docs.join(kept, same, "left_semi")
+    # rows equal in id and text are rare, so what they cost is only paid where there are some
+    twice = marked.groupBy("doc_id").count().where("count > 1").select("doc_id.*").withColumnsRenamed({c: f"__{c}" for c in ("none", "doc_id", "h", "i")})
+    twice = common.stored(twice.join(kept.select("__h", "__i"), ["__h", "__i"], "left_semi"), f"{base}/twice")
+    if twice.isEmpty():
+        return out
+    again = docs["doc_id"].eqNullSafe(twice["__doc_id"]) & (F.xxhash64("text") == twice["__h"]) & (F.xxhash64(F.lit(1), "text") == twice["__i"])
+    return out.join(twice, again, "left_anti").unionByName(out.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
