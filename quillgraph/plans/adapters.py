@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import refs, strongs, text
 from quillgraph.operators import ordered
-from quillgraph.sources import markup, textfabric
+from quillgraph.sources import markup, textfabric, works
 from quillgraph.sources import text as lines
 
 Tables = dict[str, DataFrame]
@@ -250,10 +250,13 @@ def bhsa(spark: SparkSession, path: str) -> Tables:
 
 #: Work, anchor form, tradition, licence, and how many chunks it should give.
 WORKS = {
+    "wcf": ("WCF.{chapter}.{:d}", "reformed", "public_domain", 160, 200),
     "wlc_catechism": ("WLC.Q{:03d}", "reformed", "public_domain", 190, 200),
     "wsc": ("WSC.Q{:03d}", "reformed", "public_domain", 100, 115),
     "heidelberg": ("HC.Q{:03d}", "reformed", "public_domain", 125, 135),
     "belgic": ("Belgic.A{:02d}", "reformed", "public_domain", 37, 37),
+    "dort": ("Dort.{chapter}.A{:02d}", "reformed", "public_domain", 50, 100),
+    "lbc_1689": ("1689.{chapter}.{:d}", "reformed", "public_domain", 140, 160),
     "augsburg": ("Augsburg.A{:02d}", "lutheran", "public_domain", 25, 30),
     "articles_39": ("39A.A{:02d}", "anglican", "public_domain", 39, 39),
     "bcp_1662": ("BCP.Catechism.Q{:02d}", "anglican", "public_domain", 10, 200),
@@ -263,17 +266,34 @@ WORKS = {
     "vatican_ccc": ("CCC.{:d}", "catholic-magisterial", "proprietary", 2400, 2870),
     "vatican_dv": ("DV.{:d}", "catholic-magisterial", "proprietary", 24, 28),
 }
+#: Works of questions and answers; their text is both.
+CATECHISMS = {"wlc_catechism", "wsc", "heidelberg", "bcp_1662"}
 
 
 def work_chunks(pages: DataFrame, work: str) -> DataFrame:
-    """Chunks of a confessional work from its pages (url, html): numbered sections, by their number."""
+    """Chunks of a confessional work from its pages (url, html): its numbered parts, the first of equal numbers.
+
+    A page's chapter, where the work has chapters and the page names none, is the number in its address.
+    """
     form, tradition, licence, _, _ = WORKS[work]
-    s = pages.select("url", F.posexplode(markup.sections("html")).alias("at", "s")).where("s.number IS NOT NULL").select("url", "at", "s.number", "s.title", "s.text")
-    s = ordered.first_wins(s, ["number"], ["url", "at"])
+    found = works.catechism("html") if work == "bcp_1662" else works.parts(work)("html")
+    s = pages.select("url", F.posexplode(found).alias("at", "s")).select("url", "at", "s.*")
+    s = s.withColumn("chapter", F.coalesce("chapter", F.regexp_extract("url", "(\\d+)\\D*$", 1).try_cast("int"))) if "{chapter}" in form else s.withColumn("chapter", F.lit(None).cast("int"))
+    s = ordered.first_wins(s.withColumn("part", F.struct("chapter", "number")), ["part"], ["url", "at"])
     head, _, spec = form.partition("{:")
     width = int(spec.rstrip("d}") or 1)
-    anchor = F.concat(F.lit(head), ordered.padded(F.col("number"), width))
-    return s.select(F.concat(F.lit(f"{work}."), anchor).alias("chunk_id"), F.lit(tradition).alias("tradition"), F.lit(work).alias("work_id"), anchor.alias("anchor_id"), "title", "text", F.lit(licence).alias("license"), F.lit(licence == "public_domain").alias("redistribute"))
+    before, _, after = head.partition("{chapter}")
+    head = F.concat(F.lit(before), F.col("chapter").cast("string"), F.lit(after)) if "{chapter}" in form else F.lit(head)
+    anchor = F.concat(head, ordered.padded(F.col("number"), width))
+    said = F.col("text")
+    if work in CATECHISMS:
+        n = F.when(F.lit(work != "bcp_1662"), F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise("")
+        said = F.concat(F.lit("Q. "), n, F.regexp_replace("text", "^Q[. ]+", "")) if work == "heidelberg" else F.concat(F.lit("Q. "), n, "title", F.lit(" A. "), "text")
+    embed = said if work in CATECHISMS else F.concat_ws(". ", F.nullif(F.col("title"), F.lit("")), said)
+    return s.select(
+        F.concat(F.lit(f"{work}."), anchor).alias("chunk_id"), F.lit(tradition).alias("tradition"), F.lit(work).alias("work_id"), anchor.alias("anchor_id"), "title", said.alias("text"), embed.alias("text_to_embed"),
+        F.lit(licence).alias("license"), F.lit(licence == "public_domain").alias("redistribute"),
+    )
 
 
 def in_band(n: int, work: str) -> bool:
@@ -317,6 +337,71 @@ def tei_history(spark: SparkSession, path: str) -> Tables:
     return {"HistoricalChunk": s.select(anchor.alias("chunk_id"), anchor.alias("anchor_id"), "work_id", F.col("s.text").alias("text"), F.lit("public_domain").alias("license"), F.lit(True).alias("redistribute"))}
 
 
+#: The works of the historian, by short name: label in citations, and whether it has books.
+JOSEPHUS = {"ant": ("Ant", True), "wars": ("Wars", True), "apion": ("Apion", True), "vita": ("Vita", False)}
+
+
+@adapter
+def josephus(spark: SparkSession, path: str, work: str = "ant", contested: dict[str, tuple[str, str]] | None = None) -> Tables:
+    """One work's TEI: a chunk for each section, cited by the older chapters and sections, which milestones carry forward.
+
+    ``contested``: anchor -> (note, pattern of the disputed clause); it is left out of what is embedded. A clause that
+    isn't there puts its chunk into quarantine.
+    """
+    label, books = JOSEPHUS[work]
+    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("x"))
+    s = raw.select("path", F.posexplode(markup.milestone_sections("x")).alias("at", "s")).select("path", "at", "s.*")
+    s = ordered.carry(s.withColumn("book", F.coalesce("book", F.lit("1"))), ["path", "book"], ["at"], "chapter", "of")
+    tail = F.filter(F.array(F.regexp_replace("of", "\\.+$", ""), F.col("part")), lambda x: x.isNotNull() & (x != ""))
+    cited = F.concat(F.array(F.col("book")), tail) if books else tail
+    citation = F.when(F.size(tail) > 0, F.concat(F.lit(f"{label} "), F.array_join(cited, "."), F.lit(" (Whiston)")))
+    c = s.where("text <> ''").select(F.concat_ws(".", F.lit(f"josephus.{work}"), "book", "section").alias("anchor_id"), citation.alias("anchor_alt_citation"), "text")
+    note, embed, ok = F.lit(None).cast("string"), F.col("text"), F.lit(True)
+    for anchor, (why, pattern) in (contested or {}).items():
+        here = F.col("anchor_id") == anchor
+        span = text.without_span(F.col("text"), pattern)
+        note, embed, ok = F.when(here, why).otherwise(note), F.when(here, span["text_to_embed"]).otherwise(embed), F.when(here, span["ok"]).otherwise(ok)
+    c = c.select(F.col("anchor_id").alias("chunk_id"), "anchor_id", "anchor_alt_citation", F.lit(f"josephus.{work}").alias("work_id"), "text", embed.alias("text_to_embed"), note.alias("note"), note.isNotNull().alias("redact_for_embedding"), F.lit("CC-BY-SA-4.0").alias("license"), F.lit(True).alias("redistribute"), ok.alias("__ok"))
+    return {"HistoricalChunk": c.where("__ok").drop("__ok"), "quarantine": c.where("NOT __ok").select("chunk_id")}
+
+
+def confession(work: str) -> Callable[[SparkSession, str], Tables]:
+    """The adapter of a confessional work: its saved pages, one file each."""
+
+    def read(spark: SparkSession, path: str) -> Tables:
+        pages = spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), markup.decoded("content").alias("html"))
+        return {"CulturalChunk": work_chunks(pages, work)}
+
+    read.__name__ = work
+    read.__doc__ = f"Chunks of {work} from its saved pages."
+    return read
+
+
+for _work in WORKS:
+    adapter(confession(_work))
+
+
+def volume_pages(pages: DataFrame, anchor: str) -> DataFrame:
+    """Packed chunks of a volume's pages (work_id, chapter, html)."""
+    p = pages.select("work_id", "chapter", F.posexplode(works.volume_paragraphs("html")).alias("at", "text"))
+    return volume_chunks(p, anchor)
+
+
+def stem_publishing(pages: DataFrame) -> DataFrame:
+    """Chunks of works at ``.../authors/<author>/<work>.html`` (url, html); index pages are no works."""
+    part = lambda k: F.regexp_extract("url", "/authors/([^/]+)/([^/]+)\\.html$", k)
+    named = pages.where((part(2) != "") & ~F.contains(F.lower(part(2)), F.lit("index"))).select(F.concat_ws(".", F.lit("stem-publishing"), part(1), part(2)).alias("work_id"), F.concat_ws(".", part(1), part(2)).alias("chapter"), "html")
+    c = volume_pages(named, "STEM")
+    return c.select(F.concat(F.lit("stem-publishing."), "anchor_id").alias("chunk_id"), F.lit("plymouth-brethren").alias("tradition"), "work_id", "anchor_id", "text", F.lit("public_domain").alias("license"), F.lit(True).alias("redistribute"))
+
+
+def oca_hopko(pages: DataFrame, root: str, least: int = 100) -> DataFrame:
+    """Chunks of article pages below ``root`` (url, html); pages with less text than ``least`` characters are none."""
+    a = pages.where(F.col("url").startswith(root)).withColumn("a", works.article("html")).where(F.length("a.text") >= least)
+    anchor = F.concat(F.lit("OCA."), F.translate(F.substring("url", len(root.rstrip("/")) + 2, 10_000_000), "/", "."))
+    return a.select(F.concat(F.lit("oca-hopko."), anchor).alias("chunk_id"), F.lit("eastern-orthodox").alias("tradition"), F.lit("oca-hopko").alias("work_id"), anchor.alias("anchor_id"), F.col("a.title").alias("title"), F.col("a.text").alias("text"), F.concat_ws(". ", "a.title", "a.text").alias("text_to_embed"), F.lit("proprietary").alias("license"), F.lit(False).alias("redistribute"))
+
+
 def to_store(chunks: DataFrame) -> Tables:
     """Works, chunks and HAS_CHUNK edges; text that may not be shared in bulk is replaced by what is embedded."""
     from quillgraph.functions import licence

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,7 +46,7 @@ def stepbible_ttesv(spark: SparkSession, path: str) -> Tables:
     """Verse segments ``$Book C:V<TAB>pos=<codes>...``: one token a verse, from its first good tag."""
     form = "^\\$(\\S+) (\\d+):(\\d+)"
     r = lines.matching(lines.lines(spark, path), form)
-    tags = F.filter(F.slice(F.split("line", "\t"), 2, 10_000), lambda t: t.rlike("^\\d[\\d+-]*=<[^>]+>"))
+    tags = F.filter(F.slice(F.split("line", "\t"), F.lit(2), F.greatest(F.size(F.split("line", "\t")) - 1, F.lit(0))), lambda t: t.rlike("^\\d[\\d+-]*=<[^>]+>"))
     first = F.get(tags, F.lit(0))
     osis = F.concat_ws(".", *(F.regexp_extract("line", form, k) for k in (1, 2, 3)))
     r = r.withColumn("tag", first).where("tag IS NOT NULL").withColumn("osis", osis)
@@ -96,6 +96,22 @@ def coptic_scriptorium(spark: SparkSession, path: str) -> Tables:
     return {"CopticWord": n, "IN_VERSE": edges(n, F.col("id"), verse_id(F.col("verse_ref")), "IN_VERSE")}
 
 
+def split_hand(siglum: Column) -> Column:
+    """struct(base, hand): a last S, V or C after letters alone, or after anything with a digit, is a later hand, named C."""
+    base = F.regexp_replace(siglum, "[SVC]$", "")
+    later = siglum.rlike("[SVC]$") & (F.length(siglum) > 1) & (base.rlike("\\d") | base.rlike("(?U)^\\p{L}+$"))
+    return F.struct(F.when(later, base).otherwise(siglum).alias("base"), F.when(later, F.lit("C")).alias("hand"))
+
+
+def century_of(base: Column) -> Column:
+    """The century that a siglum's kind and number stand for; the rules are tried in order."""
+    n = F.regexp_replace(base, "\\D", "").try_cast("long")
+    return (
+        F.when(base.startswith("P"), 3).when(base.startswith("L"), 10).when(base == "Byz", 9).when(base.rlike("(?U)^\\p{L}+$"), 5)
+        .when(base.startswith("0") & (F.length(base) > 1), 5).when(n < 100, 9).when(n < 1000, 11).otherwise(12)
+    )
+
+
 @adapter
 def open_cbgm_3_john(spark: SparkSession, path: str, database: str | None = None) -> Tables:
     """Collation units of 3 John 1: readings, who attests them, and a lacuna for every other witness."""
@@ -108,10 +124,9 @@ def open_cbgm_3_john(spark: SparkSession, path: str, database: str | None = None
     att = d.select("unit", F.concat_ws("-", "unit", F.trim("r._n")).alias("reading"), F.explode(F.filter(F.split(F.trim(F.coalesce("r._wit", F.lit(""))), "\\s+"), lambda w: w != "")).alias("witness"))
     every = att.select("witness") if database is None else markup.sqlite_table(spark, database, "WITNESSES", ["WITNESS"]).select(F.col("WITNESS").alias("witness"))
     full = graph.completed(readings.select("unit"), every, att, F.lit("lac")).select("unit", "witness", F.when(F.col("reading") == "lac", F.concat(F.col("unit"), F.lit("-lac"))).otherwise(F.col("reading")).alias("reading"))
-    hand = F.regexp_extract("witness", "^(.+?)([SVC]\\d*)$", 1)
-    century = F.when(F.col("witness").startswith("P"), 3).when(F.col("witness").rlike("^0"), 5).otherwise(10)
-    w = every.distinct().select(F.col("witness").alias("id"), century.alias("date_century"))
-    corr = every.distinct().where(hand != "").select(F.col("witness").alias("src_id"), hand.alias("dst_id"), F.lit("CORRECTOR_OF").alias("rel_type"))
+    hands = every.distinct().withColumn("h", split_hand(F.col("witness")))
+    w = hands.select(F.col("witness").alias("id"), F.col("h.base").alias("base_siglum"), F.concat("h.base", F.coalesce("h.hand", F.lit(""))).alias("witness_siglum"), century_of(F.col("h.base")).alias("date_century"))
+    corr = hands.where("h.hand IS NOT NULL").select(F.col("witness").alias("src_id"), F.col("h.base").alias("dst_id"), F.lit("CORRECTOR_OF").alias("rel_type"))
     return {"Witness": w, "VariantUnit": readings.select(F.col("unit").alias("id"), "v").distinct(), "Reading": readings.drop("v"), "READS_AT": edges(readings, F.col("id"), F.col("unit"), "READS_AT"), "ATTESTED_BY": edges(full, F.col("reading"), F.col("witness"), "ATTESTED_BY"), "CORRECTOR_OF": corr}
 
 
@@ -125,10 +140,10 @@ def numbered_paragraphs(pages: DataFrame, slug: str, form: str = "\\(\\s*(\\d+)\
 
     ``pages``: one row with the treatise's text. The marks are folded in one pass over each page's array.
     """
-    p = pages.select(F.split("text", form).alias("p"), F.transform(F.regexp_extract_all("text", F.lit(form), 1), lambda n: n.cast("long")).alias("m"))
+    p = pages.select(F.split("text", form).alias("p"), F.transform(F.regexp_extract_all("text", F.lit(form), 1), lambda n: n.try_cast("long")).alias("m"))
     # each mark with its piece; pieces after a mark that isn't next belong to the paragraph before
     fold = F.aggregate(
-        F.arrays_zip(F.col("m"), F.slice("p", 2, 1_000_000).alias("t")), F.array().cast("array<struct<n:bigint,t:string>>"),
+        F.arrays_zip(F.col("m"), F.slice(F.col("p"), F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))).alias("t")), F.array().cast("array<struct<n:bigint,t:string>>"),
         lambda a, x: F.when(
             x["m"] == F.size(a) + 1, F.concat(a, F.array(F.struct(x["m"].alias("n"), x["t"].alias("t"))))
         ).when(F.size(a) > 0, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["n"].alias("n"), F.concat(F.element_at(a, -1)["t"], F.lit("("), x["m"].cast("string"), F.lit(")"), x["t"]).alias("t"))))).otherwise(a),
@@ -136,15 +151,20 @@ def numbered_paragraphs(pages: DataFrame, slug: str, form: str = "\\(\\s*(\\d+)\
     return p.select(F.explode(fold).alias("x")).select(F.concat(F.lit(f"{slug}."), F.col("x.n").cast("string")).alias("anchor_id"), text.collapse_space(F.col("x.t")).alias("text"))
 
 
-#: Repairs in the order in which they must run. Damaged dashes and quotes, and what they stand for.
-REPAIRS = [("â€™", "’"), ("â€œ", "“"), ("â€\\x9d", "”"), ("â€”", "—"), ("\\u00ad", ""), ("--+", "—"), ("\\s+([,.;:])", "$1")]
+#: Notes in braces, and references in round ones, go before tags do.
+APPARATUS = [("(?s)<(script|style)\\b.*?</\\1>", " "), ("\\{[^}]*\\}", " "), ("\\(#[^)]*\\)", " ")]
+#: Repairs after that, in the order in which they must run. Bytes F9 and F7 and two hyphens are damaged
+#: dashes and a macron; a dash is shown as a comma.
+REPAIRS = [("\u00f9", ", "), ("\u00f7", ""), ("--", ", "), ("(?U)\\s+", " "), ("\\s+([,.;:!?])", "$1"), ("^ | $", "")]
 
 
 @adapter
-def philo(spark: SparkSession, path: str) -> Tables:
-    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("x"))
-    page = raw.select(text.replace_all(markup.html_text("x"), REPAIRS).alias("text"))
-    return {"HistoricalChunk": chunks(numbered_paragraphs(page, "philo"), "philo", "pd")}
+def philo(spark: SparkSession, path: str, slug: str = "philo") -> Tables:
+    """A Latin-1 page of one treatise, up to its closing links; its paragraphs are told by their numbers alone."""
+    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "ISO-8859-1").alias("x"))
+    body = F.regexp_replace("x", "(?s)(Go to the|Tables of Contents).*$", "")
+    page = raw.select(text.replace_all(markup.html_text(text.replace_all(body, APPARATUS)), REPAIRS).alias("text"))
+    return {"HistoricalChunk": chunks(numbered_paragraphs(page, slug), slug, "pd")}
 
 
 @adapter
@@ -171,7 +191,7 @@ def verses_of(chapters: DataFrame, work: str, form: str = "(?<![\\w.])(\\d{1,3})
 @adapter
 def pseudepigrapha(spark: SparkSession, path: str, work: str = "enoch") -> Tables:
     """HTML chapters (a heading with its number, then verses)."""
-    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("x"))
+    raw = spark.read.format("binaryFile").load(path).select(markup.decoded("content").alias("x"))
     s = raw.select(F.explode(markup.sections("x")).alias("s")).where("s.number IS NOT NULL").select(F.col("s.number").cast("string").alias("chapter"), text.collapse_space(F.col("s.text")).alias("text"))
     return {"HistoricalChunk": chunks(verses_of(s, work), work, "pd")}
 
@@ -179,10 +199,10 @@ def pseudepigrapha(spark: SparkSession, path: str, work: str = "enoch") -> Table
 @adapter
 def roman_historians(spark: SparkSession, path: str, work: str = "tacitus.annals") -> Tables:
     """TEI with chapter milestones: text from one to the next, notes left out."""
-    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("x"))
+    raw = spark.read.format("binaryFile").load(path).select(markup.decoded("content").alias("x"))
     body = F.regexp_replace(F.regexp_extract("x", "(?s)<body[^>]*>(.*)</body>", 1), "(?s)<note[^>]*>.*?</note>", "")
     m = raw.select(F.explode(markup.milestones(body, '<milestone[^>]*unit="chapter"[^>]*n="([^"]+)"[^>]*/>')).alias("m"))
-    n = m.select(F.concat_ws(".", F.lit(work), "m.n").alias("anchor_id"), text.collapse_space(F.regexp_replace("m.text", "<[^>]+>", " ")).alias("text"))
+    n = m.select(F.concat_ws(".", F.lit(work), "m.n").alias("anchor_id"), text.collapse_space(markup.plain_entities(F.regexp_replace("m.text", "<[^>]+>", " "))).alias("text"))
     return {"HistoricalChunk": chunks(n, work, "pd")}
 
 

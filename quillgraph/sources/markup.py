@@ -211,8 +211,27 @@ def decode(content: bytes) -> str:
     return content.decode("latin-1")
 
 
-def unescape(s: str) -> str:
-    return html.unescape(s)
+@lazy_udf("string")
+def decoded(s: pd.Series) -> pd.Series:
+    """Bytes as text, by the first encoding that fits: UTF-8, Windows-1252, Latin-1."""
+    return s.map(lambda x: None if x is None else decode(x))
+
+
+@lazy_udf("string")
+def unescaped(s: pd.Series) -> pd.Series:
+    """Character references as the characters that they stand for."""
+    return s.map(lambda x: None if x is None else html.unescape(x))
+
+
+#: Entities and what they stand for in plain text; other entities are a space.
+ENTITIES = {"mdash": " ", "ndash": " ", "aelig": "ae", "AElig": "Ae", "oelig": "oe", "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def plain_entities(c: Column) -> Column:
+    """Named entities by ``ENTITIES`` in that order, then all others, numbers too, as a space."""
+    for name, by in ENTITIES.items():
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(by))
+    return F.regexp_replace(c, "&(#\\d+|[a-zA-Z]+);", " ")
 
 
 @lazy_udf("array<struct<verse string, pos int, id string, lemma string, morph string, surface string, kind string>>")
@@ -273,6 +292,34 @@ def tei_sections(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+@lazy_udf("array<struct<book string, section string, chapter string, part string, text string>>")
+def milestone_sections(s: pd.Series) -> pd.Series:
+    """Section divisions of a TEI edition, with their book (null where there are no books), the chapter and part that
+    milestones in them declare, and their visible text in NFC: notes and breaks are left out, their tails kept."""
+    import unicodedata
+    import xml.etree.ElementTree as ET
+
+    name = lambda e: e.tag.rpartition("}")[2]
+
+    def visible(e) -> str:
+        inside = "" if name(e) in ("note", "milestone", "pb", "lb") else (e.text or "") + "".join(visible(c) + (c.tail or "") for c in e)
+        return inside
+
+    def one(x):
+        out, todo = [], [(ET.fromstring(x), None)] if x is not None else []
+        while todo:
+            e, book = todo.pop()
+            kind = e.get("subtype") if name(e) == "div" else None
+            if kind == "section" and e.get("n") is not None:
+                marks = {m.get("unit"): m.get("n") for m in e.iter() if name(m) == "milestone"}
+                out.append({"book": book, "section": e.get("n"), "chapter": marks.get("Whiston_chapter"), "part": marks.get("Whiston_section"), "text": unicodedata.normalize("NFC", " ".join(visible(e).split()))})
+            else:
+                todo += [(c, (e.get("n") or "1") if kind == "book" else book) for c in reversed(list(e))]
+        return out
+
+    return s.map(one)
+
+
 def milestones(text: Column, pattern: str) -> Column:
     """Array of struct(n, text): what stands between a milestone (its number is group 1) and the next."""
     marks = F.regexp_extract_all(text, F.lit(pattern), 1)

@@ -42,14 +42,14 @@ def test_tagged(spark, tmp_path):
 
 
 def test_collation(spark, tmp_path):
-    x = put(tmp_path, "c.xml", "<t><app n='B25K1V3U2'><rdg n='a' wit='P9 01'>x</rdg><rdg n='b' wit='01C2'>y</rdg></app><app n='B25K2V3U2'><rdg n='a' wit='P9'>x</rdg></app></t>")
+    x = put(tmp_path, "c.xml", "<t><app n='B25K1V3U2'><rdg n='a' wit='P9 01'>x</rdg><rdg n='b' wit='01C'>y</rdg></app><app n='B25K2V3U2'><rdg n='a' wit='P9'>x</rdg></app></t>")
     db = str(tmp_path / "w.db")
     with sqlite3.connect(db) as con:
         con.execute("CREATE TABLE WITNESSES (WITNESS TEXT)")
-        con.executemany("INSERT INTO WITNESSES VALUES (?)", [("P9",), ("01",), ("01C2",), ("33",), ("33",)])
+        con.executemany("INSERT INTO WITNESSES VALUES (?)", [("P9",), ("01",), ("01C",), ("33",), ("33",)])
     t = A.open_cbgm_3_john(spark, x, db)
-    assert {(r["src_id"], r["dst_id"]) for r in t["ATTESTED_BY"].collect()} == {("3John.1.3/2-a", "P9"), ("3John.1.3/2-a", "01"), ("3John.1.3/2-b", "01C2"), ("3John.1.3/2-lac", "33")}
-    assert [(r["src_id"], r["dst_id"]) for r in t["CORRECTOR_OF"].collect()] == [("01C2", "01")]
+    assert {(r["src_id"], r["dst_id"]) for r in t["ATTESTED_BY"].collect()} == {("3John.1.3/2-a", "P9"), ("3John.1.3/2-a", "01"), ("3John.1.3/2-b", "01C"), ("3John.1.3/2-lac", "33")}
+    assert [(r["src_id"], r["dst_id"]) for r in t["CORRECTOR_OF"].collect()] == [("01C", "01")]
 
 
 def test_history(spark, tmp_path):
@@ -99,3 +99,67 @@ def test_sinks(spark, tmp_path):
     assert e == "l (t) : g | pos n"
     spark.sql("CREATE DATABASE IF NOT EXISTS wipe_me")
     assert sinks.wipe(spark, "wipe_me") == 0
+
+
+def test_sigla(spark):
+    """A later hand is one last letter after letters alone or something with a digit; centuries go by ordered rules."""
+    got = {r["s"]: (r["h"]["base"], r["h"]["hand"], r["c"]) for r in spark.createDataFrame([(x,) for x in ("206S", "01C2", "P74", "L1", "Byz", "A", "AV", "S", "01", "33", "206", "1739", "1V", "?S")], "s string").select("s", A.split_hand(F.col("s")).alias("h"), A.century_of(A.split_hand(F.col("s"))["base"]).alias("c")).collect()}
+    assert got == {
+        "206S": ("206", "C", 11), "01C2": ("01C2", None, 5), "P74": ("P74", None, 3), "L1": ("L1", None, 10), "Byz": ("Byz", None, 9), "A": ("A", None, 5), "AV": ("A", "C", 5), "S": ("S", None, 5),
+        "01": ("01", None, 5), "33": ("33", None, 9), "206": ("206", None, 11), "1739": ("1739", None, 12), "1V": ("1", "C", 9), "?S": ("?S", None, 12),
+    }
+
+
+def test_damaged_pages(spark, tmp_path):
+    (tmp_path / "p.html").write_bytes("<p>x (1) one\xf9two {**note (2)} three--four (#Ge 2:4). l\xf7ogos &amp; more (2) last <p>Go to the end (3) no".encode("latin-1"))
+    got = {r["anchor_id"]: r["text"] for r in A.philo(spark, str(tmp_path / "p.html"), "philo.de-x")["HistoricalChunk"].collect()}
+    assert got == {"philo.de-x.1": "one, two three, four. logos & more", "philo.de-x.2": "last"}
+    (tmp_path / "t.xml").write_bytes('<TEI><body><milestone unit="chapter" n="1"/>C\xe6sar &mdash; &amp;c &#8212;x &Xy; z</body></TEI>'.encode("cp1252"))
+    assert A.roman_historians(spark, str(tmp_path / "t.xml"))["HistoricalChunk"].first()["text"] == "Cæsar &c x z"
+
+
+def test_sections_and_citations(spark, tmp_path):
+    from quillgraph.plans import adapters
+
+    x = """<TEI><text><body><div><div subtype='book' n='18'><div subtype='section' n='62'><p><milestone unit='Whiston_chapter' n='3'/><milestone unit='Whiston_section' n='2'/>before<note>no</note> it</p></div>
+    <div subtype='section' n='63'><p><milestone unit='Whiston_section' n='3'/>A wise man. He was [the] Christ. And so on.</p></div><div subtype='section' n='64'><p>after</p></div></div></div></body></text></TEI>"""
+    (tmp_path / "ant.xml").write_text(x)
+    mark = {"josephus.ant.18.63": ("bracketed", "He was \\[the\\] Christ\\."), "josephus.ant.18.64": ("none there", "nothing like it")}
+    t = adapters.josephus(spark, str(tmp_path / "ant.xml"), "ant", mark)
+    got = {r["anchor_id"]: (r["anchor_alt_citation"], r["text_to_embed"], r["redact_for_embedding"]) for r in t["HistoricalChunk"].collect()}
+    assert got == {"josephus.ant.18.62": ("Ant 18.3.2 (Whiston)", "before it", False), "josephus.ant.18.63": ("Ant 18.3.3 (Whiston)", "A wise man. And so on.", True)}
+    assert [r["chunk_id"] for r in t["quarantine"].collect()] == ["josephus.ant.18.64"]
+    assert "He was [the] Christ." in t["HistoricalChunk"].where("redact_for_embedding").first()["text"]
+
+
+def test_structure_of_works(spark):
+    from quillgraph.plans import adapters
+
+    body = "a body that is long enough to count as text, with more words than eighty characters need to be there"
+    pages = {
+        "wcf": ("u", f"<h3 class='divider'><a name='Chapter_02'></a>CHAPTER 2<br><i>Of God</i></h3><p>1. {body}</p><p>goes on</p><p>2. second</p>"),
+        "wsc": ("u", "<p>Q. 7. What are they? A. They are these.</p><p>Q. 7. Again? A. No.</p>"),
+        "heidelberg": ("u", "<div>Q &amp; A 12<p>Q. Why?</p><p>A. Because.</p><p>1 Gen. 1:1</p><p>More.</p></div>"),
+        "dort": ("u", "<h2>The First Main Point of Doctrine</h2><h3>Article 1: A</h3><p>one</p><h2>The Third and Fourth Main Points</h2><h3>Article 1: B</h3><p>three</p>"),
+        "lbc_1689": ("http://x/1689/chapter12.html", "<h3>12. Of Adoption.</h3><p class='close'>1. All ( a ) those</p><p>2. no</p>"),
+        "articles_39": ("u", "<div class='mw-parser-output'><div class='wst-center'>IV. Of the Resurrection.</div><p>He did</p><p>truly.</p></div><p>outside</p>"),
+        "umc": ("u", "<h4><a name='x'></a>Article II&mdash;Of the Word</h4><p>The Son</p>"),
+        "schleitheim": ("u", f"<body><p>I. {body.capitalize()}</p><p>and on</p><p>II. Short.</p></body>"),
+        "vatican_dv": ("u", f"<p>3. {body}</p><p>3. again {body}</p><p>4. short</p>"),
+        "bcp_1662": ("u", "<p><em>Question.</em> What? <em>Answer.</em> That.</p><p><em>Question.</em> Who?</p><p><em>Answer.</em> I.</p>"),
+    }
+    want = {
+        "wcf": {"WCF.2.1": f"{body} goes on", "WCF.2.2": "second"}, "wsc": {"WSC.Q007": "Q. 7. What are they? A. They are these."}, "heidelberg": {"HC.Q012": "Q. 12. Why? A. Because. More."},
+        "dort": {"Dort.1.A01": "one", "Dort.3.A01": "three"}, "lbc_1689": {"1689.12.1": "All those"}, "articles_39": {"39A.A04": "He did truly."}, "umc": {"UMC.A02": "The Son"},
+        "schleitheim": {"Schleitheim.A1": f"{body.capitalize()} and on"}, "vatican_dv": {"DV.3": body}, "bcp_1662": {"BCP.Catechism.Q01": "Q. What? A. That.", "BCP.Catechism.Q02": "Q. Who? A. I."},
+    }
+    for work, (url, page) in pages.items():
+        got = adapters.work_chunks(spark.createDataFrame([(url, page), (url + "0", None)], "url string, html string"), work)
+        assert {r["anchor_id"]: r["text"] for r in got.collect()} == want[work], work
+    embed = adapters.work_chunks(spark.createDataFrame([pages["lbc_1689"]], "url string, html string"), "lbc_1689").first()["text_to_embed"]
+    assert embed == "Of Adoption. All those"
+    p = "<p>" + "word " * 300 + "</p><p>short</p><p>Next page " + "x" * 60 + "</p>"
+    s = adapters.stem_publishing(spark.createDataFrame([("https://h/authors/darby/work1.html", p), ("https://h/authors/darby/index.html", p)], "url string, html string")).collect()
+    assert [r["anchor_id"] for r in s] == ["STEM.darby.work1.001"] and len(s[0]["text"].split()) == 300
+    o = adapters.oca_hopko(spark.createDataFrame([("https://r/a/b", "<h1>T</h1><p>" + "y" * 120 + "</p><div class='page-footer'><p>" + "z" * 90 + "</p></div>"), ("https://r/c", "<p>few</p>"), ("https://q/a", p)], "url string, html string"), "https://r").collect()
+    assert [(r["anchor_id"], len(r["text"]), r["redistribute"]) for r in o] == [("OCA.a.b", 120, False)]
