@@ -44,7 +44,7 @@ def first_filled(*cs: Column) -> Column:
 
 
 def semicolon_list(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def alternatives(c: Column) -> Column:

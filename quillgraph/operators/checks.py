@@ -48,9 +48,14 @@ def adapter_checks(nodes: DataFrame, required: dict[str, str], lemma: str, edges
     return total
 
 
+def band(expected: Column, tolerance: float) -> tuple[Column, Column]:
+    """The ends of a ratio's band, floored and ceiled."""
+    return F.floor(expected * (1 - tolerance)), F.ceil(expected * (1 + tolerance))
+
+
 def within(observed: Column, expected: Column, tolerance: float) -> Column:
     """Within a ratio of the expected value: the band's ends are floored and ceiled."""
-    return observed.between(F.floor(expected * (1 - tolerance)), F.ceil(expected * (1 + tolerance)))
+    return observed.between(*band(expected, tolerance))
 
 
 def manifest(observed: DataFrame, expected: DataFrame, key: str = "claim") -> DataFrame:
@@ -87,13 +92,15 @@ def vector_groups(df: DataFrame, vector: str, gloss: str) -> DataFrame:
     return g.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"), bad.alias("penalised"), F.round(1 - bad / F.sum("n"), 6).alias("ratio"))
 
 
-def pair_cosines(df: DataFrame, key: str, vector: str, most: int = 100_000) -> DataFrame:
+def pair_cosines(df: DataFrame, key: str, vector: str, bucket: int = 4096) -> DataFrame:
     """(mean, deviation, pairs) of cosines of disjoint pairs, neighbours in the order of their hashed keys; (1, 0, 0)
-    for fewer than two rows. A report on at most ``most`` rows, the first by hash."""
-    few = df.select(F.xxhash64(key).alias("h"), key, vector).orderBy("h", key).limit(most)
-    n = few.withColumn("k", F.row_number().over(W.orderBy("h", key)) - 1)
-    a, b = (n.where(F.col("k") % 2 == i).select(F.floor(F.col("k") / 2).alias("p"), F.col(vector).alias(f"v{i}")) for i in (0, 1))
-    c = a.join(b, "p").select(cosine(F.col("v0"), F.col("v1")).alias("c"))
+    for fewer than two rows. Rows are paired in buckets of about ``bucket`` that share the first digits of the hash; the
+    last of an odd number in a bucket has no pair."""
+    digits = max(0, math.ceil(math.log(max(df.count(), 1) / bucket, 16)))
+    h = F.md5(F.col(key).cast("string"))
+    n = df.select(h.alias("h"), F.substring(h, 1, digits).alias("b"), F.col(key).alias("k"), vector).withColumn("i", F.row_number().over(W.partitionBy("b").orderBy("h", "k")) - 1)
+    a, b = (n.where(F.col("i") % 2 == i).select("b", F.floor(F.col("i") / 2).alias("p"), F.col(vector).alias(f"v{i}")) for i in (0, 1))
+    c = a.join(b, ["b", "p"]).select(cosine(F.col("v0"), F.col("v1")).alias("c"))
     return c.agg(F.round(F.coalesce(F.avg("c"), F.lit(1.0)), 4).alias("mean"), F.round(F.coalesce(F.stddev_pop("c"), F.lit(0.0)), 4).alias("deviation"), F.count("c").alias("pairs"))
 
 

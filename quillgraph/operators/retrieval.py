@@ -6,8 +6,8 @@ Query tables are the small side; they are broadcast only up to ``BROADCAST_QUERI
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from quillgraph.functions.vectors import dot, unit
 
 BROADCAST_QUERIES = 1000
+#: Terms of all queries of one BM25 search; they are broadcast.
+MOST_TERMS = 200_000
 
 
 def bounded(queries: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
@@ -24,6 +26,16 @@ def bounded(queries: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
     return F.broadcast(queries)
 
 
+def in_blocks(queries: DataFrame, key: str, search: Callable[[DataFrame], DataFrame], most: int = BROADCAST_QUERIES) -> DataFrame:
+    """``search`` of all queries: of one broadcast table where they are few, else of blocks of them one after another."""
+    n = queries.count()
+    if n <= most:
+        return search(F.broadcast(queries))
+    parts = -(-2 * n // most)
+    block = F.pmod(F.xxhash64(key), F.lit(parts))
+    return reduce(DataFrame.unionByName, [search(bounded(queries.where(block == k), most)) for k in range(parts)])
+
+
 def top(df: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
     """The first ``k`` rows of each group, with ``rank`` from 1. Spark keeps k rows a group before the shuffle."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
@@ -34,17 +46,18 @@ def dense(queries: DataFrame, items: DataFrame, k: int, keep: list[str] = []) ->
 
     Filters on items belong before this call, so that they reach the scan. Scores are rounded to 6 places, ties go by id.
     """
-    q = bounded(queries.select("query_id", unit(F.col("vector")).alias("q")))
+    q = queries.select("query_id", unit(F.col("vector")).alias("q"))
     v = items.select("id", *keep, unit(F.col("vector")).alias("v"))
-    scored = v.crossJoin(q).select("query_id", "id", *keep, F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
-    return top(scored, ["query_id"], k, F.col("score").desc(), F.col("id"))
+    scored = lambda b: v.crossJoin(b).select("query_id", "id", *keep, F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+    return in_blocks(q, "query_id", lambda b: top(scored(b), ["query_id"], k, F.col("score").desc(), F.col("id")))
 
 
 def dense_by_group(queries: DataFrame, items: DataFrame, group: str, k: int) -> DataFrame:
     """The top ``k`` of each group for each query."""
-    q = bounded(queries.select("query_id", unit(F.col("vector")).alias("q")))
-    scored = items.select("id", group, unit(F.col("vector")).alias("v")).crossJoin(q).select("query_id", group, "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
-    return top(scored, ["query_id", group], k, F.col("score").desc(), F.col("id"))
+    q = queries.select("query_id", unit(F.col("vector")).alias("q"))
+    v = items.select("id", group, unit(F.col("vector")).alias("v"))
+    scored = lambda b: v.crossJoin(b).select("query_id", group, "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+    return in_blocks(q, "query_id", lambda b: top(scored(b), ["query_id", group], k, F.col("score").desc(), F.col("id")))
 
 
 def idf(tokens: DataFrame, n: int | Column) -> DataFrame:
@@ -55,27 +68,26 @@ def idf(tokens: DataFrame, n: int | Column) -> DataFrame:
 
 
 def keyword_rank(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, id, score): summed idf of shared distinct tokens, 0 where none. Both: (.., tokens array).
-
-    Every document is scored, so the result has queries x documents rows; for long lists use ``bm25``.
-    """
-    n = docs.count()
+    """(query_id, id, score): summed idf of shared distinct tokens, of the pairs that share one; all others score 0.
+    Both: (.., tokens array). The statistics cover all documents, also for tokens that no query has."""
     d = docs.select("id", F.explode(F.array_distinct("tokens")).alias("token"))
     q = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    hit = d.join(bounded(q, 50_000), "token").join(idf(d, n), "token").groupBy("query_id", "id").agg(F.sum("idf").alias("s"))
-    every = docs.select("id").crossJoin(bounded(queries.select("query_id")))
-    return every.join(hit, ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("s", F.lit(0.0)), 4).alias("score"))
+    mine = d.join(q.select("token").distinct(), "token", "left_semi")
+    weight = idf(mine, docs.count())
+    hit = mine.join(q.join(weight, "token"), "token")
+    return hit.groupBy("query_id", "id").agg(F.round(F.sum("idf"), 4).alias("score"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score, rank) by BM25. Statistics cover all documents; only query terms are counted per document."""
-    q = bounded(queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token")), 50_000)
-    size = docs.select("id", F.size("tokens").alias("dl"))
-    stats = size.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(F.broadcast(q.select("token").distinct()), "token", "left_semi")
-    tf = tf.groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rows = tf.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats)).join(q, "token")
+    q = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    if (n := q.count()) > MOST_TERMS:
+        raise ValueError(f"{n} query terms, {MOST_TERMS} at most: search in blocks")
+    stats = docs.select(F.size("tokens").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    words = docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(F.broadcast(q.select("token").distinct()), "token", "left_semi")
+    tf = words.groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # a row for each query term
+    rows = tf.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats)).join(F.broadcast(q), "token")
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = rows.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -107,13 +119,13 @@ def hybrid(dense_: DataFrame, sparse: DataFrame, k: int, expand: DataFrame | Non
     return best.unionByName(more)
 
 
-def rerank(hits: DataFrame, texts: DataFrame, k: int, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
-    """Hits (query_id, id, query, rank) rescored by ``scorer`` (query texts, item texts); without one, in input order."""
-    rows = hits.join(texts.select("id", "text"), "id")
+def rerank(hits: DataFrame, texts: DataFrame, k: int, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Hits (query_id, id, query, rank) rescored by ``scorer`` (query text, item text): a function of Columns, as a built-in
+    expression or a pandas UDF is; without one, in input order."""
+    rows = hits.join(texts.select("id", "text"), "id").withColumnRenamed("rank", "input_rank")
     if scorer is None:
-        return top(rows.withColumnRenamed("rank", "input_rank"), ["query_id"], k, F.col("input_rank"))
-    score = F.pandas_udf(scorer, "double")
-    return top(rows.withColumnRenamed("rank", "input_rank").withColumn("rerank_score", score("query", "text")), ["query_id"], k, F.col("rerank_score").desc(), F.col("input_rank"))
+        return top(rows, ["query_id"], k, F.col("input_rank"))
+    return top(rows.withColumn("rerank_score", scorer(F.col("query"), F.col("text"))), ["query_id"], k, F.col("rerank_score").desc(), F.col("input_rank"))
 
 
 def balanced(semantic: DataFrame, keyword: DataFrame, types: list[str], each: int = 6, most: int = 56) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Weights, caps, floors and bands of the breadth score.
@@ -101,7 +102,10 @@ def best_tag(tags: Column, prefer: Column) -> Column:
 
 
 def stance_counts(tags: DataFrame, by: list[str], example: str, order: list[str]) -> DataFrame:
-    """(by, stance, n, examples): counts by stance, null as unstated, and the first two examples."""
+    """(by, stance, n, examples): counts by stance, null as unstated, and the first two examples; only those two of each
+    stance are gathered."""
     rows = tags.withColumn("stance", F.coalesce("stance", F.lit("unstated")))
-    w = F.sort_array(F.collect_list(F.struct(*order, example)))
-    return rows.groupBy(*by, "stance").agg(F.count(F.lit(1)).alias("n"), F.transform(F.slice(w, 1, 2), lambda x: x[example]).alias("examples"))
+    n = rows.groupBy(*by, "stance").agg(F.count(F.lit(1)).alias("n"))
+    two = rows.withColumn("__k", F.row_number().over(W.partitionBy(*by, "stance").orderBy(*order, example))).where("__k <= 2")
+    shown = two.groupBy(*by, "stance").agg(F.transform(F.sort_array(F.collect_list(F.struct("__k", example))), lambda x: x[example]).alias("examples"))
+    return n.join(shown, [*by, "stance"])

@@ -85,9 +85,9 @@ def stepbible_morph_codes(spark: SparkSession, path: str) -> Tables:
     cut = lines.blocks(r, F.col("line").startswith("$"))
     code = F.regexp_extract("head", "^\\$\\s*(\\S+)", 1)
     rest = F.trim(F.regexp_replace("head", "^\\$\\s*\\S+\\s*", ""))
-    body = F.trim(F.concat_ws(" ", F.when(rest != "", rest), F.array_join(F.filter(F.transform("details", F.trim), lambda x: x != ""), " ")))
+    body = F.trim(F.concat_ws(" ", F.when(rest != "", rest), F.array_join(F.filter(F.transform("details", lambda x: F.trim(x)), lambda x: x != ""), " ")))
     n = cut.select(code.alias("code"), body.alias("expansion"), "file", "line_no").where("code <> ''")
-    n = ordered.first_wins(n, ["code"], ["file", "line_no"]).select("code", "expansion", F.filter(F.transform(text.alternatives(F.col("expansion")), F.trim), lambda x: x != "").alias("expansions"))
+    n = ordered.first_wins(n, ["code"], ["file", "line_no"]).select("code", "expansion", F.filter(F.transform(text.alternatives(F.col("expansion")), lambda x: F.trim(x)), lambda x: x != "").alias("expansions"))
     return {"MorphCode": n}
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from quillgraph import schemas
 from quillgraph.functions import text, vectors
-from quillgraph.operators import checks, verdict
-from quillgraph.plans.registry import query, table
+from quillgraph.operators import checks, retrieval, verdict
+from quillgraph.plans.registry import query, shared, table
 from quillgraph.plans.text_queries import DOC_WORDS
+from quillgraph.streaming import ingest
 
 #: Counts of a document that stand in for an evidence document's lists.
 DOC_COUNTS = f"SELECT doc_id, n_chars % 2 = 0 AS pan, doc_id % 3 > 0 AS robust, {DOC_WORDS} % 12 AS anchors, n_chars % 20 AS xrefs, doc_id % 15 AS conc, doc_id % 4 AS comp, doc_id % 2 AS addr FROM documents"
@@ -43,11 +44,12 @@ def stance_rollup(spark, sf_dir):
 
 @query("top_tags", "WITH e AS (SELECT user_id, event_id, value / (SELECT max(value) FROM events) AS c FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, event_id) AS r FROM e WHERE c >= 0.6) SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY r) AS tags FROM k WHERE r <= 5 GROUP BY user_id")
 def top_tags(spark, sf_dir):
+    """The surest tags of each user: ranked first, so that no list is longer than what is kept."""
     e = table(spark, sf_dir, "events")
-    most = e.agg(F.max("value").alias("m"))
-    t = e.crossJoin(F.broadcast(most)).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", (F.col("value") / F.col("m")).alias("confidence")))).alias("t"))
-    best = t.select("user_id", verdict.top_tags(F.col("t")).alias("b")).where(F.size("b") > 0)
-    return best.select("user_id", F.array_join(F.transform("b", lambda x: x["event_id"].cast("string")), ",").alias("tags"))
+    t = e.crossJoin(F.broadcast(e.agg(F.max("value").alias("m")))).select("user_id", "event_id", (F.col("value") / F.col("m")).alias("confidence"))
+    best = retrieval.top(t.where("confidence >= 0.6"), ["user_id"], 5, F.col("confidence").desc(), F.col("event_id"))
+    tags = best.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "event_id", "confidence"))).alias("t"))
+    return tags.select("user_id", F.array_join(F.transform(verdict.top_tags(F.col("t")), lambda x: x["event_id"].cast("string")), ",").alias("tags"))
 
 
 @query("json_validate", "SELECT event_id, CASE WHEN json_extract(props, '$.k') IS NULL THEN 'k' ELSE '' END AS missing, array_to_string(list_filter(json_keys(props), lambda x: x <> 'k'), ',') AS unknown FROM events")
@@ -77,7 +79,8 @@ def edge_floors(spark, sf_dir):
 @query("count_tolerance", "SELECT count(*) AS a, count(DISTINCT (l_orderkey, l_linenumber)) AS b, abs(count(*) - count(DISTINCT (l_orderkey, l_linenumber))) <= 0.01 * count(*) AS agree, floor(count(*) * 0.95)::BIGINT AS lo, ceil(count(*) * 1.05)::BIGINT AS hi FROM lineitem")
 def count_tolerance(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("a"), F.countDistinct("l_orderkey", "l_linenumber").alias("b"))
-    return c.select("a", "b", (F.abs(F.col("a") - F.col("b")) <= 0.01 * F.col("a")).alias("agree"), F.floor(F.col("a") * 0.95).alias("lo"), F.ceil(F.col("a") * 1.05).alias("hi"))
+    lo, hi = checks.band(F.col("a"), 0.05)
+    return c.select("a", "b", checks.within(F.col("b"), F.col("a"), 0.01).alias("agree"), lo.alias("lo"), hi.alias("hi"))
 
 
 @query("manifest_audit", "SELECT claim, CASE claim WHEN 'nation' THEN observed = 25 ELSE observed BETWEEN 1 AND 1000000000 END AS ok, observed FROM (SELECT 'nation' AS claim, count(*) AS observed FROM nation UNION ALL SELECT 'orders', count(*) FROM orders)")
@@ -107,12 +110,15 @@ def vector_quality(spark, sf_dir):
     return checks.vector_groups(table(spark, sf_dir, "embeddings"), "embedding", "label")
 
 
-@query("pair_cosines")
+@query("pair_cosines", """WITH h AS (SELECT md5(vec_id::VARCHAR) AS h, vec_id, embedding::DOUBLE[] AS v FROM embeddings), b AS (SELECT *, left(h, greatest(0, ceil(ln((SELECT count(*) FROM h) / 4096.0) / ln(16)))::INT) AS b FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY h, vec_id) - 1 AS k FROM b), p AS (SELECT list_cosine_similarity(x.v, y.v) AS c FROM n x JOIN n y ON x.b = y.b AND x.k + 1 = y.k WHERE x.k % 2 = 0)
+SELECT round(avg(c), 4) AS mean, round(stddev_pop(c), 4) AS deviation, count(*) AS pairs FROM p""")
 def pair_cosines(spark, sf_dir):
     return checks.pair_cosines(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
-@query("stable_ids")
+@query("stable_ids", """WITH h AS (SELECT p_partkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(p_name)) AS h FROM part)
+SELECT p_partkey, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || printf('%02x', (('0x' || substr(h, 17, 2))::INT & 63) | 128) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS id FROM h""")
 def stable_ids(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", vectors.uuid5(str(uuid.NAMESPACE_URL), F.col("p_name")).alias("id"))
 
@@ -134,17 +140,29 @@ def strong_report(spark, sf_dir):
 
 @query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
-    """Tumbling windows in batch; the same plan runs as a stream (streaming.ingest.windowed)."""
-    e = table(spark, sf_dir, "events").groupBy(F.window(F.col("ts"), "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return e.select(F.col("w.start").alias("start"), "event_type", "n")
+    """Tumbling windows in batch; the same plan runs as a stream."""
+    return ingest.windowed(table(spark, sf_dir, "events"), "ts", ["event_type"], "1 hour", "10 minutes").select("start", "event_type", "n")
+
+
+@query("event_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), n AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts, s DESC ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM n GROUP BY user_id, k")
+def event_sessions(spark, sf_dir):
+    """Runs of a user's events without a pause of half an hour."""
+    return ingest.sessions(table(spark, sf_dir, "events"), "ts", ["user_id"], "30 minutes", "10 minutes").select("user_id", "start", "n")
+
+
+@query("latest_by_key", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def latest_by_key(spark, sf_dir):
+    """The last event of each user, kept up by micro-batches that rewrite only the key partitions they touch."""
+    base = shared(spark, "latest")
+    schema = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id").schema
+    ingest.merge_latest(spark, f"{sf_dir}/events.parquet*", schema, f"{base}/out", f"{base}/progress", ["user_id"], "event_id", 8)
+    return spark.read.parquet(f"{base}/out").select("user_id", "event_type", "event_id")
 
 
 @query("stream_ingest", "SELECT event_id, user_id, event_type FROM events")
 def stream_ingest(spark, sf_dir):
     """A resumable file stream run twice: the second run finds nothing new."""
-    from quillgraph.streaming import ingest
-
-    base = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir', 'file:///tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     pick = lambda s: s.select("event_id", "user_id", "event_type")
     for _ in range(2):

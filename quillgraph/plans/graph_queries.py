@@ -4,28 +4,25 @@ domains."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.operators import graph, ordered
+from quillgraph.operators import graph, ordered, retrieval
 from quillgraph.plans.registry import query, table
 
 #: Part pairs in one order; votes are how many orders have them.
-PAIRS = "SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS votes FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_partkey <= 50 GROUP BY a.l_partkey, b.l_partkey"
+PAIRS = "SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS votes FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY a.l_partkey, b.l_partkey"
 
 
 def xrefs(spark, sf_dir) -> DataFrame:
-    """Two kinds of cross references from parts: by shared orders (votes), and from a node table (same brand, one vote)."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    a = li.where("l_partkey <= 50").select("l_orderkey", F.col("l_partkey").alias("src"))
-    pairs = a.join(li.select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("votes"))
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    same = p.where("p_partkey <= 50").select(F.col("p_partkey").alias("src"), "p_brand").join(p.where("p_partkey <= 50").select(F.col("p_partkey").alias("dst"), "p_brand"), "p_brand").where("src <> dst")
-    return pairs.select("src", "dst", F.lit("orders").alias("source"), "votes").unionByName(same.select("src", "dst", F.lit("brand").alias("source"), F.lit(1).cast("long").alias("votes"))).distinct()
+    """Two kinds of cross references from parts: by shared orders (votes; an order has a few lines), and from a node table
+    (the part whose key is a part's size, one vote)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src"))
+    pairs = li.join(li.withColumnRenamed("src", "dst"), "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("votes"))
+    sized = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), F.col("p_size").cast("long").alias("dst")).where("src <> dst")
+    return pairs.select("src", "dst", F.lit("orders").alias("source"), "votes").unionByName(sized.select("src", "dst", F.lit("size").alias("source"), F.lit(1).cast("long").alias("votes"))).distinct()
 
 
-XREFS = f"""SELECT src, dst, 'orders' AS source, votes FROM ({PAIRS}) UNION
-SELECT a.p_partkey, b.p_partkey, 'brand', 1 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE a.p_partkey <= 50 AND b.p_partkey <= 50"""
+XREFS = f"""SELECT src, dst, 'orders' AS source, votes FROM ({PAIRS}) UNION SELECT p_partkey, p_size, 'size', 1 FROM part WHERE p_partkey <> p_size"""
 
 
 def cross_ref(edges: DataFrame, k: int, min_votes: int | None = None, sources: list[str] | None = None) -> DataFrame:
@@ -34,8 +31,7 @@ def cross_ref(edges: DataFrame, k: int, min_votes: int | None = None, sources: l
         edges = edges.where(F.col("votes") >= min_votes)
     if sources is not None:
         edges = edges.where(F.col("source").isin(*sources))
-    w = W.partitionBy("src").orderBy(F.col("votes").desc(), "dst", "source")
-    return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return retrieval.top(edges, ["src"], k, F.col("votes").desc(), F.col("dst"), F.col("source"))
 
 
 @query("cross_ref_votes", f"SELECT src, dst, source, votes, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY votes DESC, dst, source) AS rank FROM ({XREFS}) WHERE votes >= 1) WHERE rank <= 20")
@@ -46,17 +42,17 @@ def cross_ref_votes(spark, sf_dir):
 @query("cross_refs_for_anchors", f"SELECT src, dst, votes FROM (SELECT src, dst, votes, row_number() OVER (PARTITION BY src ORDER BY votes DESC, dst) AS k FROM ({PAIRS}) WHERE src IN (SELECT p_partkey FROM part WHERE p_size <= 10)) WHERE k <= 12")
 def cross_refs_for_anchors(spark, sf_dir):
     anchors = table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("src"))
-    return cross_ref(xrefs(spark, sf_dir), 12, sources=["orders"]).join(anchors, "src", "left_semi").select("src", "dst", "votes")
+    return cross_ref(xrefs(spark, sf_dir).join(anchors, "src", "left_semi"), 12, sources=["orders"]).select("src", "dst", "votes")
 
 
-@query("concordance_union", "SELECT tok, ref, surface, part FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY tok, ref, surface) AS k FROM (SELECT 'l' || l_orderkey || '.' || l_linenumber AS tok, l_orderkey AS ref, l_returnflag AS surface, l_partkey AS part FROM lineitem UNION SELECT 's' || l_orderkey || '.' || l_linenumber, l_orderkey, l_linestatus, l_suppkey FROM lineitem)) WHERE k <= 30 AND part <= 40")
+@query("concordance_union", "SELECT tok, ref, surface, part FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY tok, ref, surface) AS k FROM (SELECT 'l' || l_orderkey || '.' || l_linenumber AS tok, l_orderkey AS ref, l_returnflag AS surface, l_partkey AS part FROM lineitem UNION SELECT 's' || l_orderkey || '.' || l_linenumber, l_orderkey, l_linestatus, l_suppkey FROM lineitem)) WHERE k <= 30")
 def concordance_union(spark, sf_dir):
+    """Two branches of occurrences as one set, the first 30 of each lexeme."""
     li = table(spark, sf_dir, "lineitem")
     tok = lambda p: F.concat(F.lit(p), F.col("l_orderkey"), F.lit("."), F.col("l_linenumber")).alias("tok")
-    a = li.where("l_partkey <= 40").select(tok("l"), F.col("l_orderkey").alias("ref"), F.col("l_returnflag").alias("surface"), F.col("l_partkey").alias("part"))
-    b = li.where("l_suppkey <= 40").select(tok("s"), F.col("l_orderkey").alias("ref"), F.col("l_linestatus").alias("surface"), F.col("l_suppkey").alias("part"))
-    both = a.unionByName(b).distinct().withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("tok", "ref", "surface")))
-    return both.where("k <= 30").drop("k")
+    a = li.select(tok("l"), F.col("l_orderkey").alias("ref"), F.col("l_returnflag").alias("surface"), F.col("l_partkey").alias("part"))
+    b = li.select(tok("s"), F.col("l_orderkey").alias("ref"), F.col("l_linestatus").alias("surface"), F.col("l_suppkey").alias("part"))
+    return retrieval.top(graph.union_labels(a, b).distinct(), ["part"], 30, F.col("tok"), F.col("ref"), F.col("surface")).drop("rank")
 
 
 @query("lexeme_lookup", "SELECT p_partkey, p_name, f.brand_supplier, coalesce(o.n, 0) AS occurrences FROM part LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS brand_supplier FROM lineitem GROUP BY l_partkey) f ON p_partkey = f.l_partkey LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) o ON p_partkey = o.l_partkey WHERE p_name LIKE '%1%' OR p_brand = 'Brand#11'")
@@ -68,11 +64,11 @@ def lexeme_lookup(spark, sf_dir):
     return got.select("p_partkey", "p_name", "brand_supplier", F.coalesce("n", F.lit(0)).alias("occurrences"))
 
 
-@query("occurrence_count_modes", "WITH a AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT k, sum(n) AS corrected, sum(n) FILTER (WHERE d = 1) AS as_written FROM (SELECT *, row_number() OVER (PARTITION BY k, n ORDER BY s) AS d FROM (SELECT k, n, 1 AS s FROM a UNION ALL SELECT k, n, 2 FROM b)) WHERE k <= 100 GROUP BY k")
+@query("occurrence_count_modes", "WITH a AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT k, sum(n) AS corrected, sum(n) FILTER (WHERE d = 1) AS as_written FROM (SELECT *, row_number() OVER (PARTITION BY k, n ORDER BY s) AS d FROM (SELECT k, n, 1 AS s FROM a UNION ALL SELECT k, n, 2 FROM b)) GROUP BY k")
 def occurrence_count_modes(spark, sf_dir):
     """Sums of two branches' counts: all rows, and the reference's UNION, where equal counts become one."""
     li = table(spark, sf_dir, "lineitem")
-    branch = lambda c: li.where(F.col(c) <= 100).groupBy(F.col(c).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    branch = lambda c: li.groupBy(F.col(c).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     both = branch("l_partkey").unionByName(branch("l_suppkey"))
     return both.groupBy("k").agg(F.sum("n").alias("corrected"), F.sum_distinct("n").alias("as_written"))
 
@@ -83,34 +79,35 @@ def anchor_lemmas(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("q"))
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_partkey").alias("lemma"))
     n = o.join(li, "o_orderkey").groupBy("q", "lemma").agg(F.countDistinct("o_orderkey", "l_linenumber").alias("local"))
-    top = n.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.col("local").desc(), "lemma"))).where("rank <= 40")
+    top = retrieval.top(n, ["q"], 40, F.col("local").desc(), F.col("lemma"))
     canon = li.join(top.select("lemma").distinct(), "lemma", "left_semi").groupBy("lemma").agg(F.count(F.lit(1)).alias("canon"))
     return top.join(canon, "lemma").select("q", "lemma", "local", "canon", "rank")
 
 
-@query("semantic_neighbors", "WITH a AS (SELECT DISTINCT p_brand FROM part WHERE p_partkey <= 5), c AS (SELECT p_partkey, p_type, p_brand FROM part SEMI JOIN a USING (p_brand) WHERE p_partkey > 5) SELECT p_brand, p_partkey, p_type FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_type, p_partkey) AS k FROM c) WHERE k <= 15")
+@query("semantic_neighbors", "WITH a AS (SELECT DISTINCT p_brand FROM part WHERE p_size = 1), c AS (SELECT p_partkey, p_type, p_brand FROM part SEMI JOIN a USING (p_brand) WHERE p_size <> 1) SELECT p_brand, p_partkey, p_type FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_type, p_partkey) AS k FROM c) WHERE k <= 15")
 def semantic_neighbors(spark, sf_dir):
+    """Members of the anchors' domains that aren't anchors, fifteen each; anchors are the parts of size 1."""
     p = table(spark, sf_dir, "part")
-    anchors = p.where("p_partkey <= 5").select("p_partkey", "p_brand")
+    anchors = p.where("p_size = 1").select("p_partkey", "p_brand")
     near = p.join(anchors.select("p_brand").distinct(), "p_brand", "left_semi").join(anchors.select("p_partkey"), "p_partkey", "left_anti")
-    return near.withColumn("k", F.row_number().over(W.partitionBy("p_brand").orderBy("p_type", "p_partkey"))).where("k <= 15").select("p_brand", "p_partkey", "p_type")
+    return retrieval.top(near, ["p_brand"], 15, F.col("p_type"), F.col("p_partkey")).select("p_brand", "p_partkey", "p_type")
 
 
-@query("bundle_tree", "SELECT c_custkey, o_orderkey, count(l_linenumber) AS words, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE c_custkey <= 200 GROUP BY 1, 2")
+@query("bundle_tree", "SELECT c_custkey, o_orderkey, count(l_linenumber) AS words, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_linenumber, l_partkey) AS parts FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
 def bundle_tree(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey <= 200").select("c_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey")
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
-    g = c.join(o, "c_custkey", "left").join(li, "o_orderkey", "left").groupBy("c_custkey", "o_orderkey")
-    w = F.sort_array(F.collect_list(F.when(F.col("l_linenumber").isNotNull(), F.struct("l_linenumber", "l_partkey"))))
-    return g.agg(F.count("l_linenumber").alias("words"), w.alias("w")).select("c_custkey", "o_orderkey", "words", F.when(F.size("w") > 0, F.array_join(F.expr("transform(w, x -> cast(x.l_partkey AS string))"), ",")).alias("parts"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_partkey").cast("string").alias("part"), F.struct("l_linenumber", "l_partkey").alias("at"))
+    words = li.groupBy("o_orderkey").agg(F.count("l_linenumber").alias("words"))
+    said = ordered.joined_text(li, ["o_orderkey"], "at", "part").withColumnRenamed("text", "parts")
+    return c.join(o, "c_custkey", "left").join(words.join(said, "o_orderkey"), "o_orderkey", "left").select("c_custkey", "o_orderkey", F.coalesce("words", F.lit(0)).alias("words"), "parts")
 
 
-@query("component_key_join", "SELECT r.ref, p_partkey, p_name FROM (SELECT o_orderstatus || '.' || (o_orderkey % 100 + 1) || '.' || (o_orderkey % 50 + 1) AS ref FROM orders WHERE o_orderkey <= 400) r LEFT JOIN part ON p_partkey = split_part(ref, '.', 2)::INT AND p_size = split_part(ref, '.', 3)::INT")
+@query("component_key_join", "SELECT r.ref, p_partkey, p_name FROM (SELECT o_orderstatus || '.' || (o_orderkey % 100 + 1) || '.' || (o_orderkey % 50 + 1) AS ref FROM orders) r LEFT JOIN part ON p_partkey = split_part(ref, '.', 2)::INT AND p_size = split_part(ref, '.', 3)::INT")
 def component_key_join(spark, sf_dir):
     from quillgraph.functions import refs
 
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 400").select(F.concat_ws(".", "o_orderstatus", (F.col("o_orderkey") % 100 + 1).cast("string"), (F.col("o_orderkey") % 50 + 1).cast("string")).alias("ref"))
+    o = table(spark, sf_dir, "orders").select(F.concat_ws(".", "o_orderstatus", (F.col("o_orderkey") % 100 + 1).cast("string"), (F.col("o_orderkey") % 50 + 1).cast("string")).alias("ref"))
     k = o.withColumn("p", refs.parts(F.col("ref")))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     return k.join(p, (F.col("p.chapter").cast("long") == F.col("p_partkey")) & (F.col("p.verse") == F.col("p_size")), "left").select("ref", "p_partkey", "p_name")
@@ -118,16 +115,27 @@ def component_key_join(spark, sf_dir):
 
 @query("edge_endpoints", "SELECT count(*) AS linked, (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)) AS quarantined FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
 def edge_endpoints(spark, sf_dir):
-    nodes = table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("dst_id")).distinct().withColumn("known", F.lit(True))
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("dst_id")).join(nodes, "dst_id", "left")
-    return e.agg(F.count_if(F.col("known").isNotNull()).alias("linked"), F.count_if(F.col("known").isNull()).alias("quarantined"))
+    """Edges whose end is a node, and those that go to quarantine."""
+    nodes = table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("id"))
+    known, lost = graph.quarantine(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("dst_id")), nodes, "dst_id")
+    one = F.count(F.lit(1))
+    return known.agg(one.alias("linked")).crossJoin(F.broadcast(lost.agg(one.alias("quarantined"))))
 
 
-@query("node_upsert", "SELECT coalesce(n.k, b.k) AS k, coalesce(n.name, b.name) AS name, coalesce(n.size, b.size) AS size FROM (SELECT p_partkey AS k, p_name AS name, p_size AS size FROM part WHERE p_partkey <= 100) b FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) END AS name, NULL::INT AS size FROM part WHERE p_partkey BETWEEN 50 AND 150) n ON b.k = n.k")
+@query("linked_edges", "SELECT DISTINCT l_partkey AS src_id, l_suppkey AS dst_id FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 25) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def linked_edges(spark, sf_dir):
+    """Edges both of whose ends are nodes, one for each pair."""
+    a = table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("id"))
+    b = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"))
+    return graph.link(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src_id"), F.col("l_suppkey").alias("dst_id")), a, b)
+
+
+@query("node_upsert", "SELECT coalesce(n.k, b.k) AS k, coalesce(n.name, b.name) AS name, coalesce(n.size, b.size) AS size FROM (SELECT p_partkey AS k, p_name AS name, p_size AS size FROM part WHERE p_size <= 30) b FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) END AS name, NULL::INT AS size FROM part WHERE p_size >= 20) n ON b.k = n.k")
 def node_upsert(spark, sf_dir):
+    """Small parts, merged with new names for large ones; those in between are in both."""
     p = table(spark, sf_dir, "part")
-    base = p.where("p_partkey <= 100").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
-    new = p.where("p_partkey BETWEEN 50 AND 150").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).alias("name"), F.lit(None).cast("int").alias("size"))
+    base = p.where("p_size <= 30").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    new = p.where("p_size >= 20").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).alias("name"), F.lit(None).cast("int").alias("size"))
     return graph.upsert(base, new, ["k"])
 
 
@@ -176,22 +184,20 @@ def slot_owners(spark, sf_dir):
     return textfabric.slot_owners(n)
 
 
-@query("witness_completion", "WITH u AS (SELECT DISTINCT l_orderkey AS unit FROM lineitem WHERE l_orderkey <= 300), w AS (SELECT DISTINCT l_shipmode_ AS witness FROM (SELECT l_returnflag || l_linestatus AS l_shipmode_ FROM lineitem)), a AS (SELECT l_orderkey AS unit, l_returnflag || l_linestatus AS witness, max(l_linenumber)::VARCHAR AS reading FROM lineitem GROUP BY 1, 2) SELECT u.unit, w.witness, coalesce(a.reading, 'lac') AS reading FROM u CROSS JOIN w LEFT JOIN a ON a.unit = u.unit AND a.witness = w.witness")
+@query("witness_completion", "WITH u AS (SELECT DISTINCT l_orderkey AS unit FROM lineitem), w AS (SELECT DISTINCT l_shipmode_ AS witness FROM (SELECT l_returnflag || l_linestatus AS l_shipmode_ FROM lineitem)), a AS (SELECT l_orderkey AS unit, l_returnflag || l_linestatus AS witness, max(l_linenumber)::VARCHAR AS reading FROM lineitem GROUP BY 1, 2) SELECT u.unit, w.witness, coalesce(a.reading, 'lac') AS reading FROM u CROSS JOIN w LEFT JOIN a ON a.unit = u.unit AND a.witness = w.witness")
 def witness_completion(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("witness", F.concat("l_returnflag", "l_linestatus"))
-    units = li.where("l_orderkey <= 300").select(F.col("l_orderkey").alias("unit"))
+    units = li.select(F.col("l_orderkey").alias("unit"))
     got = li.groupBy(F.col("l_orderkey").alias("unit"), "witness").agg(F.max("l_linenumber").cast("string").alias("reading"))
     return graph.completed(units, li.select("witness"), got, F.lit("lac"))
 
 
 @query("label_routing", "SELECT 'Customer' AS label, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'Supplier', count(*) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey UNION ALL SELECT 'Part', count(*) FROM lineitem JOIN part ON l_partkey = p_partkey")
 def label_routing(spark, sf_dir):
-    """Edges of several kinds, each joined to its own node table."""
-    out = None
-    for label, edges, fk, nodes, pk in (("Customer", "orders", "o_custkey", "customer", "c_custkey"), ("Supplier", "lineitem", "l_suppkey", "supplier", "s_suppkey"), ("Part", "lineitem", "l_partkey", "part", "p_partkey")):
-        e = table(spark, sf_dir, edges).select(F.col(fk).alias("k")).join(table(spark, sf_dir, nodes).select(F.col(pk).alias("k")), "k").agg(F.lit(label).alias("label"), F.count(F.lit(1)).alias("n"))
-        out = e if out is None else out.unionByName(e)
-    return out
+    """Edges of several kinds, each joined to the nodes of its own label in one table of all labels."""
+    nodes = graph.union_labels(*(table(spark, sf_dir, t).select(F.lit(label).alias("label"), F.col(pk).alias("k")) for label, t, pk in (("Customer", "customer", "c_custkey"), ("Supplier", "supplier", "s_suppkey"), ("Part", "part", "p_partkey"))))
+    edges = graph.union_labels(*(table(spark, sf_dir, t).select(F.lit(label).alias("label"), F.col(fk).alias("k")) for label, t, fk in (("Customer", "orders", "o_custkey"), ("Supplier", "lineitem", "l_suppkey"), ("Part", "lineitem", "l_partkey"))))
+    return edges.join(nodes, ["label", "k"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("coverage_full_outer", "SELECT coalesce(p_partkey, k) AS id, CASE WHEN k IS NULL THEN 'missing' ELSE 'extra' END AS status FROM part FULL JOIN (SELECT DISTINCT l_suppkey * 3 AS k FROM lineitem) ON p_partkey = k WHERE p_partkey IS NULL OR k IS NULL")

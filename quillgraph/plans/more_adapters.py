@@ -66,7 +66,7 @@ def stepbible_proper_nouns(spark: SparkSession, path: str, header: str = "^\\$=+
     p = F.split("line", "\t")
     g = lambda k: F.trim(F.coalesce(F.get(p, F.lit(k)), F.lit("")))
     kind = F.trim(F.substring(g(0), len(mark) + 1, 200))
-    n = d.where(kind.isin(*kinds)).select(g(1).alias("proper_name_entry"), "pos", g(2).alias("strong"), F.filter(F.transform(F.split(g(3), ";"), F.trim), lambda x: x != "").alias("refs"), "file", "block", "at").where("proper_name_entry <> ''")
+    n = d.where(kind.isin(*kinds)).select(g(1).alias("proper_name_entry"), "pos", g(2).alias("strong"), F.filter(F.transform(F.split(g(3), ";"), lambda x: F.trim(x)), lambda x: x != "").alias("refs"), "file", "block", "at").where("proper_name_entry <> ''")
     n = ordered.first_wins(n, ["proper_name_entry"], ["file", "block", "at"])
     n = n.select("proper_name_entry", F.trim("pos").alias("pos"), strongs.canonical(F.substring_index("strong", "=", 1))["canonical"].alias("strong"), F.when(F.size("refs") > 0, F.size("refs")).alias("verse_count"), F.coalesce(F.get("refs", F.lit(0)), F.lit("")).alias("first_occurrence"))
     return {"ProperNoun": n, "NAMED_AT": edges(n.where("first_occurrence <> ''"), F.col("proper_name_entry"), verse_id(F.col("first_occurrence")), "NAMED_AT")}
@@ -230,11 +230,11 @@ def etcbc_dss(spark: SparkSession, path: str) -> Tables:
     return {"HistoricalChunk": out.select(F.col("anchor_id").alias("chunk_id"), "anchor_id", F.lit("dss").alias("work_id"), "text", "language", F.lit("cc-by-nc-4.0").alias("license"), F.lit(False).alias("redistribute"))}
 
 
-def creed(page: DataFrame, phrases: list[str], least: int = 200) -> DataFrame:
-    """(text, _violations) of pages that must be a creed's: no disambiguation page, a phrase of it, long enough."""
+def creed(page: DataFrame, phrases: list[str], least: int = 200, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """(``keep``, text, _violations) of pages that must be a creed's: no disambiguation page, a phrase of it, long enough."""
     from quillgraph import schemas
 
-    t = page.select(markup.main_content("html")["text"].alias("text"))
+    t = page.select(*keep, markup.main_content("html")["text"].alias("text"))
     some = F.lit(False)
     for p in phrases:
         some = some | F.contains(F.lower("text"), F.lit(p.lower()))

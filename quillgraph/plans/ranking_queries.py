@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text
 from quillgraph.operators import retrieval
 from quillgraph.plans.registry import query, table
 
-#: Queries are the vectors with an id below 8; scores are rounded to 6 places and ties go by id on both sides.
-COS = "SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 8) q"
+#: Queries are the vectors whose id is divisible by 50; scores are rounded to 6 places and ties go by id on both sides.
+COS = "SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q"
 
 
 def vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return e.where("id < 8").select(F.col("id").alias("query_id"), "vector"), e
+    return e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), e
 
 
 @query("cosine_topk", f"SELECT query_id, id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({COS})) WHERE rank <= 10")
@@ -36,18 +35,18 @@ def per_type_topk(spark, sf_dir):
     return retrieval.dense_by_group(q, e, "label", 6).select("query_id", "label", "id", "rank")
 
 
-@query("balanced_union", f"""WITH s AS (SELECT query_id, label, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS rank FROM ({COS})) WHERE rank <= 6 AND label < 5),
-k AS (SELECT q AS query_id, label, vec_id AS id, row_number() OVER (PARTITION BY q ORDER BY vec_id) AS rank FROM embeddings, (SELECT unnest(range(0, 8)) AS q) WHERE vec_id % 50 = q AND label < 5),
+@query("balanced_union", f"""WITH s AS (SELECT query_id, label, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS rank FROM ({COS})) WHERE rank <= 6),
+k AS (SELECT vec_id // 50 * 50 AS query_id, label, vec_id AS id, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS rank FROM embeddings WHERE vec_id % 50 > 0),
 a AS (SELECT *, 0 AS leg FROM s UNION ALL SELECT *, 1 FROM k), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY leg, label, rank) AS d FROM a),
-o AS (SELECT query_id, label AS type, id, leg, row_number() OVER (PARTITION BY query_id ORDER BY leg, label, rank, id) AS rank FROM f WHERE d = 1) SELECT * FROM o WHERE rank <= 32""")
+o AS (SELECT query_id, label AS type, id, leg, row_number() OVER (PARTITION BY query_id ORDER BY leg, label, rank, id) AS rank FROM f WHERE d = 1) SELECT * FROM o WHERE rank <= 56""")
 def balanced_union(spark, sf_dir):
-    from pyspark.sql import Window as W
-
+    """The nearest of every type, then the vectors between a query's id and the next query's."""
     q, e = vectors(spark, sf_dir)
     s = retrieval.dense_by_group(q, e, "label", 6).select("query_id", F.col("label").cast("string").alias("type"), "id", "rank")
-    k = e.where(F.col("id") % 50 < 8).select((F.col("id") % 50).alias("query_id"), F.col("label").cast("string").alias("type"), "id").where("type < '5'")
-    k = k.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("id")))
-    return retrieval.balanced(s, k, ["0", "1", "2", "3", "4"], 6, 32).select("query_id", F.col("type").cast("int").alias("type"), "id", "leg", "rank")
+    k = e.where(F.col("id") % 50 > 0).select((F.floor(F.col("id") / 50) * 50).alias("query_id"), F.col("label").cast("string").alias("type"), "id")
+    k = retrieval.top(k, ["query_id"], 49, F.col("id"))
+    types = sorted(str(r["label"]) for r in e.select("label").distinct().collect())  # a dimension
+    return retrieval.balanced(s, k, types, 6, 56).select("query_id", F.col("type").cast("int").alias("type"), "id", "leg", "rank")
 
 
 TOKENS = "list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ({}))"
@@ -58,24 +57,24 @@ def tokens(c: str) -> str:
     return TOKENS.format(c, STOP)
 
 
-KEYWORD = f"""d AS (SELECT doc_id AS id, {tokens('text')} AS t FROM documents WHERE doc_id % 4 = 0), q AS (SELECT item_id AS query_id, {tokens('text')} AS t FROM benchmark WHERE item_id < 10),
+KEYWORD = f"""d AS (SELECT doc_id AS id, {tokens('text')} AS t FROM documents), q AS (SELECT item_id AS query_id, {tokens('text')} AS t FROM benchmark),
 dt AS (SELECT DISTINCT id, unnest(t) AS token FROM d), qt AS (SELECT DISTINCT query_id, unnest(t) AS token FROM q), i AS (SELECT token, ln(((SELECT count(*) FROM d) + 1) / (count(*) + 1)) + 1 AS idf FROM dt GROUP BY token),
 h AS (SELECT query_id, id, sum(idf) AS s FROM dt JOIN qt USING (token) JOIN i USING (token) GROUP BY 1, 2)"""
 
 
 def token_tables(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").alias("id"), text.keywords(F.col("text")).alias("tokens"))
-    q = table(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), text.keywords(F.col("text")).alias("tokens"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.keywords(F.col("text")).alias("tokens"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.keywords(F.col("text")).alias("tokens"))
     return q, d
 
 
-@query("keyword_rank", f"WITH {KEYWORD} SELECT query_id, id, round(coalesce(s, 0), 4) AS score FROM (SELECT query_id, d.id, s FROM q CROSS JOIN d LEFT JOIN h USING (query_id, id))")
+@query("keyword_rank", f"WITH {KEYWORD} SELECT query_id, id, round(s, 4) AS score FROM h")
 def keyword_rank(spark, sf_dir):
     q, d = token_tables(spark, sf_dir)
     return retrieval.keyword_rank(q, d)
 
 
-BM25 = f"""d AS (SELECT doc_id AS id, {tokens('text')} AS t FROM documents), q AS (SELECT item_id AS query_id, {tokens('text')} AS t FROM benchmark WHERE item_id < 10), qt AS (SELECT DISTINCT query_id, unnest(t) AS token FROM q),
+BM25 = f"""d AS (SELECT doc_id AS id, {tokens('text')} AS t FROM documents), q AS (SELECT item_id AS query_id, {tokens('text')} AS t FROM benchmark), qt AS (SELECT DISTINCT query_id, unnest(t) AS token FROM q),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), tf AS (SELECT id, len(t) AS dl, token, count(*) AS tf FROM (SELECT id, t, unnest(t) AS token FROM d) GROUP BY id, len(t), token), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
 s AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN qt USING (token) JOIN df USING (token), st GROUP BY 1, 2),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
@@ -83,7 +82,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 
 def bm25_rows(spark, sf_dir, k):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.keywords(F.col("text")).alias("tokens"))
-    q = table(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), text.keywords(F.col("text")).alias("tokens"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.keywords(F.col("text")).alias("tokens"))
     return retrieval.bm25(q, d, k)
 
 
@@ -92,14 +91,14 @@ def bm25_topk(spark, sf_dir):
     return bm25_rows(spark, sf_dir, 10).select("query_id", "id", F.round("score", 3).alias("score"), "rank")
 
 
-HYBRID = f"""{BM25}, dn AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({COS})) WHERE rank <= 20), sp AS (SELECT query_id, id, rank FROM b WHERE rank <= 20 AND query_id < 8),
+HYBRID = f"""{BM25}, dn AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({COS})) WHERE rank <= 20), sp AS (SELECT query_id, id, rank FROM b WHERE rank <= 20),
 f AS (SELECT query_id, id, dn.rank AS dr, sp.rank AS sr, round(coalesce(1.0::DOUBLE / (60 + dn.rank), 0) + coalesce(1.0::DOUBLE / (60 + sp.rank), 0), 8) AS score FROM dn FULL JOIN sp USING (query_id, id)),
 g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dr NULLS LAST, sr, id) AS rank FROM f)"""
 
 
 def hybrid_legs(spark, sf_dir):
     q, e = vectors(spark, sf_dir)
-    return retrieval.dense(q, e, 20), bm25_rows(spark, sf_dir, 20).where("query_id < 8")
+    return retrieval.dense(q, e, 20), bm25_rows(spark, sf_dir, 20)
 
 
 @query("rrf_hybrid", f"WITH {HYBRID} SELECT query_id, id, score, rank FROM g WHERE rank <= 10")
@@ -115,24 +114,22 @@ def hybrid_expand(spark, sf_dir):
     return retrieval.hybrid(d, s, 10, every)
 
 
-@query("rerank_topk")
+@query("rerank_topk", f"WITH {BM25}, r AS (SELECT b.query_id, b.id, b.rank AS input_rank, len(list_intersect(list_distinct(string_split_regex(trim(x.text), '\\s+')), list_distinct(string_split_regex(trim(d.text), '\\s+'))))::DOUBLE AS rerank_score FROM b JOIN benchmark x ON x.item_id = b.query_id JOIN documents d ON d.doc_id = b.id WHERE b.rank <= 20) SELECT * EXCLUDE (input_rank) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, input_rank) AS rank FROM r) WHERE rank <= 5")
 def rerank_topk(spark, sf_dir):
-    """Reranking with a stand-in scorer: shared distinct words."""
+    """Reranking with a stand-in scorer: shared distinct words, as a Column. Query texts come by a join of their ids."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    hits = bm25_rows(spark, sf_dir, 20).join(F.broadcast(table(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))), "query_id")
-    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float(len(set((x or "").split()) & set((y or "").split()))) for x, y in zip(a, b)])
-
+    hits = bm25_rows(spark, sf_dir, 20).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    overlap = lambda a, b: F.size(F.array_intersect(F.split(F.trim(a), "\\s+"), F.split(F.trim(b), "\\s+"))).cast("double")
     return retrieval.rerank(hits, docs, 5, overlap).select("query_id", "id", "rerank_score", "rank")
 
 
-@query("question_match", f"""WITH r AS (SELECT query_id, id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({COS}) WHERE id >= 8), c AS (SELECT query_id, max(CASE WHEN rank = 1 THEN id END) AS best, max(CASE WHEN rank = 1 THEN score END) AS s1, max(CASE WHEN rank = 2 THEN score END) AS s2 FROM r GROUP BY 1),
+@query("question_match", f"""WITH r AS (SELECT query_id, id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({COS}) WHERE id % 50 > 0), c AS (SELECT query_id, max(CASE WHEN rank = 1 THEN id END) AS best, max(CASE WHEN rank = 1 THEN score END) AS s1, max(CASE WHEN rank = 2 THEN score END) AS s2 FROM r GROUP BY 1),
 n AS (SELECT r.query_id, count(*) AS near, min(CASE WHEN id % 5 = 0 THEN r.rank END) AS liked FROM r JOIN c ON r.query_id = c.query_id WHERE round(s1 - score, 6) <= 0.04 AND r.rank <= 50 GROUP BY 1),
 h AS (SELECT *, s1 >= 0.5 AND round(s1 - s2, 6) >= 0.03 AS high FROM c JOIN n USING (query_id))
 SELECT h.query_id, CASE WHEN s1 <= 0 THEN NULL WHEN high OR near <= 1 OR liked IS NULL THEN CASE WHEN best % 5 = 0 THEN 'doc-' ELSE 'cult-' END || best ELSE 'doc-' || r.id END AS matched, CASE WHEN s1 <= 0 THEN 'none' WHEN high THEN 'high' ELSE 'ambiguous' END AS confidence FROM h LEFT JOIN r ON r.query_id = h.query_id AND r.rank = h.liked""")
 def question_match(spark, sf_dir):
     q, e = vectors(spark, sf_dir)
-    r = retrieval.dense(q, e.where("id >= 8"), 50)
+    r = retrieval.dense(q, e.where("id % 50 > 0"), 50)
     named = F.concat(F.when(F.col("id") % 5 == 0, "doc-").otherwise("cult-"), F.col("id"))
     return retrieval.assess(r.select("query_id", named.alias("id"), F.round("score", 4).alias("score"), "rank"), "semantic")
 

@@ -193,7 +193,9 @@ def classify(propositions: DataFrame, questions: DataFrame) -> DataFrame:
     q = propositions.select("query_id", text.keywords(F.col("proposition")).alias("tokens"))
     d = questions.select(F.col("question_id").alias("id"), text.keywords(F.concat_ws(" ", "statement", F.translate("question_id", "-", " "))).alias("tokens"))
     ranked = retrieval.top(retrieval.keyword_rank(q, d), ["query_id"], 50, F.col("score").desc(), F.col("id"))
-    return retrieval.assess(ranked, "keyword")
+    # queries that share no word with any question match none
+    found = retrieval.assess(ranked, "keyword")
+    return q.select("query_id").join(found, "query_id", "left").select("query_id", "matched", F.coalesce("confidence", F.lit("none")).alias("confidence"))
 
 
 #: What verdicts and bands are called for readers.

@@ -140,9 +140,8 @@ def message_sequence(spark, sf_dir):
 
 @query("verse_text", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id")
 def verse_text(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull())
-    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("p"))
-    return g.select("conv_id", F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"))
+    c = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull()).withColumn("at", F.struct("turn", "text"))
+    return ordered.joined_text(c, ["conv_id"], "at", "text")
 
 
 @query("majority_vote", "SELECT user_id, arg_max(event_type, (n, event_type)) AS event_type FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY user_id")
@@ -224,6 +223,6 @@ def line_context(spark, sf_dir):
     return r.select("doc_id", "n", F.when(F.contains(near, F.lit("%%%")), "context").otherwise("plain").alias("category"))
 
 
-@query("normal_forms")
+@query("normal_forms", "SELECT doc_id, nullif(trim(nfc_normalize(text)), '') AS nfc, nfc_normalize(strip_accents(text)) AS plain FROM documents")
 def normal_forms(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.nfc("text").alias("nfc"), text.without_accents("text").alias("plain"))

@@ -8,11 +8,22 @@ from pyspark.sql import functions as F
 
 
 def lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(file, line_no from 1, line); a byte-order mark and the last line's end are dropped. Files are read whole, one row each, then split."""
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", encoding).alias("t"))
-    text = F.regexp_replace("t", "^\ufeff|(\r\n|\n|\r)\\z", "")
-    out = raw.select("file", F.posexplode(F.split(text, "\r\n|\n|\r")).alias("at", "line"))
-    return out.select("file", (F.col("at") + 1).alias("line_no"), "line")
+    """(file, line_no from 1, line); a byte-order mark is dropped.
+
+    UTF-8 files are read in splits, whatever their size: a line's number is that of the lines in the file's splits before
+    (one small row a split) and its place in its own. Other encodings are read whole, a row each, then split.
+    """
+    if encoding.upper() not in ("UTF-8", "US-ASCII"):
+        raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", encoding).alias("t"))
+        out = raw.select("file", F.posexplode(F.split(F.regexp_replace("t", "(\r\n|\n|\r)\\z", ""), "\r\n|\n|\r")).alias("at", "line"))
+        return out.select("file", (F.col("at") + 1).alias("line_no"), "line")
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("line"))
+    split = raw.groupBy("file", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("file").orderBy("__start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    split = split.select("file", "__start", "__first", before.alias("__before"))
+    n = (F.col("__before") + F.col("__id") - F.col("__first") + 1).cast("int")
+    numbered = raw.join(F.broadcast(split), ["file", "__start"]).select("file", n.alias("line_no"), "line")
+    return numbered.withColumn("line", F.when(F.col("line_no") == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")))
 
 
 def fields(rows: DataFrame, names: list[str], sep: str = "\t") -> DataFrame:

@@ -163,3 +163,22 @@ def test_structure_of_works(spark):
     assert [r["anchor_id"] for r in s] == ["STEM.darby.work1.001"] and len(s[0]["text"].split()) == 300
     o = adapters.oca_hopko(spark.createDataFrame([("https://r/a/b", "<h1>T</h1><p>" + "y" * 120 + "</p><div class='page-footer'><p>" + "z" * 90 + "</p></div>"), ("https://r/c", "<p>few</p>"), ("https://q/a", p)], "url string, html string"), "https://r").collect()
     assert [(r["anchor_id"], len(r["text"]), r["redistribute"]) for r in o] == [("OCA.a.b", 120, False)]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Numbers go on from split to split, file by file; all kinds of line ends, a mark at the start, no last end."""
+    from quillgraph.sources import text as lines
+
+    (tmp_path / "a.txt").write_bytes(("﻿" + "".join(f"line {k} é\r\n" for k in range(5000)) + "last").encode())
+    (tmp_path / "b.txt").write_text("one\n\nthree\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        df = lines.lines(spark, str(tmp_path / "*.txt"))
+        got = sorted((r["file"].rsplit("/", 1)[-1], r["line_no"], r["line"]) for r in df.collect())
+        assert df.rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted([*(("a.txt", k + 1, f"line {k} é") for k in range(5000)), ("a.txt", 5001, "last"), ("b.txt", 1, "one"), ("b.txt", 2, ""), ("b.txt", 3, "three")])
+    (tmp_path / "l.dat").write_bytes("caf\xe9\nx\n".encode("latin-1"))
+    assert [r["line"] for r in lines.lines(spark, str(tmp_path / "l.dat"), "ISO-8859-1").orderBy("line_no").collect()] == ["café", "x"]
