@@ -55,7 +55,11 @@ def lined(df: DataFrame, *cols: Column | str, sep: str = "\t") -> DataFrame:
     return df.select(F.col("k").alias("at"), F.concat_ws(sep, *(F.coalesce(c.cast("string"), F.lit("")) if isinstance(c, Column) else F.lit(c) for c in cols)).alias("line"))
 
 
-K, NAME, BRAND, TYPE, SIZE = (F.col(c) for c in ("k", "name", "brand", "type", "size"))
+def columns(*names: str) -> list[Column]:
+    """Columns of ``parts``; made in a query, as there is no session before."""
+    return [F.col(c) for c in names]
+
+
 P = "p AS (SELECT p_partkey AS k, p_name AS name, p_brand AS brand, p_type AS type, p_size AS size FROM part)"
 
 
@@ -66,12 +70,14 @@ def code(letter: str, n: Column) -> Column:
 @query("adapter_morphgnt", f"""WITH {P}, w AS (SELECT *, {adapters.GREEK_BOOKS}[1 + k % 27] || '.' || size || '.1' AS osis FROM p), a AS (SELECT *, osis || '.' || printf('%02d', row_number() OVER (PARTITION BY osis ORDER BY k)) AS wpos FROM w)
 SELECT 'Word' AS kind, 'morphgnt:' || wpos AS key, brand || '/' || type AS value FROM a UNION ALL SELECT 'Verse', osis, string_agg(brand, ' ' ORDER BY k) FROM a GROUP BY osis UNION ALL SELECT 'IN_VERSE', 'morphgnt:' || wpos, 'verse:' || osis FROM a UNION ALL SELECT 'PARSE_OF', 'morphgnt:' || wpos, 'macula:' || wpos FROM a""")
 def adapter_morphgnt(spark, sf_dir):
+    K, BRAND, TYPE, SIZE = columns("k", "brand", "type", "size")
     bcv = F.concat(F.format_string("%02d", (K % 27 + 1).cast("int")), F.format_string("%02d", SIZE), F.lit("01"))
     t = adapters.morphgnt(spark, put(spark, lined(parts(spark, sf_dir), bcv, "N-", "----NSF-", BRAND, F.lower(BRAND), "norm", TYPE, sep=" "), "61-morphgnt", ["# no line of words"]))
     return flat(t, Word=("id", F.concat_ws("/", "surface", "lemma")), Verse=("osis", "text"))
 
 
 def brief(spark, sf_dir, read, letter: str) -> DataFrame:
+    K, NAME, BRAND, TYPE, SIZE = columns("k", "name", "brand", "type", "size")
     p = parts(spark, sf_dir)
     once = lined(p, code(letter, K), code(letter, K), code("", K), F.when(SIZE % 5 > 0, NAME), F.when(SIZE % 10 > 0, F.upper(NAME)), "N", F.when(SIZE % 7 > 0, TYPE), BRAND)
     again = lined(p.withColumn("k", K), code(letter, K), "x", code(letter, K), F.lit("later"), "y", "z", "w", "v").withColumn("at", F.col("at") + 10**9)
@@ -99,6 +105,7 @@ def adapter_stepbible_tbesg(spark, sf_dir):
 @query("adapter_stepbible_tflsj", f"WITH {P} SELECT 'LsjEntry' AS kind, 'lsj:G' || k AS key, printf('G%04d', k) || '/' || replace(name, 'e', 'e') || '/' || CASE WHEN size % 3 > 0 THEN brand ELSE '-' END AS value FROM p UNION ALL SELECT 'LEX_FOR', 'lsj:G' || k, printf('G%04d', k) FROM p")
 def adapter_stepbible_tflsj(spark, sf_dir):
     """Lemmas with an accent on each e, which the unaccented form loses."""
+    K, NAME, BRAND, TYPE, SIZE = columns("k", "name", "brand", "type", "size")
     rows = lined(parts(spark, sf_dir), code("G", K), "d", "u", F.replace(NAME, F.lit("e"), F.lit("é")), "t", "N", TYPE, F.when(SIZE % 3 > 0, BRAND))
     t = adapters.stepbible_tflsj(spark, put(spark, rows, "lsj", ["prose", "eStrong\td\tu\tl\tt\tp\te\tx"]))
     return flat(t, LsjEntry=("id", F.concat_ws("/", "strong", "lemma_unaccented", F.coalesce("lsj_definition", F.lit("-")))))
@@ -106,6 +113,7 @@ def adapter_stepbible_tflsj(spark, sf_dir):
 
 @query("adapter_stepbible_morph_codes", f"WITH {P} SELECT 'MorphCode' AS kind, 'C' || k AS key, CASE size % 3 WHEN 0 THEN name || ';' || brand WHEN 1 THEN type || ' ' || name ELSE type || ' ' || name || ';' || brand END AS value FROM p")
 def adapter_stepbible_morph_codes(spark, sf_dir):
+    K, NAME, BRAND, TYPE, SIZE = columns("k", "name", "brand", "type", "size")
     p = parts(spark, sf_dir)
     head = p.select((K * 3).alias("at"), F.concat(F.lit("$ C"), K, F.when(SIZE % 3 > 0, F.concat(F.lit("\t"), TYPE)).otherwise("")).alias("line"))
     first = p.select((K * 3 + 1).alias("at"), F.concat(F.lit("  "), NAME).alias("line"))
@@ -116,6 +124,7 @@ def adapter_stepbible_morph_codes(spark, sf_dir):
 
 @query("adapter_stepbible_tvtms", f"WITH {P}, r AS (SELECT *, 'tvtms:english:' || brand || ':hebrew:B.' || size || ':' || type AS b, row_number() OVER (PARTITION BY brand, size, type ORDER BY k) - 1 AS d FROM p) SELECT 'VersificationRule' AS kind, b || CASE WHEN d = 0 THEN '' ELSE '#' || d END AS key, name AS value FROM r")
 def adapter_stepbible_tvtms(spark, sf_dir):
+    NAME, BRAND, TYPE, SIZE = columns("name", "brand", "type", "size")
     t = adapters.stepbible_tvtms(spark, put(spark, lined(parts(spark, sf_dir), "english", BRAND, "hebrew", F.concat(F.lit("B."), SIZE), TYPE, NAME), "tvtms", ["# a comment", ""]))
     return flat(t, VersificationRule=("id", "note"))
 
@@ -124,6 +133,7 @@ def adapter_stepbible_tvtms(spark, sf_dir):
 SELECT 'OPENBIBLE_CROSS_REF' AS kind, 'verse:' || fm AS key, 'verse:' || t || '=' || v AS value FROM m WHERE k % 17 > 0 UNION ALL SELECT 'quarantine', 'bad', t || '=' || v FROM m WHERE k % 17 = 0""")
 def adapter_openbible(spark, sf_dir):
     """Ranges count as their first verse; votes that are no number drop the row; one verse is mapped by a rule."""
+    K, SIZE = columns("k", "size")
     rows = lined(parts(spark, sf_dir), F.when(K % 17 == 0, "bad").otherwise(F.concat(F.lit("Gen."), SIZE, F.lit("."), K % 30)), F.concat(F.lit("Exod."), K % 40, F.lit(".1-Exod."), K % 40, F.lit(".4")), F.when(K % 13 > 0, (K % 11).cast("string")).otherwise("many"))
     rules = spark.createDataFrame([(1, "Gen.1.1", "Lev.9.9"), (2, "Gen.1.1", "Lev.8.8")], "line_no int, from_ref string, to_ref string")
     t = adapters.openbible(spark, put(spark, rows, "openbible", ["From\tTo\tVotes"]), rules)
@@ -137,6 +147,7 @@ KEYS = [*dict.fromkeys(BOOKS.values())]
 @query("adapter_tsk", f"""WITH {P}, r AS (SELECT k, {KEYS}[1 + k % 66] || '.' || size || '.' || (k % 9 + 1) AS f, k % 20 + 1 AS v, size FROM p WHERE k % 19 > 0), x AS (SELECT DISTINCT f, unnest(['John.' || size || '.' || v, 'John.' || size || '.' || (v + 1), 'Ps.3.' || v]) AS t FROM r)
 SELECT 'CrossRef' AS kind, 'tsk:' || f || ':' || t AS key, f || '>' || t AS value FROM x UNION ALL SELECT 'CROSS_REF', 'tsk:' || f || ':' || t, 'verse:' || t FROM x""")
 def adapter_tsk(spark, sf_dir):
+    K, BRAND, SIZE = columns("k", "brand", "size")
     v = K % 20 + 1
     refs = F.concat(F.lit("John."), SIZE, F.lit("."), v, F.lit("-"), v + 1, F.lit(";Ps.3."), v, F.lit(",x"))
     rows = lined(parts(spark, sf_dir), F.when(K % 19 > 0, (K % 66 + 1).cast("string")).otherwise("?"), SIZE, K % 9 + 1, "1", BRAND, refs)
@@ -146,6 +157,7 @@ def adapter_tsk(spark, sf_dir):
 @query("adapter_peshitta", f"WITH {P}, w AS (SELECT *, 'Matt.' || size || '.' || (k % 5) AS r, CASE WHEN k % 4 > 0 THEN k % 7 ELSE row_number() OVER (ORDER BY k) END AS a FROM p), o AS (SELECT r, a, arg_min(name || '/' || CASE WHEN size % 3 = 0 THEN '-' ELSE type END, k) AS v FROM w GROUP BY r, a) SELECT 'SyriacWord' AS kind, 'peshitta:' || r || ':' || a AS key, v AS value FROM o UNION ALL SELECT 'IN_VERSE', 'peshitta:' || r || ':' || a, 'verse:' || r FROM o")
 def adapter_peshitta(spark, sf_dir):
     """Words without a place get that of their row; of equal ids the first stays."""
+    K, NAME, BRAND, TYPE, SIZE = columns("k", "name", "brand", "type", "size")
     rows = lined(parts(spark, sf_dir), F.concat(F.lit("Matt."), SIZE, F.lit("."), K % 5), F.when(K % 4 > 0, (K % 7).cast("string")), NAME, BRAND, F.when(SIZE % 3 > 0, TYPE), "m")
     t = adapters.peshitta(spark, put(spark, rows, "peshitta", ["verse_ref\ttoken_pos\ttext\tlex\tgloss\tmorph"]))
     return flat(t, SyriacWord=("id", F.concat_ws("/", "text", F.coalesce("gloss", F.lit("-")))))
@@ -158,6 +170,7 @@ SELECT 'TaggedToken' AS kind, id AS key, v AS value FROM i UNION ALL SELECT 'IN_
 
 @query("adapter_stepbible_tagnt", tagged_sql("STEPBible-TAGNT", "G"))
 def adapter_stepbible_tagnt(spark, sf_dir):
+    K, NAME, BRAND, SIZE = columns("k", "name", "brand", "size")
     ref = F.concat(F.lit("Gen."), SIZE, F.lit("."), K % 5, F.lit("#"), F.format_string("%02d", (K % 20).cast("int")), F.lit("=NKO"))
     t = adapters.stepbible_tagnt(spark, put(spark, lined(parts(spark, sf_dir), ref, BRAND, NAME, F.concat(code("G", K), F.lit("=N-NSF"))), "tagnt", ["Word & Type\tGreek"]))
     return flat(t, TaggedToken=("id", F.concat_ws("/", "strong", "surface")))
@@ -165,6 +178,7 @@ def adapter_stepbible_tagnt(spark, sf_dir):
 
 @query("adapter_stepbible_tahot", tagged_sql("STEPBible-TAHOT", "H"))
 def adapter_stepbible_tahot(spark, sf_dir):
+    K, NAME, BRAND, SIZE = columns("k", "name", "brand", "size")
     ref = F.concat(F.lit("Gen."), SIZE, F.lit("."), K % 5, F.lit("#"), F.format_string("%02d", (K % 20).cast("int")), F.lit("=L"))
     strong = F.when(K % 2 == 0, F.concat(F.lit("H9003/{"), code("H", K), F.lit("}"))).otherwise(F.concat(code("H", K), F.lit("_A")))
     t = adapters.stepbible_tahot(spark, put(spark, lined(parts(spark, sf_dir), ref, BRAND, "t", NAME, strong, "HN"), "tahot", ["intro"]))
@@ -174,6 +188,7 @@ def adapter_stepbible_tahot(spark, sf_dir):
 @query("adapter_stepbible_ttesv", f"WITH {P}, w AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'Gen' ELSE 'John' END || '.' || size || '.' || k AS r, k % 9 + 1 AS a, CASE WHEN k % 2 = 0 THEN 'H' ELSE 'G' END || printf('%04d', k + 1) AS s FROM p WHERE size % 6 > 0) SELECT 'TaggedToken' AS kind, 'ttesv:' || r || '#' || printf('%02d', a) AS key, s AS value FROM w UNION ALL SELECT 'INSTANCE_OF', 'ttesv:' || r || '#' || printf('%02d', a), s FROM w")
 def adapter_stepbible_ttesv(spark, sf_dir):
     """A verse's first good tag counts; segments without one give no token."""
+    K, SIZE = columns("k", "size")
     tag = F.when(SIZE % 6 > 0, F.concat(K % 9 + 1, F.lit("=<"), K + 1, F.lit("+7>")))
     rows = lined(parts(spark, sf_dir), F.concat(F.when(K % 2 == 0, "$Gen ").otherwise("$John "), SIZE, F.lit(":"), K), "no tag", tag, F.when(SIZE % 6 > 0, "99=<5>"))
     return flat(more_adapters.stepbible_ttesv(spark, put(spark, rows, "ttesv", ["prose"])), TaggedToken=("id", "strong"))
@@ -181,6 +196,7 @@ def adapter_stepbible_ttesv(spark, sf_dir):
 
 @query("adapter_stepbible_proper_nouns", f"""WITH {P} SELECT 'ProperNoun' AS kind, name || k AS key, type || '/' || printf('H%04d', k) || '/' || CASE WHEN size % 4 > 0 THEN '2' ELSE '-' END AS value FROM p WHERE k % 5 > 0 UNION ALL SELECT 'NAMED_AT', name || k, 'verse:Exod.' || size || '.1' FROM p WHERE k % 5 > 0 AND size % 4 > 0""")
 def adapter_stepbible_proper_nouns(spark, sf_dir):
+    K, NAME, TYPE, SIZE = columns("k", "name", "type", "size")
     p = parts(spark, sf_dir)
     head = p.select((K * 2).alias("at"), F.concat(F.lit("$=== "), TYPE).alias("line"))
     body = lined(p.withColumn("k", K), F.when(K % 5 > 0, "– Named").otherwise("– Other"), F.concat(NAME, K), F.concat(code("H", K), F.lit("=x")), F.when(SIZE % 4 > 0, F.concat(F.lit("Exod."), SIZE, F.lit(".1; Gen.1.1")))).withColumn("at", F.col("at") * 2 + 1)
@@ -191,6 +207,7 @@ def adapter_stepbible_proper_nouns(spark, sf_dir):
 @query("adapter_macula_greek", f"""WITH {P}, w AS (SELECT *, 'macula:n' || k AS id, printf('G%04d', size) AS s FROM p) SELECT 'Word' AS kind, id AS key, s || '/' || CASE WHEN size % 4 > 0 THEN type ELSE '-' END AS value FROM w UNION ALL SELECT 'GreekLemma', 'gk:' || s, min(name) FROM w GROUP BY s UNION ALL SELECT 'INSTANCE_OF', id, 'gk:' || s FROM w
  UNION ALL SELECT 'IN_DOMAIN', id, 'ln:' || size || '=' || (k % 90) FROM w UNION ALL SELECT 'IN_DOMAIN', id, 'ln:33=7' FROM w WHERE k % 2 = 0""")
 def adapter_macula_greek(spark, sf_dir):
+    K, NAME, TYPE, SIZE = columns("k", "name", "type", "size")
     rows = lined(parts(spark, sf_dir), F.concat(F.lit("n"), K), "r", NAME, NAME, SIZE, "N", F.when(SIZE % 4 > 0, TYPE).otherwise("n/a"), "d", F.concat(SIZE, F.lit("."), K % 90, F.lit("a bad"), F.when(K % 2 == 0, " 33:7").otherwise("")))
     t = adapters.macula_greek(spark, put(spark, rows, "macula", ["xml_id\tref\ttext\tlemma\tstrong\tmorph\tgloss\tdomain\tln"]))
     return flat(t, Word=("id", F.concat_ws("/", "strong", F.coalesce("gloss", F.lit("-")))), GreekLemma=("id", "lemma"), IN_DOMAIN=("src_id", F.concat_ws("=", "dst_id", F.col("subdomain_code").cast("string"))))
@@ -206,6 +223,7 @@ def element(tag: str, text: Column | str, **attributes: Column | str) -> Column:
 @query("adapter_macula_hebrew", f"""WITH {P}, w AS (SELECT *, 'macula:' || k AS id, printf('H%04d', size) AS s, CASE WHEN k % 3 > 0 THEN printf('G%04d', k % 40 + 1) END AS g FROM p) SELECT 'MaculaToken' AS kind, id AS key, s || '/' || brand AS value FROM w UNION ALL SELECT 'Lemma', 'hb:' || s, min(name) FROM w GROUP BY s UNION ALL SELECT 'INSTANCE_OF', id, 'hb:' || s FROM w
  UNION ALL SELECT 'BRIDGES_LXX', 'hb:' || s, 'gk:' || g || '=' || arg_min(type, id) FROM w WHERE g IS NOT NULL GROUP BY s, g""")
 def adapter_macula_hebrew(spark, sf_dir):
+    K, NAME, BRAND, TYPE, SIZE = columns("k", "name", "brand", "type", "size")
     p = parts(spark, sf_dir)
     w = p.select(K.alias("at"), element("w", BRAND, ref="GEN 1:1!1", id=K, lemma=NAME, morph="m", gloss="g", strongnumberx=SIZE, greek=TYPE, greekstrong=F.when(K % 3 > 0, (K % 40 + 1).cast("string")).otherwise("")).alias("line"))
     t = adapters.macula_hebrew(spark, put(spark, w, "hebrew", ["<x>"], ["</x>"]))
@@ -218,6 +236,7 @@ SELECT 'Verse' AS kind, osis AS key, 'br' || brand || CASE WHEN k % 4 = 0 THEN '
  UNION ALL SELECT 'Morpheme', 'oshb:b' || k || '.0', CASE WHEN k % 4 = 0 THEN 'K' || k ELSE type END FROM v UNION ALL SELECT 'Morpheme', 'oshb:q' || k || '.0', 'Q' || k FROM v WHERE k % 4 = 0""")
 def adapter_oshb(spark, sf_dir):
     """Verses of two words; the second of one verse in four is written one way and read another."""
+    K, BRAND, TYPE, SIZE = columns("k", "brand", "type", "size")
     a = element("w", F.concat(F.lit("br/"), BRAND), id=F.concat(F.lit("a"), K), lemma=F.concat(F.lit("b/"), K + 1), morph="HR")
     read = F.concat(element("w", F.concat(F.lit("K"), K), id=F.concat(F.lit("b"), K), lemma="5", type="x-ketiv"), F.lit("<note><rdg>"), element("w", F.concat(F.lit("Q"), K), id=F.concat(F.lit("q"), K), lemma="6"), F.lit("</rdg></note>"))
     b = F.when(K % 4 == 0, read).otherwise(element("w", TYPE, id=F.concat(F.lit("b"), K), lemma="5"))
@@ -230,6 +249,7 @@ def adapter_oshb(spark, sf_dir):
 @query("adapter_vulgate_clementine", f"WITH {P} SELECT 'VulgateVerse' AS kind, 'Gen.1.' || k AS key, name || ' et ' || type || '/' || brand || ' [x]' AS value FROM p")
 def adapter_vulgate_clementine(spark, sf_dir):
     """Bracketed notes, one inside another, leave the text."""
+    K, NAME, BRAND, TYPE = columns("k", "name", "brand", "type")
     said = F.concat(NAME, F.lit(" ["), BRAND, F.lit(" [x]]  et "), TYPE)
     t = adapters.vulgate_clementine(spark, put(spark, parts(spark, sf_dir).select(K.alias("at"), element("verse", said, osis=F.concat(F.lit("Gen.1."), K), canon="OT").alias("line")), "vulgate", ["<x>"], ["</x>"]))
     return flat(t, VulgateVerse=("osis", F.concat_ws("/", "text_latin", F.array_join("transcription_notes", ";"))))
@@ -238,6 +258,7 @@ def adapter_vulgate_clementine(spark, sf_dir):
 @query("adapter_theographic", f"""WITH {P} SELECT 'Entity' AS kind, 'e' || k AS key, type || '/' || name || '/' || CASE WHEN k % 5 > 0 THEN (size * 10 - 300)::VARCHAR ELSE '-' END AS value FROM p UNION ALL SELECT 'MENTIONS', 'e' || k, 'verse:Gen.' || size || '.1' FROM p
  UNION ALL SELECT 'Period', floor((size * 10 - 300) / 100)::INT::VARCHAR, count(DISTINCT size)::VARCHAR FROM p WHERE k % 5 > 0 GROUP BY 2""")
 def adapter_theographic(spark, sf_dir):
+    K, NAME, TYPE, SIZE = columns("k", "name", "type", "size")
     verse = F.concat(F.lit("Gen."), SIZE, F.lit(".1"))
     e = F.struct(F.concat(F.lit("e"), K).alias("id"), F.struct(TYPE.alias("entity_type"), NAME.alias("name"), F.array(verse, verse).alias("verses"), F.when(K % 5 > 0, F.concat(SIZE * 10 - 300, F.lit(".5"))).otherwise("unknown").alias("year")).alias("fields"))
     last = parts(spark, sf_dir).agg(F.max("k")).first()[0] or 0
@@ -261,6 +282,7 @@ def one(spark, *said: str) -> DataFrame:
  UNION ALL SELECT 'CONTAINS_WORD', 'bhsa:tf:' || (2 * n + p_partkey + 1), 'bhsa:tf:' || (2 * p_partkey + j) FROM n, part, (VALUES (1), (2)) AS t(j)""")
 def adapter_bhsa(spark, sf_dir):
     """Two words and a phrase over them for each part; the phrases' slots are bare values after the first."""
+    K, = columns("k")
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     n = p.count()
     slots = p.select(K.alias("at"), F.concat(F.when(K == 0, f"{2 * n + 1}\t").otherwise(""), 2 * K + 1, F.lit("-"), 2 * K + 2).alias("line"))
@@ -271,12 +293,14 @@ def adapter_bhsa(spark, sf_dir):
 @query("adapter_etcbc_phono", f"WITH {P} SELECT 'phono' AS kind, 'bhsa:tf:' || (k + 10) AS key, name AS value FROM p WHERE size % 4 > 0")
 def adapter_etcbc_phono(spark, sf_dir):
     """Values of nodes in a row from 10 on; a blank line is a node without a value."""
+    K, NAME, SIZE = columns("k", "name", "size")
     rows = parts(spark, sf_dir).select(K.alias("at"), F.concat(F.when(K == 0, "10\t").otherwise(""), F.when(SIZE % 4 > 0, NAME).otherwise("")).alias("line"))
     return flat(more_adapters.etcbc_phono(spark, fabric(spark, sf_dir, {"phono": rows})), phono=("id", "phono"))
 
 
 @query("adapter_etcbc_parallels", f"WITH {P}, r AS (SELECT *, max(CASE WHEN k % 3 = 0 THEN k END) OVER (ORDER BY k) AS s FROM p) SELECT 'PARALLEL_OF' AS kind, 'bhsa:tf:' || s AS key, 'bhsa:tf:' || size || '=' || round(k % 100 / 100.0::DOUBLE, 2) AS value FROM r WHERE k % 7 > 0 UNION ALL SELECT 'quarantine', s::VARCHAR, size::VARCHAR FROM r WHERE k % 7 = 0")
 def adapter_etcbc_parallels(spark, sf_dir):
+    K, SIZE = columns("k", "size")
     rows = parts(spark, sf_dir).select(K.alias("at"), F.concat_ws("\t", F.when(K % 3 == 0, K.cast("string")), SIZE.cast("string"), F.when(K % 7 > 0, (K % 100).cast("string")).otherwise("high")).alias("line"))
     t = more_adapters.etcbc_parallels(spark, put(spark, rows, "crossref", ["@edge"]))
     return flat(t, PARALLEL_OF=("src_id", F.concat_ws("=", "dst_id", F.round("similarity", 2).cast("string"))), quarantine=("source", "target"))
@@ -286,6 +310,7 @@ def adapter_etcbc_parallels(spark, sf_dir):
 SELECT 'CopticWord' AS kind, id AS key, name || '/' || (size % 2 = 0) || '/' || CASE WHEN size % 3 > 0 THEN brand ELSE '-' END AS value FROM i UNION ALL SELECT 'IN_VERSE', id, 'verse:Mark.1.' || size FROM i""")
 def adapter_coptic_scriptorium(spark, sf_dir):
     """A corpus for each type; rows of two columns count for nothing."""
+    K, NAME, BRAND, SIZE = columns("k", "name", "brand", "size")
     folder, p = f"{shared(spark, 'coptic')}/corpora", parts(spark, sf_dir)
     for r in p.select("type").distinct().collect():  # a few kinds of parts
         form = F.when(SIZE % 2 == 0, F.concat(F.lit("<"), NAME, F.lit(">"))).otherwise(NAME)
@@ -302,6 +327,7 @@ SELECT 'VariantUnit' AS kind, unit AS key, (k % 15 + 1)::VARCHAR AS value FROM u
  UNION ALL SELECT 'Witness', w, CASE WHEN w LIKE 'W%' THEN 9 WHEN w LIKE 'P%' THEN 3 WHEN regexp_extract(w, '[0-9]+')::INT < 100 THEN 9 WHEN regexp_extract(w, '[0-9]+')::INT < 1000 THEN 11 ELSE 12 END::VARCHAR FROM w""")
 def adapter_open_cbgm_3_john(spark, sf_dir):
     """A unit for each part, two readings with a witness each; every other witness has a lacuna. Units of another chapter go."""
+    K, NAME, TYPE, SIZE = columns("k", "name", "type", "size")
     a, b = F.concat(F.lit("W"), SIZE % 6), F.when(SIZE % 2 == 0, F.concat(F.lit("P"), SIZE % 9)).otherwise(F.concat(SIZE * 40, F.lit("S")))
     app = lambda n: element("app", F.concat(element("rdg", NAME, n="a", wit=a), element("rdg", TYPE, n="b", wit=b)), n=n)
     p = parts(spark, sf_dir)
@@ -335,6 +361,7 @@ def adapter_sefaria_mishnah(spark, sf_dir):
 @query("adapter_tei_history", f"WITH {P} SELECT 'HistoricalChunk' AS kind, 'work.' || size || '.' || k AS key, name || ' and ' || type AS value FROM p")
 def adapter_tei_history(spark, sf_dir):
     """Divisions by size and key; notes are left out, what follows them stays."""
+    K, NAME, TYPE, SIZE = columns("k", "name", "type", "size")
     div = element("div", element("div", F.concat(F.lit("<p>"), NAME, F.lit("<note>no</note> and "), TYPE, F.lit("</p>")), n=K), n=SIZE)
     path = put(spark, parts(spark, sf_dir).select(K.alias("at"), div.alias("line")), "tei", ["<TEI>"], ["</TEI>"])
     return flat(adapters.tei_history(spark, renamed(spark, path, f"{shared(spark, 'tei')}/work.xml")), HistoricalChunk=("anchor_id", "text"))
@@ -343,6 +370,7 @@ def adapter_tei_history(spark, sf_dir):
 @query("adapter_josephus", f"""WITH {P}, s AS (SELECT *, max(CASE WHEN k % 10 = 0 THEN k END) OVER (ORDER BY k) AS ch FROM p) SELECT 'HistoricalChunk' AS kind, 'josephus.ant.18.' || k AS key, 'Ant 18.' || ch || CASE WHEN k % 2 = 0 THEN '.' || size ELSE '' END || ' (Whiston)/' || CASE WHEN k = 63 THEN name || ' was so.' ELSE name || ' [' || brand || '] was so.' END AS value FROM s WHERE k <> 64 UNION ALL SELECT 'quarantine', 'josephus.ant.18.64', ''""")
 def adapter_josephus(spark, sf_dir):
     """Sections whose chapter is declared once in ten; one has a disputed clause, one lacks the clause that it should have."""
+    K, NAME, BRAND, SIZE = columns("k", "name", "brand", "size")
     marks = F.concat(F.when(K % 10 == 0, element("milestone", "", unit="Whiston_chapter", n=K)).otherwise(""), F.when(K % 2 == 0, element("milestone", "", unit="Whiston_section", n=SIZE)).otherwise(""))
     sec = element("div", F.concat(F.lit("<p>"), marks, NAME, F.lit("<note>x</note> ["), BRAND, F.lit("] was so.</p>")), subtype="section", n=K)
     path = put(spark, parts(spark, sf_dir).select(K.alias("at"), sec.alias("line")), "josephus", ["<TEI><text><body><div><div subtype='book' n='18'>"], ["</div></div></body></text></TEI>"])
@@ -353,6 +381,7 @@ def adapter_josephus(spark, sf_dir):
 @query("adapter_philo", f"WITH {P} SELECT 'HistoricalChunk' AS kind, 'philo.de-x.' || (k + 1) AS key, name || ', ' || type || '. end' AS value FROM p")
 def adapter_philo(spark, sf_dir):
     """Paragraphs in a row, with numbers out of turn, notes and damaged dashes between."""
+    K, NAME, TYPE = columns("k", "name", "type")
     said = F.concat(F.lit("("), F.when(K % 3 == 0, " ").otherwise(""), K + 1, F.lit(") "), NAME, F.lit("--"), TYPE, F.lit(" {note} (#Ge 1:1). end"))
     path = put(spark, parts(spark, sf_dir).select(K.alias("at"), said.alias("line")), "philo", ["<html><body><p>title {**n}"], ["<p>Go to the Tables of Contents (9999) </body></html>"])
     return flat(more_adapters.philo(spark, path, "philo.de-x"), HistoricalChunk=("anchor_id", "text"))
@@ -360,6 +389,7 @@ def adapter_philo(spark, sf_dir):
 
 @query("adapter_pliny_melmoth", f"WITH {P} SELECT 'HistoricalChunk' AS kind, 'pliny.epistulae.10.' || k || '.en' AS key, name || ' ' || type AS value FROM p WHERE k % 3 > 0")
 def adapter_pliny_melmoth(spark, sf_dir):
+    K, NAME, TYPE = columns("k", "name", "type")
     p = parts(spark, sf_dir)
     head = p.select((K * 3).alias("at"), F.concat(F.lit("### LETTER Ep "), F.when(K % 3 > 0, "10.").otherwise("9."), K).alias("line"))
     body = p.select((K * 3 + 1).alias("at"), NAME.alias("line")).unionByName(p.select((K * 3 + 2).alias("at"), F.concat(F.lit(" "), TYPE).alias("line")))
@@ -377,6 +407,7 @@ def adapter_pseudepigrapha(spark, sf_dir):
 
 @query("adapter_roman_historians", f"WITH {P} SELECT 'HistoricalChunk' AS kind, 'tacitus.annals.15.' || k AS key, name || ' & ' || type AS value FROM p")
 def adapter_roman_historians(spark, sf_dir):
+    K, NAME, TYPE = columns("k", "name", "type")
     mark = F.concat(F.lit('<milestone unit="chapter" n="'), K, F.lit('"/>'), NAME, F.lit(" &amp;&mdash; <hi>"), TYPE, F.lit("</hi><note>n</note>"))
     path = put(spark, parts(spark, sf_dir).select(K.alias("at"), mark.alias("line")), "tacitus", ["<TEI><body><p>before"], ["</p></body></TEI>"])
     return flat(more_adapters.roman_historians(spark, path, "tacitus.annals.15"), HistoricalChunk=("anchor_id", "text"))
@@ -385,6 +416,7 @@ def adapter_roman_historians(spark, sf_dir):
 @query("adapter_etcbc_dss", f"WITH {P} SELECT 'HistoricalChunk' AS kind, '1q' || size || '.f' || k || 'p.line' || printf('%02d', k % 40) AS key, type || ' ' || brand || '/' || CASE WHEN k % 3 = 0 THEN 'arc' ELSE 'hbo' END AS value FROM p")
 def adapter_etcbc_dss(spark, sf_dir):
     """A line of two words for each part: its span of signs holds both."""
+    K, BRAND, TYPE, SIZE = columns("k", "brand", "type", "size")
     p = parts(spark, sf_dir)
     n = p.count()
     line, word = lambda x: F.concat(2 * n + 1 + K, F.lit("\t"), x), lambda j, x: F.concat(3 * n + 1 + 2 * K + j, F.lit("\t"), x)
@@ -403,39 +435,60 @@ def adapter_etcbc_dss(spark, sf_dir):
 
 #: A paragraph of each part, long enough for all works.
 SAID = "'Of ' || n_name || ' it is said that this is a paragraph with enough words in it to be kept by every work''s rule'"
-_BODY = F.concat(F.lit("Of "), "n_name", F.lit(" it is said that this is a paragraph with enough words in it to be kept by every work's rule"))
-_N = F.col("v").cast("string")
-_ROMAN = F.get(F.array(*map(F.lit, ["0", "I", "II", "III", "IV", "V", "VI", "VII"])), F.col("v").cast("int"))
-_HEADS = F.get(F.array(*map(F.lit, ["First", "Second", "Third", "Fourth", "Fifth"])), F.col("n_regionkey"))
-
-
 def tag(name: str, *inside: Column | str, attributes: str = "") -> Column:
     return F.concat(F.lit(f"<{name}{attributes}>"), *(x if isinstance(x, Column) else F.lit(x) for x in inside), F.lit(f"</{name}>"))
 
 
-#: How each work's pages show a part, and what its anchor and text are in SQL, from (n_regionkey r, place in region v).
-LAYOUT: dict[str, tuple[Column, Column, str, str]] = {
-    "wcf": (tag("h3", F.concat(F.lit("<a name='Chapter_"), F.col("n_regionkey") + 1, F.lit("'></a>CHAPTER "), F.col("n_regionkey") + 1, F.lit("<br><i>Title</i>"))), F.concat(tag("p", _N, ". ", _BODY), tag("p", "more")), "'WCF.' || (r + 1) || '.' || v", f"{SAID} || ' more'"),
-    "wlc_catechism": (F.lit(""), tag("p", "Q. ", _N, ". <i>Who?</i><br/> A. ", _BODY), "'WLC.Q' || printf('%03d', v)", f"'Q. ' || v || '. Who? A. ' || {SAID}"),
-    "wsc": (F.lit(""), tag("p", "Q. ", _N, ". Who? A. ", _BODY), "'WSC.Q' || printf('%03d', v)", f"'Q. ' || v || '. Who? A. ' || {SAID}"),
-    "heidelberg": (F.lit(""), F.concat(F.lit("Q &amp; A "), _N, tag("p", "Q. Who?"), tag("p", "A. ", _BODY), tag("p", "1 Gen. 1:1")), "'HC.Q' || printf('%03d', v)", f"'Q. ' || v || '. Who? A. ' || {SAID}"),
-    "belgic": (F.lit(""), F.concat(tag("h3", "Article ", _N, ": Title"), tag("p", _BODY)), "'Belgic.A' || printf('%02d', v)", SAID),
-    "dort": (tag("h2", "The ", _HEADS, " Main Point of Doctrine"), F.concat(tag("h3", "Article ", _N, ": Title"), tag("p", _BODY)), "'Dort.' || (r + 1) || '.A' || printf('%02d', v)", SAID),
-    "lbc_1689": (tag("h3", "3. Of Things."), tag("p", _N, ". ( a ) ", _BODY, attributes=" class='close'"), "'1689.' || (r + 1) || '.' || v", SAID),
-    "augsburg": (F.lit(""), F.concat(tag("h2", "Article ", _ROMAN, ": Title"), tag("p", "too short"), tag("p", _BODY)), "'Augsburg.A' || printf('%02d', v)", SAID),
-    "articles_39": (F.lit("<div class='mw-parser-output'>"), F.concat(tag("div", _ROMAN, ". Title.", attributes=" class='wst-center'"), tag("p", _BODY)), "'39A.A' || printf('%02d', v)", SAID),
-    "bcp_1662": (F.lit(""), tag("p", "<em>Question.</em> Who? <em>Answer.</em> ", _BODY), "'BCP.Catechism.Q' || printf('%02d', v)", f"'Q. Who? A. ' || {SAID}"),
-    "umc": (F.lit(""), F.concat(tag("h4", "<a name='x'></a>Article ", _ROMAN, "&mdash;Title"), tag("p", _BODY)), "'UMC.A' || printf('%02d', v)", SAID),
-    "schleitheim": (F.lit(""), tag("p", _ROMAN, ". ", _BODY), "'Schleitheim.A' || v", SAID),
-    "ag": (F.lit(""), F.concat(tag("div", _N, ". Title", attributes=" class='accordion'"), tag("p", _BODY)), "'AG.A' || printf('%02d', v)", SAID),
-    "vatican_ccc": (F.lit(""), tag("p", _N, " ", _BODY), "'CCC.' || v", SAID),
-    "vatican_dv": (F.lit(""), tag("p", _N, ". ", _BODY), "'DV.' || v", SAID),
+#: What each work's anchors and texts are in SQL, from (n_regionkey r, place in region v).
+EXPECTED = {
+    "wcf": ("'WCF.' || (r + 1) || '.' || v", f"{SAID} || ' more'"),
+    "wlc_catechism": ("'WLC.Q' || printf('%03d', v)", f"'Q. ' || v || '. Who? A. ' || {SAID}"),
+    "wsc": ("'WSC.Q' || printf('%03d', v)", f"'Q. ' || v || '. Who? A. ' || {SAID}"),
+    "heidelberg": ("'HC.Q' || printf('%03d', v)", f"'Q. ' || v || '. Who? A. ' || {SAID}"),
+    "belgic": ("'Belgic.A' || printf('%02d', v)", SAID),
+    "dort": ("'Dort.' || (r + 1) || '.A' || printf('%02d', v)", SAID),
+    "lbc_1689": ("'1689.' || (r + 1) || '.' || v", SAID),
+    "augsburg": ("'Augsburg.A' || printf('%02d', v)", SAID),
+    "articles_39": ("'39A.A' || printf('%02d', v)", SAID),
+    "bcp_1662": ("'BCP.Catechism.Q' || printf('%02d', v)", f"'Q. Who? A. ' || {SAID}"),
+    "umc": ("'UMC.A' || printf('%02d', v)", SAID),
+    "schleitheim": ("'Schleitheim.A' || v", SAID),
+    "ag": ("'AG.A' || printf('%02d', v)", SAID),
+    "vatican_ccc": ("'CCC.' || v", SAID),
+    "vatican_dv": ("'DV.' || v", SAID),
 }
+
+
+def layout(work: str) -> tuple[Column, Column]:
+    """How a work's pages open and show a part, as Columns of nations with their place ``v`` in the region."""
+    said = F.concat(F.lit("Of "), "n_name", F.lit(" it is said that this is a paragraph with enough words in it to be kept by every work's rule"))
+    n, chapter, none = F.col("v").cast("string"), F.col("n_regionkey") + 1, F.lit("")
+    roman = F.get(F.array(*map(F.lit, ["0", "I", "II", "III", "IV", "V", "VI", "VII"])), F.col("v").cast("int"))
+    ordinal = F.get(F.array(*map(F.lit, ["First", "Second", "Third", "Fourth", "Fifth"])), F.col("n_regionkey"))
+    return {
+        "wcf": (tag("h3", F.concat(F.lit("<a name='Chapter_"), chapter, F.lit("'></a>CHAPTER "), chapter, F.lit("<br><i>Title</i>"))), F.concat(tag("p", n, ". ", said), tag("p", "more"))),
+        "wlc_catechism": (none, tag("p", "Q. ", n, ". <i>Who?</i><br/> A. ", said)),
+        "wsc": (none, tag("p", "Q. ", n, ". Who? A. ", said)),
+        "heidelberg": (none, F.concat(F.lit("Q &amp; A "), n, tag("p", "Q. Who?"), tag("p", "A. ", said), tag("p", "1 Gen. 1:1"))),
+        "belgic": (none, F.concat(tag("h3", "Article ", n, ": Title"), tag("p", said))),
+        "dort": (tag("h2", "The ", ordinal, " Main Point of Doctrine"), F.concat(tag("h3", "Article ", n, ": Title"), tag("p", said))),
+        "lbc_1689": (tag("h3", "3. Of Things."), tag("p", n, ". ( a ) ", said, attributes=" class='close'")),
+        "augsburg": (none, F.concat(tag("h2", "Article ", roman, ": Title"), tag("p", "too short"), tag("p", said))),
+        "articles_39": (F.lit("<div class='mw-parser-output'>"), F.concat(tag("div", roman, ". Title.", attributes=" class='wst-center'"), tag("p", said))),
+        "bcp_1662": (none, tag("p", "<em>Question.</em> Who? <em>Answer.</em> ", said)),
+        "umc": (none, F.concat(tag("h4", "<a name='x'></a>Article ", roman, "&mdash;Title"), tag("p", said))),
+        "schleitheim": (none, tag("p", roman, ". ", said)),
+        "ag": (none, F.concat(tag("div", n, ". Title", attributes=" class='accordion'"), tag("p", said))),
+        "vatican_ccc": (none, tag("p", n, " ", said)),
+        "vatican_dv": (none, tag("p", n, ". ", said)),
+    }[work]
+
+
 CHAPTERED = {"wcf", "dort", "lbc_1689"}
 
 
 def work_sql(work: str) -> str:
-    _, _, anchor, said = LAYOUT[work]
+    anchor, said = EXPECTED[work]
     base = "SELECT n_name, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS v FROM nation"
     only = "" if work in CHAPTERED else " WHERE r = 0"  # of equal numbers the first page's part stays
     _, tradition, licence, _, _ = adapters.WORKS[work]
@@ -443,11 +496,10 @@ def work_sql(work: str) -> str:
 
 
 def work_query(work: str) -> Callable[[SparkSession, str], DataFrame]:
-    opening, part, _, _ = LAYOUT[work]
-
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from quillgraph.operators import ordered
 
+        opening, part = layout(work)
         n = ordered.position(table(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], "v")
         one = n.select("n_regionkey", "v", opening.alias("opening"), part.alias("part"))
         pages = one.groupBy("n_regionkey", "opening").agg(F.sort_array(F.collect_list(F.struct("v", "part"))).alias("p"))  # a dimension
@@ -459,7 +511,7 @@ def work_query(work: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-for _work in LAYOUT:
+for _work in EXPECTED:
     query(f"work_{_work}", work_sql(_work))(work_query(_work))
 
 
@@ -508,5 +560,6 @@ def creed_pages(spark, sf_dir):
 @query("store_chunks", "SELECT 'Work' AS kind, 'w' || (p_size % 4) AS key, max_by(CASE WHEN p_size % 2 = 0 THEN 'pd' ELSE 'CC-BY-NC-4.0' END, 'c' || p_partkey) AS value FROM part GROUP BY 2 UNION ALL SELECT 'Chunk', 'c' || p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'shown' END FROM part UNION ALL SELECT 'HAS_CHUNK', 'w' || (p_size % 4), 'c' || p_partkey FROM part")
 def store_chunks(spark, sf_dir):
     """Works, chunks and their edges; what may not be shared in bulk shows what is embedded."""
+    K, NAME, SIZE = columns("k", "name", "size")
     c = parts(spark, sf_dir).select(F.concat(F.lit("c"), K).alias("chunk_id"), F.concat(F.lit("w"), SIZE % 4).alias("work_id"), NAME.alias("text"), F.lit("shown").alias("text_to_embed"), F.when(SIZE % 2 == 0, "pd").otherwise("CC-BY-NC-4.0").alias("license"))
     return flat(adapters.to_store(c), Work=("work_id", "license"), Chunk=("chunk_id", "text"))
