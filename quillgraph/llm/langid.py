@@ -246,7 +246,7 @@ def model(refs: dict[str, str]) -> Model:
     return _models[key]
 
 
-def _chunks(texts: list[str | None], most: int = 1 << 21) -> Iterator[list[str | None]]:
+def _chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str | None]]:
     chunk, held = [], 0
     for t in texts:
         chunk.append(t)
