@@ -13,7 +13,7 @@ agrees, the window ends up as the whole run.
 Leaves don't depend on each other, nor do the joins of one level: a task that has several cores (``spark.task.cpus``)
 works on them in as many threads, as the library encodes outside of Python's lock.
 
-Ids of runs inside leaves come from the tokenizers library and are kept in a bounded memo for the worker's life. All this
+Ids of runs inside leaves come from the tokenizers library and are kept in a bounded memo. All this
 rests on what the tokenizer's file says of white space and words; a file that says otherwise is an error.
 
 Defined results: a null text is the empty text (no ids, decoded ""); texts of any length are encoded whole; repeated
@@ -123,6 +123,12 @@ class UnitEncoder(dict):
             self.words.clear()
         return self
 
+    def forget(self) -> None:
+        """At a task's end, where the worker's memory is worth more than the units that the next one would find."""
+        self.clear()
+        self.older = {}
+        self.words.clear()
+
     def __missing__(self, unit: str):
         value = self.older.get(unit)
         if value is None:
@@ -358,8 +364,9 @@ def _round_trip(path: str, leaf_chars: int):
             new = pa.table(list(zip(*out)) or [[], [], []], schema=schema).to_batches()
             for b in new or []:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *b.columns], names=["doc_id", *schema.names])
+        d.forget()
 
-    return run
+    return common.trimmed(run)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:

@@ -243,6 +243,7 @@ def model(refs: dict[str, str]) -> Model:
     if key not in _models:
         _models.clear()
         _models[key] = Model(refs)
+        common.release()
     return _models[key]
 
 
@@ -271,7 +272,7 @@ def _predict(refs: dict[str, str]):
             new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "__lang_pred", "__score", "__bits"])
 
-    return run
+    return common.trimmed(run)
 
 
 def with_language(docs: DataFrame, learn: Column | None = None, per_lang: int = SAMPLE_DOCS) -> DataFrame:

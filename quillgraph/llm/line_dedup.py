@@ -126,7 +126,7 @@ def _scan(min_words: int):
                 [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(place, pa.int32()), pa.array(x), pa.array(y), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "line_no", "x", "y", "keys"]
             )
 
-    return run
+    return common.trimmed(run)
 
 
 def _candidates(table: Broadcast | None, min_words: int):
@@ -152,7 +152,7 @@ def _candidates(table: Broadcast | None, min_words: int):
                 names=["doc_id", "line_no", "x", "y", "line"],
             )
 
-    return run
+    return common.trimmed(run)
 
 
 def _variant_rows(batches: Iterator[pa.RecordBatch], most: int = 1 << 15) -> Iterator[pa.RecordBatch]:
@@ -278,7 +278,7 @@ def without_duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     gone = gone.withColumnRenamed("doc_id", "__id")
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left").select(*[docs[f"`{c}`"] for c in docs.columns], "__gone")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = joined.mapInArrow(_cut, fields)
+    out = joined.mapInArrow(common.trimmed(_cut), fields)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

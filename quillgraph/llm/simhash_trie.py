@@ -60,7 +60,7 @@ def _fingerprints(words: int):
             got = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
 
-    return run
+    return common.trimmed(run)
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -202,7 +202,7 @@ def _group_links(budget: int, chunk: int = 200_000):
         if rows:
             yield of(pa.Table.from_batches(held))
 
-    return run
+    return common.trimmed(run)
 
 
 def links(distinct: DataFrame, budget: int = 2, split_over: int = SPLIT_OVER) -> DataFrame:
