@@ -290,9 +290,9 @@ def adapter_bhsa(spark, sf_dir):
     return flat(t, TFNode=("id", "otype"))
 
 
-@query("adapter_etcbc_phono", f"WITH {P} SELECT 'phono' AS kind, 'bhsa:tf:' || (k + 10) AS key, name AS value FROM p WHERE size % 4 > 0")
+@query("adapter_etcbc_phono", f"WITH {P} SELECT 'phono' AS kind, 'bhsa:tf:' || (k + 10) AS key, CASE WHEN size % 4 > 0 THEN name ELSE '' END AS value FROM p WHERE size % 4 > 0 OR k = 0")
 def adapter_etcbc_phono(spark, sf_dir):
-    """Values of nodes in a row from 10 on; a blank line is a node without a value."""
+    """Values of nodes in a row from 10 on; a blank line is a node without a value, a node that is named has at least an empty one."""
     K, NAME, SIZE = columns("k", "name", "size")
     rows = parts(spark, sf_dir).select(K.alias("at"), F.concat(F.when(K == 0, "10\t").otherwise(""), F.when(SIZE % 4 > 0, NAME).otherwise("")).alias("line"))
     return flat(more_adapters.etcbc_phono(spark, fabric(spark, sf_dir, {"phono": rows})), phono=("id", "phono"))
