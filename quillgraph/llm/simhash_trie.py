@@ -9,6 +9,13 @@ dealt out by pairs of its nodes some levels further down, whose differing bits a
 
 A group gives a spanning forest of its links, not all its pairs; components come from the union of the forests.
 
+Texts of a similarity of 0.8 on five words differ in about ten of 64 bits, where bit blocks that agree are too short to
+part the trie. ``one_of_each`` takes wide fingerprints of ``LIMBS`` x 64 bits of the distinct shingles, and the top nodes
+of its trie are ``BANDS`` keys of ``ROWS`` least shingle hashes each in place of bit blocks. Below them the same walk sums
+differing bits over the wide fingerprint. ``WIDE_BUDGET`` bits of 256 are a similarity of about 0.73: the fingerprint
+estimates it within some hundredths, so the budget lies below 0.8 to find those of 0.8. In groups over ``PIVOT_OVER`` rows, rows within
+the budget of a pivot are tied to it first; pairs of theirs need no walk, and only rows within twice the budget can link to them.
+
 Defined results: a text without words (null, empty, white space) has fingerprint zero and links like any other; texts
 with one or two words have one shingle; repeated rows share fingerprint and component; null ids never are a component
 id unless no reachable id is known (then it is null); an empty table gives no rows; other columns are ignored.
@@ -16,7 +23,7 @@ id unless no reachable id is known (then it is null); an empty table gives no ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +38,77 @@ BITS = 64
 SEED = 42
 SPLIT_OVER = 50_000
 LEAF = 8  # node pairs of so few fingerprints are compared outright
+LIMBS = 4
+WIDE_BUDGET = 46
+BANDS, ROWS = 8, 3
+PIVOT_OVER, PIVOTS = 256, 16
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits in which every bit depends on all others."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_SEEDS = _mix(np.arange(1, LIMBS + BANDS * ROWS + 1, dtype=np.uint64) * _GOLDEN)[:, None]
+_BAND_SEEDS = np.arange(1, BANDS + 1, dtype=np.uint64)
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """SimHash of a text's word shingles; bit set where over half the shingle hashes have it."""
+    h = _shingles(text, words)
+    return _majority(h) if len(h) else 0
+
+
+def _shingles(text: str | None, words: int) -> np.ndarray:
+    """Hashes of a text's word shingles in order: the whole sequence where it has fewer words, none without a word."""
     w = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not w:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     if len(w) <= words:
         shingles = [b" ".join(w)]
     else:
         shingles = map(b" ".join, zip(*(w[i:] for i in range(words))))
     digest = xxhash.xxh64_intdigest
-    return _majority(np.array([digest(s, SEED) for s in shingles], dtype=np.uint64))
+    return np.array([digest(s, SEED) for s in shingles], dtype=np.uint64)
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> tuple[bytes, np.ndarray]:
+    """Wide SimHash of a text's distinct shingles, and its band keys; both are zero for a text without words."""
+    h = np.unique(_shingles(text, words))
+    if not len(h):
+        return bytes(8 * LIMBS), np.zeros(BANDS, dtype=np.uint64)
+    counts = np.zeros(LIMBS * BITS, dtype=np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(h), 2048):
+        m = _mix(h[None, i : i + 2048] ^ _SEEDS)
+        bits = np.unpackbits(m[:LIMBS].astype(">u8").view(np.uint8).reshape(LIMBS, -1, 8), axis=2)
+        counts += bits.sum(axis=1, dtype=np.int64).ravel()
+        np.minimum(least, m[LIMBS:].min(axis=1), out=least)
+    keys = _BAND_SEEDS
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = _mix((keys * _GOLDEN) ^ row)
+    return np.packbits(counts * 2 > len(h)).tobytes(), keys
+
+
+def _wide(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [wide_fingerprint(t, words) for t in batch.column("text").to_pylist()]
+            flat = np.concatenate([k for _, k in got]).view(np.int64) if got else np.empty(0, dtype=np.int64)
+            bands = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in got], pa.binary()), bands], names=["doc_id", "fp", "bands"])
+
+    return common.trimmed(run)
+
+
+def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, the wide fingerprint's bytes and its band keys."""
+    common.prepare(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_wide(words), f"doc_id {kind}, fp binary, bands array<bigint>")
 
 
 def _majority(h: np.ndarray) -> int:
@@ -77,15 +142,20 @@ def blocks(budget: int) -> list[tuple[int, int]]:
     return [(BITS - edges[i + 1], edges[i + 1] - edges[i]) for i in range(n)]
 
 
-def _node_pairs(v: np.ndarray, roots: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (into ``v``) within ``budget`` bits, by walking tries' node pairs together.
+def _distance(limbs: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints at the given places."""
+    return sum(np.bitwise_count(v[i] ^ v[j]).astype(np.int16) for v in limbs)
+
 
-    A node is a range of ``v`` that is sorted and agrees on all bits above its level; ``roots`` has a row
+def _node_pairs(limbs: list[np.ndarray], roots: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within ``budget`` bits of fingerprints, given limb by limb, by walking tries' node pairs together.
+
+    A node is a range of fingerprints that is sorted and agrees on all bits above its level; ``roots`` has a row
     (from, to, from, to) for each pair of top nodes: a node with itself, or with a later one. Each unordered pair of
     fingerprints is found once.
     """
     start = np.zeros((len(roots), 6), dtype=np.int64)
-    start[:, :4], start[:, 5] = roots, BITS - 1
+    start[:, :4], start[:, 5] = roots, BITS * len(limbs) - 1
     todo = [start]
     while todo:
         p = todo.pop()
@@ -102,12 +172,13 @@ def _node_pairs(v: np.ndarray, roots: np.ndarray, budget: int) -> Iterator[tuple
             k, at = np.arange(sizes.sum()) - first, np.repeat(np.arange(len(leaf)), sizes)
             width = (leaf[:, 3] - leaf[:, 2])[at]
             i, j = leaf[at, 0] + k // width, leaf[at, 2] + k % width
-            ok = (np.bitwise_count(v[i] ^ v[j]) <= budget) & (i < j)
+            ok = (_distance(limbs, i, j) <= budget) & (i < j)
             if ok.any():
                 yield i[ok], j[ok]
         if not len(p):
             continue
-        bit = p[:, 5].astype(np.uint64)
+        level = int(p[0, 5])  # that of all rows
+        v, bit = limbs[len(limbs) - 1 - level // BITS], np.uint64(level % BITS)
         mid_a, mid_b = _split(v, p[:, 0], p[:, 1], bit), _split(v, p[:, 2], p[:, 3], bit)
         children = []
         for x in (0, 1):
@@ -122,7 +193,7 @@ def _node_pairs(v: np.ndarray, roots: np.ndarray, budget: int) -> Iterator[tuple
         todo.append(np.concatenate(children))
 
 
-def _split(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.ndarray) -> np.ndarray:
+def _split(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) -> np.ndarray:
     """Where the given bit turns from 0 to 1 in each range of a sorted array (all higher bits are equal there)."""
     lo, hi = lo.copy(), hi.copy()
     one = np.uint64(1)
@@ -165,6 +236,25 @@ def _roots(p: np.ndarray, x: np.ndarray) -> np.ndarray:
         r = up
 
 
+def _by_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], of, chunk: int) -> Iterator[pa.RecordBatch]:
+    """``of`` applied to tables of whole groups, of about ``chunk`` rows or one group; rows come sorted by ``columns``."""
+    held, rows = [], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        rows += len(batch)
+        if rows >= chunk:  # up to the last group, which may go on in the next batch
+            table = pa.Table.from_batches(held)
+            last = np.stack([table.column(c).to_numpy() for c in columns], axis=1)
+            cut = len(table) - int(np.argmax((last[::-1] != last[-1]).any(axis=1))) if (last != last[-1]).any() else 0
+            if cut:
+                yield of(table.slice(0, cut))
+            held, rows = table.slice(cut).to_batches(), len(table) - cut
+    if rows:
+        yield of(pa.Table.from_batches(held))
+
+
 def _group_links(budget: int, chunk: int = 200_000):
     """Spanning links of the groups in a partition that is sorted by group, side and fingerprint."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -179,34 +269,91 @@ def _group_links(budget: int, chunk: int = 200_000):
         first = np.flatnonzero(~alone[:-1] & (nodes[:-1, 4] == 0) & (nodes[1:, 4] == 1) & (nodes[:-1, :4] == nodes[1:, :4]).all(axis=1)) if len(nodes) > 1 else np.array([], dtype=np.int64)
         roots.append(np.stack([edge[first], ends[first], edge[first + 1], ends[first + 1]], axis=1) if len(first) else np.empty((0, 4), dtype=np.int64))
         forest = Forest(len(fp))
-        for i, j in _node_pairs(fp, np.concatenate(roots), budget):
+        for i, j in _node_pairs([fp], np.concatenate(roots), budget):
             forest.add(i, j)
         root = forest.roots()
         tied = root != np.arange(len(fp))
         return pa.record_batch([pa.array(fp[tied].view(np.int64)), pa.array(fp[root[tied]].view(np.int64))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            rows += len(batch)
-            if rows >= chunk:  # up to the last group, which may go on in the next batch
-                table = pa.Table.from_batches(held)
-                last = np.stack([table.column(c).to_numpy() for c in ("r", "block", "low", "pair")], axis=1)
-                cut = len(table) - int(np.argmax((last[::-1] != last[-1]).any(axis=1))) if (last != last[-1]).any() else 0
-                if cut:
-                    yield of(table.slice(0, cut))
-                held, rows = table.slice(cut).to_batches(), len(table) - cut
-        if rows:
-            yield of(pa.Table.from_batches(held))
+        yield from _by_groups(batches, ("r", "block", "low", "pair"), of, chunk)
 
     return common.trimmed(run)
 
 
+def _tie_dense(limbs: list[np.ndarray], rest: np.ndarray, budget: int, forest: Forest, walk: np.ndarray) -> None:
+    """Tie rows of a large group to pivots; rows tied to one are taken out of ``walk``, and lose no link by it.
+
+    Rows within the budget of a pivot are one component. Another row can only link to one of them from at most twice the budget
+    away, and such a row is held against all of them here.
+    """
+    for _ in range(PIVOTS):
+        if len(rest) <= PIVOT_OVER:
+            return
+        pivot = rest[len(rest) // 2]
+        d = _distance(limbs, rest, pivot)
+        near, between, rest = rest[d <= budget], rest[(d > budget) & (d <= 2 * budget)], rest[d > budget]
+        forest.add(near, np.full(len(near), pivot))
+        walk[near] = False
+        for x in between:
+            if (_distance(limbs, near, x) <= budget).any():
+                forest.add(np.array([x]), np.array([pivot]))
+
+
+def _similar_links(budget: int, chunk: int = 100_000):
+    """Spanning links of the groups in a partition of wide fingerprints that is sorted by group and fingerprint."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def of(table: pa.Table) -> pa.RecordBatch:
+        fp = table.column("fp").to_pylist()
+        wide = np.frombuffer(b"".join(fp), dtype=">u8").reshape(-1, LIMBS).astype(np.uint64)
+        limbs = [np.ascontiguousarray(wide[:, k]) for k in range(LIMBS)]
+        keys = np.stack([table.column(c).to_numpy() for c in ("band", "low", "high")], axis=1)
+        edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+        ends = np.append(edge[1:], len(fp))
+        forest, walk = Forest(len(fp)), np.ones(len(fp), dtype=bool)
+        walk[edge[ends - edge == 1]] = False
+        for lo, hi in zip(edge, ends):
+            if hi - lo > PIVOT_OVER:
+                _tie_dense(limbs, np.arange(lo, hi), budget, forest, walk)
+        at = np.flatnonzero(walk)
+        if len(at):
+            left = [v[at] for v in limbs]
+            group = np.repeat(np.arange(len(edge)), ends - edge)[at]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            roots = np.stack([first, np.append(first[1:], len(at))] * 2, axis=1)
+            for i, j in _node_pairs(left, roots, budget):
+                forest.add(at[i], at[j])
+        root = forest.roots()
+        tied = np.flatnonzero(root != np.arange(len(fp)))
+        return pa.record_batch([pa.array([fp[k] for k in tied], pa.binary()), pa.array([fp[k] for k in root[tied]], pa.binary())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_groups(batches, ("band", "low", "high"), of, chunk)
+
+    return common.trimmed(run)
+
+
+def similar_links(distinct: DataFrame, budget: int = WIDE_BUDGET, split_over: int = SPLIT_OVER) -> DataFrame:
+    """Edges (a, b) between distinct wide fingerprints (columns fp, bands) whose components are those of all links.
+
+    A group over ``split_over`` is cut into parts by a hash, and dealt out by pairs of parts.
+    """
+    rows = distinct.select("fp", F.explode("bands").alias("band"))
+    sizes = rows.groupBy("band").count().where(F.col("count") > split_over)
+    sizes = common.stored(sizes, common.run_dir(distinct.sparkSession, "trie-heavy"))
+    parts = F.coalesce(F.ceil(F.col("count") / split_over).cast("int"), F.lit(1))
+    dealt = rows.join(sizes, "band", "left").select(
+        "fp", "band", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
+    ).select("fp", "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    group = ["band", "low", "high"]
+    return dealt.repartition(*group).sortWithinPartitions(*group, "fp").mapInArrow(_similar_links(budget), "a binary, b binary")
+
+
 def links(distinct: DataFrame, budget: int = 2, split_over: int = SPLIT_OVER) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp, long) whose components are those of all links."""
+    if budget > 2:
+        raise ValueError("groups are dealt out for budgets of up to 2 bits")
     spark = distinct.sparkSession
     rows = None
     for r, (shift, width) in enumerate(blocks(budget)):
@@ -235,18 +382,17 @@ def links(distinct: DataFrame, budget: int = 2, split_over: int = SPLIT_OVER) ->
     return dealt.repartition(*group).sortWithinPartitions(*group, "side", F.expr("fp < 0"), "fp").mapInArrow(_group_links(budget), "a long, b long")
 
 
-def _groups(marked: DataFrame, value: Column, budget: int) -> DataFrame:
+def _groups(marked: DataFrame, value: Column, tied_by: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """For each distinct fingerprint of ``marked``: fp, n (its rows) and ``least``, the least ``value`` of all rows that
-    its links reach."""
-    if budget > 2:
-        raise ValueError("groups are dealt out for budgets of up to 2 bits")
+    its links reach. ``tied_by`` makes the links of distinct fingerprints."""
     spark = marked.sparkSession
     base = common.run_dir(spark, "simhash-groups")
-    own = common.stored(marked.groupBy("fp").agg(F.min(value).alias("least"), F.count(F.lit(1)).alias("n")), f"{base}/own")
+    bands = [F.min("bands").alias("bands")] if "bands" in marked.columns else []
+    own = common.stored(marked.groupBy("fp").agg(F.min(value).alias("least"), F.count(F.lit(1)).alias("n"), *bands), f"{base}/own")
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # rows of two numbers
     try:
-        found = components(links(own.select("fp"), budget))
+        found = components(tied_by(own))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     of = own.join(found, own["fp"] == found["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
@@ -260,14 +406,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links) of each row."""
     spark = docs.sparkSession
     marked = common.stored(fingerprints(docs, words), common.run_dir(spark, "simhash"))
-    named = common.stored(_groups(marked, F.col("doc_id"), budget), common.run_dir(spark, "simhash-named"))
+    named = common.stored(_groups(marked, F.col("doc_id"), lambda own: links(own.select("fp"), budget)), common.run_dir(spark, "simhash-named"))
     heavy = named.where(F.col("n") > F.lit(marked.count() // common.HEAVY)).select("fp", "least")
     out = common.spread_join(marked, named.select("fp", "least"), ["fp"], heavy, ["doc_id"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that with the smallest doc_id.
+def one_of_each(docs: DataFrame, words: int = 5, budget: int = WIDE_BUDGET) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates by wide fingerprints: that with the smallest doc_id.
 
     A row without an id is kept only if its whole group has none; of rows that share the smallest id, that with the
     smallest hash of its text, and of rows equal in both one. Rows are told apart by id and 128 bits of a hash of the text.
@@ -275,8 +421,8 @@ def one_of_each(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
     spark = docs.sparkSession
     base = common.run_dir(spark, "one-of-each")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("i"))
-    marked = common.stored(fingerprints(docs.select(own.alias("doc_id"), "text"), words), f"{base}/marked")
-    kept = _groups(marked, F.col("doc_id"), budget).select("least").distinct()
+    marked = common.stored(wide_fingerprints(docs.select(own.alias("doc_id"), "text"), words), f"{base}/marked")
+    kept = _groups(marked, F.col("doc_id"), lambda own: similar_links(own, budget)).select("least").distinct()
     kept = common.stored(kept.select("least.*").withColumnsRenamed({c: f"__{c}" for c in ("none", "doc_id", "h", "i")}), f"{base}/kept")
     same = docs["doc_id"].eqNullSafe(kept["__doc_id"]) & (F.xxhash64("text") == kept["__h"]) & (F.xxhash64(F.lit(1), "text") == kept["__i"])
     out = docs.join(kept, same, "left_semi")

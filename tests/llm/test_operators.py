@@ -762,6 +762,70 @@ def test_trie_join_on_dense_groups(spark, split):
         assert {root.get(m, m) for m in members} == {min(members)}
 
 
+def edited(rng, text, share):
+    """``text`` with about ``share`` of its words replaced, left out or doubled."""
+    out = []
+    for w in text.split():
+        kind = rng.random() / share if share else 9
+        out += [] if kind < 0.3 else [w, w] if kind < 0.5 else [f"new{rng.randrange(10**6)}"] if kind < 1 else [w]
+    return " ".join(out)
+
+
+def shingle_set(text, words=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
+def test_wide_fingerprints_find_pairs_of_similarity_08(spark, sample):
+    rng = random.Random(21)
+    texts = [t for r in sample.where("text IS NOT NULL").orderBy("doc_id").collect() if 60 <= len((t := r["text"]).split()) <= 3000][:400]
+    pairs = [(t, edited(rng, t, rng.choice([0.005, 0.01, 0.02, 0.03, 0.06]))) for t in texts]
+    jaccard = [len(a & b) / len(a | b) for a, b in ((shingle_set(x), shingle_set(y)) for x, y in pairs)]
+    rows = [(f"{k}-{side}", t) for k, pair in enumerate(pairs) for side, t in zip("ab", pair)]
+    marked = simhash_trie.wide_fingerprints(spark.createDataFrame(rows, "doc_id string, text string"))
+    own = {r["doc_id"]: bytes(r["fp"]) for r in marked.collect()}
+    found = components.components(simhash_trie.similar_links(marked.groupBy("fp").agg(F.min("bands").alias("bands"))))
+    root = {bytes(r["node"]): bytes(r["root"]) for r in found.collect()}
+    of = {d: root.get(f, f) for d, f in own.items()}
+    tied = [of[f"{k}-a"] == of[f"{k}-b"] for k in range(len(pairs))]
+    near = [t for t, j in zip(tied, jaccard) if j >= 0.8]
+    assert len(near) >= 50 and sum(near) >= 0.95 * len(near)
+    assert not any(t for t, j in zip(tied, jaccard) if j < 0.55) and any(j < 0.55 for j in jaccard)
+    # nothing else is tied that is not similar
+    shingles = {d: shingle_set(t) for d, t in rows}
+    groups = {}
+    for d, r in of.items():
+        groups.setdefault(r, []).append(d)
+    for members in groups.values():
+        for d in members[1:]:
+            assert any(len(shingles[d] & shingles[e]) / len(shingles[d] | shingles[e]) >= 0.55 for e in members if e != d)
+
+
+@pytest.mark.parametrize("split", [50_000, 300])
+def test_wide_join_on_dense_groups(spark, split):
+    rng = np.random.default_rng(5)
+    values = set()
+    for base in rng.integers(0, 2, (6, 256), dtype=np.uint8):
+        for _ in range(150):
+            v = base.copy()
+            v[rng.choice(256, rng.integers(0, 45), replace=False)] ^= 1
+            values.add(np.packbits(v).tobytes())
+        for _ in range(20):  # a chain away from the base
+            v = v.copy()
+            v[rng.choice(256, 30, replace=False)] ^= 1
+            values.add(np.packbits(v).tobytes())
+    values = sorted(values)
+    rows = spark.createDataFrame([(bytearray(v), [7]) for v in values], "fp binary, bands array<long>")
+    found = components.components(simhash_trie.similar_links(rows, split_over=split))
+    root = {bytes(r["node"]): bytes(r["root"]) for r in found.collect()}
+    groups = {}
+    for v, c in zip(values, brute_components([int.from_bytes(v, "big") for v in values], simhash_trie.WIDE_BUDGET)):
+        groups.setdefault(c, []).append(v)
+    assert len(groups) >= 6
+    for members in groups.values():
+        assert {root.get(m, m) for m in members} == {min(members)}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
