@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe_tree, langid, line_dedup, lsi_decontam, repair, simhash_trie, token_count, toxicity_mil, warc, weak_quality
+from quillgraph.llm import bpe_tree, langid, line_dedup, lsi_decontam, phrases, repair, simhash_trie, token_count, toxicity_mil, warc, weak_quality
 from quillgraph.llm.common import prepare, table
 
 
@@ -64,6 +64,11 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first collocations in all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_weak_quality": op9_weak_quality,
     "op10_simhash_trie": op10_simhash_trie,
+    "op11_phrases": op11_phrases,
 }
 
 #: Payload digests in DuckDB: SHA-1 in hex, read as bits, five at a time in the base32 alphabet.
@@ -143,4 +149,21 @@ FROM v JOIN g ON v.v IS NOT DISTINCT FROM g.v
 """
 
 
-ORACLES: dict[str, str] = {"op9_weak_quality": quality_sql(), "op1_warc": OP1_SQL, "op7_line_dedup": OP7_SQL}
+#: Words of pieces by place; counts by self-offsets; products as 128-bit integers.
+OP11_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.m, k.phrase, k.a, arg_min({'l': x.f, 'r': y.f, 's': 1000000 * k.a * k.a // (x.f * y.f)}, {'s': 1000000 * k.a * k.a // (x.f * y.f), 'k': k}) AS b
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[k + 1:], ' ') GROUP BY ALL),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE m = 3) GROUP BY ALL),
+kept AS (SELECT s.* FROM s LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY b.s DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, b.l::BIGINT AS l, b.r::BIGINT AS r, n, b.s::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op11_phrases": OP11_SQL, "op9_weak_quality": quality_sql(), "op1_warc": OP1_SQL, "op7_line_dedup": OP7_SQL}
