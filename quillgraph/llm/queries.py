@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe_tree, langid, line_dedup, lsi_decontam, phrases, repair, simhash_trie, token_count, toxicity_mil, warc, weak_quality
+from quillgraph.llm import bpe_tree, langid, line_dedup, lsi_decontam, phrases, repair, simhash_trie, suffix_dedup, token_count, toxicity_mil, warc, weak_quality
 from quillgraph.llm.common import prepare, table
 
 
@@ -69,6 +69,11 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without passages that an earlier one has."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_weak_quality": op9_weak_quality,
     "op10_simhash_trie": op10_simhash_trie,
     "op11_phrases": op11_phrases,
+    "op12_suffix_dedup": op12_suffix_dedup,
 }
 
 #: Payload digests in DuckDB: SHA-1 in hex, read as bits, five at a time in the base32 alphabet.

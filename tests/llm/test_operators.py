@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe_tree, common, components, langid, line_dedup, lsi_decontam, repair, simhash_trie, token_count, toxicity_mil, warc, weak_quality
+from quillgraph.llm import bpe_tree, common, components, langid, line_dedup, lsi_decontam, phrases, repair, simhash_trie, suffix_dedup, token_count, toxicity_mil, warc, weak_quality
 
 WORD_BPE, PIECE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Extra columns that clash with names used inside the operators.
@@ -871,3 +871,161 @@ def test_token_cache_shuffles_no_text_when_warm(spark, docs, tmp_path):
             assert cache.stored().count() == after  # warm: nothing is encoded
         finally:
             token_count.FEW_MISSES = kept
+
+
+# --- 11 --------------------------------------------------------------------------------------------------------------
+
+
+def brute_collocations(rows, most=3, least=10, share=50, top=2000):
+    """Phrases by plain counting, cut by cut."""
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        low = "".join(c.lower() if c.isascii() else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\n\x0b\x0c\r]", low):
+            w = [x for x in re.split(r"[ \t]+", piece) if x]
+            n[lang or "und"] += len(w)
+            f.update((lang or "und", *w[i : i + k]) for k in range(1, most + 1) for i in range(len(w) - k + 1))
+    found = {p: a for p, a in f.items() if a >= least and len(p) > 2}
+    inside = {}
+    for p, a in found.items():
+        w = p[1:]
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                q = (p[0], *w[i : i + k])
+                inside[q] = max(inside.get(q, 0), a)
+    out = {}
+    for p, a in found.items():
+        if 100 * inside.get(p, 0) >= share * a:
+            continue
+        score, _, left, right = min((10**6 * a * a // (f[p[: k + 1]] * f[(p[0], *p[k + 1 :])]), k, f[p[: k + 1]], f[(p[0], *p[k + 1 :])]) for k in range(1, len(p) - 1))
+        out.setdefault(p[0], []).append((-score, -a, " ".join(p[1:]).encode(), left, right))
+    return sorted((g, k, p.decode(), -a, x, y, n[g], -s) for g, c in out.items() for k, (s, a, p, x, y) in enumerate(sorted(c)[:top], 1))
+
+
+def found_collocations(df):
+    return sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in df.collect())
+
+
+@pytest.mark.parametrize(("most", "least", "share"), [(2, 2, 50), (3, 10, 50), (4, 3, 60), (5, 2, 100)])
+def test_phrases_brute_force(spark, docs, empty, monkeypatch, most, least, share):
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 5_000)  # many shards, texts in slices
+    rng = random.Random(most)
+    words = ["of", "Ünter", "THE", "x\x00y", "日本", "a", "b", "the"]
+    rows = [("".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\t", ", ", "\n", "! "]) for _ in range(rng.randint(0, 400))), rng.choice(["en", "de", None])) for _ in range(60)]
+    made = spark.createDataFrame(rows * 2, "text string, lang string").repartition(3)
+    assert found_collocations(phrases.collocations(made, most, least, share)) == brute_collocations(rows * 2, most, least, share)
+    plain = [(r["text"], r["lang"]) for r in docs.select("text", "lang").collect()]
+    assert found_collocations(phrases.collocations(docs, most, least, share, top=3)) == brute_collocations(plain, most, least, share, top=3)
+    assert phrases.collocations(empty, most, least).count() == 0
+
+
+def test_phrases_whole_tables(spark, sample):
+    got = found_collocations(phrases.collocations(sample))
+    assert got and got == brute_collocations([(r["text"], r["lang"]) for r in sample.select("text", "lang").collect()])
+
+
+def test_phrase_scores_are_exact(spark):
+    big = 3 * 10**12  # products of 86 bits
+    rows = [("en", 0, "", big), ("en", 1, "a", big), ("en", 1, "b", big - 1), ("en", 2, "a b", big - 2)]
+    got = phrases.scored(spark.createDataFrame(rows, "lang string, n int, phrase string, f long")).first()
+    assert (got["l"], got["r"], got["score"]) == (big, big - 1, 10**6 * (big - 2) ** 2 // (big * (big - 1)))
+
+
+# --- 12 --------------------------------------------------------------------------------------------------------------
+
+
+def brute_repeats(rows, width=50):
+    """Windows of every text against the least id that has them."""
+    last = 2**63 - 1
+    raw = [(last if i is None else i, (t or "").encode()) for i, t in rows]
+    first = {}
+    for i, b in raw:
+        for p in range(len(b) - width + 1):
+            first[b[p : p + width]] = min(i, first.get(b[p : p + width], last))
+    out = []
+    for (i, _), (k, b) in zip(rows, raw, strict=True):
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - width + 1):
+            if first[b[p : p + width]] < k:
+                gone[p : p + width] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        spans = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(int))).reshape(-1, 2).tolist()
+        out.append((i, len(b), spans, kept))
+    return sorted(out, key=str)
+
+
+def found_repeats(df):
+    return sorted(((r["doc_id"], r["n_bytes"], [[s["start"], s["stop"]] for s in r["spans"]], bytes(r["kept"])) for r in df.collect()), key=str)
+
+
+@pytest.fixture
+def small_shards(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3_000)
+    monkeypatch.setattr(suffix_dedup, "PART", 1_000)
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", 300)
+    monkeypatch.setattr(suffix_dedup, "HASHES", 50)
+
+
+def repeated_texts(n=80, seed=3):
+    rng = random.Random(seed)
+    said = ["".join(rng.choice("abcdefé \n") for _ in range(rng.randint(40, 120))) for _ in range(6)]
+    hot = "the same words stand at the head of every single page we have " * 2
+    rows = []
+    for k in range(n):
+        parts = ["".join(rng.choice("abcdefghijk ") for _ in range(rng.randint(0, 200))) for _ in range(3)]
+        rows.append((rng.choice([k, k, k // 2, None]), hot * (k % 3 > 0) + parts[0] + rng.choice(said) + parts[1] + rng.choice(said)[rng.randint(0, 30) :] + rng.choice(["", "xy" * 60, "z" * 150]) + parts[2]))
+    return rows + rows[:7] + [(200 + i, t) for i, (_, t) in enumerate(rows[:9])] + [(None, None), (5, ""), (6, "short"), (None, "short"), (300, hot * 40), (301, "q" * 4000)]
+
+
+def test_suffix_dedup_brute_force(spark, docs, empty, small_shards):
+    rows = repeated_texts()
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found_repeats(suffix_dedup.repeats(made)) == brute_repeats(rows)
+    assert found_repeats(suffix_dedup.repeats(made, width=33)) == brute_repeats(rows, 33)
+    plain = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert found_repeats(suffix_dedup.repeats(docs)) == brute_repeats(plain)
+    assert suffix_dedup.repeats(empty).count() == 0
+    few = spark.createDataFrame([(1, "nothing in common"), (2, None)], "doc_id long, text string")
+    assert [(r["doc_id"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.digests(few).orderBy("doc_id").collect()] == [(1, 0, 0), (2, 0, 0)]
+
+
+def test_suffix_dedup_straddling_windows(spark, small_shards):
+    """One passage is most of the table: its windows fill whole ranges, and are compared across them."""
+    rng = random.Random(1)
+    rows = [(k, "x" * 300 + "".join(rng.choice("abc") for _ in range(20))) for k in range(120)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    seen = []
+    plain = suffix_dedup.Splitters.__init__
+
+    def noted(self, cuts, width):
+        plain(self, cuts, width)
+        seen.append((len(self.heavy), len(self.straddling)))
+
+    suffix_dedup.Splitters.__init__ = noted
+    try:
+        assert found_repeats(suffix_dedup.repeats(made)) == brute_repeats(rows)
+    finally:
+        suffix_dedup.Splitters.__init__ = plain
+    assert seen and seen[0][0] > 0 and seen[0][1] > 0
+
+
+def test_suffix_dedup_whole_table(spark, sample):
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digests(sample).collect()}
+    want = brute_repeats([(r["doc_id"], r["text"]) for r in sample.select("doc_id", "text").collect()])
+    assert got == {i: (n, sum(b - a for a, b in s), len(s), hashlib.sha256(kept).hexdigest()) for i, n, s, kept in want}
+
+
+def test_equal_windows():
+    rng = np.random.default_rng(5)
+    rows = rng.integers(0, 2, (400, 84), dtype=np.uint8)
+    rows[100:200] = rows[:100]
+    starts = rng.integers(0, 34, 400) + np.arange(400) * 84
+    who, run = suffix_dedup.equal_windows(rows, starts, 50)
+    groups = {}
+    for k, s in enumerate(starts):
+        groups.setdefault(rows.tobytes()[s : s + 50], []).append(k)
+    want = sorted(g for g in groups.values() if len(g) > 1)
+    got = {}
+    for w, r in zip(who.tolist(), run.tolist(), strict=True):
+        got.setdefault(r, []).append(w)
+    assert sorted(sorted(g) for g in got.values()) == want
