@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import common
 
 #: Bytes of text in one suffix array: bounds a worker's memory (about 40 bytes a byte of text).
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 #: 64-bit words of the largest filter (16 MB), and frequent phrases for each of its words.
 MOST_BLOOM, BLOOM_LOAD = 1 << 21, 4
 #: Groups that each language's candidates are ranked in before the last ranking, at two levels.
