@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +35,9 @@ from quillgraph.llm import common
 
 WIDTH, GRAM = 50, 16
 #: Bytes of text in a shard, and windows that are looked at together: bound a worker's memory.
-SHARD_BYTES, PART = 4 << 20, 4 << 20
+SHARD_BYTES, PART = 4 << 20, 1 << 20
 #: Anchor hashes, and windows, in one bucket.
-HASHES, WINDOWS = 2_000_000, 1_000_000
+HASHES, WINDOWS = 1_000_000, 500_000
 #: Shards, and suffixes of each, in the sample for splitters.
 SAMPLE_SHARDS, SAMPLE_SUFFIXES = 256, 512
 #: Spark's limit on buckets of a table.
@@ -46,6 +46,14 @@ MOST_BUCKETS = 100_000
 LAST = np.iinfo(np.int64).max
 
 
+def _zip(b: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b)
+
+
+def _unzip(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -77,7 +85,7 @@ class Shard:
 
     def __init__(self, row: dict, width: int):
         self.sid, self.width = row["sid"], width
-        self.data = np.frombuffer(zlib.decompress(row["texts"]), dtype=np.uint8)
+        self.data = np.frombuffer(_unzip(row["texts"]), dtype=np.uint8)
         self.ids = np.frombuffer(row["ids"], dtype=np.int64)
         self.known = np.frombuffer(row["known"], dtype=bool)
         self.lengths = np.frombuffer(row["lengths"], dtype=np.int64)
@@ -93,13 +101,21 @@ class Shard:
         h, low = _grams(data), np.uint64(0xFFFFFFFF)
         # the least hash, and the leftmost of equals, which both follow from the window's bytes
         key = _least((h & ~low) | np.arange(len(h), dtype=np.uint64), self.width - GRAM + 1)
-        first = np.arange(begin, begin + len(key))
-        doc = np.searchsorted(self.starts, first, side="right") - 1
-        whole = first + self.width <= (self.starts + self.lengths)[doc]
-        first, at, doc = first[whole], (key[whole] & low).astype(np.int64), doc[whole]
-        if len(first):
-            new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))
-            yield first[new], np.diff(np.append(new, len(first))), at[new] + begin, h[at[new]], doc[new]
+        at = (key & low).astype(np.int64)
+        # windows start from each text's first byte up to where they would pass its end
+        last = np.clip(self.starts + self.lengths - self.width + 1 - begin, 0, len(key))
+        start = np.minimum(np.clip(self.starts - begin, 0, len(key)), last)
+        new = np.concatenate([[True], at[1:] != at[:-1]])
+        new[start[start < last]] = True
+        change = np.zeros(len(key) + 1, np.int8)
+        change[start[start < last]] += 1
+        change[last[start < last]] -= 1
+        whole = np.cumsum(change[:-1], dtype=np.int8) > 0
+        after = np.concatenate([whole[1:], [False]])
+        stop = np.flatnonzero(whole & (~after | np.concatenate([new[1:], [True]])))  # the last window of each run
+        new = np.flatnonzero(whole & new)
+        if len(new):
+            yield new + begin, stop - new + 1, at[new] + begin, h[at[new]], np.searchsorted(self.starts, new + begin, side="right") - 1
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(distinct anchor hashes in order, whether several documents of the shard have it, each anchor's place among them)."""
@@ -225,7 +241,7 @@ def _pack(width: int):
         lengths = np.array([len(t) for t in raw], np.int64)
         return pa.RecordBatch.from_pydict({
             "sid": [uuid.uuid4().hex], "ids": [numbers.tobytes()], "known": [known.tobytes()], "lengths": [lengths.tobytes()],
-            "texts": [zlib.compress(b"".join(raw), 1)], "size": [int(lengths.sum())],
+            "texts": [_zip(b"".join(raw))], "size": [int(lengths.sum())],
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,6 +298,7 @@ def _shared_hashes(group: pa.Table) -> pa.Table:
     values, place, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     count += np.bincount(place, weights=np.concatenate(several), minlength=len(values)).astype(np.int64)
     mark = np.split(count[place] > 1, np.cumsum([len(p) for p in parts])[:-1])
+    common.release()
     keep = [k for k, m in enumerate(mark) if m.any()]
     return pa.table({
         "sid": pa.array([sids[k] for k in keep], pa.string()), "bucket": pa.array([group.column("bucket")[0].as_py()] * len(keep), pa.int64()),
@@ -307,7 +324,7 @@ def _send_suffixes(width: int, buckets: int, cuts):
             shard = Shard(row, width)
             p = Pieces(shard, shard.marked(row["marks"], buckets), splitters)
             inside = np.arange(p.rows.shape[1]) < (p.n + width - 1)[:, None]
-            sent = [(b, p.n[own].astype("<u2").tobytes(), p.least[own].tobytes(), p.edge[own].astype("<i4").tobytes(), zlib.compress(p.rows[own][inside[own]].tobytes(), 1)) for b, own in p.parts()]
+            sent = [(b, p.n[own].astype("<u2").tobytes(), p.least[own].tobytes(), p.edge[own].astype("<i4").tobytes(), _zip(p.rows[own][inside[own]].tobytes())) for b, own in p.parts()]
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array([x[0] for x in sent], pa.int64()), "sid": pa.array([shard.sid] * len(sent), pa.string()),
                 **{name: pa.array([x[k + 1] for x in sent], pa.binary()) for k, name in enumerate(("n", "least", "edge", "rows"))},
@@ -325,7 +342,7 @@ def _sorted_bucket(width: int):
         n, least, edge = (np.concatenate(x).astype(np.int64) for x in (parts, read("least", np.int64), read("edge", "<i4")))
         size = 2 * width - GRAM
         rows = np.zeros((len(n), size), np.uint8)
-        rows[np.arange(size) < (n + width - 1)[:, None]] = np.frombuffer(b"".join(zlib.decompress(b) for b in group.column("rows").to_pylist()), dtype=np.uint8)
+        rows[np.arange(size) < (n + width - 1)[:, None]] = np.frombuffer(b"".join(_unzip(b) for b in group.column("rows").to_pylist()), dtype=np.uint8)
         of, some = _distinct(n, rows)
         first = np.full(len(some), LAST)
         np.minimum.at(first, of, least)
@@ -347,6 +364,8 @@ def _sorted_bucket(width: int):
         held = np.unique(edge[edge >= 0])
         low = np.full(int(held[-1]) + 1 if len(held) else 0, LAST)
         np.minimum.at(low, edge[edge >= 0], least[edge >= 0])
+        del rows, repeated, bits, at, who, run_
+        common.release()
         sids, bucket = group.column("sid").to_pylist(), group.column("bucket")[0].as_py()
         keep = [k for k, b in enumerate(out) if b.any()]
         return pa.table({
