@@ -5,10 +5,13 @@ from __future__ import annotations
 import ctypes
 import os
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +101,47 @@ def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], heavy: Data
     return marked.join(rest, on, "left").select(*(F.col(f"`{c}`") for c in rows.columns), *(F.coalesce(F.col(f"__hv.{c}"), F.col(f"__rv.{c}")).alias(c) for c in own))
 
 
+#: 64-bit words of the largest Bloom filter (16 MB), and values for each of its words.
+MOST_BLOOM, BLOOM_LOAD = 1 << 21, 4
+
+
+def _bloom_mask(h: np.ndarray) -> np.ndarray:
+    """Three bits of a 64-bit word."""
+    one, low = np.uint64(1), np.uint64(63)
+    return (one << (h & low)) | (one << ((h >> np.uint64(6)) & low)) | (one << ((h >> np.uint64(12)) & low))
+
+
+def _bloom_word(h: np.ndarray, size: int) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(size)).astype(np.int64)
+
+
+def bloom_has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in the filter; never False for one that is."""
+    mask = _bloom_mask(h)
+    return (bits[_bloom_word(h, len(bits))] & mask) == mask
+
+
+def bloom_filter(hashes: DataFrame):
+    """A broadcast Bloom filter of a column of 64-bit hashes, as a numpy array of at most ``MOST_BLOOM`` words.
+
+    Bits are put together on the executors. A filter of more values than it has room for lets more through, so it may only keep
+    out what an exact step would drop later.
+    """
+    size, n = 1 << 10, hashes.count()
+    while size < MOST_BLOOM and size * BLOOM_LOAD < n:
+        size *= 2
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(_bloom_word(h, size)), pa.array(_bloom_mask(h).view(np.int64))], names=["word", "bits"])
+
+    rows = hashes.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size, np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(out)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ is some megabytes of text in one task: its words become ids, numpy prefix doubli
 falls below n words are the shard's n-grams with their counts. Counts are merged over all shards by language and phrase.
 
 Levels: words and pairs are counted first. Of longer phrases a shard only sends those whose parts, one word shorter, can
-be frequent by the level before: a Bloom filter of the frequent phrases, of at most ``MOST_BLOOM`` 64-bit words, is
+be frequent by the level before: a Bloom filter of the frequent phrases, of bounded size (``common.bloom_filter``), is
 broadcast. A filter that fills up lets more through and changes no result, as counts are merged exactly.
 
 A candidate's score is the lowest over its cuts of floor(scale * a * a / (l * r)), in decimals of 38 digits. A candidate
@@ -33,8 +33,6 @@ from quillgraph.llm import common
 
 #: Bytes of text in one suffix array: bounds a worker's memory (about 40 bytes a byte of text).
 SHARD_BYTES = 3 << 20
-#: 64-bit words of the largest filter (16 MB), and frequent phrases for each of its words.
-MOST_BLOOM, BLOOM_LOAD = 1 << 21, 4
 #: Groups that each language's candidates are ranked in before the last ranking, at two levels.
 SALTS = (256, 16)
 
@@ -156,16 +154,6 @@ def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
-def _mask(h: np.ndarray) -> np.ndarray:
-    """Three bits of a 64-bit word."""
-    one, low = np.uint64(1), np.uint64(63)
-    return (one << (h & low)) | (one << ((h >> np.uint64(6)) & low)) | (one << ((h >> np.uint64(12)) & low))
-
-
-def _word(h: np.ndarray, size: int) -> np.ndarray:
-    return ((h >> np.uint64(20)) % np.uint64(size)).astype(np.int64)
-
-
 def _counter(sizes: list[int], known=None):
     """n-grams of ``sizes`` words with their counts in each shard; ``known``: a broadcast filter of phrases a word shorter."""
 
@@ -176,8 +164,7 @@ def _counter(sizes: list[int], known=None):
                 continue
             order, lcp = w.suffixes(max(sizes))
             if known is not None:
-                h, bits = w.hashes(max(sizes) - 1), known.value
-                may = (bits[_word(h, len(bits))] & _mask(h)) == _mask(h)
+                may = common.bloom_has(known.value, w.hashes(max(sizes) - 1))
             else:
                 per = np.bincount(w.lang, minlength=len(w.langs))
                 yield pa.RecordBatch.from_arrays([pa.array(w.langs, pa.string()), pa.array(np.zeros(len(per)), pa.int32()), pa.array([""] * len(per)), pa.array(per, pa.int64())], schema=COUNTS)
@@ -199,25 +186,17 @@ def _counter(sizes: list[int], known=None):
 
 
 def _filter(frequent: DataFrame):
-    """A Bloom filter of phrases and their languages as a numpy array: bits are put together on the executors."""
-    size = 1 << 10
-    while size < MOST_BLOOM and size * BLOOM_LOAD < frequent.count():
-        size *= 2
+    """A Bloom filter of phrases of one length with their languages."""
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            offsets, data = _bytes_of(batch.column("phrase"))
-            w = Words(data, offsets[:-1], batch.column("lang").to_pylist())
-            n = int(w.left[0])
-            h = w.hashes(n)[w.left == n]
-            yield pa.RecordBatch.from_arrays([pa.array(_word(h, size)), pa.array(_mask(h).view(np.int64))], names=["word", "bits"])
-
-    rows = frequent.select("lang", "phrase").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(size, np.uint64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return frequent.sparkSession.sparkContext.broadcast(out)
+            if batch.num_rows:
+                offsets, data = _bytes_of(batch.column("phrase"))
+                w = Words(data, offsets[:-1], batch.column("lang").to_pylist())
+                n = int(w.left[0])
+                yield pa.RecordBatch.from_arrays([pa.array(w.hashes(n)[w.left == n].view(np.int64))], names=["h"])
+
+    return common.bloom_filter(frequent.select("lang", "phrase").mapInArrow(hashed, "h long"))
 
 
 def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> DataFrame:

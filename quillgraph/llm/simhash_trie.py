@@ -12,9 +12,11 @@ A group gives a spanning forest of its links, not all its pairs; components come
 Texts of a similarity of 0.8 on five words differ in about ten of 64 bits, where bit blocks that agree are too short to
 part the trie. ``one_of_each`` takes wide fingerprints of ``LIMBS`` x 64 bits of the distinct shingles, and the top nodes
 of its trie are ``BANDS`` keys of ``ROWS`` least shingle hashes each in place of bit blocks. Below them the same walk sums
-differing bits over the wide fingerprint. ``WIDE_BUDGET`` bits of 256 are a similarity of about 0.73: the fingerprint
+differing bits over the wide fingerprint. ``WIDE_BUDGET`` bits of 256 are a similarity of about 0.7: the fingerprint
 estimates it within some hundredths, so the budget lies below 0.8 to find those of 0.8. In groups over ``PIVOT_OVER`` rows, rows within
-the budget of a pivot are tied to it first; pairs of theirs need no walk, and only rows within twice the budget can link to them.
+``TIGHT`` bits of a pivot are paired with it first, and others with the nearest of them. A group gives the forest of its nearest
+pairs, and each of these pairs is checked on the texts' shingles: only pairs of a similarity of 0.8 or more are links. What may be
+missed: pairs that share no key, or lie over the budget, or whose texts are joined in the forest by pairs that fail the check.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and links like any other; texts
 with one or two words have one shingle; repeated rows share fingerprint and component; null ids never are a component
@@ -39,9 +41,11 @@ SEED = 42
 SPLIT_OVER = 50_000
 LEAF = 8  # node pairs of so few fingerprints are compared outright
 LIMBS = 4
-WIDE_BUDGET = 46
+WIDE_BUDGET = 50
 BANDS, ROWS = 8, 3
-PIVOT_OVER, PIVOTS = 256, 16
+PIVOT_OVER, PIVOTS, TIGHT = 256, 16, 24
+#: The least similarity of a link, as a fraction.
+LEAST = (4, 5)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -281,27 +285,47 @@ def _group_links(budget: int, chunk: int = 200_000):
     return common.trimmed(run)
 
 
-def _tie_dense(limbs: list[np.ndarray], rest: np.ndarray, budget: int, forest: Forest, walk: np.ndarray) -> None:
-    """Tie rows of a large group to pivots; rows tied to one are taken out of ``walk``, and lose no link by it.
+def _tie_dense(limbs: list[np.ndarray], rest: np.ndarray, budget: int, walk: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that tie rows of a large group to pivots; rows within ``TIGHT`` bits of one are taken out of ``walk``.
 
-    Rows within the budget of a pivot are one component. Another row can only link to one of them from at most twice the budget
-    away, and such a row is held against all of them here.
+    Rows that tight are surely one component by way of the pivot. Another row can only be within the budget of one of them from at
+    most ``TIGHT`` bits more away from the pivot; it is held against all of them, and paired with the nearest.
     """
-    for _ in range(PIVOTS):
-        if len(rest) <= PIVOT_OVER:
-            return
-        pivot = rest[len(rest) // 2]
+    while len(rest) > PIVOT_OVER:
+        pivot = rest[0]
         d = _distance(limbs, rest, pivot)
-        near, between, rest = rest[d <= budget], rest[(d > budget) & (d <= 2 * budget)], rest[d > budget]
-        forest.add(near, np.full(len(near), pivot))
+        near, between, rest = rest[d <= TIGHT], rest[(d > TIGHT) & (d <= TIGHT + budget)], rest[d > TIGHT]
+        yield near, np.full(len(near), pivot)
         walk[near] = False
-        for x in between:
-            if (_distance(limbs, near, x) <= budget).any():
-                forest.add(np.array([x]), np.array([pivot]))
+        step = max(1, (1 << 22) // len(near))
+        for k in range(0, len(between), step):
+            some = between[k : k + step]
+            far = _distance(limbs, some[:, None], near[None, :])
+            best = far.argmin(axis=1)
+            ok = far[np.arange(len(some)), best] <= budget
+            yield some[ok], near[best[ok]]
+        if len(near) < 2 + len(rest) // PIVOTS:  # not dense: the walk prunes
+            return
+
+
+def _nearest_forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the pairs (i, j) that make a spanning forest of least distances: each tree takes its nearest pair, until none is left."""
+    order = np.lexsort((j, i, d))
+    forest, taken, left = Forest(n), [], order
+    while len(left):
+        root = forest.roots()
+        left = left[root[i[left]] != root[j[left]]]
+        if not len(left):
+            break
+        # ``left`` is in order of distance: the first pair of each tree is its nearest
+        first = np.unique(np.concatenate([left[np.unique(root[x[left]], return_index=True)[1]] for x in (i, j)]))
+        taken.append(first)
+        forest.add(i[first], j[first])
+    return np.concatenate(taken) if taken else np.zeros(0, np.int64)
 
 
 def _similar_links(budget: int, chunk: int = 100_000):
-    """Spanning links of the groups in a partition of wide fingerprints that is sorted by group and fingerprint."""
+    """Pairs that span the groups in a partition of wide fingerprints that is sorted by group and fingerprint, nearest first."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def of(table: pa.Table) -> pa.RecordBatch:
@@ -311,22 +335,23 @@ def _similar_links(budget: int, chunk: int = 100_000):
         keys = np.stack([table.column(c).to_numpy() for c in ("band", "low", "high")], axis=1)
         edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
         ends = np.append(edge[1:], len(fp))
-        forest, walk = Forest(len(fp)), np.ones(len(fp), dtype=bool)
+        pairs, walk = [], np.ones(len(fp), dtype=bool)
         walk[edge[ends - edge == 1]] = False
         for lo, hi in zip(edge, ends):
             if hi - lo > PIVOT_OVER:
-                _tie_dense(limbs, np.arange(lo, hi), budget, forest, walk)
+                pairs += _tie_dense(limbs, np.arange(lo, hi), budget, walk)
         at = np.flatnonzero(walk)
         if len(at):
             left = [v[at] for v in limbs]
             group = np.repeat(np.arange(len(edge)), ends - edge)[at]
             first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             roots = np.stack([first, np.append(first[1:], len(at))] * 2, axis=1)
-            for i, j in _node_pairs(left, roots, budget):
-                forest.add(at[i], at[j])
-        root = forest.roots()
-        tied = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.record_batch([pa.array([fp[k] for k in tied], pa.binary()), pa.array([fp[k] for k in root[tied]], pa.binary())], schema=schema)
+            pairs += [(at[i], at[j]) for i, j in _node_pairs(left, roots, budget)]
+        i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        i, j = i[i != j], j[i != j]
+        some = _nearest_forest(len(fp), i, j, _distance(limbs, i, j)) if len(i) else i
+        ordered = [(min(fp[x], fp[y]), max(fp[x], fp[y])) for x, y in zip(i[some], j[some])]
+        return pa.record_batch([pa.array([x for x, _ in ordered], pa.binary()), pa.array([y for _, y in ordered], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _by_groups(batches, ("band", "low", "high"), of, chunk)
@@ -334,8 +359,50 @@ def _similar_links(budget: int, chunk: int = 100_000):
     return common.trimmed(run)
 
 
+def similarity_at_least(a: str | None, b: str | None, words: int, part: int, of: int) -> bool:
+    """Have the texts' distinct shingles a Jaccard similarity of ``part`` / ``of`` or more? Texts without a word are equal."""
+    x, y = (np.unique(_shingles(t, words)) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return of * both >= part * (len(x) + len(y) - both)
+
+
+def _checked(words: int, part: int, of: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
+            yield batch.select(["a", "b"]).filter(pa.array([similarity_at_least(x, y, words, part, of) for x, y in texts], pa.bool_()))
+
+    return common.trimmed(run)
+
+
+def checked_links(candidates: DataFrame, marked: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
+    """Of the candidate pairs (a, b) of wide fingerprints those whose texts have a similarity of ``LEAST`` or more.
+
+    ``marked``: (doc_id with the text's hashes h and i, fp). Only texts that a pair needs are moved: a Bloom filter of bounded size
+    keeps the others out of the shuffle, and the join on 128 bits of the text's hash is exact.
+    """
+    spark = docs.sparkSession
+    base = common.run_dir(spark, "checked-links")
+    candidates = common.stored(candidates.distinct(), f"{base}/candidates")
+    ends = candidates.select(F.col("a").alias("fp")).unionByName(candidates.select(F.col("b").alias("fp"))).distinct()
+    named = marked.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id.h", "doc_id.i")).alias("t")).select("fp", "t.h", "t.i")
+    named = common.stored(named, f"{base}/named")
+    held = common.bloom_filter(named.select("h"))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(common.bloom_has(held.value, batch.column("h").to_numpy().view(np.uint64))))
+
+    rows = docs.select(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("i"), F.col("text").cast("string").alias("text"))
+    rows = rows.mapInArrow(wanted, "h long, i long, text string").groupBy("h", "i").agg(F.first("text").alias("text"))
+    texts = common.stored(named.join(rows, ["h", "i"]).select("fp", "text"), f"{base}/texts")
+    one = candidates.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
+    both = one.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_checked(words, *LEAST), "a binary, b binary")
+
+
 def similar_links(distinct: DataFrame, budget: int = WIDE_BUDGET, split_over: int = SPLIT_OVER) -> DataFrame:
-    """Edges (a, b) between distinct wide fingerprints (columns fp, bands) whose components are those of all links.
+    """Candidate pairs (a, b) of distinct wide fingerprints (columns fp, bands): a spanning forest of each group's nearest pairs.
 
     A group over ``split_over`` is cut into parts by a hash, and dealt out by pairs of parts.
     """
@@ -413,7 +480,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
 
 
 def one_of_each(docs: DataFrame, words: int = 5, budget: int = WIDE_BUDGET) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates by wide fingerprints: that with the smallest doc_id.
+    """``docs`` with one row of each group of near duplicates (links of a checked similarity of 0.8): that with the smallest doc_id.
 
     A row without an id is kept only if its whole group has none; of rows that share the smallest id, that with the
     smallest hash of its text, and of rows equal in both one. Rows are told apart by id and 128 bits of a hash of the text.
@@ -422,7 +489,7 @@ def one_of_each(docs: DataFrame, words: int = 5, budget: int = WIDE_BUDGET) -> D
     base = common.run_dir(spark, "one-of-each")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("i"))
     marked = common.stored(wide_fingerprints(docs.select(own.alias("doc_id"), "text"), words), f"{base}/marked")
-    kept = _groups(marked, F.col("doc_id"), lambda own: similar_links(own, budget)).select("least").distinct()
+    kept = _groups(marked, F.col("doc_id"), lambda own: checked_links(similar_links(own, budget), marked, docs, words)).select("least").distinct()
     kept = common.stored(kept.select("least.*").withColumnsRenamed({c: f"__{c}" for c in ("none", "doc_id", "h", "i")}), f"{base}/kept")
     same = docs["doc_id"].eqNullSafe(kept["__doc_id"]) & (F.xxhash64("text") == kept["__h"]) & (F.xxhash64(F.lit(1), "text") == kept["__i"])
     out = docs.join(kept, same, "left_semi")
