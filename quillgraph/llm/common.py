@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
-#: Rows in one Arrow batch handed to Python; bounds a worker's memory when texts are long.
-ARROW_ROWS = 512
+#: Rows and bytes in one Arrow batch handed to Python; bound a worker's memory when texts are long.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 #: A key is heavy if more than one row in so many has it; there are fewer heavy keys than this.
 HEAVY = 1000
@@ -30,6 +30,7 @@ def prepare(spark: SparkSession) -> None:
     if REPO_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([REPO_ROOT, *paths])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def release() -> None:

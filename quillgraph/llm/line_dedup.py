@@ -17,8 +17,8 @@ Where more than a quarter of the table would be set, it would keep little out; t
 A line is known by 128 bits of a hash, and so is a variant.
 
 Defined results: words are runs without white space; lines without words (and null or empty texts) are no lines here
-and stay in the text; null doc_ids come first; rows that repeat an earlier row's doc_id and text have the same places,
-so they are equals of each other and get the same result; an empty table gives no rows; other columns are ignored by
+and stay in the text; null doc_ids come first; rows that share a doc_id, or have none, are told apart by 64 bits of a hash of the
+text, and come in that hash's order; rows equal in doc_id and text have the same places, so they get the same result; an empty table gives no rows; other columns are ignored by
 ``line_duplicates`` and kept by ``without_duplicates``; texts are read whole, lines of any length.
 """
 
@@ -234,8 +234,11 @@ def near_ties(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS, tab
 def line_duplicates(docs: DataFrame, min_words: int = MIN_WORDS, table_words: int = TABLE_WORDS) -> DataFrame:
     """For every line with a word: doc_id, line_no, ``kind`` (kept, exact, near), and the earlier line it repeats.
 
-    Of a near line's earlier neighbours the earliest verified one is named. ``__x`` and ``__y`` are the line's digest.
+    Of a near line's earlier neighbours the earliest verified one is named. ``__row`` is the hash of the row's text, ``__x`` and
+    ``__y`` are the line's digest.
     """
+    # a row is its id and its text's hash: an id may be missing, or shared
+    docs = docs.select(F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("row")).alias("doc_id"), "text")
     lines = scan_lines(docs, min_words)
     ties = near_ties(docs, lines, min_words, table_words)
     later = F.col("first") > F.col("first2")
@@ -249,7 +252,7 @@ def line_duplicates(docs: DataFrame, min_words: int = MIN_WORDS, table_words: in
     known = common.spread_join(lines.select("doc_id", "line_no", "x", "y"), firsts.drop("n"), ["x", "y"], heavy, ["doc_id", "line_no"])
     kind = F.when(~place.eqNullSafe(F.col("first")), "exact").when(F.col("near").isNotNull(), "near").otherwise("kept")
     of = F.when(~place.eqNullSafe(F.col("first")), F.col("first")).otherwise(F.col("near"))
-    return known.select("doc_id", "line_no", kind.alias("kind"), of["doc_id"].alias("of_doc_id"), of["line_no"].alias("of_line_no"), F.col("x").alias("__x"), F.col("y").alias("__y"))
+    return known.select("doc_id.doc_id", "line_no", kind.alias("kind"), of["doc_id"]["doc_id"].alias("of_doc_id"), of["line_no"].alias("of_line_no"), F.col("doc_id.row").alias("__row"), F.col("x").alias("__x"), F.col("y").alias("__y"))
 
 
 _PAIR = struct.Struct(">qq")
@@ -259,7 +262,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
         out = []
-        for text, gone in zip(batch.column(at).to_pylist(), batch.column("__gone").to_pylist()):
+        for text, gone in zip(batch.column(at).to_pylist(), batch.column("__lines_gone").to_pylist()):
             if text is not None and gone:
                 places: dict[int, set[bytes]] = {}
                 for g in gone:
@@ -267,16 +270,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # the digest tells apart rows that share a doc_id
                 text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in places or digest(x) not in places[k])
             out.append(text)
-        yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type)).select([i for i, n in enumerate(batch.schema.names) if n != "__gone"])
+        yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type)).select([i for i, n in enumerate(batch.schema.names) if n != "__lines_gone"])
 
 
 def without_duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the lines that repeat earlier ones; ``n_chars``, if there, is counted again."""
     gone = line_duplicates(docs, min_words).where("kind <> 'kept'")
-    # the same place and line several times only if rows repeat
-    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", F.col("__x").alias("x"), F.col("__y").alias("y"))).alias("__gone"))
-    gone = gone.withColumnRenamed("doc_id", "__id")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left").select(*[docs[f"`{c}`"] for c in docs.columns], "__gone")
+    # a list for each text: the dropped lines of one document
+    gone = gone.groupBy("doc_id", "__row").agg(F.collect_set(F.struct("line_no", F.col("__x").alias("x"), F.col("__y").alias("y"))).alias("__gone"))
+    gone = gone.toDF("__doc_of_gone", "__row_of_gone", "__lines_gone")
+    same = docs["doc_id"].eqNullSafe(gone["__doc_of_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__row_of_gone"])
+    joined = docs.join(gone, same, "left").select(*[docs[f"`{c}`"] for c in docs.columns], "__lines_gone")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = joined.mapInArrow(common.trimmed(_cut), fields)
     if "n_chars" in out.columns:

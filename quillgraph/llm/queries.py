@@ -45,7 +45,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of all documents, and the earlier line that it repeats but for a word."""
-    return line_dedup.line_duplicates(table(spark, sf_dir, "documents")).drop("__x", "__y")
+    return line_dedup.line_duplicates(table(spark, sf_dir, "documents")).drop("__row", "__x", "__y")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ part the trie. ``one_of_each`` takes wide fingerprints of ``LIMBS`` x 64 bits of
 of its trie are ``BANDS`` keys of ``ROWS`` least shingle hashes each in place of bit blocks. Below them the same walk sums
 differing bits over the wide fingerprint. ``WIDE_BUDGET`` bits of 256 are a similarity of about 0.7: the fingerprint
 estimates it within some hundredths, so the budget lies below 0.8 to find those of 0.8. In groups over ``PIVOT_OVER`` rows, rows within
-``TIGHT`` bits of a pivot are paired with it first, and others with the nearest of them. A group gives the forest of its nearest
-pairs, and each of these pairs is checked on the texts' shingles: only pairs of a similarity of 0.8 or more are links. What may be
+``TIGHT`` bits of a pivot, the middle one, are paired with it first, and others with it and the nearest of them. A group gives these
+pairs and the forest of the nearest of its other pairs, and each of these pairs is checked on the texts' shingles: only pairs of a similarity of 0.8 or more are links. What may be
 missed: pairs that share no key, or lie over the budget, or whose texts are joined in the forest by pairs that fail the check.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and links like any other; texts
@@ -43,7 +43,7 @@ LEAF = 8  # node pairs of so few fingerprints are compared outright
 LIMBS = 4
 WIDE_BUDGET = 50
 BANDS, ROWS = 8, 3
-PIVOT_OVER, PIVOTS, TIGHT = 256, 16, 24
+PIVOT_OVER, PIVOTS, TIGHT, NEAREST = 256, 16, 24, 2
 #: The least similarity of a link, as a fraction.
 LEAST = (4, 5)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -285,25 +285,41 @@ def _group_links(budget: int, chunk: int = 200_000):
     return common.trimmed(run)
 
 
+def _middle(limbs: list[np.ndarray], rows: np.ndarray) -> int:
+    """Of some fingerprints the one nearest to the majority of each bit."""
+    counts = np.zeros(BITS * len(limbs), np.int64)
+    for k in range(0, len(rows), 1 << 14):
+        part = np.stack([v[rows[k : k + (1 << 14)]] for v in limbs], axis=1).astype(">u8")
+        counts += np.unpackbits(part.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    centre = np.packbits(counts * 2 > len(rows)).view(">u8").astype(np.uint64)
+    return int(rows[sum(np.bitwise_count(v[rows] ^ c).astype(np.int16) for v, c in zip(limbs, centre)).argmin()])
+
+
 def _tie_dense(limbs: list[np.ndarray], rest: np.ndarray, budget: int, walk: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs that tie rows of a large group to pivots; rows within ``TIGHT`` bits of one are taken out of ``walk``.
 
     Rows that tight are surely one component by way of the pivot. Another row can only be within the budget of one of them from at
-    most ``TIGHT`` bits more away from the pivot; it is held against all of them, and paired with the nearest.
+    most ``TIGHT`` bits more away from the pivot; it is held against all of them, and paired with the nearest and the pivot.
     """
     while len(rest) > PIVOT_OVER:
-        pivot = rest[0]
+        pivot = _middle(limbs, rest)
         d = _distance(limbs, rest, pivot)
-        near, between, rest = rest[d <= TIGHT], rest[(d > TIGHT) & (d <= TIGHT + budget)], rest[d > TIGHT]
+        near, far, rest = rest[d <= TIGHT], (d > TIGHT) & (d <= TIGHT + budget), rest[d > TIGHT]
+        between = rest[far[d > TIGHT]]
         yield near, np.full(len(near), pivot)
+        close = between[_distance(limbs, between, pivot) <= budget]
+        yield close, np.full(len(close), pivot)
         walk[near] = False
         step = max(1, (1 << 22) // len(near))
         for k in range(0, len(between), step):
             some = between[k : k + step]
-            far = _distance(limbs, some[:, None], near[None, :])
-            best = far.argmin(axis=1)
-            ok = far[np.arange(len(some)), best] <= budget
-            yield some[ok], near[best[ok]]
+            each = _distance(limbs, some[:, None], near[None, :])
+            for _ in range(min(NEAREST, len(near))):
+                best = each.argmin(axis=1)
+                at = np.arange(len(some))
+                ok = each[at, best] <= budget
+                yield some[ok], near[best[ok]]
+                each[at, best] = np.iinfo(np.int16).max
         if len(near) < 2 + len(rest) // PIVOTS:  # not dense: the walk prunes
             return
 
@@ -324,6 +340,11 @@ def _nearest_forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.n
     return np.concatenate(taken) if taken else np.zeros(0, np.int64)
 
 
+def _both_ends(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return i[i != j], j[i != j]
+
+
 def _similar_links(budget: int, chunk: int = 100_000):
     """Pairs that span the groups in a partition of wide fingerprints that is sorted by group and fingerprint, nearest first."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -335,11 +356,11 @@ def _similar_links(budget: int, chunk: int = 100_000):
         keys = np.stack([table.column(c).to_numpy() for c in ("band", "low", "high")], axis=1)
         edge = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
         ends = np.append(edge[1:], len(fp))
-        pairs, walk = [], np.ones(len(fp), dtype=bool)
+        pairs, tied, walk = [], [], np.ones(len(fp), dtype=bool)
         walk[edge[ends - edge == 1]] = False
         for lo, hi in zip(edge, ends):
             if hi - lo > PIVOT_OVER:
-                pairs += _tie_dense(limbs, np.arange(lo, hi), budget, walk)
+                tied += _tie_dense(limbs, np.arange(lo, hi), budget, walk)
         at = np.flatnonzero(walk)
         if len(at):
             left = [v[at] for v in limbs]
@@ -347,10 +368,10 @@ def _similar_links(budget: int, chunk: int = 100_000):
             first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             roots = np.stack([first, np.append(first[1:], len(at))] * 2, axis=1)
             pairs += [(at[i], at[j]) for i, j in _node_pairs(left, roots, budget)]
-        i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        i, j = i[i != j], j[i != j]
+        i, j = _both_ends(pairs)
         some = _nearest_forest(len(fp), i, j, _distance(limbs, i, j)) if len(i) else i
-        ordered = [(min(fp[x], fp[y]), max(fp[x], fp[y])) for x, y in zip(i[some], j[some])]
+        x, y = _both_ends([(i[some], j[some]), *tied])
+        ordered = sorted({(min(fp[a], fp[b]), max(fp[a], fp[b])) for a, b in zip(x, y)})
         return pa.record_batch([pa.array([x for x, _ in ordered], pa.binary()), pa.array([y for _, y in ordered], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1029,3 +1029,77 @@ def test_equal_windows():
     for w, r in zip(who.tolist(), run.tolist(), strict=True):
         got.setdefault(r, []).append(w)
     assert sorted(sorted(g) for g in got.values()) == want
+
+
+def test_line_dedup_tells_rows_without_an_id_apart(spark):
+    same, own = "this one line is in all of the rows here", "but number {} is found in this row and in no other row of it all"
+    rows = [(None, f"{same}\n{own.format(f'a{k} b{k} c{k}')}") for k in range(300)] + [(5, f"{same}\nfirst w1 w2 w3 w4 w5 of five"), (5, f"{same}\nanother x1 x2 x3 x4 x5 of five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__gone", F.lit(1)).withColumn("row", F.lit(2)).withColumn("__row", F.lit(3))
+    kinds = Counter((r["doc_id"], r["line_no"], r["kind"]) for r in line_dedup.line_duplicates(docs).collect())
+    assert kinds[None, 0, "kept"] == 1 and kinds[None, 0, "exact"] == 299 and kinds[5, 0, "exact"] == 2
+    kept = line_dedup.without_duplicates(docs)
+    assert kept.columns == docs.columns
+    texts = [r["text"] for r in kept.collect()]
+    assert sum(same in t for t in texts) == 1 and len(texts) == 302 and all(t.count("\n") <= 1 and len(t) > 10 for t in texts)
+
+
+def test_line_dedup_with_many_null_ids(spark):
+    rows = spark.range(10_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('a line that all of the rows repeat\n', 'the row ', id, ' has words ', id * 7, ' and ', id * 13, ' too') AS text")
+    plan = line_dedup.without_duplicates(rows)
+    assert plan.where("text LIKE 'a line that%'").count() == 1 and plan.count() == 10_000
+
+
+# --- the pipeline's near-dedup ------------------------------------------------------------------------------------------
+
+
+def word_edits(rng, words, share):
+    return [f"new{rng.randrange(10**6)}" if rng.random() < share else w for w in words]
+
+
+def test_near_dedup_ties_are_checked(spark):
+    """Every row dropped is tied by links of 0.8 or more; pairs from 0.8 on are found; pairs below stay, however near."""
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(260):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(40, 300))]
+        pairs.append((" ".join(words), " ".join(word_edits(rng, words, rng.choice([0.01, 0.02, 0.03, 0.04, 0.05, 0.07])))))
+    jaccard = [len(a & b) / len(a | b) for a, b in ((shingle_set(x), shingle_set(y)) for x, y in pairs)]
+    docs = spark.createDataFrame([(2 * k + s, t) for k, pair in enumerate(pairs) for s, t in enumerate(pair)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash_trie.one_of_each(docs).collect()}
+    assert all(2 * k in kept for k in range(len(pairs)))
+    tied = [2 * k + 1 not in kept for k in range(len(pairs))]
+    near = [t for t, j in zip(tied, jaccard) if j >= 0.8]
+    assert len(near) > 50 and sum(near) >= 0.95 * len(near)
+    assert not any(t for t, j in zip(tied, jaccard) if j < 0.8) and sum(0.6 < j < 0.8 for j in jaccard) > 50
+
+
+def test_near_dedup_of_a_dense_group(spark):
+    """Two thousand near copies of one text, and texts that share half of it: one row is left of the copies, and all others."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    copies = [" ".join(word_edits(rng, base, 0.008)) for _ in range(2000)]
+    others = [" ".join(base[:100] + [f"x{rng.randrange(10**6)}" for _ in range(100)]) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(copies + others)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash_trie.one_of_each(docs).collect()}
+    sets = [shingle_set(t) for t in copies]
+    apart = [k for k in range(1, 2000) if k in kept]
+    assert 0 in kept and all(2000 + k in kept for k in range(300))
+    # of the copies that have one of 0.8 or more, hardly one stays
+    near = [k for k in apart if max(len(sets[k] & s) / len(sets[k] | s) for i, s in enumerate(sets) if i != k) >= 0.8]
+    assert len(near) <= 20 and len(apart) < 100, (len(near), len(apart))
+
+
+def test_tied_fingerprints_of_a_large_group_in_bounded_time():
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2, 256, dtype=np.uint8)
+    flips = rng.random((50_000, 256)) < rng.choice([0.02, 0.05, 0.12], (50_000, 1))
+    fps = sorted({np.packbits(base ^ f).tobytes() for f in flips})
+    n = len(fps)
+    batch = pa.RecordBatch.from_pydict({"fp": pa.array(fps, pa.binary()), "band": pa.array(np.zeros(n, np.int64)), "low": pa.array(np.zeros(n, np.int32)), "high": pa.array(np.zeros(n, np.int32))})
+    began = time.time()
+    out = list(simhash_trie._similar_links(simhash_trie.WIDE_BUDGET)(iter([batch])))
+    assert time.time() - began < 120 and sum(len(b) for b in out) > 0.9 * n
