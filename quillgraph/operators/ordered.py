@@ -46,6 +46,32 @@ def carry(df: DataFrame, by: list[str], order: list[str], column: str, name: str
     return df.withColumn(name, F.last(column, ignorenulls=True).over(w))
 
 
+#: Positions in one split of a scan.
+SPAN = 1 << 16
+
+
+def scan(df: DataFrame, by: list[str], at: str, counts: dict[str, Column] | None = None, last: dict[str, Column] | None = None, span: int = SPAN) -> DataFrame:
+    """``df`` with running values over the order of ``at`` (a position from 0 or 1): of each of ``counts`` how many rows up to this one
+    hold it, of each of ``last`` its last value up to this row that isn't null.
+
+    A prefix scan over splits of ``span`` positions: each split is scanned by itself, and takes over what a small table (a row a
+    split) has of the splits before. So no task has a whole group, however long its order is. Keys of ``by`` are not null.
+    """
+    counts, last = counts or {}, last or {}
+    rows = df.withColumn("__split", F.floor(F.col(at) / span))
+    rows = rows.withColumns({f"__c_{n}": F.coalesce(c.cast("long"), F.lit(0)) for n, c in counts.items()} | {f"__v_{n}": c for n, c in last.items()})
+    sums = [F.sum(f"__c_{n}").alias(f"__c_{n}") for n in counts]
+    ends = [F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.col(at))).alias(f"__v_{n}") for n in last]
+    before = W.partitionBy(*by).orderBy("__split").rowsBetween(W.unboundedPreceding, -1)
+    taken = rows.groupBy(*by, "__split").agg(*sums, *ends).select(
+        *by, "__split", *(F.coalesce(F.sum(f"__c_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in counts), *(F.last(f"__v_{n}", ignorenulls=True).over(before).alias(f"__b_{n}") for n in last)
+    )
+    own = W.partitionBy(*by, "__split").orderBy(at).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({n: F.sum(f"__c_{n}").over(own) for n in counts} | {n: F.last(f"__v_{n}", ignorenulls=True).over(own) for n in last})
+    out = rows.join(taken, [*by, "__split"])
+    return out.select(*(c for c in df.columns if c not in counts and c not in last), *((F.col(n) + F.col(f"__b_{n}")).alias(n) for n in counts), *(F.coalesce(n, f"__b_{n}").alias(n) for n in last))
+
+
 def clusters(df: DataFrame, by: list[str], order: list[str], size: int, name: str) -> DataFrame:
     """Number of each run of ``size`` rows, from 0."""
     return df.withColumn(name, F.floor((F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1) / size))
@@ -98,6 +124,27 @@ def contained(points: DataFrame, spans: DataFrame, at: str, lo: str, hi: str, wi
     return p.join(s, "__b").where((F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi))).drop("__b")
 
 
+def owner(points: DataFrame, spans: DataFrame, at: str, lo: str, hi: str, width: int) -> DataFrame:
+    """Each point with the columns of the span of the greatest ``lo`` at or below it, if that span's ``hi`` isn't below it; null else.
+
+    An as-of join: points and spans are one table in order of place, a span before points of its place, and each point takes the last
+    span's values by a prefix scan over ranges of ``width`` places. Each row is shuffled once, however long a span is, and spans may
+    nest. Of spans that start at one place the one with the greatest ``hi``, then values, counts. Points without a place have no owner.
+    """
+    names = [c for c in spans.columns if c not in points.columns]
+    span = F.struct(hi, *(c for c in spans.columns if c != hi))
+    starts = spans.where(F.col(lo).isNotNull()).groupBy(F.col(lo).cast("double").alias("__at")).agg(F.max(span).alias("__span"))
+    both = points.select(F.col(at).cast("double").alias("__at"), F.struct(*points.columns).alias("__point"), F.lit(None).cast(starts.schema["__span"].dataType).alias("__span"))
+    both = both.unionByName(starts.select("__at", F.lit(None).cast(both.schema["__point"].dataType).alias("__point"), "__span")).where("__at IS NOT NULL")
+    # a place's own rows in order: the span first
+    both = both.withColumns({"__one": F.lit(0), "__k": F.col("__at") * 2 + F.col("__point").isNotNull().cast("int")})
+    found = scan(both, ["__one"], "__k", last={"__s": F.col("__span")}, span=2 * width).where("__point IS NOT NULL")
+    inside = F.col(f"__s.{hi}") >= F.col("__at")
+    out = found.select("__point.*", *(F.when(inside, F.col(f"__s.{c}")).alias(c) for c in names))
+    nowhere = points.where(F.col(at).isNull()).select(*points.columns, *(F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in names))
+    return out.unionByName(nowhere)
+
+
 def joined_text(df: DataFrame, by: list[str], order: str, text: str, after: str | None = None) -> DataFrame:
     """(by, text): pieces in order, with each piece's own separator or one space between."""
     parts = F.sort_array(F.collect_list(F.struct(order, text, *([after] if after else []))))

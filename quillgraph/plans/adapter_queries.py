@@ -1,7 +1,8 @@
 """Adapters as round trips: the driver's tables are written in a source's own format, the adapter reads the files, and the
 SQL says from the tables what must come out. Results are (kind, key, value): a row for each node and edge.
 
-Files go to the shared folder; a format's lines keep their order in one file.
+Files go to the shared folder. A format that is read by lines is written as a folder of part files in order, which the readers
+take for one source; a format that is read whole (a document of XML or JSON) is one file, as it is at its publisher.
 """
 
 from __future__ import annotations
@@ -16,13 +17,16 @@ from quillgraph.plans import adapters, more_adapters
 from quillgraph.plans.registry import query, shared, table
 
 
-def put(spark: SparkSession, rows: DataFrame, name: str, before: list[str] = (), after: list[str] = ()) -> str:
-    """Write ``rows`` (at, line) as a text file in the order of ``at``, between fixed lines; gives the file's path."""
-    folder = f"{shared(spark, 'source')}/{name}"
+def put(spark: SparkSession, rows: DataFrame, name: str, before: list[str] = (), after: list[str] = (), whole: bool = False, folder: str | None = None) -> str:
+    """Write ``rows`` (at, line) as text in the order of ``at``, between fixed lines; gives the path. Part files are ranges of the
+    order; with ``whole`` there is one."""
+    folder = f"{folder or shared(spark, 'source')}/{name}"
     ends = spark.createDataFrame([(0, k, x) for k, x in enumerate(before)] + [(2, k, x) for k, x in enumerate(after)], "part int, at long, line string")
     every = ends.unionByName(rows.select(F.lit(1).alias("part"), F.col("at").cast("long").alias("at"), "line"))
-    every.coalesce(1).sortWithinPartitions("part", "at", "line").select("line").write.text(folder)
-    return f"{folder}/part-*"
+    order = ["part", "at", "line"]
+    dealt = every.coalesce(1) if whole else every.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).select("line").write.text(folder)
+    return f"{folder}/part-*" if whole else folder
 
 
 def renamed(spark: SparkSession, path: str, target: str) -> str:
@@ -241,7 +245,7 @@ def adapter_oshb(spark, sf_dir):
     read = F.concat(element("w", F.concat(F.lit("K"), K), id=F.concat(F.lit("b"), K), lemma="5", type="x-ketiv"), F.lit("<note><rdg>"), element("w", F.concat(F.lit("Q"), K), id=F.concat(F.lit("q"), K), lemma="6"), F.lit("</rdg></note>"))
     b = F.when(K % 4 == 0, read).otherwise(element("w", TYPE, id=F.concat(F.lit("b"), K), lemma="5"))
     verses = parts(spark, sf_dir).select(K.alias("at"), element("verse", F.concat(a, b), osisID=F.concat(F.lit("Gen."), SIZE, F.lit("."), K)).alias("line"))
-    t = adapters.oshb(spark, put(spark, verses, "oshb", ["<osis>"], ["</osis>"]))
+    t = adapters.oshb(spark, put(spark, verses, "oshb", ["<osis>"], ["</osis>"], whole=True))
     keep = {k: t[k] for k in ("Verse", "Word", "Morpheme", "IS_QERE_OF")}
     return flat(keep, Verse=("osis", "text"), Word=("id", F.concat_ws("/", "strong", "surface")), Morpheme=("id", "form"))
 
@@ -263,14 +267,14 @@ def adapter_theographic(spark, sf_dir):
     e = F.struct(F.concat(F.lit("e"), K).alias("id"), F.struct(TYPE.alias("entity_type"), NAME.alias("name"), F.array(verse, verse).alias("verses"), F.when(K % 5 > 0, F.concat(SIZE * 10 - 300, F.lit(".5"))).otherwise("unknown").alias("year")).alias("fields"))
     last = parts(spark, sf_dir).agg(F.max("k")).first()[0] or 0
     rows = parts(spark, sf_dir).select(K.alias("at"), F.concat(F.to_json(e), F.when(K < last, ",").otherwise("")).alias("line"))
-    t = adapters.theographic(spark, put(spark, rows, "theographic", ["["], ["]"]))
+    t = adapters.theographic(spark, put(spark, rows, "theographic", ["["], ["]"], whole=True))
     return flat(t, Entity=("entity_id", F.concat_ws("/", "label", "display_name", F.coalesce(F.col("year").cast("string"), F.lit("-")))), Period=("century", F.size("verses")))
 
 
 def fabric(spark, sf_dir, files: dict[str, DataFrame]) -> str:
     folder = shared(spark, "fabric")
     for name, rows in files.items():
-        renamed(spark, put(spark, rows, name, ["@node", "@of=the tables", ""]), f"{folder}/{name}.tf")
+        put(spark, rows, f"{name}.tf", ["@node", "@of=the tables", ""], folder=folder)
     return folder
 
 
@@ -316,7 +320,7 @@ def adapter_coptic_scriptorium(spark, sf_dir):
         form = F.when(SIZE % 2 == 0, F.concat(F.lit("<"), NAME, F.lit(">"))).otherwise(NAME)
         full = F.concat_ws("\t", form, F.when(SIZE % 3 > 0, BRAND).otherwise(""), F.lit("N"), F.concat(F.lit("Mark.1."), SIZE))
         rows = p.where(F.col("type") == r["type"]).select(K.alias("at"), F.when(K % 4 > 0, full).otherwise(F.concat_ws("\t", NAME, F.lit("two"))).alias("line"))
-        renamed(spark, put(spark, rows, "tt", ["# comment"]), f"{folder}/sahidic.{r['type'].lower()}/doc.tt")
+        renamed(spark, put(spark, rows, "tt", ["# comment"], whole=True), f"{folder}/sahidic.{r['type'].lower()}/doc.tt")
     t = more_adapters.coptic_scriptorium(spark, folder)
     return flat(t, CopticWord=("id", F.concat_ws("/", "norm", F.col("supplement").cast("string"), F.coalesce("lemma", F.lit("-")))))
 
@@ -363,7 +367,7 @@ def adapter_tei_history(spark, sf_dir):
     """Divisions by size and key; notes are left out, what follows them stays."""
     K, NAME, TYPE, SIZE = columns("k", "name", "type", "size")
     div = element("div", element("div", F.concat(F.lit("<p>"), NAME, F.lit("<note>no</note> and "), TYPE, F.lit("</p>")), n=K), n=SIZE)
-    path = put(spark, parts(spark, sf_dir).select(K.alias("at"), div.alias("line")), "tei", ["<TEI>"], ["</TEI>"])
+    path = put(spark, parts(spark, sf_dir).select(K.alias("at"), div.alias("line")), "tei", ["<TEI>"], ["</TEI>"], whole=True)
     return flat(adapters.tei_history(spark, renamed(spark, path, f"{shared(spark, 'tei')}/work.xml")), HistoricalChunk=("anchor_id", "text"))
 
 
@@ -373,7 +377,7 @@ def adapter_josephus(spark, sf_dir):
     K, NAME, BRAND, SIZE = columns("k", "name", "brand", "size")
     marks = F.concat(F.when(K % 10 == 0, element("milestone", "", unit="Whiston_chapter", n=K)).otherwise(""), F.when(K % 2 == 0, element("milestone", "", unit="Whiston_section", n=SIZE)).otherwise(""))
     sec = element("div", F.concat(F.lit("<p>"), marks, NAME, F.lit("<note>x</note> ["), BRAND, F.lit("] was so.</p>")), subtype="section", n=K)
-    path = put(spark, parts(spark, sf_dir).select(K.alias("at"), sec.alias("line")), "josephus", ["<TEI><text><body><div><div subtype='book' n='18'>"], ["</div></div></body></text></TEI>"])
+    path = put(spark, parts(spark, sf_dir).select(K.alias("at"), sec.alias("line")), "josephus", ["<TEI><text><body><div><div subtype='book' n='18'>"], ["</div></div></body></text></TEI>"], whole=True)
     t = adapters.josephus(spark, path, "ant", {"josephus.ant.18.63": ("disputed", r"\[[^\]]*\]"), "josephus.ant.18.64": ("lost", "nothing like it")})
     return flat(t, HistoricalChunk=("anchor_id", F.concat_ws("/", "anchor_alt_citation", "text_to_embed")), quarantine=("chunk_id", F.lit("")))
 
@@ -383,7 +387,7 @@ def adapter_philo(spark, sf_dir):
     """Paragraphs in a row, with numbers out of turn, notes and damaged dashes between."""
     K, NAME, TYPE = columns("k", "name", "type")
     said = F.concat(F.lit("("), F.when(K % 3 == 0, " ").otherwise(""), K + 1, F.lit(") "), NAME, F.lit("--"), TYPE, F.lit(" {note} (#Ge 1:1). end"))
-    path = put(spark, parts(spark, sf_dir).select(K.alias("at"), said.alias("line")), "philo", ["<html><body><p>title {**n}"], ["<p>Go to the Tables of Contents (9999) </body></html>"])
+    path = put(spark, parts(spark, sf_dir).select(K.alias("at"), said.alias("line")), "philo", ["<html><body><p>title {**n}"], ["<p>Go to the Tables of Contents (9999) </body></html>"], whole=True)
     return flat(more_adapters.philo(spark, path, "philo.de-x"), HistoricalChunk=("anchor_id", "text"))
 
 
@@ -402,14 +406,14 @@ def adapter_pseudepigrapha(spark, sf_dir):
     n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("v"))  # a dimension
     verses = F.array_join(F.transform("v", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". text of "), x["n_name"])), " ")
     page = n.select(F.col("n_regionkey").alias("at"), F.concat(F.lit("<h2>Chapter "), F.col("n_regionkey") + 1, F.lit("</h2><p>lead "), verses, F.lit(" 1. again</p>")).alias("line"))
-    return flat(more_adapters.pseudepigrapha(spark, put(spark, page, "enoch"), "jubilees"), HistoricalChunk=("anchor_id", "text"))
+    return flat(more_adapters.pseudepigrapha(spark, put(spark, page, "enoch", whole=True), "jubilees"), HistoricalChunk=("anchor_id", "text"))
 
 
 @query("adapter_roman_historians", f"WITH {P} SELECT 'HistoricalChunk' AS kind, 'tacitus.annals.15.' || k AS key, name || ' & ' || type AS value FROM p")
 def adapter_roman_historians(spark, sf_dir):
     K, NAME, TYPE = columns("k", "name", "type")
     mark = F.concat(F.lit('<milestone unit="chapter" n="'), K, F.lit('"/>'), NAME, F.lit(" &amp;&mdash; <hi>"), TYPE, F.lit("</hi><note>n</note>"))
-    path = put(spark, parts(spark, sf_dir).select(K.alias("at"), mark.alias("line")), "tacitus", ["<TEI><body><p>before"], ["</p></body></TEI>"])
+    path = put(spark, parts(spark, sf_dir).select(K.alias("at"), mark.alias("line")), "tacitus", ["<TEI><body><p>before"], ["</p></body></TEI>"], whole=True)
     return flat(more_adapters.roman_historians(spark, path, "tacitus.annals.15"), HistoricalChunk=("anchor_id", "text"))
 
 

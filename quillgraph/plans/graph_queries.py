@@ -176,6 +176,15 @@ def interval_containment(spark, sf_dir):
     return ordered.contained(table(spark, sf_dir, "events").select("event_id", "user_id"), s, "user_id", "lo", "hi", 64).select("event_id", "span")
 
 
+@query("interval_owner", "WITH s AS (SELECT o_orderkey * 4 AS lo, max({'hi': o_orderkey * 4 + (o_orderkey % 13) * (o_orderkey % 7) * 50, 'c': o_custkey}) AS s FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1) SELECT l_orderkey, l_linenumber, CASE WHEN p.at <= s.s.hi THEN s.s.c END AS owner FROM (SELECT l_orderkey, l_linenumber, l_orderkey * 4 + l_linenumber - 3 AS at FROM lineitem) p ASOF LEFT JOIN s ON p.at >= s.lo")
+def interval_owner(spark, sf_dir):
+    """The span that starts last at or before each place, if it reaches it; spans are of any length and nest."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 > 0")
+    spans = o.select((F.col("o_orderkey") * 4).alias("lo"), (F.col("o_orderkey") * 4 + (F.col("o_orderkey") % 13) * (F.col("o_orderkey") % 7) * 50).alias("hi"), F.col("o_custkey").alias("owner"))
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 4 + F.col("l_linenumber") - 3).alias("at"))
+    return ordered.owner(points, spans, "at", "lo", "hi", 1 << 14).select("l_orderkey", "l_linenumber", "owner")
+
+
 @query("slot_owners", "WITH s AS (SELECT p_partkey AS node, unnest(range(p_size, p_size + 4)) AS slot FROM part) SELECT slot, max(node) AS node FROM s GROUP BY slot")
 def slot_owners(spark, sf_dir):
     from quillgraph.sources import textfabric

@@ -35,7 +35,7 @@ def etcbc_parallels(spark: SparkSession, path: str) -> Tables:
     r = lines.lines(spark, path).where((F.trim("line") != "") & ~F.col("line").startswith("@"))
     p = F.split("line", "\t")
     r = r.withColumn("n", F.size(p)).where("n IN (2, 3)").withColumn("own", F.when(F.col("n") == 3, F.trim(p[0])))
-    r = ordered.carry(r, ["file"], ["line_no"], "own", "source").where("source IS NOT NULL")
+    r = ordered.scan(r, ["file"], "line_no", last={"source": F.col("own")}).where("source IS NOT NULL")
     r = r.select("source", F.trim(F.element_at(p, -2)).alias("target"), F.trim(F.element_at(p, -1)).try_cast("int").alias("v"))
     ident = lambda c: F.concat(F.lit("bhsa:tf:"), F.col(c))
     return {"PARALLEL_OF": edges(r.where("v IS NOT NULL"), ident("source"), ident("target"), "PARALLEL_OF", similarity=F.col("v") / 100), "quarantine": r.where("v IS NULL").select("source", "target")}
@@ -79,8 +79,7 @@ DIALECTS = {"sahidic": "Sahidic", "sahidica": "Sahidic", "bohairic": "Bohairic"}
 @adapter
 def coptic_scriptorium(spark: SparkSession, path: str) -> Tables:
     """``corpus/.../doc.tt``: tokens counted from 0 within a document, over kept rows; ``<x>`` is a supplement."""
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tt").load(path)
-    r = r.select(F.col("path").alias("file"), F.posexplode(F.split(F.decode("content", "UTF-8"), "\r\n|\n")).alias("line_no", "line"))
+    r = lines.lines(spark, path, glob="*.tt")
     root = re.sub("^[a-z]+:/*", "/", path.rstrip("/"))
     rel = F.regexp_replace(F.substring_index("file", root, -1), "^/+", "")
     r = r.withColumn("corpus", F.substring_index(rel, "/", 1)).withColumn("doc_id", F.regexp_extract("file", "([^/]+)\\.tt$", 1))
@@ -89,7 +88,7 @@ def coptic_scriptorium(spark: SparkSession, path: str) -> Tables:
     for start, name in DIALECTS.items():
         dialect = F.when(F.lower("corpus").startswith(start), name).otherwise(dialect)
     r = r.where((F.trim("line") != "") & ~F.col("line").startswith("#") & (F.size(p) >= 3)).withColumn("dialect", dialect).where("dialect IS NOT NULL")
-    r = r.withColumn("token_pos", F.row_number().over(W.partitionBy("file").orderBy("line_no")) - 1)
+    r = ordered.scan(r, ["file"], "line_no", counts={"token_pos": F.lit(True)}).withColumn("token_pos", (F.col("token_pos") - 1).cast("int"))
     form = F.trim(p[0])
     supplied = form.rlike("^<.*>$")
     n = r.select(F.concat_ws(":", F.lit("coptic-scriptorium"), "corpus", "doc_id", F.col("token_pos").cast("string")).alias("id"), F.when(supplied, F.expr("substring(trim(split(line, '\t')[0]), 2, length(trim(split(line, '\t')[0])) - 2)")).otherwise(form).alias("norm"), text.null_if_blank(p[1]).alias("lemma"), text.null_if_blank(p[2]).alias("pos"), text.null_if_blank(F.get(p, F.lit(3))).alias("verse_ref"), "dialect", supplied.alias("supplement"), "corpus", "doc_id", "token_pos")

@@ -3,26 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillgraph.operators import ordered
+
 
 def node_feature(rows: DataFrame, count_blank: bool = True) -> DataFrame:
     """(file, node, value) of lines ``node<TAB>value``, ``lo-hi<TAB>value`` or a bare value for the next node.
 
     ``rows``: (file, line_no, line) below the header. ``count_blank``: does a blank line stand for a node without a
     value (one corpus's rule) or for nothing (another's)? Explicit nodes are anchors; a bare value's node is the last
-    anchor's plus the lines since, which is a running maximum, not a loop.
+    anchor's plus the lines since: two prefix scans over splits of the file, so no task has a whole one.
     """
     rows = rows if count_blank else rows.where(F.trim("line") != "")
-    w = W.partitionBy("file").orderBy("line_no")
-    n = rows.withColumn("k", F.row_number().over(w))
     spec = F.regexp_extract("line", "^(\\d+(?:-\\d+)?)\\t", 1)
     lo, hi = F.regexp_extract(spec, "^(\\d+)", 1).try_cast("long"), F.regexp_extract(spec, "(\\d+)$", 1).try_cast("long")
-    n = n.withColumns({"lo": lo, "hi": hi, "value": F.when(spec != "", F.substring_index("line", "\t", -1)).otherwise(F.col("line"))})
-    anchor = F.last(F.when(F.col("hi").isNotNull(), F.struct("hi", "k")), ignorenulls=True).over(w)
-    n = n.withColumn("a", anchor)
-    own = F.coalesce(F.col("a.hi") + F.col("k") - F.col("a.k"), F.col("k").cast("long"))
+    n = rows.withColumns({"lo": lo, "hi": hi, "value": F.when(spec != "", F.substring_index("line", "\t", -1)).otherwise(F.col("line"))})
+    n = ordered.scan(n, ["file"], "line_no", counts={"k": F.lit(True)})
+    # a bare value's node is its place and how far the last anchor's node lies from the anchor's place
+    n = ordered.scan(n, ["file"], "line_no", last={"ahead": F.col("hi") - F.col("k")})
+    own = F.col("k") + F.coalesce("ahead", F.lit(0))
     nodes = F.when(F.col("lo").isNotNull(), F.sequence("lo", F.greatest("lo", "hi"))).otherwise(F.array(own))
     return n.withColumn("node", F.explode(nodes)).where(F.col("lo").isNotNull() | (F.trim("value") != "")).select("file", "node", "value")
 
