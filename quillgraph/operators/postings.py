@@ -5,13 +5,15 @@ ids). A token's postings are kept by segments of documents, so that no group gro
 blocks of ``BLOCK`` by falling impact; ``peak`` is the greatest impact of a block or token, by the index's own k1, b and mean length.
 
 A search has three steps, all joins on tokens or ids: scores of the documents in each token's first blocks give a threshold for each
-query, the k-th best full score among them; tokens that can't reach it together are not essential (MaxScore), and of the others only
-blocks are read whose peak, with the most that the query's other tokens can add, reaches it (block-max); documents of these blocks are
-scored in full. A document with a score of the threshold or more has all blocks of its essential tokens read, so the result is exact.
+query, the k-th best full score among them; the query's weakest tokens, which together can't reach ``SHARE`` of it, are not essential
+(MaxScore), and of the others only blocks are read whose peak, with the most that the query's other tokens can add, reaches it
+(block-max); documents whose sum over these blocks, with the most that weak tokens can add, reaches it are scored in full. A document
+with a score of the threshold or more has all blocks of its essential tokens read, so the result is exact.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from quillgraph.operators.retrieval import top
 
 SEGMENT, BLOCK = 65_536, 128
+#: Of the threshold, what the tokens that are not read may reach.
+SHARE = 0.3
 #: What rounding in sums may take off a score.
 SLACK = 1e-9
 
@@ -34,6 +38,7 @@ class Index:
     mean: float
     k1: float
     b: float
+    path: str
 
     def impact(self, tf: Column, dl: Column) -> Column:
         return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / self.mean))
@@ -51,7 +56,7 @@ def build(docs: DataFrame, path: str, k1: float = 1.2, b: float = 0.75, segment:
     stored = spark.read.parquet(f"{path}/docs")
     mean = stored.agg(F.avg("dl")).first()[0] or 1.0
     spark.createDataFrame([(n, float(mean) or 1.0, k1, b)], "n long, mean double, k1 double, b double").coalesce(1).write.mode("overwrite").json(f"{path}/about")
-    index = Index(stored, None, None, n, float(mean) or 1.0, k1, b)
+    index = Index(stored, None, None, n, float(mean) or 1.0, k1, b, path)
     # one shuffle: counting and grouping both keep to the partitions of (token, segment)
     said = stored.select("id", "segment", "dl", F.explode("tokens").alias("token")).repartition("token", "segment")
     tf = said.groupBy("token", "segment", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
@@ -68,7 +73,7 @@ def build(docs: DataFrame, path: str, k1: float = 1.2, b: float = 0.75, segment:
 
 def opened(spark: SparkSession, path: str) -> Index:
     about = spark.read.schema("n long, mean double, k1 double, b double").json(f"{path}/about").first()
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("docs", "terms", "blocks")), about["n"], about["mean"], about["k1"], about["b"])
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("docs", "terms", "blocks")), about["n"], about["mean"], about["k1"], about["b"], path)
 
 
 def _query_terms(index: Index, queries: DataFrame) -> DataFrame:
@@ -77,6 +82,13 @@ def _query_terms(index: Index, queries: DataFrame) -> DataFrame:
     return q.select("query_id", "token", index.weight(F.col("df")).alias("idf")).join(index.terms.select("token", "peak"), "token").select("query_id", "token", "idf", (F.col("idf") * F.col("peak")).alias("most"))
 
 
+def _stored(index: Index, terms: DataFrame) -> DataFrame:
+    """A table of the queries' terms that several steps read, written beside the index under a name of its own."""
+    path = f"{index.path}/searches/{uuid.uuid4().hex}"
+    terms.write.parquet(path)
+    return terms.sparkSession.read.schema(terms.schema).parquet(path)
+
+
 def _scored(index: Index, pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, id, score) in full of pairs of a query and a document."""
     asked = terms.groupBy("query_id").agg(F.collect_list(F.struct("token", "idf")).alias("asked"))
@@ -91,7 +103,7 @@ def _scored(index: Index, pairs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def plan(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(query terms, blocks with ``read``: whether a search for the first ``k`` has to read them for a query)."""
-    terms = _query_terms(index, queries)
+    terms = _stored(index, _query_terms(index, queries))
     first = index.blocks.where("block = 0").join(terms, "token").select("query_id", "idf", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
     some = first.groupBy("query_id", F.col("p.ids").alias("id")).agg(F.sum(F.col("idf") * index.impact(F.col("p.tfs"), F.col("p.dls"))).alias("score"))
     some = top(some, ["query_id"], 2 * k, F.col("score").desc(), F.col("id")).select("query_id", "id")
@@ -101,14 +113,24 @@ def plan(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame
     terms = terms.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - SLACK)
     terms = terms.withColumn("rest", F.sum("most").over(by) - F.col("most"))
     upto = F.sum("most").over(by.orderBy("most", "token").rowsBetween(W.unboundedPreceding, 0))
-    terms = terms.withColumn("essential", upto >= F.col("floor"))
-    found = index.blocks.select("token", "segment", "block", "peak", "ids").join(terms, "token")
+    terms = terms.withColumn("essential", upto >= SHARE * F.col("floor"))
+    terms = terms.withColumn("weak", F.sum(F.when(~F.col("essential"), F.col("most")).otherwise(0.0)).over(by))
+    terms = _stored(index, terms)
+    found = index.blocks.join(terms, "token")
     return terms, found.withColumn("read", F.col("essential") & (F.col("idf") * F.col("peak") + F.col("rest") >= F.col("floor")))
 
 
+def candidates(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(query terms, pairs of a query and a document that may be among its first ``k``)."""
+    terms, blocks = plan(index, queries, k)
+    p = blocks.where("read").select("query_id", "idf", "floor", "weak", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+    part = F.sum(F.col("idf") * index.impact(F.col("p.tfs"), F.col("p.dls")))
+    some = p.groupBy("query_id", F.col("p.ids").alias("id")).agg(part.alias("part"), F.max(F.col("floor") - F.col("weak")).alias("least"))
+    return terms, some.where("part >= least").select("query_id", "id")
+
+
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the first ``k`` by BM25 of each query (query_id, tokens); any number of queries and terms."""
-    terms, blocks = plan(index, queries, k)
-    pairs = blocks.where("read").select("query_id", F.explode("ids").alias("id")).distinct()
+    terms, pairs = candidates(index, queries, k)
     scored = _scored(index, pairs, terms).withColumn("score", F.round("score", 6))
     return top(scored, ["query_id"], k, F.col("score").desc(), F.col("id"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.vectors import dot, unit
 
 BROADCAST_QUERIES = 1000
-#: Terms of all queries of one BM25 search; they are broadcast.
+#: Terms of all queries of one BM25 search that are broadcast; more are joined.
 MOST_TERMS = 200_000
 
 
@@ -81,13 +81,12 @@ def keyword_rank(queries: DataFrame, docs: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score, rank) by BM25. Statistics cover all documents; only query terms are counted per document."""
     q = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    if (n := q.count()) > MOST_TERMS:
-        raise ValueError(f"{n} query terms, {MOST_TERMS} at most: search in blocks")
+    small = F.broadcast if q.count() <= MOST_TERMS else lambda df: df
     stats = docs.select(F.size("tokens").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    words = docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(F.broadcast(q.select("token").distinct()), "token", "left_semi")
+    words = docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(small(q.select("token").distinct()), "token", "left_semi")
     tf = words.groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # a row for each query term
-    rows = tf.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats)).join(F.broadcast(q), "token")
+    rows = tf.join(small(df), "token").crossJoin(F.broadcast(stats)).join(small(q), "token")
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = rows.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))

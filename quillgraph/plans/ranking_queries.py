@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text
-from quillgraph.operators import retrieval
-from quillgraph.plans.registry import query, table
+from quillgraph.operators import cells, postings, retrieval
+from quillgraph.plans.registry import query, shared, table
 
 #: Queries are the vectors whose id is divisible by 50; scores are rounded to 6 places and ties go by id on both sides.
 COS = "SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q"
@@ -23,6 +23,14 @@ def cosine_topk(spark, sf_dir):
     return retrieval.dense(q, e, 10).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
 
 
+@query("indexed_topk", f"SELECT query_id, id, label, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({COS}) WHERE label <> 4) WHERE rank <= 10")
+def indexed_topk(spark, sf_dir):
+    """The same search by a stored index of cells, with a filter on what the index keeps."""
+    q, e = vectors(spark, sf_dir)
+    index = cells.build(e, shared(spark, "cells"), 32, ["label"])
+    return cells.search(index, q, 10, F.col("label") != 4).select("query_id", "id", "label", F.round("score", 4).alias("score"), "rank")
+
+
 @query("filtered_topk", f"SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({COS}) WHERE label IN (1, 3, 5)) WHERE rank <= 5")
 def filtered_topk(spark, sf_dir):
     q, e = vectors(spark, sf_dir)
@@ -81,8 +89,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 
 
 def bm25_rows(spark, sf_dir, k):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.keywords(F.col("text")).alias("tokens"))
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.keywords(F.col("text")).alias("tokens"))
+    q, d = token_tables(spark, sf_dir)
     return retrieval.bm25(q, d, k)
 
 
@@ -91,6 +98,13 @@ def bm25_topk(spark, sf_dir):
     return bm25_rows(spark, sf_dir, 10).select("query_id", "id", F.round("score", 3).alias("score"), "rank")
 
 
+@query("bm25_indexed", f"WITH {BM25} SELECT query_id, id, round(score, 3) AS score, rank FROM b WHERE rank <= 3")
+def bm25_indexed(spark, sf_dir):
+    """The first three from a stored index, whose blocks are skipped where they can't hold one."""
+    q, d = token_tables(spark, sf_dir)
+    return postings.search(postings.build(d, shared(spark, "postings")), q, 3).select("query_id", "id", F.round("score", 3).alias("score"), "rank")
+
+
 HYBRID = f"""{BM25}, dn AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({COS})) WHERE rank <= 20), sp AS (SELECT query_id, id, rank FROM b WHERE rank <= 20),
 f AS (SELECT query_id, id, dn.rank AS dr, sp.rank AS sr, round(coalesce(1.0::DOUBLE / (60 + dn.rank), 0) + coalesce(1.0::DOUBLE / (60 + sp.rank), 0), 8) AS score FROM dn FULL JOIN sp USING (query_id, id)),
 g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dr NULLS LAST, sr, id) AS rank FROM f)"""
