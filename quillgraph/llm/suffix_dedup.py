@@ -115,7 +115,8 @@ class Shard:
         stop = np.flatnonzero(whole & (~after | np.concatenate([new[1:], [True]])))  # the last window of each run
         new = np.flatnonzero(whole & new)
         if len(new):
-            yield new + begin, stop - new + 1, at[new] + begin, h[at[new]], np.searchsorted(self.starts, new + begin, side="right") - 1
+            # anchors have the least hashes of all: mixed anew, theirs are even over all buckets
+            yield new + begin, stop - new + 1, at[new] + begin, _mixed(~h[at[new]]), np.searchsorted(self.starts, new + begin, side="right") - 1
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(distinct anchor hashes in order, whether several documents of the shard have it, each anchor's place among them)."""
