@@ -73,6 +73,26 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int, both_ways: bool =
     return seen.where("hop > 0")
 
 
+def reached(edges: DataFrame, seeds: DataFrame, hops: int, folder: str) -> DataFrame:
+    """(id, hop): nodes that directed edges reach from the seeds within ``hops``, and their least number of hops; no seeds.
+
+    Each hop is a table under ``folder``, which must be new and shared: the plan doesn't grow with the hops, a lost executor costs
+    one hop, and the walk ends where a hop finds nothing. Only whether it did comes to the driver.
+    """
+    spark = edges.sparkSession
+    ways = edges.select("src_id", "dst_id")
+    seeds.select(F.col("id")).distinct().write.parquet(f"{folder}/hop=0")
+    kind = seeds.select("id").schema.add("hop", "integer")
+    for h in range(1, hops + 1):
+        front = spark.read.parquet(f"{folder}/hop={h - 1}")
+        seen = spark.read.schema(kind).option("basePath", folder).parquet(folder)
+        new = front.join(ways, front["id"] == ways["src_id"]).select(F.col("dst_id").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        new.write.parquet(f"{folder}/hop={h}")
+        if spark.read.schema(seeds.select("id").schema).parquet(f"{folder}/hop={h}").isEmpty():
+            break
+    return spark.read.schema(kind).option("basePath", folder).parquet(folder).where("hop > 0")
+
+
 def crawl(pages: DataFrame, hrefs: DataFrame, start: DataFrame, depth: int, per_page: int, most: int) -> DataFrame:
     """Breadth-first walk over stored pages: (url, depth). ``hrefs``: (url, target, at); the first ``per_page`` count."""
     w = W.partitionBy("url").orderBy("at", "target")

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators import graph, ordered, retrieval
-from quillgraph.plans.registry import query, table
+from quillgraph.operators import graph, ordered, retrieval, substrings
+from quillgraph.plans.registry import query, shared, table
 
 #: Part pairs in one order; votes are how many orders have them.
 PAIRS = "SELECT a.l_partkey AS src, b.l_partkey AS dst, count(*) AS votes FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY a.l_partkey, b.l_partkey"
@@ -219,9 +219,29 @@ def coverage_full_outer(spark, sf_dir):
 
 @query("theta_substring_join", "SELECT DISTINCT r_name AS term, p_partkey FROM region JOIN part ON contains(lower(p_type), lower(substr(r_name, 1, 1)))")
 def theta_substring_join(spark, sf_dir):
-    """Terms found in texts, whatever their case; the term list is a dimension, so it is the broadcast side."""
-    from quillgraph.operators.retrieval import bounded
+    """Terms found in texts, whatever their case."""
+    r = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.lower(F.substring("r_name", 1, 1)).alias("term"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_type").alias("text"))
+    return substrings.contained(p, r).join(r, "term").select(F.col("name").alias("term"), "p_partkey").distinct()
 
-    terms = bounded(table(spark, sf_dir, "region").select(F.col("r_name").alias("term")))
-    p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_type").alias("n"))
-    return p.join(terms, F.col("n").contains(F.lower(F.substring("term", 1, 1)))).select("term", "p_partkey").distinct()
+
+@query("substring_hits", """WITH t AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 6)) AS term FROM benchmark), d AS (SELECT doc_id, lower(text) AS text FROM documents)
+SELECT term, count(*) AS documents, min(doc_id) AS first FROM d JOIN t ON contains(d.text, t.term) GROUP BY term""")
+def substring_hits(spark, sf_dir):
+    """How many documents hold each longer word of the questions, also inside other words, and the first that does."""
+    t = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where("length(term) >= 6")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    return substrings.contained(d, t).groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first"))
+
+
+#: Steps from a part to parts with keys a little higher, by the lines of larger orders.
+STEPS = "SELECT DISTINCT l_partkey AS s, l_partkey + 1 + l_linenumber % 3 AS d FROM lineitem WHERE l_quantity > 30"
+
+
+@query("graph_reach", f"WITH RECURSIVE e AS ({STEPS}), w AS (SELECT p_partkey AS id, 0 AS hop FROM part WHERE p_size = 50 UNION SELECT d, hop + 1 FROM w JOIN e ON id = s WHERE hop < 20) SELECT id, min(hop) AS hop FROM w GROUP BY id HAVING min(hop) > 0")
+def graph_reach(spark, sf_dir):
+    """Nodes within twenty steps, hop by hop, until a hop finds nothing new."""
+    li = table(spark, sf_dir, "lineitem").where("l_quantity > 30")
+    e = li.select(F.col("l_partkey").alias("src_id"), (F.col("l_partkey") + 1 + F.col("l_linenumber") % 3).alias("dst_id")).distinct()
+    seeds = table(spark, sf_dir, "part").where("p_size = 50").select(F.col("p_partkey").alias("id"))
+    return graph.reached(e, seeds, 20, shared(spark, "reach"))

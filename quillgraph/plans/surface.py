@@ -7,13 +7,14 @@ gives are checked before a plan is built.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.functions import licence, refs, text
-from quillgraph.operators import graph, ordered, retrieval, verdict
+from quillgraph.operators import graph, ordered, retrieval, substrings, verdict
 from quillgraph.operators.checks import bounds
 
 QUESTION_ID = "^[a-z0-9][a-z0-9-]*$"
@@ -39,6 +40,10 @@ class Lexical:
     tokens: DataFrame  # id, source, strong, surface, morph, verse_id
     edges: DataFrame  # src_id, dst_id, rel_type, votes
     crossrefs: DataFrame  # from_ref, to_ref, votes
+    domains: DataFrame | None = None  # strong, lemma, domain_code: a row for each word in a semantic domain
+    units: DataFrame | None = None  # id, book, chapter, verse: variant units
+    readings: DataFrame | None = None  # id, unit_id, text
+    phrases: DataFrame | None = None  # id, clause_id, clause, phrase, function, verse_id: a row for each word of a phrase
 
 
 def occurrences(lex: Lexical, fixed: bool = True) -> DataFrame:
@@ -145,7 +150,7 @@ def retrieve_chunks(queries: DataFrame, chunks: DataFrame, k: int, traditions: l
     c = chunks.where(F.col("tradition").isin(*traditions)) if traditions else chunks
     hits = retrieval.dense(queries, c.select(F.col("chunk_id").alias("id"), "vector"), k)
     rows = hits.withColumnRenamed("id", "chunk_id").join(c.drop("vector"), "chunk_id")
-    rows = rows.join(F.broadcast(queries.select("query_id", "doctrine")), "query_id")
+    rows = rows.join(queries.select("query_id", "doctrine"), "query_id")
     tag = verdict.best_tag(F.col("doctrine_tags"), F.col("doctrine"))
     return rows.select("query_id", "rank", "score", "chunk_id", "tradition", F.coalesce("work_title", "work_id", F.lit("<unknown>")).alias("source"), tag["stance"].alias("stance"), "text", F.coalesce("license", F.lit("<unknown>")).alias("license"), F.coalesce("redistribute", F.lit(False)).alias("redistribute"), F.coalesce("source_work_word_count", F.lit(SOURCE_WORDS)).alias("source_words"))
 
@@ -226,33 +231,82 @@ def doctrinal_verdict(propositions: DataFrame, questions: DataFrame, evidence: D
     return out
 
 
-def lexical_bundle(lex: Lexical, questions: DataFrame, anchors: int = 40, xrefs: int = 60) -> DataFrame:
-    """(question_id, part, key, rank, value): anchor lexemes, references and words of each question's anchors.
+#: The stretch that has a critical apparatus, and how many rows a part of the bundle may have.
+APPARATUS = ("3John", 1, 1, 15)
+MOST = {"neighbor": 15, "variant": 10, "syntax": 20}
 
-    questions: (question_id, scripture_anchors array of human refs). All questions go through one plan.
+
+def neighbours(domains: DataFrame, top: DataFrame, most: int, anchors: int) -> DataFrame:
+    """(question_id, code, strong, lemma, rank): lexemes of the anchors' domains that are no anchors; top: (question_id, strong)."""
+    named = domains.where("strong IS NOT NULL AND domain_code IS NOT NULL").groupBy(F.col("domain_code").alias("code"), "strong").agg(F.min("lemma").alias("lemma"))
+    codes = top.select("question_id", "strong").join(named.select("code", "strong"), "strong").select("question_id", "code").distinct()
+    # a question leaves out at most its anchors, so of each domain no more than these can be among its first
+    first = retrieval.top(named, ["code"], most + anchors, F.col("strong")).drop("rank")
+    near = codes.join(first, "code").join(top.select("question_id", "strong"), ["question_id", "strong"], "left_anti")
+    return retrieval.top(near, ["question_id"], most, F.col("code"), F.col("strong"))
+
+
+def variants(units: DataFrame, readings: DataFrame, at: DataFrame, most: int) -> DataFrame:
+    """(question_id, ref, id, readings, rank): units of the verses in ``at`` (question_id, ref), by book, chapter and verse."""
+    p = refs.parts(F.col("ref"))
+    key = at.select("question_id", "ref", p["book"].alias("book"), p["chapter"].alias("chapter"), p["verse"].alias("verse"))
+    found = retrieval.top(key.join(units, ["book", "chapter", "verse"]), ["question_id"], most, F.col("ref"), F.col("id"))
+    said = readings.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct(F.col("id").alias("witness"), "text"))).alias("readings"))
+    return found.join(said, found["id"] == said["unit_id"], "left").select("question_id", "ref", "id", "readings", "rank")
+
+
+def syntax(phrases: DataFrame, verses: DataFrame, at: DataFrame, most: int) -> DataFrame:
+    """(question_id, ref, clause, phrase, function, rank): phrases of each known verse; a verse without one has a row of blanks."""
+    of = phrases.select("verse_id", "clause_id", F.col("id").alias("phrase_id"), "clause", "phrase", "function").distinct()
+    known = at.join(verses.select(F.col("id").alias("verse_id")).distinct(), "verse_id")
+    got = retrieval.top(known.join(of, "verse_id", "left"), ["question_id"], most, F.col("ref"), F.col("clause_id"), F.col("phrase_id"), F.col("phrase"))
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return got.select("question_id", "ref", blank("clause"), blank("phrase"), blank("function"), "rank")
+
+
+def lexical_bundle(lex: Lexical, questions: DataFrame, anchors: int = 40, xrefs: int = 20, apparatus: tuple[str, int, int, int] = APPARATUS) -> DataFrame:
+    """(question_id, part, key, rank, value): all parts of each question's bundle.
+
+    Parts: ``lemma`` (anchor lexemes, local and canon counts), ``word`` (words of the anchors' verses), ``xref`` (references by votes),
+    ``neighbor`` (lexemes that share a domain with an anchor), ``variant`` (units with their readings), ``syntax`` (phrases), and
+    ``scope``: whether no anchor lies where there is an apparatus, so that an empty ``variant`` part is known to be no gap.
+    questions: (question_id, scripture_anchors array of human refs). All questions go through one plan; a table that the store
+    lacks leaves its part out.
     """
     r = questions.select("question_id", F.explode(F.flatten(F.transform("scripture_anchors", refs.to_keys))).alias("ref")).distinct()
     at = r.withColumn("verse_id", F.concat(F.lit("verse:"), "ref"))
     every = lex.tokens.select("id", "strong", "verse_id").unionByName(lex.words.select("id", "strong", "verse_id"))
     local = at.join(every, "verse_id").where("strong IS NOT NULL").groupBy("question_id", "strong").agg(F.countDistinct("id").alias("local"))
     top = retrieval.top(local, ["question_id"], anchors, F.col("local").desc(), F.col("strong"))
-    canon = every.join(F.broadcast(top.select("strong").distinct()), "strong", "left_semi").groupBy("strong").agg(F.countDistinct("id").alias("canon"))
+    canon = every.join(top.select("strong").distinct(), "strong", "left_semi").groupBy("strong").agg(F.countDistinct("id").alias("canon"))
     lemmas = top.join(canon, "strong").select("question_id", F.lit("lemma").alias("part"), F.col("strong").alias("key"), "rank", F.concat_ws("/", F.col("local").cast("string"), F.col("canon").cast("string")).alias("value"))
     c = at.select("question_id", "ref").join(lex.crossrefs.select(F.col("from_ref").alias("ref"), "to_ref", F.coalesce("votes", F.lit(1)).alias("votes")), "ref").groupBy("question_id", "to_ref").agg(F.max("votes").alias("votes"))
     c = retrieval.top(c, ["question_id"], xrefs, F.col("votes").desc(), F.col("to_ref")).select("question_id", F.lit("xref").alias("part"), F.col("to_ref").alias("key"), "rank", F.col("votes").cast("string").alias("value"))
     w = at.join(lex.words.select("id", "verse_id", "surface"), "verse_id", "left")
     w = w.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy("ref", "id"))).select("question_id", F.lit("word").alias("part"), F.coalesce("id", F.concat(F.lit("none:"), "ref")).alias("key"), "rank", F.col("surface").alias("value"))
-    return lemmas.unionByName(c).unionByName(w)
+    row = lambda df, part, key, value: df.select("question_id", F.lit(part).alias("part"), key.alias("key"), "rank", value.alias("value"))
+    out = [lemmas, c, w]
+    if lex.domains is not None:
+        out.append(row(neighbours(lex.domains, top, MOST["neighbor"], anchors), "neighbor", F.concat_ws(":", "code", "strong"), F.col("lemma")))
+    if lex.units is not None and lex.readings is not None:
+        said = F.array_join(F.transform("readings", lambda r: F.concat_ws("=", r["witness"], r["text"])), "; ")
+        out.append(row(variants(lex.units, lex.readings, at, MOST["variant"]), "variant", F.concat_ws(" ", "ref", "id"), F.coalesce(said, F.lit(""))))
+    if lex.phrases is not None:
+        out.append(row(syntax(lex.phrases, lex.verses, at, MOST["syntax"]), "syntax", F.col("ref"), F.concat_ws(" | ", "clause", "phrase", "function")))
+    keys = F.flatten(F.transform("scripture_anchors", refs.to_keys))
+    outside = questions.select("question_id", F.lit("scope").alias("part"), F.lit("not_in_ecm_scope").alias("key"), F.lit(1).alias("rank"), (~F.coalesce(refs.in_scope(keys, *apparatus), F.lit(False))).cast("string").alias("value"))
+    return reduce(DataFrame.unionByName, [*out, outside])
 
 
 def historical_bundle(queries: DataFrame, chunks: DataFrame, types: list[str], terms: DataFrame, each: int = 6, most: int = 56) -> DataFrame:
     """(query_id, type, id, leg, rank): the nearest chunks of each type, then chunks that name a term, capped.
 
-    chunks: (chunk_id, source_type, text, vector); terms: (query_id, term), a small table.
+    chunks: (chunk_id, source_type, text, vector); terms: (query_id, term), any number.
     """
     near = retrieval.dense_by_group(queries, chunks.select(F.col("chunk_id").alias("id"), F.col("source_type").alias("type"), "vector"), "type", each).select("query_id", "type", "id", "rank")
-    low = chunks.select(F.col("chunk_id").alias("id"), F.col("source_type").alias("type"), F.lower("text").alias("__t"))
-    named = low.join(retrieval.bounded(terms.select("query_id", F.lower("term").alias("term"))), F.contains("__t", F.col("term"))).select("query_id", "type", "id").distinct()
+    low = chunks.select(F.col("chunk_id").alias("id"), F.col("source_type").alias("type"), F.lower("text").alias("text"))
+    asked = terms.select("query_id", F.lower("term").alias("term")).distinct()
+    named = substrings.contained(low, asked).join(asked, "term").select("query_id", "type", "id").distinct()
     named = named.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "type").orderBy("id")))
     return retrieval.balanced(near, named, types, each, most)
 

@@ -206,14 +206,34 @@ def tool_classify(spark, sf_dir):
 @query("tool_lexical_bundle", f"""WITH {LEX}, anc AS (SELECT 'q' || o_custkey AS question_id, osis AS ref FROM vo), ev AS (SELECT id, strong, osis FROM tokens UNION ALL SELECT id, strong, osis FROM words),
 l AS (SELECT question_id, strong, count(DISTINCT id) AS local FROM anc JOIN ev ON ref = osis GROUP BY 1, 2), lr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY local DESC, strong) AS rank FROM l), cn AS (SELECT strong, count(DISTINCT id) AS canon FROM ev GROUP BY 1),
 x AS (SELECT question_id, to_ref, max(votes) AS votes FROM anc JOIN (SELECT osis, 'Y.' || (o_custkey % 50) || '.2' AS to_ref, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 20 ELSE 1 END AS votes FROM vo) ON ref = osis GROUP BY 1, 2), xr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY votes DESC, to_ref) AS rank FROM x),
-w AS (SELECT question_id, coalesce(id, 'none:' || ref) AS key, row_number() OVER (PARTITION BY question_id ORDER BY ref, id) AS rank, surface FROM anc LEFT JOIN words ON ref = osis)
-SELECT question_id, 'lemma' AS part, strong AS key, rank, local || '/' || canon AS value FROM lr JOIN cn USING (strong) WHERE rank <= 40 UNION ALL SELECT question_id, 'xref', to_ref, rank, votes::VARCHAR FROM xr WHERE rank <= 60 UNION ALL SELECT question_id, 'word', key, rank, surface FROM w""")
+w AS (SELECT question_id, coalesce(id, 'none:' || ref) AS key, row_number() OVER (PARTITION BY question_id ORDER BY ref, id) AS rank, surface FROM anc LEFT JOIN words ON ref = osis),
+an AS (SELECT question_id, strong FROM lr WHERE rank <= 40), dm AS (SELECT DISTINCT printf('H%04d', p_partkey) AS strong, p_name AS lemma, p_brand || '/' || p_size AS code FROM part),
+nb AS (SELECT DISTINCT a.question_id, d.code, d.strong, d.lemma FROM an a JOIN dm x USING (strong) JOIN dm d ON d.code = x.code ANTI JOIN an ON an.question_id = a.question_id AND an.strong = d.strong),
+nr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY code, strong) AS rank FROM nb),
+un AS (SELECT DISTINCT 'u' || l_orderkey AS id, osis AS ref FROM lineitem JOIN vo ON l_orderkey = o_orderkey WHERE l_linenumber = 2 AND o_orderstatus <> 'F'), rd AS (SELECT 'u' || l_orderkey AS unit_id, string_agg('r' || l_linenumber || '=' || l_returnflag, '; ' ORDER BY l_linenumber, l_returnflag) AS said FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1),
+vr AS (SELECT question_id, ref, id, row_number() OVER (PARTITION BY question_id ORDER BY ref, id) AS rank FROM anc JOIN un USING (ref)),
+ph AS (SELECT DISTINCT osis AS ref, 'c' || (l_linenumber // 3) || '.' || l_orderkey AS clause_id, 'p' || l_linenumber || '.' || l_orderkey AS phrase_id, 'clause ' || (l_linenumber // 3) AS clause, l_linestatus || l_suppkey AS phrase, CASE WHEN l_linenumber % 2 = 0 THEN 'Pred' ELSE '' END AS function FROM lineitem JOIN vo ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'),
+sr AS (SELECT question_id, ref, clause, phrase, function, row_number() OVER (PARTITION BY question_id ORDER BY ref, clause_id, phrase_id, phrase) AS rank FROM anc LEFT JOIN ph USING (ref))
+SELECT question_id, 'lemma' AS part, strong AS key, rank, local || '/' || canon AS value FROM lr JOIN cn USING (strong) WHERE rank <= 40 UNION ALL SELECT question_id, 'xref', to_ref, rank, votes::VARCHAR FROM xr WHERE rank <= 20 UNION ALL SELECT question_id, 'word', key, rank, surface FROM w
+UNION ALL SELECT question_id, 'neighbor', code || ':' || strong, rank, lemma FROM nr WHERE rank <= {surface.MOST['neighbor']} UNION ALL SELECT question_id, 'variant', ref || ' ' || id, rank, coalesce(said, '') FROM vr LEFT JOIN rd ON unit_id = id WHERE rank <= {surface.MOST['variant']}
+UNION ALL SELECT question_id, 'syntax', ref, rank, coalesce(clause, '') || ' | ' || coalesce(phrase, '') || ' | ' || coalesce(function, '') FROM sr WHERE rank <= {surface.MOST['syntax']}
+UNION ALL SELECT question_id, 'scope', 'not_in_ecm_scope', 1, CASE WHEN bool_or(split_part(ref, '.', 1) = 'John' AND split_part(ref, '.', 2)::INT = 3 AND split_part(ref, '.', 3)::INT BETWEEN 1 AND 60) THEN 'false' ELSE 'true' END FROM anc GROUP BY 1""")
 def tool_lexical_bundle(spark, sf_dir):
-    """Bundles of every customer with orders: the anchors are human references of the orders' verses."""
+    """Bundles of every customer with orders: the anchors are human references of the orders' verses. Parts of a brand and size are a
+    domain; second lines of later books are variant units; lines of the first book are phrases."""
     lex = lexical(spark, sf_dir)
     o = table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.when(F.col("o_orderstatus") == "F", "Genesis").when(F.col("o_orderstatus") == "O", "John").otherwise("Romans"), F.lit(" "), F.floor(F.col("o_orderkey") / 100 + 1), F.lit(":"), F.col("o_orderkey") % 100 + 1).alias("ref"))
     q = o.groupBy(F.concat(F.lit("q"), "o_custkey").alias("question_id")).agg(F.collect_list("ref").alias("scripture_anchors"))  # a customer's own orders
-    return surface.lexical_bundle(lex, q)
+    p = table(spark, sf_dir, "part")
+    lex.domains = p.select(F.format_string("H%04d", "p_partkey").alias("strong"), F.col("p_name").alias("lemma"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("domain_code"))
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.floor(F.col("o_orderkey") / 100 + 1).cast("int").alias("chapter"), (F.col("o_orderkey") % 100 + 1).cast("int").alias("verse"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey").join(od, F.col("l_orderkey") == F.col("o_orderkey"))
+    unit, line = F.concat(F.lit("u"), "l_orderkey"), F.col("l_linenumber")
+    lex.units = li.where("l_linenumber = 2 AND o_orderstatus <> 'F'").select(unit.alias("id"), F.when(F.col("o_orderstatus") == "O", "John").otherwise("Rom").alias("book"), "chapter", "verse").distinct()
+    lex.readings = li.where("l_linenumber <= 3").select(F.concat(F.lit("r"), line).alias("id"), unit.alias("unit_id"), F.col("l_returnflag").alias("text"))
+    third = F.floor(line / 3).cast("string")
+    lex.phrases = li.where("o_orderstatus = 'F'").select(F.concat(F.lit("p"), line, F.lit("."), "l_orderkey").alias("id"), F.concat(F.lit("c"), third, F.lit("."), "l_orderkey").alias("clause_id"), F.concat(F.lit("clause "), third).alias("clause"), F.concat("l_linestatus", "l_suppkey").alias("phrase"), F.when(line % 2 == 0, "Pred").alias("function"), F.concat_ws(".", F.lit("verse:Gen"), F.col("chapter").cast("string"), F.col("verse").cast("string")).alias("verse_id"))
+    return surface.lexical_bundle(lex, q, apparatus=("John", 3, 1, 60))
 
 
 @query("tool_historical_bundle", f"""WITH s AS (SELECT query_id, label::VARCHAR AS type, id, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS rank FROM ({COS}) WHERE label IN (2, 4, 7)),
