@@ -39,6 +39,14 @@ def renamed(spark: SparkSession, path: str, target: str) -> str:
     return target
 
 
+#: Suppliers in the place of nations, twenty to a region: sources of one file for each, whose number grows with the tables.
+NATIONS = "nation AS (SELECT s_suppkey AS n_nationkey, s_name AS n_name, s_suppkey // 20 AS n_regionkey FROM supplier)"
+
+
+def nations(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("n_nationkey"), F.col("s_name").alias("n_name"), F.floor(F.col("s_suppkey") / 20).alias("n_regionkey"))
+
+
 def flat(tables: dict[str, DataFrame], **value: tuple[str | Column, str | Column]) -> DataFrame:
     """(kind, key, value) of the named tables; edges are src_id and dst_id."""
     out = None
@@ -340,22 +348,22 @@ def adapter_open_cbgm_3_john(spark, sf_dir):
     return flat(t, VariantUnit=("id", "v"), Reading=("id", "text"), Witness=("id", "date_century"))
 
 
-@query("adapter_brethren_parsed", "WITH n AS (SELECT *, 'slug-' || n_nationkey AS s FROM nation) SELECT 'CulturalChunk' AS kind, 'brethren-parsed.parsed.' || s || '.001' AS key, CASE WHEN n_nationkey % 3 > 0 THEN 'Title ' || n_name ELSE s END || '/2024/' || n_name AS value FROM n UNION ALL SELECT 'CulturalChunk', 'brethren-parsed.parsed.' || s || '.003', CASE WHEN n_nationkey % 3 > 0 THEN 'Title ' || n_name ELSE s END || '/2024/region ' || n_regionkey FROM n")
+@query("adapter_brethren_parsed", f"WITH {NATIONS}, n AS (SELECT *, 'slug-' || n_nationkey AS s FROM nation) SELECT 'CulturalChunk' AS kind, 'brethren-parsed.parsed.' || s || '.001' AS key, CASE WHEN n_nationkey % 3 > 0 THEN 'Title ' || n_name ELSE s END || '/2024/' || n_name AS value FROM n UNION ALL SELECT 'CulturalChunk', 'brethren-parsed.parsed.' || s || '.003', CASE WHEN n_nationkey % 3 > 0 THEN 'Title ' || n_name ELSE s END || '/2024/region ' || n_regionkey FROM n")
 def adapter_brethren_parsed(spark, sf_dir):
     """A document for each nation, and a file that is none; a blank piece keeps its number."""
     piece = lambda c: F.struct(c.alias("content"))
     d = F.struct(F.concat(F.lit("slug-"), "n_nationkey").alias("doc_slug"), F.lit("2024-05").alias("source_mtime"), F.when(F.col("n_nationkey") % 3 > 0, F.struct(F.concat(F.lit("Title "), "n_name").alias("title"))).alias("session_metadata"), F.array(piece(F.concat(F.lit(" "), "n_name", F.lit(" "))), piece(F.lit(" ")), piece(F.concat(F.lit("region "), "n_regionkey"))).alias("chunks"))
-    docs = table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(d).alias("line")).unionByName(spark.createDataFrame([(99, "{oops")], "n_nationkey int, line string"))
+    docs = nations(spark, sf_dir).select("n_nationkey", F.to_json(d).alias("line")).unionByName(spark.createDataFrame([(-1, "{oops")], "n_nationkey long, line string"))
     folder = shared(spark, "parsed")
     docs.repartitionByRange(docs.count(), "n_nationkey").select("line").write.option("maxRecordsPerFile", 1).text(folder)
     return flat(adapters.brethren_parsed(spark, f"{folder}/part-*"), CulturalChunk=("chunk_id", F.concat_ws("/", "work_title", "date_written", "text")))
 
 
-@query("adapter_sefaria_mishnah", "WITH c AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS ch FROM nation), w AS (SELECT 'mishnah.region_' || n_regionkey || '.' || ch AS a, n_name, n_nationkey FROM c) SELECT 'HistoricalChunk' AS kind, a || '.1' AS key, 'of ' || n_name AS value FROM w UNION ALL SELECT 'HistoricalChunk', a || '.3', n_nationkey::VARCHAR FROM w")
+@query("adapter_sefaria_mishnah", f"WITH {NATIONS}, c AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS ch FROM nation), w AS (SELECT 'mishnah.region_' || n_regionkey || '.' || ch AS a, n_name, n_nationkey FROM c) SELECT 'HistoricalChunk' AS kind, a || '.1' AS key, 'of ' || n_name AS value FROM w UNION ALL SELECT 'HistoricalChunk', a || '.3', n_nationkey::VARCHAR FROM w")
 def adapter_sefaria_mishnah(spark, sf_dir):
     """A tractate for each region, a chapter for each of its nations; a blank piece keeps its number."""
     piece = F.array(F.concat(F.lit("of <b>"), "n_name", F.lit("</b>")), F.lit(" "), F.col("n_nationkey").cast("string"))
-    r = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", piece.alias("t")))).alias("c"))  # a dimension
+    r = nations(spark, sf_dir).groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", piece.alias("t")))).alias("c"))  # a dimension
     docs = r.select("n_regionkey", F.to_json(F.struct(F.concat(F.lit("Mishnah Region "), "n_regionkey").alias("title"), F.transform("c", lambda x: x["t"]).alias("text"))).alias("line"))
     folder = shared(spark, "mishnah")
     docs.repartitionByRange(docs.count(), "n_regionkey").select("line").write.option("maxRecordsPerFile", 1).text(folder)
@@ -552,12 +560,12 @@ def volume_oca_hopko(spark, sf_dir):
     return adapters.oca_hopko(p.unionByName(other), "https://root").select("anchor_id", "title", "redistribute")
 
 
-@query("creed_pages", "SELECT n_nationkey, array_to_string(list_filter([CASE WHEN n_nationkey % 5 = 0 THEN 'disambiguation' END, CASE WHEN n_nationkey % 3 = 0 THEN 'phrase' END, CASE WHEN n_nationkey % 2 = 0 THEN 'length' END], lambda x: x IS NOT NULL), ',') AS violations FROM nation")
+@query("creed_pages", f"WITH {NATIONS} SELECT n_nationkey, array_to_string(list_filter([CASE WHEN n_nationkey % 5 = 0 THEN 'disambiguation' END, CASE WHEN n_nationkey % 3 = 0 THEN 'phrase' END, CASE WHEN n_nationkey % 2 = 0 THEN 'length' END], lambda x: x IS NOT NULL), ',') AS violations FROM nation")
 def creed_pages(spark, sf_dir):
     """Pages that must be a creed's: what keeps each from being one."""
     k = F.col("n_nationkey")
     page = F.concat(F.lit("<article><p>"), F.when(k % 5 == 0, "It may refer to more. ").otherwise(""), F.when(k % 3 > 0, "We believe in one. ").otherwise(""), F.repeat(F.lit("word "), 10), F.when(k % 2 > 0, F.repeat(F.lit("more "), 60)).otherwise(""), F.lit("</p></article>"))
-    n = table(spark, sf_dir, "nation").select("n_nationkey", page.alias("html"))
+    n = nations(spark, sf_dir).select("n_nationkey", page.alias("html"))
     return more_adapters.creed(n, ["we believe"], 200, ["n_nationkey"]).select("n_nationkey", F.array_join("_violations", ",").alias("violations"))
 
 

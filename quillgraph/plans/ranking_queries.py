@@ -148,9 +148,13 @@ def question_match(spark, sf_dir):
     return retrieval.assess(r.select("query_id", named.alias("id"), F.round("score", 4).alias("score"), "rank"), "semantic")
 
 
-ROUTES = [("compare the reformed view",), ("What does the Lutheran church teach on baptism?",), ("doctrine of election",), ("John 3:16 meaning",), ("H430 word",), ("codex Sinaiticus reading",), ("psalm 51:2 hebrew",), ("a Baptist view",), ("hello",), ("",)]
+#: Questions about every part, in the words of one intent each.
+ASKED = """CASE p_partkey % 11 WHEN 0 THEN 'compare the reformed view of ' || p_name WHEN 1 THEN 'What does the Lutheran church teach on ' || p_name || '?' WHEN 2 THEN 'doctrine of ' || p_name WHEN 3 THEN 'John ' || (p_size + 1) || ':16 and ' || p_name
+ WHEN 4 THEN 'H0' || (p_partkey % 1000 + 100) || ' ' || p_name WHEN 5 THEN 'codex Sinaiticus reading of ' || p_name WHEN 6 THEN 'psalm 51:' || p_size || ' hebrew' WHEN 7 THEN 'a Baptist view of ' || p_name WHEN 8 THEN p_name || ' ' || p_brand WHEN 9 THEN '' ELSE p_name || ' VS. ' || p_type END"""
+ROUTED = "CASE p_partkey % 11 WHEN 0 THEN 'comparative' WHEN 1 THEN 'cultural_overlay' WHEN 2 THEN 'doctrinal_verdict' WHEN 3 THEN 'scripture_lookup' WHEN 4 THEN 'scripture_lookup' WHEN 5 THEN 'variant_inspect' WHEN 6 THEN 'versification' WHEN 7 THEN 'cultural_overlay' WHEN 10 THEN 'comparative' ELSE 'general' END"
 
 
-@query("intent_route", "SELECT * FROM (VALUES ('compare the reformed view', 'comparative', 'lexical', true), ('What does the Lutheran church teach on baptism?', 'cultural_overlay', 'cultural', false), ('doctrine of election', 'doctrinal_verdict', 'lexical', true), ('John 3:16 meaning', 'scripture_lookup', 'lexical', false), ('H430 word', 'scripture_lookup', 'lexical', false), ('codex Sinaiticus reading', 'variant_inspect', 'lexical', false), ('psalm 51:2 hebrew', 'versification', 'lexical', false), ('a Baptist view', 'cultural_overlay', 'cultural', false), ('hello', 'general', 'lexical', false), ('', 'general', 'lexical', false)) AS t(question, intent, store, expand)")
+@query("intent_route", f"WITH v AS (SELECT p_partkey, {ASKED} AS question, {ROUTED} AS intent FROM part) SELECT p_partkey, question, intent, CASE intent WHEN 'cultural_overlay' THEN 'cultural' ELSE 'lexical' END AS store, intent IN ('comparative', 'doctrinal_verdict') AS expand FROM v")
 def intent_route(spark, sf_dir):
-    return spark.createDataFrame(ROUTES, "question string").select("question", retrieval.route(F.col("question")).alias("r")).select("question", "r.intent", "r.store", "r.expand")
+    v = table(spark, sf_dir, "part").select("p_partkey", F.expr(ASKED).alias("question"))
+    return v.select("p_partkey", "question", retrieval.route(F.col("question")).alias("r")).select("p_partkey", "question", "r.intent", "r.store", "r.expand")

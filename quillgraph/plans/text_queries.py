@@ -14,40 +14,41 @@ def values(spark, rows: list[tuple], schema: str):
     return spark.createDataFrame(rows, schema)
 
 
-#: Small fixtures as SQL values, shared by both sides of a query.
-STRONGS = [("H430", None), ("{H1254a}", None), ("h7225", None), ("1254 a", "hb"), ("746", "gk"), ("746", None), ("a/H1961", None), ("12345", "hb"), ("G5", None), ("", None), ("xyz", "hb"), ("746B", "gk")]
+#: Lexeme codes in many spellings, sound and not, from the parts' keys.
+CODES = """CASE p_partkey % 11 WHEN 0 THEN 'H' || p_partkey WHEN 1 THEN '{H' || p_partkey || 'a}' WHEN 2 THEN 'h' || p_partkey WHEN 3 THEN p_partkey || ' a' WHEN 4 THEN '' || p_partkey WHEN 5 THEN '' || p_partkey WHEN 6 THEN 'a/G' || p_partkey WHEN 7 THEN '' WHEN 8 THEN p_name WHEN 9 THEN p_partkey || 'B' ELSE 'G' || p_partkey END"""
+CODE_LANGS = "CASE p_partkey % 3 WHEN 0 THEN 'hb' WHEN 1 THEN 'gk' END"
 
 
-def sql_values(rows: list[tuple]) -> str:
-    lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
-
-
-@query("strongs_canonical", f"""WITH v(raw, lang) AS (VALUES {sql_values(STRONGS)}), a AS (SELECT raw, lang, regexp_replace(regexp_replace(trim(raw), '^\\{{(.*)\\}}$', '\\1'), '^[^/]*/(.+)$', '\\1') AS s FROM v),
-b AS (SELECT raw, lang, s, CASE WHEN regexp_matches(s, '^[HGhg][0-9]+[A-Za-z]?$') THEN upper(s[1]) WHEN regexp_matches(s, '^[0-9]+( ?[A-Za-z])?$') AND lang = 'hb' THEN 'H' WHEN regexp_matches(s, '^[0-9]+( ?[A-Za-z])?$') AND lang = 'gk' THEN 'G' END AS h, regexp_extract(s, '[0-9]+') AS d, nullif(upper(regexp_extract(s, '[0-9] ?([A-Za-z])$', 1)), '') AS x FROM a)
-SELECT raw, lang, h || repeat('0', greatest(0, 4 - length(d))) || d || coalesce(x, '') AS canonical, CASE WHEN h IS NOT NULL THEN x END AS suffix FROM b""")
+@query("strongs_canonical", f"""WITH v AS (SELECT p_partkey, {CODES} AS raw, {CODE_LANGS} AS lang FROM part), a AS (SELECT *, regexp_replace(regexp_replace(trim(raw), '^\\{{(.*)\\}}$', '\\1'), '^[^/]*/(.+)$', '\\1') AS s FROM v),
+b AS (SELECT *, CASE WHEN regexp_matches(s, '^[HGhg][0-9]+[A-Za-z]?$') THEN upper(s[1]) WHEN regexp_matches(s, '^[0-9]+( ?[A-Za-z])?$') AND lang = 'hb' THEN 'H' WHEN regexp_matches(s, '^[0-9]+( ?[A-Za-z])?$') AND lang = 'gk' THEN 'G' END AS h, regexp_extract(s, '[0-9]+') AS d, nullif(upper(regexp_extract(s, '[0-9] ?([A-Za-z])$', 1)), '') AS x FROM a)
+SELECT p_partkey, raw, lang, h || repeat('0', greatest(0, 4 - length(d))) || d || coalesce(x, '') AS canonical, CASE WHEN h IS NOT NULL THEN x END AS suffix FROM b""")
 def strongs_canonical(spark, sf_dir):
-    v = values(spark, STRONGS, "raw string, lang string")
-    return v.select("raw", "lang", strongs.canonical(F.col("raw"), F.col("lang")).alias("c")).select("raw", "lang", "c.canonical", "c.suffix")
+    v = table(spark, sf_dir, "part").select("p_partkey", F.expr(CODES).alias("raw"), F.expr(CODE_LANGS).alias("lang"))
+    return v.select("p_partkey", "raw", "lang", strongs.canonical(F.col("raw"), F.col("lang")).alias("c")).select("p_partkey", "raw", "lang", "c.canonical", "c.suffix")
 
 
-REFS = [("Gen.1.1-3,7",), ("John.3.16",), ("Ps.119.5-2",), ("bad",), ("1John.2.1, 4-5",)]
+#: References with lists and ranges, some of which go down, and tokens that are none.
+REFS = """CASE o_orderkey % 7 WHEN 0 THEN 'bad' || o_orderkey WHEN 1 THEN '1John.' || (o_custkey % 5 + 1) || '.' || (o_orderkey % 9 + 1) || ', ' || (o_orderkey % 20 + 1) || '-' || (o_orderkey % 20 + 4)
+ WHEN 2 THEN 'John.' || (o_custkey % 21 + 1) || '.' || (o_orderkey % 50 + 1) ELSE 'Ps.' || (o_custkey % 150 + 1) || '.' || (o_orderkey % 12 + 1) || '-' || (o_custkey % 15 + 1) || ',' || (o_orderkey % 30 + 1) END"""
 
 
-@query("ref_expand", f"""WITH v(token) AS (VALUES {sql_values(REFS)}), p AS (SELECT token, regexp_extract(token, '^([1-3]?[A-Za-z]+)\\.([0-9]+)\\.(.+)$', 1) AS book, regexp_extract(token, '^([1-3]?[A-Za-z]+)\\.([0-9]+)\\.(.+)$', 2) AS ch, unnest(string_split(regexp_extract(token, '^([1-3]?[A-Za-z]+)\\.([0-9]+)\\.(.+)$', 3), ',')) AS piece FROM v),
-r AS (SELECT token, book, ch, trim(split_part(piece, '-', 1)) AS lo, CASE WHEN contains(piece, '-') THEN trim(split_part(piece, '-', 2)) ELSE trim(piece) END AS hi FROM p WHERE book <> '')
-SELECT token, book, ch::INT AS chapter, unnest(range(lo::INT, hi::INT + 1))::INT AS verse FROM r WHERE hi::INT >= lo::INT""")
+@query("ref_expand", f"""WITH v AS (SELECT o_orderkey, {REFS} AS token FROM orders), p AS (SELECT o_orderkey, token, regexp_extract(token, '^([1-3]?[A-Za-z]+)\\.([0-9]+)\\.(.+)$', 1) AS book, regexp_extract(token, '^([1-3]?[A-Za-z]+)\\.([0-9]+)\\.(.+)$', 2) AS ch, unnest(string_split(regexp_extract(token, '^([1-3]?[A-Za-z]+)\\.([0-9]+)\\.(.+)$', 3), ',')) AS piece FROM v),
+r AS (SELECT o_orderkey, token, book, ch, trim(split_part(piece, '-', 1)) AS lo, CASE WHEN contains(piece, '-') THEN trim(split_part(piece, '-', 2)) ELSE trim(piece) END AS hi FROM p WHERE book <> '')
+SELECT o_orderkey, token, book, ch::INT AS chapter, unnest(range(lo::INT, hi::INT + 1))::INT AS verse FROM r WHERE hi::INT >= lo::INT""")
 def ref_expand(spark, sf_dir):
-    v = values(spark, REFS, "token string")
-    return v.select("token", F.explode(refs.expand(F.col("token"))).alias("r")).select("token", "r.book", "r.chapter", "r.verse")
+    v = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(REFS).alias("token"))
+    return v.select("o_orderkey", "token", F.explode(refs.expand(F.col("token"))).alias("r")).select("o_orderkey", "token", "r.book", "r.chapter", "r.verse")
 
 
-HUMAN = [("John 1:1-3",), ("1 Samuel 2:4",), ("Genesis 3:3-1",), ("Nowhere 1:1",), ("Psalm 23:1",)]
+#: Human references: names of books, one of them unknown, with single verses and ranges.
+HUMAN = """CASE o_orderkey % 5 WHEN 0 THEN 'John' WHEN 1 THEN '1 Samuel' WHEN 2 THEN 'Genesis' WHEN 3 THEN 'Nowhere' ELSE 'Psalm' END || ' ' || (o_custkey % 20 + 1) || ':' || (o_orderkey % 17 + 1) || CASE WHEN o_custkey % 2 = 0 THEN '-' || (o_orderkey % 17 + o_custkey % 6 - 1) ELSE '' END"""
 
 
-@query("human_refs", "SELECT * FROM (VALUES ('John 1:1-3', 'John.1.1'), ('John 1:1-3', 'John.1.2'), ('John 1:1-3', 'John.1.3'), ('1 Samuel 2:4', '1Sam.2.4'), ('Psalm 23:1', 'Ps.23.1')) AS t(human, key)")
+@query("human_refs", f"""WITH v AS (SELECT o_orderkey, {HUMAN} AS human, ['John', '1Sam', 'Gen', NULL, 'Ps'][1 + o_orderkey % 5] AS book, o_custkey % 20 + 1 AS ch, o_orderkey % 17 + 1 AS lo, CASE WHEN o_custkey % 2 = 0 THEN o_orderkey % 17 + o_custkey % 6 - 1 ELSE o_orderkey % 17 + 1 END AS hi FROM orders)
+SELECT o_orderkey, human, book || '.' || ch || '.' || unnest(range(lo, hi + 1)) AS key FROM v WHERE book IS NOT NULL AND hi >= lo""")
 def human_refs(spark, sf_dir):
-    return values(spark, HUMAN, "human string").select("human", F.explode(refs.to_keys(F.col("human"))).alias("key"))
+    v = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(HUMAN).alias("human"))
+    return v.select("o_orderkey", "human", F.explode(refs.to_keys(F.col("human"))).alias("key"))
 
 
 @query("versification_bridge", "WITH rules(n, f, t) AS (VALUES (1, 'Ord.1.1', 'Ord.9.9'), (2, 'Ord.1.1', 'Ord.8.8'), (3, 'Ord.2.3', 'Ord.2.4')), o AS (SELECT o_orderkey, 'Ord.' || (o_orderkey % 5) || '.' || (o_orderkey % 7) AS ref FROM orders) SELECT o_orderkey, ref, coalesce(t, ref) AS mapped FROM o LEFT JOIN (SELECT f, arg_min(t, n) AS t FROM rules GROUP BY f) ON ref = f")
@@ -174,18 +175,28 @@ def marker_sequence(spark, sf_dir):
     return e.select("user_id", F.size(ordered.expected_next(F.transform("m", lambda x: x["n"]))).cast("long").alias("accepted"))
 
 
-TF = [("f", 1, "a"), ("f", 2, "b"), ("f", 3, "10\tc"), ("f", 4, "d"), ("f", 5, "20-22\te"), ("f", 6, "f"), ("f", 7, ""), ("f", 8, "g")]
+#: A feature file's lines, one for each part: explicit nodes, ranges, bare values and blank lines.
+FEATURE = "CASE WHEN p_partkey % 9 = 0 THEN (p_partkey * 10) || chr(9) || p_name WHEN p_partkey % 9 = 4 THEN (p_partkey * 10) || '-' || (p_partkey * 10 + p_size % 3) || chr(9) || p_name WHEN p_partkey % 9 = 6 THEN '' ELSE p_brand END"
 
 
-@query("tf_feature_expand", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (10, 'c'), (11, 'd'), (20, 'e'), (21, 'e'), (22, 'e'), (23, 'f'), (25, 'g')) AS t(node, value)")
+@query("tf_feature_expand", """WITH f AS (SELECT p_partkey AS k, p_name, p_brand, CASE WHEN p_partkey % 9 IN (0, 4) THEN p_partkey * 10 END AS lo, CASE p_partkey % 9 WHEN 0 THEN p_partkey * 10 WHEN 4 THEN p_partkey * 10 + p_size % 3 END AS hi, row_number() OVER (ORDER BY p_partkey) AS pos FROM part),
+a AS (SELECT *, last_value(hi - pos IGNORE NULLS) OVER (ORDER BY pos) AS ahead FROM f)
+SELECT unnest(range(lo, hi + 1)) AS node, p_name AS value FROM a WHERE lo IS NOT NULL UNION ALL SELECT pos + coalesce(ahead, 0), p_brand FROM a WHERE lo IS NULL AND k % 9 <> 6""")
 def tf_feature_expand(spark, sf_dir):
-    return textfabric.node_feature(values(spark, TF, "file string, line_no int, line string")).select("node", "value")
+    p = table(spark, sf_dir, "part")
+    first = p.agg(F.min("p_partkey")).first()[0] or 0  # keys are dense
+    rows = p.select(F.lit("f").alias("file"), (F.col("p_partkey") - first + 1).cast("int").alias("line_no"), F.expr(FEATURE).alias("line"))
+    return textfabric.node_feature(rows).select("node", "value")
+
+
+#: Slot lists: a range, a range that may go down, a single slot.
+SLOTS = "p_partkey || '-' || (p_partkey + p_size % 4) || ', ' || (p_size + 5) || '-' || (p_size + p_partkey % 10) || ',' || p_size"
 
 
-@query("tf_slots", "SELECT * FROM (VALUES ('1-3,7', '1,2,3,7'), ('5', '5'), ('9-8,2', '2')) AS t(spec, slots)")
+@query("tf_slots", f"WITH v AS (SELECT p_partkey, {SLOTS} AS spec, range(p_partkey, p_partkey + p_size % 4 + 1) AS a, CASE WHEN p_partkey % 10 >= 5 THEN range(p_size + 5, p_size + p_partkey % 10 + 1) ELSE [] END AS b, p_size AS c FROM part) SELECT p_partkey, spec, array_to_string(list_append(list_concat(a, b), c), ',') AS slots FROM v")
 def tf_slots(spark, sf_dir):
-    v = values(spark, [("1-3,7",), ("5",), ("9-8,2",)], "spec string")
-    return v.select("spec", F.array_join(F.transform(textfabric.slots(F.col("spec")), lambda x: x.cast("string")), ",").alias("slots"))
+    v = table(spark, sf_dir, "part").select("p_partkey", F.expr(SLOTS).alias("spec"))
+    return v.select("p_partkey", "spec", F.array_join(F.transform(textfabric.slots(F.col("spec")), lambda x: x.cast("string")), ",").alias("slots"))
 
 
 @query("page_links", """SELECT page_id, array_to_string(list_filter(l, lambda h, i: list_position(l, h) = i), ' ') AS links FROM (SELECT page_id, list_filter(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1), lambda h: h <> '' AND NOT starts_with(h, '#') AND NOT starts_with(lower(h), 'javascript:')) AS l FROM pages)""")
