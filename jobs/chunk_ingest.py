@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import licence, text
 from quillgraph.operators import ordered
+from quillgraph.streaming.ingest import pattern
 
 log = logging.getLogger("chunk_ingest")
 
@@ -70,12 +71,6 @@ def _write(df: DataFrame, path: str, *parts: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
-def pattern(path: str) -> str:
-    """A pattern that stands for the path alone: a stream takes a folder by its name, but one file only by a pattern."""
-    path = path.rstrip("/")
-    return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
-
-
 def run(spark: SparkSession, documents: str, out: str, checkpoint: str, licences: dict[str, str] | None = None, target_words: int = 533, least_words: int = 106, files_per_batch: int = 1000) -> dict[str, int]:
     """Take the documents that no earlier run took, as chunks; gives the counts of this run."""
     total: dict[str, int] = {}

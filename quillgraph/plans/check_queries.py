@@ -11,7 +11,7 @@ from quillgraph.functions import text, vectors
 from quillgraph.operators import checks, retrieval, verdict
 from quillgraph.plans.registry import query, shared, table
 from quillgraph.plans.text_queries import DOC_WORDS
-from quillgraph.streaming import ingest
+from quillgraph.streaming import ingest, turns
 
 #: Counts of a document that stand in for an evidence document's lists.
 DOC_COUNTS = f"SELECT doc_id, n_chars % 2 = 0 AS pan, doc_id % 3 > 0 AS robust, {DOC_WORDS} % 12 AS anchors, n_chars % 20 AS xrefs, doc_id % 15 AS conc, doc_id % 4 AS comp, doc_id % 2 AS addr FROM documents"
@@ -156,7 +156,17 @@ def latest_by_key(spark, sf_dir):
     base = shared(spark, "latest")
     schema = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id").schema
     ingest.merge_latest(spark, f"{sf_dir}/events.parquet*", schema, f"{base}/out", f"{base}/progress", ["user_id"], "event_id", 8)
-    return spark.read.parquet(f"{base}/out").select("user_id", "event_type", "event_id")
+    return ingest.merged(spark, schema, f"{base}/out").select("user_id", "event_type", "event_id")
+
+
+@query("turn_stream", "WITH t AS (SELECT conv_id, turn, min(role) AS role FROM conversations WHERE turn IS NOT NULL GROUP BY ALL) SELECT conv_id, turn::INT AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS n, role FROM t")
+def turn_stream(spark, sf_dir):
+    """Numbers of all conversations' messages by a stream with keyed state, run twice."""
+    base = shared(spark, "turns")
+    schema = table(spark, sf_dir, "conversations").schema
+    for _ in range(2):
+        turns.number_files(spark, ingest.pattern(f"{sf_dir}/conversations.parquet"), schema, f"{base}/out", f"{base}/progress")
+    return turns.latest(spark, f"{base}/out")
 
 
 @query("stream_ingest", "SELECT event_id, user_id, event_type FROM events")

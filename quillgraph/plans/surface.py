@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.functions import licence, refs, text
-from quillgraph.operators import graph, ordered, retrieval, substrings, verdict
+from quillgraph.operators import documents, graph, ordered, retrieval, substrings, verdict
 from quillgraph.operators.checks import bounds
 
 QUESTION_ID = "^[a-z0-9][a-z0-9-]*$"
@@ -174,9 +174,9 @@ def debate_for_verse(requests: DataFrame, chunks: DataFrame, context: str = "per
     return cultural_overlay(retrieve_chunks(first.select("query_id", "vector", "doctrine"), chunks, k), context)
 
 
-def inspect(requests: DataFrame, documents: DataFrame, schema: str) -> DataFrame:
+def inspect(requests: DataFrame, stored: DataFrame, schema: str) -> DataFrame:
     """(question_id, error, doc): the parsed JSON document, or which error: invalid_question_id, missing, corrupt."""
-    j = requests.join(documents.select("question_id", "json"), "question_id", "left")
+    j = requests.join(stored.select("question_id", "json"), "question_id", "left")
     ok = F.col("question_id").rlike(QUESTION_ID)
     doc = F.from_json("json", schema, {"mode": "PERMISSIVE"})
     broken = F.try_parse_json("json").isNull()
@@ -184,6 +184,19 @@ def inspect(requests: DataFrame, documents: DataFrame, schema: str) -> DataFrame
     return j.select("question_id", error.alias("error"), F.when(error.isNull(), doc).alias("doc"))
 
 
+def historical_inspect(requests: DataFrame, attestations: DataFrame, full: bool = True) -> DataFrame:
+    """(question_id, error, doc, sources): the attestation, which must hold every rule of its kind to be read.
+
+    error: invalid_question_id, historical_missing, or historical_corrupt for text that is no JSON or breaks a rule. Without ``full``
+    a document is its question, whether there is an attestation, summary and flags.
+    """
+    j = requests.join(documents.checked(attestations.select("question_id", "json"), "question_id", "json", "attestation"), "question_id", "left")
+    error = F.when(~F.col("question_id").rlike(QUESTION_ID), "invalid_question_id").when(F.col("json").isNull(), "historical_missing").when(F.size("_violations") > 0, "historical_corrupt")
+    doc = F.col("doc") if full else F.struct(*(F.col(f"doc.{c}").alias(c) for c in ("question_id", "attestation_present", "summary", "flags")))
+    used = F.transform("doc.license_audit.sources_used", lambda s: F.struct(F.coalesce(s["source_slug"], F.lit("<unknown>")).alias("source"), F.coalesce(s["license"], F.lit("<unknown>")).alias("license")))
+    return j.select("question_id", error.alias("error"), F.when(error.isNull(), doc).alias("doc"), F.when(error.isNull(), used).alias("sources"))
+
+
 def license_audit(requests: DataFrame) -> DataFrame:
     """(request_id, per_source, redistributable): each source under bulk use; no sources are not redistributable."""
     each = F.transform("sources", lambda s: F.struct(s["source"].alias("source"), licence.guard(s["license"], "bulk").alias("bulk")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import licence, refs, strongs, text
-from quillgraph.operators import ordered
+from quillgraph.operators import audits, ordered
 from quillgraph.plans.registry import query, table
 from quillgraph.sources import markup, textfabric
 
@@ -234,6 +234,40 @@ def line_context(spark, sf_dir):
     return r.select("doc_id", "n", F.when(F.contains(near, F.lit("%%%")), "context").otherwise("plain").alias("category"))
 
 
+#: A stem for every part: most are sound, others have a fault of one family, or of two.
+STEMS = """'Whether the ' || p_name || CASE p_partkey % 12 WHEN 0 THEN ' of the Book of Mormon is a tenable reading' WHEN 1 THEN ' is heresy' WHEN 2 THEN ' rests on Sola Fide and imputed righteousness' WHEN 3 THEN ' is a legitimate orthodox position'
+ WHEN 4 THEN ' that Ellen G White taught is tenable' WHEN 5 THEN ' corrupts the gospel, as Roman Catholicism says' WHEN 6 THEN ' is forensic justification' WHEN 7 THEN ' whose denial of the ' || p_type || ' is cult-grade' ELSE ' is ' || p_type END"""
+
+
+def stem_sql() -> str:
+    lit = lambda p: "'(?i)" + p.replace("'", "''") + "'"
+    every = " UNION ALL ".join(f"SELECT p_partkey, '{n}' AS flag, flatten([{', '.join(f'regexp_extract_all(s, {lit(p)})' for p in ps)}]) AS m FROM v" for n, ps in audits.STEM_FLAGS.items())
+    return f"WITH v AS (SELECT p_partkey, {STEMS} AS s FROM part), f AS ({every}) SELECT p_partkey, flag, array_to_string(m, '; ') AS matches FROM f WHERE len(m) > 0"
+
+
+@query("stem_audit", stem_sql())
+def stem_audit(spark, sf_dir):
+    """What gives the answer away in each stem, by family."""
+    v = table(spark, sf_dir, "part").select("p_partkey", F.explode(audits.stem_flags(F.expr(STEMS))).alias("f"))
+    return v.select("p_partkey", "f.flag", F.array_join("f.matches", "; ").alias("matches"))
+
+
+#: A file of five lines for every order, with old fields in it, spoken of or not.
+OLD_LINES = """CASE o_orderkey % 6 WHEN 0 THEN 'x = lexical_score + 1' WHEN 1 THEN 'y = compute_lexical_score(lexical_score)' WHEN 2 THEN '  "confidence": "high",' WHEN 3 THEN '# historical lexical_score' WHEN 4 THEN 'lexical_score  # v30-dead-ref-ok' ELSE 'order ' || o_orderkey END
+ || chr(10) || CASE o_orderkey % 4 WHEN 0 THEN 'schema_version follows' WHEN 1 THEN '  "$schema_version": "3.0"' ELSE 'of ' || o_custkey END || chr(10) || 'plain' || chr(10) || CASE o_custkey % 3 WHEN 0 THEN 'v = "3.0"' WHEN 1 THEN 'r.result.confidence > 0' ELSE '' END || chr(10) || CASE o_custkey % 5 WHEN 0 THEN 'from a.evidence_schema import A, Confidence' ELSE 'v3.0 -> v3.1: "3.0"' END"""
+
+
+@query("line_audit", f"""WITH t AS (SELECT o_orderkey, unnest(string_split({OLD_LINES}, chr(10))) AS line, unnest(range(1, 6)) AS line_no FROM orders),
+w AS (SELECT *, coalesce(lag(line, 2) OVER o, '') || chr(10) || coalesce(lag(line) OVER o, '') || chr(10) || line || chr(10) || coalesce(lead(line) OVER o, '') || chr(10) || coalesce(lead(line, 2) OVER o, '') AS near FROM t WINDOW o AS (PARTITION BY o_orderkey ORDER BY line_no)),
+k AS (SELECT * FROM w WHERE NOT contains(line, 'v30-dead-ref-ok') AND NOT contains(line, 'v3.0 -> v3.1') AND NOT (line LIKE '#%' AND contains(line, 'historical'))),
+c AS (SELECT *, unnest([CASE WHEN contains(line, 'compute_lexical_score') THEN 'compute_lexical_score' WHEN contains(line, 'lexical_score') THEN 'lexical_score' END, CASE WHEN contains(line, '"confidence"') OR contains(line, 'result.confidence') THEN 'verdict_confidence' END, CASE WHEN contains(line, 'Confidence') THEN 'Confidence_import' END,
+ CASE WHEN contains(line, '"$schema_version": "3.0"') THEN 'schema_literal_3.0' WHEN contains(line, '"3.0"') AND contains(near, 'schema_version') THEN 'schema_version_3.0' END]) AS category FROM k)
+SELECT o_orderkey, line_no::INT AS line_no, category, trim(line) AS snippet FROM c WHERE category IS NOT NULL""")
+def line_audit(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(OLD_LINES).alias("text"))
+    return audits.line_findings(t).withColumnRenamed("id", "o_orderkey")
+
+
 @query("normal_forms", "SELECT doc_id, nullif(trim(nfc_normalize(text)), '') AS nfc, nfc_normalize(strip_accents(text)) AS plain FROM documents")
 def normal_forms(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.nfc("text").alias("nfc"), text.without_accents("text").alias("plain"))

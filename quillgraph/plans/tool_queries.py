@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text
-from quillgraph.plans import surface
+from quillgraph.plans import rule_queries, surface
 from quillgraph.plans.ranking_queries import COS, vectors
 from quillgraph.plans.registry import query, table
 from quillgraph.plans.text_queries import DOC_LICENCE, GUARD, LICENCES
@@ -179,9 +179,14 @@ def tool_evidence_inspect(spark, sf_dir):
     return inspected(spark, sf_dir, "verdict")
 
 
-@query("tool_historical_inspect", INSPECTED.format("witnesses"))
+@query("tool_historical_inspect", f"WITH d AS ({rule_queries.fault_sql(rule_queries.ATTESTATION_FAULTS)}) SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'invalid_question_id' WHEN doc_id % 5 = 0 THEN 'historical_missing' WHEN violations <> '' THEN 'historical_corrupt' END AS error, doc_id % 7 > 0 AND doc_id % 5 > 0 AND violations = '' AS present FROM d")
 def tool_historical_inspect(spark, sf_dir):
-    return inspected(spark, sf_dir, "witnesses")
+    """Attestations for every document, sound and with faults; a seventh of the requests has no valid id, a fifth no attestation."""
+    d = rule_queries.faulty(spark, sf_dir, rule_queries.ATTESTATION, rule_queries.ATTESTATION_FAULTS)
+    named = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("../"), "doc_id")).otherwise(F.col("question_id"))
+    q = d.select("doc_id", named.alias("question_id"))
+    got = surface.historical_inspect(q.select("question_id"), d.where("doc_id % 5 > 0").select(named.alias("question_id"), "json"), full=False)
+    return q.join(got, "question_id").select("doc_id", "error", F.coalesce("doc.attestation_present", F.lit(False)).alias("present"))
 
 
 @query("tool_license_audit", f"WITH d AS (SELECT doc_id // 10 AS request_id, {DOC_LICENCE} AS lic, 'bulk' AS mode, 0 AS w, 0 AS sw FROM documents) SELECT request_id, count(*) AS sources, count(*) FILTER (WHERE {GUARD}) AS allowed, bool_and({GUARD}) AS redistributable FROM d GROUP BY 1 UNION ALL SELECT -1, 0, 0, false")

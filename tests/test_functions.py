@@ -168,4 +168,4 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, 2, "c")], schema).write.mode("append").parquet(src)
     assert ingest.ingest(spark, src, schema, out, ck) == 1 and spark.read.parquet(out).count() == 3
     ingest.merge_latest(spark, src, schema, f"{out}-m", f"{ck}-m", ["k"], "v", 4)
-    assert {(r["k"], r["s"]) for r in spark.read.parquet(f"{out}-m").collect()} == {(1, "c"), (2, "b")}
+    assert {(r["k"], r["s"]) for r in ingest.merged(spark, schema, f"{out}-m").collect()} == {(1, "c"), (2, "b")}
