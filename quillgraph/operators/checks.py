@@ -118,3 +118,15 @@ def bounds(name: str, value: int, lo: int, hi: int) -> int:
 
 def log_ratio(n: int, df: int) -> float:
     return math.log((n + 1) / (df + 1)) + 1
+
+
+def tallies(rows: DataFrame, batch: str, by: list[str], key: str) -> DataFrame:
+    """(by, batch, n, seen, fresh, total): of each batch its rows, distinct keys, keys that no earlier batch has, and keys so far.
+
+    A key's first batch is a grouped minimum; only the counts of batches, a row each, are summed in order.
+    """
+    seen = rows.groupBy(*by, batch).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("seen"))
+    first = rows.where(F.col(key).isNotNull()).groupBy(*by, key).agg(F.min(batch).alias(batch))
+    fresh = first.groupBy(*by, batch).agg(F.count(F.lit(1)).alias("fresh"))
+    out = seen.join(fresh, [*by, batch], "left").withColumn("fresh", F.coalesce("fresh", F.lit(0)))
+    return out.withColumn("total", F.sum("fresh").over(W.partitionBy(*by).orderBy(batch).rowsBetween(W.unboundedPreceding, 0)))
