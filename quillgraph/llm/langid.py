@@ -23,7 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm import common
@@ -32,11 +33,14 @@ from quillgraph.llm import common
 SAMPLE_DOCS = 128
 REFERENCE_CHARS = 24_576
 PIECE = 512
-#: More values of lang than this are an error.
-MOST_LANGS = 10_000
+#: More values of lang than this are an error: their automata would take more than half a gigabyte of a worker.
+MOST_LANGS = 1_000
 BLOCK = 1024
 #: Letters of a language up to which its automaton is a full table; with more, its transitions are looked up by key.
 DENSE = 96
+#: Languages up to which automata are full tables (about 4 MB each), built in every worker. With more, all are keys (about half a
+#: megabyte each, so some hundred languages fit a worker), built once by Spark's tasks and shipped.
+DENSE_LANGS = 16
 SHARPNESS = 8.0
 
 
@@ -119,6 +123,36 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+def keyed(ref: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """A reference's automaton as (width, sorted keys ``state * width + class``, next states, the root's next states)."""
+    used = sorted(set(ref) - {" "})
+    local = {c: i + 2 for i, c in enumerate(used)} | {" ": 0}
+    width, auto = len(used) + 2, suffix_automaton([local[c] for c in ref])
+    kind = np.int32 if len(auto) * width < 1 << 31 else np.int64
+    moves = np.array([(i * width + c, s) for i, m in enumerate(auto) for c, s in sorted(m.items())], dtype=np.int64).reshape(-1, 2)
+    root = np.zeros(width, dtype=kind)
+    for c, s in auto[0].items():
+        root[c] = s
+    return width, moves[:, 0].astype(kind), moves[:, 1].astype(kind), root
+
+
+def built(spark: SparkSession, refs: dict[str, str]) -> Broadcast | None:
+    """The keyed automata of many languages, made by tasks and shipped once; None where they are few."""
+    if len(refs) <= DENSE_LANGS:
+        return None
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, ref in zip(batch.column("lang").to_pylist(), batch.column("ref").to_pylist()):
+                width, *arrays = keyed(ref)
+                wide = arrays[0].dtype.itemsize
+                yield pa.RecordBatch.from_pydict({"lang": [lang], "width": pa.array([width], pa.int32()), "wide": pa.array([wide], pa.int32()), **{n: pa.array([a.tobytes()], pa.binary()) for n, a in zip(("keys", "moves", "root"), arrays)}})
+
+    rows = spark.createDataFrame(sorted(refs.items()), "lang string, ref string").repartition(min(len(refs), 200), "lang")
+    got = rows.mapInArrow(make, "lang string, width int, wide int, keys binary, moves binary, root binary").toArrow().to_pylist()  # about half a megabyte a language
+    return spark.sparkContext.broadcast({r["lang"]: (r["width"], *(np.frombuffer(r[n], dtype=f"<i{r['wide']}") for n in ("keys", "moves", "root"))) for r in got})
+
+
 class Model:
     """Automata of all languages, each over the letters of its own reference (class 0: space, 1: any other letter).
 
@@ -126,7 +160,7 @@ class Model:
     of Chinese, are sorted keys ``state * width + class`` with the next states; what isn't there goes on at the root's.
     """
 
-    def __init__(self, refs: dict[str, str]):
+    def __init__(self, refs: dict[str, str], autos: dict[str, tuple] | None = None):
         self.langs = sorted(refs)
         letters: dict[str, int] = {}
         for r in refs.values():
@@ -149,15 +183,11 @@ class Model:
             local = {c: i + 2 for i, c in enumerate(used)} | {" ": 0}
             self.own[k, [code[c] for c in used]] = np.arange(2, len(used) + 2)
             width = len(used) + 2
-            auto = suffix_automaton([local[c] for c in refs[lang]])
             self.bits.append(math.log2(max(2, len(refs[lang]))))
-            if width > DENSE:
-                moves = sorted((i * width + c, s) for i, m in enumerate(auto) for c, s in m.items())
-                start = np.zeros(width, dtype=np.int64)
-                for c, s in auto[0].items():
-                    start[c] = s
-                self.sparse[k] = (width, np.array([m for m, _ in moves]), np.array([s for _, s in moves]), start)
+            if autos is not None or width > DENSE:
+                self.sparse[k] = autos[lang] if autos is not None else keyed(refs[lang])
                 continue
+            auto = suffix_automaton([local[c] for c in refs[lang]])
             root = np.full(width, at, dtype=np.int64)
             for c, s in auto[0].items():
                 root[c] = at + s * width
@@ -208,11 +238,11 @@ class Model:
                 state[:, :m] = v >> 1
             phrases[self.dense] = some
         for k, (width, keys, to, start) in self.sparse.items():
-            own, state = self.own[k][codes], np.zeros(len(of), dtype=np.int64)
+            own, state = self.own[k].astype(keys.dtype)[codes], np.zeros(len(of), dtype=keys.dtype)
             for j in range(steps):
                 m = live[j]
                 c = own[lo[:m] + j]
-                key = state[:m] * width + c
+                key = state[:m] * keys.dtype.type(width) + c
                 spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 found = keys[spot] == key
                 phrases[k, :m] += ~found
@@ -238,11 +268,11 @@ class Model:
 _models: dict[str, Model] = {}
 
 
-def model(refs: dict[str, str]) -> Model:
+def model(refs: dict[str, str], autos: Broadcast | None = None) -> Model:
     key = hashlib.sha256(repr(sorted(refs.items())).encode()).hexdigest()
     if key not in _models:
         _models.clear()
-        _models[key] = Model(refs)
+        _models[key] = Model(refs, autos.value if autos is not None else None)
         common.release()
     return _models[key]
 
@@ -259,9 +289,9 @@ def _chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str |
         yield chunk
 
 
-def _predict(refs: dict[str, str]):
+def _predict(refs: dict[str, str], autos: Broadcast | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(refs)
+        m = model(refs, autos)
         for batch in batches:
             langs, scores, bits = [], [], []
             for chunk in _chunks(batch.column(batch.schema.get_field_index("text")).to_pylist()):
@@ -283,7 +313,7 @@ def with_language(docs: DataFrame, learn: Column | None = None, per_lang: int =
     common.prepare(docs.sparkSession)
     refs = references(sample(docs, F.lit(True) if learn is None else learn, per_lang))
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_predict(refs), f"{fields}, __lang_pred string, __score double, __bits double")
+    return docs.mapInArrow(_predict(refs, built(docs.sparkSession, refs)), f"{fields}, __lang_pred string, __score double, __bits double")
 
 
 def predict(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
@@ -293,5 +323,5 @@ def predict(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     refs = references(sample(rows, fold != held))
     common.prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.select("doc_id", "text").mapInArrow(_predict(refs), f"doc_id {kind}, text string, __lang_pred string, __score double, __bits double")
+    out = rows.select("doc_id", "text").mapInArrow(_predict(refs, built(docs.sparkSession, refs)), f"doc_id {kind}, text string, __lang_pred string, __score double, __bits double")
     return out.select("doc_id", (fold == held).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), F.round("__bits", 4).alias("bits_per_char"))

@@ -1103,3 +1103,33 @@ def test_tied_fingerprints_of_a_large_group_in_bounded_time():
     began = time.time()
     out = list(simhash_trie._similar_links(simhash_trie.WIDE_BUDGET)(iter([batch])))
     assert time.time() - began < 120 and sum(len(b) for b in out) > 0.9 * n
+
+
+# --- 8: many languages --------------------------------------------------------------------------------------------------
+
+
+def tongue(rng, letters, n):
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    return lambda k=n: " ".join(rng.choice(words) for _ in range(k))
+
+
+def test_keyed_automata_give_the_same_rates():
+    rng = random.Random(6)
+    refs = {f"l{k}": tongue(rng, "abcdefghijklmnop"[k : k + 9], 300)() for k in range(5)} | {"zh": "".join(chr(0x4E00 + rng.randrange(300)) for _ in range(900))}
+    texts = [None, "", "!!", *(tongue(rng, "abcdefghijklmnopq", 200)() for _ in range(6)), *refs.values(), "x" * 5000, "一丁七 ab" * 300]
+    plain, many = langid.Model(refs), langid.Model(refs, {lang: langid.keyed(r) for lang, r in refs.items()})
+    assert (plain.rates(texts)[0] == many.rates(texts)[0]).all() and plain.predict(texts)[0] == many.predict(texts)[0]
+    assert not many.dense and len(many.sparse) == 6 and many.sparse[0][1].dtype == np.int32
+
+
+def test_two_hundred_languages_in_bounded_memory(spark):
+    rng = random.Random(7)
+    said = {f"l{k:03d}": tongue(rng, [chr(0x3B1 + (k * 3 + j) % 700) for j in range(24)], 40) for k in range(200)}
+    rows = [(100 * k + j, f(), lang) for k, (lang, f) in enumerate(said.items()) for j in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.with_language(docs.withColumn("lang", F.when(F.col("doc_id") % 100 < 4, F.col("lang")))).where("doc_id % 100 = 4").join(docs.select("doc_id", F.col("lang").alias("spoken")), "doc_id")
+    assert out.where("__lang_pred = spoken").count() >= 190
+    # a reference of full length takes about half a megabyte, whatever its alphabet
+    for letters in ("abcdefghijklmnopqrstuvwxyz", [chr(0x4E00 + j) for j in range(2000)]):
+        ref = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(9000))[: langid.REFERENCE_CHARS]
+        assert sum(a.nbytes for a in langid.keyed(ref)[1:]) < 700_000
