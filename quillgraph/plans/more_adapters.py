@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import refs, strongs, text
 from quillgraph.operators import graph, ordered
 from quillgraph.plans.adapters import Tables, adapter, edges, verse_id
-from quillgraph.sources import markup, textfabric
+from quillgraph.sources import formats, markup, textfabric
 from quillgraph.sources import text as lines
 
 
@@ -121,7 +121,7 @@ def open_cbgm_3_john(spark: SparkSession, path: str, database: str | None = None
     d = r.select(unit.alias("unit"), "v", F.explode("rdg").alias("r")).where(F.trim("r._n") != "")
     readings = d.select(F.concat_ws("-", "unit", F.trim("r._n")).alias("id"), "unit", "v", F.trim(F.coalesce("r._VALUE", F.lit(""))).alias("text"))
     att = d.select("unit", F.concat_ws("-", "unit", F.trim("r._n")).alias("reading"), F.explode(F.filter(F.split(F.trim(F.coalesce("r._wit", F.lit(""))), "\\s+"), lambda w: w != "")).alias("witness"))
-    every = att.select("witness") if database is None else markup.sqlite_table(spark, database, "WITNESSES", ["WITNESS"]).select(F.col("WITNESS").alias("witness"))
+    every = att.select("witness") if database is None else formats.sqlite_table(spark, database, "WITNESSES", ["WITNESS"]).select(F.col("WITNESS").alias("witness"))
     full = graph.completed(readings.select("unit"), every, att, F.lit("lac")).select("unit", "witness", F.when(F.col("reading") == "lac", F.concat(F.col("unit"), F.lit("-lac"))).otherwise(F.col("reading")).alias("reading"))
     hands = every.distinct().withColumn("h", split_hand(F.col("witness")))
     w = hands.select(F.col("witness").alias("id"), F.col("h.base").alias("base_siglum"), F.concat("h.base", F.coalesce("h.hand", F.lit(""))).alias("witness_siglum"), century_of(F.col("h.base")).alias("date_century"))

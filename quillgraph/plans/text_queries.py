@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillgraph.functions import licence, refs, strongs, text
 from quillgraph.operators import audits, ordered
 from quillgraph.plans.registry import query, table
-from quillgraph.sources import markup, textfabric
+from quillgraph.sources import formats, markup, textfabric
 
 
 def values(spark, rows: list[tuple], schema: str):
@@ -199,6 +201,33 @@ def tf_slots(spark, sf_dir):
     return v.select("p_partkey", "spec", F.array_join(F.transform(textfabric.slots(F.col("spec")), lambda x: x.cast("string")), ",").alias("slots"))
 
 
+@query("udtf_osis_words", "WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) AS pos, l_partkey, l_returnflag, l_linestatus FROM lineitem) SELECT l_orderkey, pos::INT AS pos, 'Ord.' || l_orderkey AS verse, l_partkey::VARCHAR AS lemma, CASE WHEN l_returnflag = 'R' THEN 'ketiv' ELSE 'word' END AS kind, l_returnflag || l_linestatus AS surface FROM l UNION ALL SELECT l_orderkey, pos::INT, 'Ord.' || l_orderkey, 'q', 'qere', l_linestatus FROM l WHERE l_returnflag = 'R'")
+def udtf_osis_words(spark, sf_dir):
+    """Orders as verses of marked-up words, parsed by a table function in SQL; returned lines are written one way and read another."""
+    formats.register(spark)
+    word = F.concat(F.lit("<w lemma='"), "l_partkey", F.when(F.col("l_returnflag") == "R", "' type='x-ketiv'>").otherwise("'>"), "l_returnflag", "l_linestatus", F.lit("</w>"), F.when(F.col("l_returnflag") == "R", F.concat(F.lit("<note><w lemma='q'>"), "l_linestatus", F.lit("</w></note>"))).otherwise(""))
+    said = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", word.alias("w")))).alias("l"))
+    xml = F.concat(F.lit("<osis><verse osisID='Ord."), "l_orderkey", F.lit("'>"), F.array_join(F.transform("l", lambda x: x["w"]), ""), F.lit("</verse></osis>"))
+    view = f"books_{uuid.uuid4().hex}"
+    said.select("l_orderkey", xml.alias("xml")).createOrReplaceTempView(view)
+    out = spark.sql(f"SELECT b.l_orderkey, w.pos, w.verse, w.lemma, w.kind, w.surface FROM {view} b, LATERAL osis_words(b.xml) w")
+    spark.catalog.dropTempView(view)
+    return out
+
+
+@query("udtf_tf_nodes", """WITH f AS (SELECT p_type, p_partkey AS k, p_name, p_brand, CASE WHEN p_partkey % 9 IN (0, 4) THEN p_partkey * 10 END AS lo, CASE p_partkey % 9 WHEN 0 THEN p_partkey * 10 WHEN 4 THEN p_partkey * 10 + p_size % 3 END AS hi, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS pos FROM part),
+a AS (SELECT *, last_value(hi - pos IGNORE NULLS) OVER (PARTITION BY p_type ORDER BY pos) AS ahead FROM f)
+SELECT p_type AS file, unnest(range(lo, hi + 1)) AS node, p_name AS value FROM a WHERE lo IS NOT NULL UNION ALL SELECT p_type, pos + coalesce(ahead, 0), p_brand FROM a WHERE lo IS NULL AND k % 9 <> 6""")
+def udtf_tf_nodes(spark, sf_dir):
+    """A feature file for each type of part, parsed by a table function over its lines in order."""
+    formats.register(spark)
+    view = f"lines_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "part").select(F.col("p_type").alias("file"), F.col("p_partkey").alias("line_no"), F.expr(FEATURE).alias("line")).createOrReplaceTempView(view)
+    out = spark.sql(f"SELECT file, node, value FROM tf_nodes(TABLE({view}) PARTITION BY file ORDER BY line_no)")
+    spark.catalog.dropTempView(view)
+    return out
+
+
 @query("page_links", """SELECT page_id, array_to_string(list_filter(l, lambda h, i: list_position(l, h) = i), ' ') AS links FROM (SELECT page_id, list_filter(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1), lambda h: h <> '' AND NOT starts_with(h, '#') AND NOT starts_with(lower(h), 'javascript:')) AS l FROM pages)""")
 def page_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(markup.links(F.col("html")), " ").alias("links"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-import sqlite3
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -40,15 +39,6 @@ def ragged(doc_id: Column, nested: Column) -> Column:
     return F.filter(rows, lambda r: r["text"].isNotNull())
 
 
-def sqlite_table(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
-    """Distinct rows of a table in a small SQLite file on the driver."""
-    if not all(re.fullmatch(r"\w+", x) for x in [table, *columns]):
-        raise ValueError("names of letters, digits and underscores only")
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        rows = db.execute(f"SELECT DISTINCT {', '.join(columns)} FROM {table}").fetchall()
-    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
-
-
 _SKIP = {"script", "style", "noscript", "template"}
 _BREAK = {"p", "div", "br", "li", "ul", "ol", "tr", "td", "th", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "main", "nav", "blockquote", "title", "body", "head", "html", "dd", "dt"}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -234,30 +224,27 @@ def plain_entities(c: Column) -> Column:
     return F.regexp_replace(c, "&(#\\d+|[a-zA-Z]+);", " ")
 
 
-@lazy_udf("array<struct<verse string, pos int, id string, lemma string, morph string, surface string, kind string>>")
-def osis_words(s: pd.Series) -> pd.Series:
-    """Words of an OSIS book: a written form and the read form in the note right after it are both rows (kind)."""
+def osis_rows(x: str):
+    """Words of an OSIS book, one after another: a written form and the read form in the note right after it are both rows (kind)."""
     import xml.etree.ElementTree as ET
 
-    def one(x):
-        if x is None:
-            return None
-        out = []
-        for verse in (e for e in ET.fromstring(x).iter() if e.tag.rpartition("}")[2] == "verse"):
-            pos, before = 0, None
-            for e in verse:
-                tag = e.tag.rpartition("}")[2]
-                if tag == "w":
-                    pos += 1
-                    before = e.get("type")
-                    out.append({"verse": verse.get("osisID"), "pos": pos, "id": e.get("id"), "lemma": e.get("lemma"), "morph": e.get("morph"), "surface": "".join(e.itertext()), "kind": "ketiv" if before == "x-ketiv" else "word"})
-                elif tag == "note" and before == "x-ketiv":
-                    for r in (w for w in e.iter() if w.tag.rpartition("}")[2] == "w"):
-                        out.append({"verse": verse.get("osisID"), "pos": pos, "id": r.get("id"), "lemma": r.get("lemma"), "morph": r.get("morph"), "surface": "".join(r.itertext()), "kind": "qere"})
-                    before = None
-        return out
+    for verse in (e for e in ET.fromstring(x).iter() if e.tag.rpartition("}")[2] == "verse"):
+        pos, before = 0, None
+        for e in verse:
+            tag = e.tag.rpartition("}")[2]
+            if tag == "w":
+                pos += 1
+                before = e.get("type")
+                yield {"verse": verse.get("osisID"), "pos": pos, "id": e.get("id"), "lemma": e.get("lemma"), "morph": e.get("morph"), "surface": "".join(e.itertext()), "kind": "ketiv" if before == "x-ketiv" else "word"}
+            elif tag == "note" and before == "x-ketiv":
+                for r in (w for w in e.iter() if w.tag.rpartition("}")[2] == "w"):
+                    yield {"verse": verse.get("osisID"), "pos": pos, "id": r.get("id"), "lemma": r.get("lemma"), "morph": r.get("morph"), "surface": "".join(r.itertext()), "kind": "qere"}
+                before = None
 
-    return s.map(one)
+
+@lazy_udf("array<struct<verse string, pos int, id string, lemma string, morph string, surface string, kind string>>")
+def osis_words(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else list(osis_rows(x)))
 
 
 @lazy_udf("array<struct<path string, text string>>")
