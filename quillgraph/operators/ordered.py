@@ -78,13 +78,9 @@ def clusters(df: DataFrame, by: list[str], order: list[str], size: int, name: st
 
 
 def expected_next(numbers: Column, start: int = 1) -> Column:
-    """Of an array of marker numbers, those accepted: each must be the one after the last accepted."""
-    empty = F.struct(F.lit(start).cast("long").alias("next"), F.array().cast("array<bigint>").alias("kept"))
-    out = F.aggregate(
-        numbers, empty,
-        lambda a, x: F.when(x.cast("long") == a["next"], F.struct((a["next"] + 1).alias("next"), F.concat(a["kept"], F.array(x.cast("long"))).alias("kept"))).otherwise(F.struct(a["next"].alias("next"), a["kept"].alias("kept"))),
-    )
-    return out["kept"]
+    """Of an array of marker numbers, those accepted: each must be the one after the last accepted. Only how far they go is folded."""
+    last = F.aggregate(numbers, F.lit(start).cast("long"), lambda due, x: F.when(x.cast("long") == due, due + 1).otherwise(due))
+    return F.when(last > start, F.sequence(F.lit(start).cast("long"), last - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
 def packed(counts: Column, target: int = 533, least: int = 106) -> Column:

@@ -399,6 +399,15 @@ def adapter_philo(spark, sf_dir):
     return flat(more_adapters.philo(spark, path, "philo.de-x"), HistoricalChunk=("anchor_id", "text"))
 
 
+@query("adapter_philo_two_numbers", f"WITH {P} SELECT 'HistoricalChunk' AS kind, 'philo.de-y' || CASE WHEN k % 2 = 0 THEN '-i' ELSE '-7' END || '.' || (k // 2 + 1) AS key, name || ', ' || type || CASE WHEN k % 5 = 0 THEN ' (9.9) more' ELSE '' END AS value FROM p")
+def adapter_philo_two_numbers(spark, sf_dir):
+    """A treatise cited by book and paragraph: two books in turn, and references in between that are no marks."""
+    K, NAME, TYPE = columns("k", "name", "type")
+    said = F.concat(F.lit("("), F.when(K % 2 == 0, "1").otherwise("7"), F.lit("."), F.floor(K / 2) + 1, F.lit(") "), NAME, F.lit("--"), TYPE, F.when(K % 5 == 0, " (9.9) more").otherwise(""))
+    path = put(spark, parts(spark, sf_dir).select(K.alias("at"), said.alias("line")), "philo2", ["<html><body><p>title"], ["<p>Go to the Tables of Contents </body></html>"], whole=True)
+    return flat(more_adapters.philo(spark, path, "philo.de-y", {1: "-i"}), HistoricalChunk=("anchor_id", "text"))
+
+
 @query("adapter_pliny_melmoth", f"WITH {P} SELECT 'HistoricalChunk' AS kind, 'pliny.epistulae.10.' || k || '.en' AS key, name || ' ' || type AS value FROM p WHERE k % 3 > 0")
 def adapter_pliny_melmoth(spark, sf_dir):
     K, NAME, TYPE = columns("k", "name", "type")

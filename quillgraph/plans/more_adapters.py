@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.functions import refs, strongs, text
+from quillgraph.functions.udf import lazy_udf
 from quillgraph.operators import graph, ordered
 from quillgraph.plans.adapters import Tables, adapter, edges, verse_id
 from quillgraph.sources import formats, markup, textfabric
@@ -134,20 +136,36 @@ def chunks(df: DataFrame, work: str, licence: str) -> DataFrame:
     return df.where(F.trim("text") != "").select(F.col("anchor_id").alias("chunk_id"), "anchor_id", F.lit(work).alias("work_id"), "text", F.lit(licence).alias("license"), F.lit(True).alias("redistribute"))
 
 
-def numbered_paragraphs(pages: DataFrame, slug: str, form: str = "\\(\\s*(\\d+)\\)") -> DataFrame:
-    """Paragraphs between markers ``(n)``, of which only the next expected number counts: (anchor_id, text).
+@lazy_udf("array<struct<prefix int, n int, text string>>")
+def marked_paragraphs(s: pd.Series) -> pd.Series:
+    """Paragraphs after marks ``(n)`` or ``(prefix.n)``, whichever a text has more of: a mark counts only if its number is the next one of
+    its prefix, and a paragraph goes on to the next mark that counts. One pass over the marks."""
 
-    ``pages``: one row with the treatise's text. The marks are folded in one pass over each page's array.
-    """
-    p = pages.select(F.split("text", form).alias("p"), F.transform(F.regexp_extract_all("text", F.lit(form), 1), lambda n: n.try_cast("long")).alias("m"))
-    # each mark with its piece; pieces after a mark that isn't next belong to the paragraph before
-    fold = F.aggregate(
-        F.arrays_zip(F.col("m"), F.slice(F.col("p"), F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))).alias("t")), F.array().cast("array<struct<n:bigint,t:string>>"),
-        lambda a, x: F.when(
-            x["m"] == F.size(a) + 1, F.concat(a, F.array(F.struct(x["m"].alias("n"), x["t"].alias("t"))))
-        ).when(F.size(a) > 0, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["n"].alias("n"), F.concat(F.element_at(a, -1)["t"], F.lit("("), x["m"].cast("string"), F.lit(")"), x["t"]).alias("t"))))).otherwise(a),
-    )
-    return p.select(F.explode(fold).alias("x")).select(F.concat(F.lit(f"{slug}."), F.col("x.n").cast("string")).alias("anchor_id"), text.collapse_space(F.col("x.t")).alias("text"))
+    def one(x):
+        if x is None:
+            return []
+        dotted, flat = (list(re.finditer(form, x)) for form in (r"\(\s*(\d+)\s*\.\s*(\d+)\s*\)", r"\(\s*()(\d+)\s*\)"))
+        due: dict[int | None, int] = {}
+        taken = []
+        for m in dotted if len(dotted) > len(flat) else flat:
+            prefix = int(m[1]) if m[1] else None
+            if int(m[2]) == due.get(prefix, 1):
+                taken.append((prefix, int(m[2]), m.start(), m.end()))
+                due[prefix] = int(m[2]) + 1
+        ends = [t[2] for t in taken[1:]] + [len(x)]
+        return [{"prefix": p, "n": n, "text": " ".join(x[begin:end].split())} for (p, n, _, begin), end in zip(taken, ends)]
+
+    return s.map(one)
+
+
+def numbered_paragraphs(pages: DataFrame, slug: str, suffixes: dict[int, str] | None = None) -> DataFrame:
+    """(anchor_id, text) of pages (text) cited by paragraph, or by two numbers: the first is then a suffix of the slug, ``-n`` or as in
+    ``suffixes``, so that an anchor ends with the paragraph's number."""
+    p = pages.select(F.explode(marked_paragraphs("text")).alias("x"))
+    suffix = F.when(F.col("x.prefix").isNull(), "").otherwise(F.concat(F.lit("-"), F.col("x.prefix").cast("string")))
+    for n, shown in (suffixes or {}).items():
+        suffix = F.when(F.col("x.prefix") == n, F.lit(shown)).otherwise(suffix)
+    return p.select(F.concat(F.lit(slug), suffix, F.lit("."), F.col("x.n").cast("string")).alias("anchor_id"), F.col("x.text").alias("text"))
 
 
 #: Notes in braces, and references in round ones, go before tags do.
@@ -158,12 +176,12 @@ REPAIRS = [("\u00f9", ", "), ("\u00f7", ""), ("--", ", "), ("(?U)\\s+", " "), ("
 
 
 @adapter
-def philo(spark: SparkSession, path: str, slug: str = "philo") -> Tables:
-    """A Latin-1 page of one treatise, up to its closing links; its paragraphs are told by their numbers alone."""
+def philo(spark: SparkSession, path: str, slug: str = "philo", suffixes: dict[int, str] | None = None) -> Tables:
+    """A Latin-1 page of one treatise, up to its closing links; its paragraphs are told by their numbers, one or two, alone."""
     raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "ISO-8859-1").alias("x"))
     body = F.regexp_replace("x", "(?s)(Go to the|Tables of Contents).*$", "")
     page = raw.select(text.replace_all(markup.html_text(text.replace_all(body, APPARATUS)), REPAIRS).alias("text"))
-    return {"HistoricalChunk": chunks(numbered_paragraphs(page, slug), slug, "pd")}
+    return {"HistoricalChunk": chunks(numbered_paragraphs(page, slug, suffixes), slug, "pd")}
 
 
 @adapter
