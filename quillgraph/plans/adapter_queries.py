@@ -536,6 +536,22 @@ for _work in EXPECTED:
     query(f"work_{_work}", work_sql(_work))(work_query(_work))
 
 
+@query("prayer_book", """WITH s AS (SELECT p_brand || '-' || p_size AS slug, p_size, string_agg('On ' || p_name || ' of ' || p_type, chr(10) || chr(10) ORDER BY p_partkey) AS said FROM part GROUP BY ALL)
+SELECT 'BCP.' || slug AS anchor_id, CASE WHEN p_size % 2 = 0 THEN 'Heading ' || p_size ELSE 'named ' || p_size END AS title, CASE WHEN p_size % 2 = 0 THEN 'Heading ' || p_size || chr(10) || chr(10) ELSE '' END || said AS text FROM s
+UNION ALL SELECT 'BCP.Catechism.Q' || printf('%02d', row_number() OVER (ORDER BY s_suppkey)), 'Who is ' || s_suppkey || '?', 'Q. Who is ' || s_suppkey || '? A. One of ' || s_nationkey || ', as it is said.' FROM supplier""")
+def prayer_book(spark, sf_dir):
+    """A section for each brand and size of parts, with or without a heading, and a catechism of the suppliers."""
+    p = table(spark, sf_dir, "part").groupBy(F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("slug"), "p_size").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name", "p_type"))).alias("l"))
+    said = F.array_join(F.transform("l", lambda x: F.concat(F.lit("<P class=x>On <i>"), x["p_name"], F.lit("</i>&#160;of <IMG src=a.png>"), x["p_type"], F.lit("<p>short"))), "")
+    size = F.col("p_size").cast("string")
+    html = F.concat(F.lit("<html><body>"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<h2>Heading "), size, F.lit("</h2>"))).otherwise(""), said, F.lit("</body></html>"))
+    pages = p.select("slug", F.concat(F.lit("named "), size).alias("title"), F.concat(F.lit("http://h/"), "slug").alias("url"), html.alias("html"))
+    s = table(spark, sf_dir, "supplier").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_nationkey"))).alias("l"))
+    asked = F.array_join(F.transform("l", lambda x: F.concat(F.lit("<p><em>Question.</em> Who is "), x["s_suppkey"].cast("string"), F.lit("? <em>Answer.</em> One of "), x["s_nationkey"].cast("string"), F.lit(", as it is said."))), "")
+    c = s.select(F.lit("catechism").alias("slug"), F.lit("Catechism").alias("title"), F.lit("http://h/c").alias("url"), F.concat(F.lit("<html><body>"), asked, F.lit("</body></html>")).alias("html"))
+    return adapters.prayer_book(pages.unionByName(c)).select("anchor_id", "title", "text")
+
+
 def pages_of(spark, sf_dir) -> DataFrame:
     """A page for each region: long paragraphs of its nations, short ones and links between them."""
     n = table(spark, sf_dir, "nation")

@@ -296,6 +296,19 @@ def work_chunks(pages: DataFrame, work: str) -> DataFrame:
     )
 
 
+def prayer_book(pages: DataFrame) -> DataFrame:
+    """The whole prayer book from its pages (slug, title, url, html): the catechism by questions, every other section as one chunk with
+    its page's heading, or ``title`` where that has none. Pages without text give nothing."""
+    asked = work_chunks(pages.where("slug = 'catechism'").select("url", "html"), "bcp_1662")
+    s = pages.where("slug <> 'catechism'").select("slug", F.col("title").alias("named"), works.prose_section("html").alias("s")).where("s.text <> ''")
+    anchor, title, free = F.concat(F.lit("BCP."), "slug"), F.coalesce(F.nullif(F.trim("s.title"), F.lit("")), "named"), WORKS["bcp_1662"][2]
+    prose = s.select(
+        F.concat(F.lit("bcp_1662."), anchor).alias("chunk_id"), F.lit(WORKS["bcp_1662"][1]).alias("tradition"), F.lit("bcp_1662").alias("work_id"), anchor.alias("anchor_id"), title.alias("title"), F.col("s.text").alias("text"),
+        F.concat_ws(". ", title, "s.text").alias("text_to_embed"), F.lit(free).alias("license"), F.lit(free == "public_domain").alias("redistribute"),
+    )
+    return asked.unionByName(prose)
+
+
 def in_band(n: int, work: str) -> bool:
     return WORKS[work][3] <= n <= WORKS[work][4]
 

@@ -203,6 +203,18 @@ def catechism(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+@lazy_udf("struct<title string, text string>")
+def prose_section(s: pd.Series) -> pd.DataFrame:
+    """A prose page as one text: its first second-level heading, and the pieces that paragraph tags open, of eight characters or more."""
+    rows = []
+    for x in s:
+        x = re.sub(r"(?i)<img[^>]*>|&#160;", " ", x or "")
+        heading = next((b.text for b in blocks(x) if b.tag == "h2"), "")
+        pieces = (" ".join(" ".join(b.text for b in blocks(p)).split()) for p in re.split(r"(?i)<p(?=[\s>])[^>]*>", x))
+        rows.append((heading, "\n\n".join(p for p in pieces if len(p) >= 8)))
+    return pd.DataFrame(rows, columns=["title", "text"])
+
+
 #: What paragraphs of page furniture start with or hold. Fixed values.
 NAVIGATION = ("next", "previous", "back to", "table of contents")
 
