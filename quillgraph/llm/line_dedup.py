@@ -1,14 +1,19 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line goes if an earlier one (by doc_id, then place in the document) is equal, or is within one word edit of it
-(insert, delete or replace; both of at least ``MIN_WORDS`` words, so that at most a fifth differs). The edit unit is
-the word: a line has as many deletion variants as words, not as characters.
+A line goes if an earlier one (by doc_id, then place in the document) is equal, or is within ``edits`` word edits of it
+(insert, delete or replace; one by default; both of at least ``MIN_WORDS`` words for each, so that at most a fifth differs). The
+edit unit is the word: a line has as many deletion variants as words, not as characters.
 
 Two lines within one edit share a variant: equal residuals after deleting the word at the same place, or one line's
 residual is the other line. All variants of a line are emitted as hashed keys and joined; a group's members are tied to
 its earliest one only, which decides as much as all pairs would: whoever has an earlier neighbour in the group has the
 earliest as one. Tied pairs are then verified on their texts.
 
+For more than one edit, k, a variant is what is left after up to k deletions together with k places in it, among them those of the
+deleted words. Two lines within k edits share such a variant: what both keep, and at each place as many as the line that has more words
+there. Lines that share one are within k edits, so here too the earliest of a group decides. A line of n words has about
+(2n)^k / k! variants.
+
 Only lines that can have a neighbour emit variants. With one edit between two lines, the half of the shorter line that
 the edit isn't in is whole in both, so each line gives hashed keys of its halves, and lines whose keys no different
 line shares are left out. That set travels as a bit table of fixed size: lines that pass it by chance only cost time.
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +80,52 @@ def half_keys(words: list[str], min_words: int = MIN_WORDS) -> list[int]:
     return out
 
 
+def part_keys(words: list[str], edits: int, min_words: int) -> list[int]:
+    """Keys of which two lines within ``edits`` word edits share at least one.
+
+    The shorter line of a pair is cut in ``edits`` + 1 parts, of which one is whole in both, moved by at most ``edits`` places.
+    """
+    out, n = set(), len(words)
+    for base in range(max(min_words, n - edits), n + 1):
+        cuts = [base * i // (edits + 1) for i in range(edits + 2)]
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            for move in range(-edits, edits + 1):
+                if 0 <= a + move and b + move <= n:
+                    out.add(_key(f"{i} of {edits} ", base, words[a + move : b + move]))
+    return sorted(out)
+
+
+def multi_variants(words: list[str], edits: int) -> set[tuple[int, int]]:
+    """128-bit keys, in two halves, of what up to ``edits`` deletions leave, with ``edits`` places in it."""
+    n, out = len(words), set()
+    first, second = (h.view(np.uint64).tolist() for h in _halves([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in words]))
+    for gone in range(min(edits, n) + 1):
+        for places in combinations(range(n), gone):
+            kept = [k for k in range(n) if k not in places]
+            left = xxhash.xxh3_128(b"".join(struct.pack(">QQ", first[k], second[k]) for k in kept))
+            at = [p - j for j, p in enumerate(places)]  # places among the words that are left
+            for more in combinations_with_replacement(range(len(kept) + 1), edits - gone):
+                h = left.copy()
+                h.update(f"@{sorted([*at, *more])}".encode())
+                out.add(struct.unpack(">qq", h.digest()))
+    return out
+
+
+def within(a: list[str], b: list[str], edits: int) -> bool:
+    """Is the word edit distance at most ``edits``? By a band of the distance table."""
+    if abs(len(a) - len(b)) > edits:
+        return False
+    far = edits + 1
+    row = {j: j for j in range(min(edits, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - edits), min(len(b), i + edits) + 1):
+            best = min(row.get(j, far), new.get(j - 1, far)) + 1
+            new[j] = min(best, row.get(j - 1, far) + (x != b[j - 1])) if j else i
+        row = new
+    return row.get(len(b), far) <= edits
+
+
 def _key(side: str, base: int, words: list[str]) -> int:
     v = xxhash.xxh64_intdigest(f"{side}{base} {' '.join(words)}".encode("utf-8", "surrogatepass"))
     return v - (1 << 64) if v >> 63 else v
@@ -110,7 +162,7 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def _scan(min_words: int):
+def _scan(min_words: int, edits: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, place, hs, keys = [], [], [], []
@@ -120,7 +172,7 @@ def _scan(min_words: int):
                         doc.append(k)
                         place.append(at)
                         hs.append(digest(line))
-                        keys.append(half_keys(words, min_words))
+                        keys.append(half_keys(words, min_words) if edits == 1 else part_keys(words, edits, min_words))
             x, y = _halves(hs)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(place, pa.int32()), pa.array(x), pa.array(y), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "line_no", "x", "y", "keys"]
@@ -178,23 +230,58 @@ def _variant_batch(batch: pa.RecordBatch, parts: list, rows: list) -> pa.RecordB
     return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(p)) for p in zip(*parts)), *own], names=["v", "w", "at", "x", "y", "doc_id", "line_no"])
 
 
+def _multi_variant_rows(edits: int):
+    """All variants of each line for more than one edit, in batches of bounded size but for one line's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, line in enumerate(batch.column("line").to_pylist()):
+                keys = np.array(sorted(multi_variants(line.split(), edits)), dtype=np.int64)
+                own = [batch.column(c).take(pa.array(np.full(len(keys), k))) for c in ("x", "y", "doc_id", "line_no")]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), *own], names=["v", "w", "x", "y", "doc_id", "line_no"])
+
+    return common.trimmed(run)
+
+
+def _verified(edits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("line").to_pylist(), batch.column("line2").to_pylist()
+            yield batch.select(["x", "y", "first", "x2", "y2", "first2"]).filter(pa.array([within(x.split(), y.split(), edits) for x, y in zip(a, b)], pa.bool_()))
+
+    return run
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("line").to_pylist(), batch.column("line2").to_pylist()
         yield batch.select(["x", "y", "first", "x2", "y2", "first2"]).filter(pa.array([within_one(x.split(), y.split()) for x, y in zip(a, b)], pa.bool_()))
 
 
-def scan_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def scan_lines(docs: DataFrame, min_words: int = MIN_WORDS, edits: int = 1) -> DataFrame:
     """Every line with a word: doc_id, line_no, the two halves x and y of its digest, and the keys of its halves; written
     once, read often."""
     common.prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scan(min_words), f"doc_id {kind}, line_no int, x long, y long, keys array<long>")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scan(min_words, edits), f"doc_id {kind}, line_no int, x long, y long, keys array<long>")
     return common.stored(found, common.run_dir(docs.sparkSession, "lines"))
 
 
-def near_ties(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS, table_words: int = TABLE_WORDS) -> DataFrame:
-    """Verified ties between different lines within one word edit: x, y, first and x2, y2, first2 (a line's digest and
+def _one_edit_ties(distinct: DataFrame, kind: str) -> DataFrame:
+    """(x, y, x2, y2): lines that share a variant of one edit with the group's earliest."""
+    # made anew for each use: cheaper than a table of them, as only lines with a neighbour are here
+    rows = distinct.mapInArrow(_variant_rows, f"v long, w long, at int, x long, y long, doc_id {kind}, line_no int")
+    group = rows.groupBy("v", "w", "at").agg(F.min(F.struct("doc_id", "line_no", "x", "y")).alias("m"), F.count(F.lit(1)).alias("n"))
+    other = [F.col("m.x").alias("x2"), F.col("m.y").alias("y2")]
+    one = group.where("at = -1").select("v", "w", *other)
+    many = group.where("at >= 0 AND n > 1").select("v", "w", "at", *other)
+    gaps, both = rows.where("at >= 0").select("v", "w", "at", "x", "y"), ["x", "y", "x2", "y2"]
+    ties = gaps.join(many, ["v", "w", "at"]).select(*both).unionByName(gaps.join(one, ["v", "w"]).select(*both))
+    return ties
+
+
+def near_ties(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS, table_words: int = TABLE_WORDS, edits: int = 1) -> DataFrame:
+    """Verified ties between different lines within ``edits`` word edits: x, y, first and x2, y2, first2 (a line's digest and
     the earliest place that it has)."""
     spark = docs.sparkSession
     base = common.run_dir(spark, "line-variants")
@@ -215,32 +302,33 @@ def near_ties(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS, tab
     if not roomy:
         distinct = distinct.join(maybe, ["x", "y"], "left_semi")
     distinct = common.stored(distinct.select("x", "y", "f.doc_id", "f.line_no", "line"), f"{base}/distinct")
-    # made anew for each use: cheaper than a table of them, as only lines with a neighbour are here
-    rows = distinct.mapInArrow(_variant_rows, f"v long, w long, at int, x long, y long, doc_id {kind}, line_no int")
-    group = rows.groupBy("v", "w", "at").agg(F.min(F.struct("doc_id", "line_no", "x", "y")).alias("m"), F.count(F.lit(1)).alias("n"))
-    other = [F.col("m.x").alias("x2"), F.col("m.y").alias("y2")]
-    one = group.where("at = -1").select("v", "w", *other)
-    many = group.where("at >= 0 AND n > 1").select("v", "w", "at", *other)
-    gaps, both = rows.where("at >= 0").select("v", "w", "at", "x", "y"), ["x", "y", "x2", "y2"]
-    ties = gaps.join(many, ["v", "w", "at"]).select(*both).unionByName(gaps.join(one, ["v", "w"]).select(*both))
+    if edits > 1:
+        rows = distinct.mapInArrow(_multi_variant_rows(edits), f"v long, w long, x long, y long, doc_id {kind}, line_no int")
+        group = rows.groupBy("v", "w").agg(F.min(F.struct("doc_id", "line_no", "x", "y")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        ties = rows.select("v", "w", "x", "y").join(group.select("v", "w", F.col("m.x").alias("x2"), F.col("m.y").alias("y2")), ["v", "w"]).select("x", "y", "x2", "y2")
+    else:
+        ties = _one_edit_ties(distinct, kind)
     ties = ties.where("x <> x2 OR y <> y2").distinct()
     text = distinct.select("x", "y", F.struct("doc_id", "line_no").alias("first"), "line")
     other = text.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("first").alias("first2"), F.col("line").alias("line2"))
     both = ties.join(text, ["x", "y"]).join(other, ["x2", "y2"]).select("x", "y", "first", "line", "x2", "y2", "first2", "line2")
     place = f"struct<doc_id: {kind}, line_no: int>"
-    return both.mapInArrow(_verify, f"x long, y long, first {place}, x2 long, y2 long, first2 {place}")
+    return both.mapInArrow(_verify if edits == 1 else _verified(edits), f"x long, y long, first {place}, x2 long, y2 long, first2 {place}")
 
 
-def line_duplicates(docs: DataFrame, min_words: int = MIN_WORDS, table_words: int = TABLE_WORDS) -> DataFrame:
+def line_duplicates(docs: DataFrame, min_words: int | None = None, table_words: int = TABLE_WORDS, edits: int = 1) -> DataFrame:
     """For every line with a word: doc_id, line_no, ``kind`` (kept, exact, near), and the earlier line it repeats.
 
     Of a near line's earlier neighbours the earliest verified one is named. ``__row`` is the hash of the row's text, ``__x`` and
     ``__y`` are the line's digest.
     """
+    if edits < 1:
+        raise ValueError("one edit or more")
+    min_words = MIN_WORDS * edits if min_words is None else max(min_words, edits + 1)
     # a row is its id and its text's hash: an id may be missing, or shared
     docs = docs.select(F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("row")).alias("doc_id"), "text")
-    lines = scan_lines(docs, min_words)
-    ties = near_ties(docs, lines, min_words, table_words)
+    lines = scan_lines(docs, min_words, edits)
+    ties = near_ties(docs, lines, min_words, table_words, edits)
     later = F.col("first") > F.col("first2")
     pick = lambda a, b: F.when(later, F.col(a)).otherwise(F.col(b)).alias(a)
     ends = ties.select(pick("x", "x2"), pick("y", "y2"), F.least("first", "first2").alias("of"))
@@ -273,9 +361,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type)).select([i for i, n in enumerate(batch.schema.names) if n != "__lines_gone"])
 
 
-def without_duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def without_duplicates(docs: DataFrame, min_words: int | None = None, edits: int = 1) -> DataFrame:
     """``docs`` without the lines that repeat earlier ones; ``n_chars``, if there, is counted again."""
-    gone = line_duplicates(docs, min_words).where("kind <> 'kept'")
+    gone = line_duplicates(docs, min_words, edits=edits).where("kind <> 'kept'")
     # a list for each text: the dropped lines of one document
     gone = gone.groupBy("doc_id", "__row").agg(F.collect_set(F.struct("line_no", F.col("__x").alias("x"), F.col("__y").alias("y"))).alias("__gone"))
     gone = gone.toDF("__doc_of_gone", "__row_of_gone", "__lines_gone")

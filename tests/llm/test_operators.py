@@ -1137,3 +1137,60 @@ def test_two_hundred_languages_in_bounded_memory(spark):
     for letters in ("abcdefghijklmnopqrstuvwxyz", [chr(0x4E00 + j) for j in range(2000)]):
         ref = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(9000))[: langid.REFERENCE_CHARS]
         assert sum(a.nbytes for a in langid.keyed(ref)[1:]) < 700_000
+
+
+# --- 7: more edits ------------------------------------------------------------------------------------------------------
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_variants_of_several_edits_are_exact():
+    rng = random.Random(3)
+    for _ in range(400):
+        a = [rng.choice("abcd") for _ in range(rng.randint(3, 7))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            kind = rng.random()
+            if kind < 0.35 and len(b) > 1:
+                del b[rng.randrange(len(b))]
+            elif kind < 0.7:
+                b.insert(rng.randrange(len(b) + 1), rng.choice("abcd"))
+            else:
+                b[rng.randrange(len(b))] = rng.choice("abcd")
+        for k in (1, 2, 3):
+            near = plain_distance(a, b) <= k
+            assert line_dedup.within(a, b, k) == near
+            assert bool(line_dedup.multi_variants(a, k) & line_dedup.multi_variants(b, k)) == near
+            if near and min(len(a), len(b)) >= k + 1:
+                assert set(line_dedup.part_keys(a, k, k + 1)) & set(line_dedup.part_keys(b, k, k + 1))
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_line_dedup_within_k_edits(spark, k):
+    rng = random.Random(k)
+    lines = [[f"w{rng.randrange(9)}" for _ in range(rng.randint(8, 13))] for _ in range(25)]
+    said = []
+    for _ in range(160):
+        w = list(rng.choice(lines))
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(9)}"
+        said.append(" ".join(w))
+    rows = [(d, "\n".join(said[8 * d : 8 * d + 8])) for d in range(20)]
+    got = {(r["doc_id"], r["line_no"]): (r["kind"], r["of_doc_id"], r["of_line_no"]) for r in line_dedup.line_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), min_words=6, edits=k).collect()}
+    first = {}
+    for p in range(160):
+        first.setdefault(said[p], (p // 8, p % 8))
+    want = {}
+    for p, line in enumerate(said):
+        at = (p // 8, p % 8)
+        near = min((f for other, f in first.items() if f < first[line] and plain_distance(line.split(), other.split()) <= k), default=None)
+        want[at] = ("exact", *first[line]) if at != first[line] else ("near", *near) if near else ("kept", None, None)
+    assert got == want and sum(v[0] == "near" for v in want.values()) > 10
