@@ -33,8 +33,14 @@ ATTESTATION = (
     "provenance:struct<original_language:string,witness_chain:array<string>,extant_witnesses:array<string>,loss_status:string>,text:string,text_to_embed:string,license:string,redistribute:boolean,license_note:string>>, "
     "summary string, license_audit struct<sources_used:array<struct<source_slug:string,license:string,redistribute:boolean>>,evidence_safe_to_publish:boolean,non_redistributable_reason:string>, flags array<string>"
 )
-EVIDENCE_KEYS = "$schema_version id question_id generated_at pipeline_version model verdict lexical_evidence variants hermeneutics stem_audit lay_summary citations license_audit flags".split()
-ATTESTATION_KEYS = "$schema_version id question_id generated_at pipeline_version model attestation_present witnesses summary license_audit flags".split()
+EVIDENCE_KEYS = [
+    "$schema_version", "id", "question_id", "generated_at", "pipeline_version", "model", "verdict", "lexical_evidence", "variants", "hermeneutics",
+    "stem_audit", "lay_summary", "citations", "license_audit", "flags",
+]
+ATTESTATION_KEYS = [
+    "$schema_version", "id", "question_id", "generated_at", "pipeline_version", "model", "attestation_present", "witnesses", "summary", "license_audit",
+    "flags",
+]
 
 #: What fields of evidence documents may hold.
 STRONG = "^[HG]\\d{4}[A-Z]?$"
@@ -52,10 +58,12 @@ METHODS = ["grammatico-historical", "redemptive-historical", "quadriga", "patris
 CITATIONS = ["morphology", "syntax", "cross_ref", "variant", "interlinear", "lexicon"]
 IMPACTS = ["none", "minor", "material"]
 FLAGS = ["ecm-shadow", "concordance-thin", "variant-sensitive", "lexically-disputed", "cross-tradition-divergent", "complicating-unresolved"]
-SOURCES = (
-    "MACULA-Greek MACULA-Hebrew MACULA-Hebrew-marble-sdbh MACULA-Greek-louw-nida STEPBible-TAHOT STEPBible-TAGNT STEPBible-TVTMS STEPBible-TBESH STEPBible-TBESG STEPBible-TFLSJ OSHB-morphology "
-    "MorphGNT-morphology SBLGNT-text Nestle1904-text ETCBC-BHSA ETCBC-Peshitta ETCBC-syrnt ETCBC-DSS OpenBible-cross-refs TSK Theographic-Bible-Metadata INTF-NTVMR open-cbgm-3-john-sample BibleHub-interlinear"
-).split()
+SOURCES = [
+    "MACULA-Greek", "MACULA-Hebrew", "MACULA-Hebrew-marble-sdbh", "MACULA-Greek-louw-nida", "STEPBible-TAHOT", "STEPBible-TAGNT", "STEPBible-TVTMS",
+    "STEPBible-TBESH", "STEPBible-TBESG", "STEPBible-TFLSJ", "OSHB-morphology", "MorphGNT-morphology", "SBLGNT-text", "Nestle1904-text", "ETCBC-BHSA",
+    "ETCBC-Peshitta", "ETCBC-syrnt", "ETCBC-DSS", "OpenBible-cross-refs", "TSK", "Theographic-Bible-Metadata", "INTF-NTVMR", "open-cbgm-3-john-sample",
+    "BibleHub-interlinear",
+]
 #: Framings that belong to traditions and not to the text.
 FRAMING = (
     "(?i)(historic\\s+christian\\s+position|reformed\\s+teach|catholics?\\s+teach|lutherans?\\s+teach|denominational\\s+landscape|tradition\\s+holds"
@@ -66,7 +74,10 @@ SOURCE_TYPES = ["jewish-historian", "jewish-philosopher", "second-temple-literat
 ATTESTS = ["corroborates", "complicates", "neutral", "parallel", "silent-where-expected"]
 CONTESTED = ["none", "partial-interpolation", "recension-layer", "text-critical-variant"]
 LOSSES = ["complete", "partial", "fragmentary", "reconstructed", "complete-in-ethiopic", "complete-in-syriac"]
-SLUGS = "josephus philo 1enoch jubilees test12 2baruch 4ezra pssol sibor tacitus suetonius pliny mishnah 1qs 1qsa 1qsb 1qm 1qha 1qphab cd 11q19 4qmmt 1qisaa 4qsam-a 4qsam-b 4qdeut-q 11qpsa".split()
+SLUGS = [
+    "josephus", "philo", "1enoch", "jubilees", "test12", "2baruch", "4ezra", "pssol", "sibor", "tacitus", "suetonius", "pliny", "mishnah", "1qs", "1qsa",
+    "1qsb", "1qm", "1qha", "1qphab", "cd", "11q19", "4qmmt", "1qisaa", "4qsam-a", "4qsam-b", "4qdeut-q", "11qpsa",
+]
 QUMRAN_SLUG = "(?i)^\\d{1,2}Q[a-z0-9-]+$"
 QUMRAN_ANCHOR = "(?i)^\\d{1,2}q[a-z0-9-]+\\.(col\\d+|f[0-9a-z]+(\\.col\\d+)?)\\.line\\d+$"
 _VERSES = "^(1enoch|jubilees|2baruch|4ezra|pssol|sibor)\\.\\d+\\.\\d+[a-z]?$"
@@ -208,7 +219,10 @@ def resafe(docs: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 #: Traditions by slug.
-TRADITIONS = "patristic catholic-magisterial eastern-orthodox oriental-orthodox lutheran reformed anglican methodist anabaptist pentecostal plymouth-brethren other".split()
+TRADITIONS = [
+    "patristic", "catholic-magisterial", "eastern-orthodox", "oriental-orthodox", "lutheran", "reformed", "anglican", "methodist", "anabaptist",
+    "pentecostal", "plymouth-brethren", "other",
+]
 #: Names that questions are searched for.
 ENTITIES = [
     "Quirinius", "Cyrenius", "census", "John the Baptist", "the Baptist", "Theudas", "Lysanias", "Pilate", "Pontius Pilate", "Herod", "Herodias", "resurrection", "Sanhedrin", "Caiaphas", "Annas",

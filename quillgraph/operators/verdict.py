@@ -52,30 +52,6 @@ def compare(a: DataFrame, b: DataFrame, key: str, equal: list[str], sets: list[s
 #: Verdicts at rest, and the evidence documents' word limits.
 AFFIRMS = ["true", "false", "null", "disputed"]
 EVIDENCE_WORDS = (100, 500)
-ATTESTATION_WORDS = (50, 300)
-
-
-def evidence_rules(words: Column) -> list[tuple[str, Column]]:
-    """Rules of an evidence document with columns question_id, affirms, stance, summary, generated_at, licence_ok."""
-    return [
-        ("question_id", F.col("question_id").rlike("^[a-z]+-[a-z0-9-]+$")),
-        ("affirms", F.col("affirms").isin(*AFFIRMS)),
-        ("silent_means_null", (F.col("stance") != "silent") | (F.col("affirms") == "null")),
-        ("summary_words", words.between(*EVIDENCE_WORDS)),
-        ("no_dashes", ~F.col("summary").rlike("[–—]")),
-        ("generated_at", F.col("generated_at").rlike("^\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?(Z|[+-]\\d\\d:\\d\\d)$")),
-    ]
-
-
-def attestation_rules(words: Column, anchor: str = "^[a-z0-9_]+(\\.[A-Za-z0-9_:-]+)+$") -> list[tuple[str, Column]]:
-    """Rules of an attestation with columns present, witnesses (array of struct(chunk_id, anchor_id)), summary."""
-    ids = F.transform("witnesses", lambda w: w["chunk_id"])
-    return [
-        ("presence", F.col("present") == (F.size("witnesses") > 0)),
-        ("unique_ids", F.size(F.array_distinct(ids)) == F.size(ids)),
-        ("anchors", F.forall("witnesses", lambda w: w["anchor_id"].rlike(anchor))),
-        ("summary_words", (~F.col("present")) | words.between(*ATTESTATION_WORDS)),
-    ]
 
 
 def tag_rules() -> list[tuple[str, Column]]:
