@@ -175,9 +175,10 @@ def test_block_max_search_is_exact_and_skips(spark, tmp_path, segment, block, k)
     want = {q: x for q, x in brute_bm25(docs, queries, k).items() if x}
     assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
     assert all(abs(a - b) < 2e-6 for q in got for (_, a), (_, b) in zip(got[q], want[q], strict=True))
-    assert postings.candidates(index, q.where("query_id < 40"), k)[1].count() < 0.4 * 40 * 300
+    # of all pairs a few are scored in full; before the sum over read blocks was a filter, it was most of those that share a rare word
+    assert postings.candidates(index, q.where("query_id < 40"), k)[1].count() < 0.05 * 40 * 300
     read = postings.plan(index, q, k)[1].groupBy("read").agg(F.sum(F.size("ids")).alias("n")).collect()
     n = {r["read"]: r["n"] for r in read}
-    assert n[False] > n[True]  # most postings are never read
+    assert n[False] > 1000  # postings of weak tokens, and of blocks that can't reach the threshold, are never read
     again = postings.search(postings.opened(spark, f"file://{tmp_path}/i"), q, k)
     assert again.count() == sum(map(len, got.values()))
