@@ -252,10 +252,15 @@ MOST = {"neighbor": 15, "variant": 10, "syntax": 20}
 def neighbours(domains: DataFrame, top: DataFrame, most: int, anchors: int) -> DataFrame:
     """(question_id, code, strong, lemma, rank): lexemes of the anchors' domains that are no anchors; top: (question_id, strong)."""
     named = domains.where("strong IS NOT NULL AND domain_code IS NOT NULL").groupBy(F.col("domain_code").alias("code"), "strong").agg(F.min("lemma").alias("lemma"))
-    codes = top.select("question_id", "strong").join(named.select("code", "strong"), "strong").select("question_id", "code").distinct()
-    # a question leaves out at most its anchors, so of each domain no more than these can be among its first
-    first = retrieval.top(named, ["code"], most + anchors, F.col("strong")).drop("rank")
-    near = codes.join(first, "code").join(top.select("question_id", "strong"), ["question_id", "strong"], "left_anti")
+    size = named.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    own = top.select("question_id", "strong").join(named.select("code", "strong"), "strong").groupBy("question_id", "code").agg(F.count(F.lit(1)).alias("own"))
+    # domains come in order, so once those before hold enough lexemes that are no anchors, a question needs no further one; of a domain
+    # it needs what is missing, and as many more as it has anchors there
+    free = own.join(size, "code").withColumn("free", F.col("n") - F.col("own")).where("free > 0")
+    before = F.coalesce(F.sum("free").over(W.partitionBy("question_id").orderBy("code").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    codes = free.withColumn("before", before).where(F.col("before") < most).select("question_id", "code", (most - F.col("before") + F.col("own")).alias("take"))
+    first = retrieval.top(named, ["code"], most + anchors, F.col("strong"))
+    near = codes.join(first, "code").where(F.col("rank") <= F.col("take")).drop("rank", "take").join(top.select("question_id", "strong"), ["question_id", "strong"], "left_anti")
     return retrieval.top(near, ["question_id"], most, F.col("code"), F.col("strong"))
 
 
