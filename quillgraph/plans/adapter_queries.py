@@ -29,6 +29,21 @@ def put(spark: SparkSession, rows: DataFrame, name: str, before: list[str] = (),
     return f"{folder}/part-*" if whole else folder
 
 
+#: Positions in one document of a source that is a set of documents.
+DOCUMENT = 1 << 14
+
+
+def documents(spark: SparkSession, rows: DataFrame, name: str, before: str, after: str) -> str:
+    """Write ``rows`` (at, line) as a set of whole documents, one for each ``DOCUMENT`` positions, each between its own ``before`` and
+    ``after``; gives the path. A part file of one long document is no document, and XML readers take only its first element."""
+    folder = f"{shared(spark, 'source')}/{name}"
+    inner = rows.select(F.floor(F.col("at") / DOCUMENT).alias("doc"), F.lit(1).alias("part"), F.col("at").cast("long").alias("at"), "line")
+    ends = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), F.lit(0).cast("long").alias("at"), F.lit(x).alias("line")) for k, x in ((0, before), (2, after))))).alias("e")
+    every = inner.unionByName(inner.select("doc").distinct().select("doc", ends).select("doc", "e.*"))
+    every.repartition("doc").sortWithinPartitions("doc", "part", "at", "line").select("doc", "line").write.partitionBy("doc").text(folder)
+    return folder
+
+
 def renamed(spark: SparkSession, path: str, target: str) -> str:
     """Move the one file that ``path`` stands for to ``target``, as some sources are told by their file's name."""
     jvm = spark.sparkContext._jvm
@@ -238,7 +253,7 @@ def adapter_macula_hebrew(spark, sf_dir):
     K, NAME, BRAND, TYPE, SIZE = columns("k", "name", "brand", "type", "size")
     p = parts(spark, sf_dir)
     w = p.select(K.alias("at"), element("w", BRAND, ref="GEN 1:1!1", id=K, lemma=NAME, morph="m", gloss="g", strongnumberx=SIZE, greek=TYPE, greekstrong=F.when(K % 3 > 0, (K % 40 + 1).cast("string")).otherwise("")).alias("line"))
-    t = adapters.macula_hebrew(spark, put(spark, w, "hebrew", ["<x>"], ["</x>"]))
+    t = adapters.macula_hebrew(spark, documents(spark, w, "hebrew", "<x>", "</x>"))
     return flat(t, MaculaToken=("id", F.concat_ws("/", "strong", "surface")), Lemma=("id", "lemma"), BRIDGES_LXX=("src_id", F.concat_ws("=", "dst_id", "greek")))
 
 
