@@ -359,7 +359,7 @@ def adapter_open_cbgm_3_john(spark, sf_dir):
     app = lambda n: element("app", F.concat(element("rdg", NAME, n="a", wit=a), element("rdg", TYPE, n="b", wit=b)), n=n)
     p = parts(spark, sf_dir)
     rows = p.select(K.alias("at"), app(F.concat(F.lit("B25K1V"), K % 15 + 1, F.lit("U"), K)).alias("line")).unionByName(p.where("k < 3").select(K.alias("at"), app(F.concat(F.lit("B25K2V1U"), K)).alias("line")))
-    t = more_adapters.open_cbgm_3_john(spark, put(spark, rows, "cbgm", ["<t>"], ["</t>"]))
+    t = more_adapters.open_cbgm_3_john(spark, documents(spark, rows, "cbgm", "<t>", "</t>"))
     return flat(t, VariantUnit=("id", "v"), Reading=("id", "text"), Witness=("id", "date_century"))
 
 
