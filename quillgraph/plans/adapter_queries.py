@@ -278,7 +278,7 @@ def adapter_vulgate_clementine(spark, sf_dir):
     """Bracketed notes, one inside another, leave the text."""
     K, NAME, BRAND, TYPE = columns("k", "name", "brand", "type")
     said = F.concat(NAME, F.lit(" ["), BRAND, F.lit(" [x]]  et "), TYPE)
-    t = adapters.vulgate_clementine(spark, put(spark, parts(spark, sf_dir).select(K.alias("at"), element("verse", said, osis=F.concat(F.lit("Gen.1."), K), canon="OT").alias("line")), "vulgate", ["<x>"], ["</x>"]))
+    t = adapters.vulgate_clementine(spark, documents(spark, parts(spark, sf_dir).select(K.alias("at"), element("verse", said, osis=F.concat(F.lit("Gen.1."), K), canon="OT").alias("line")), "vulgate", "<x>", "</x>"))
     return flat(t, VulgateVerse=("osis", F.concat_ws("/", "text_latin", F.array_join("transcription_notes", ";"))))
 
 

@@ -6,7 +6,7 @@ from quillgraph.plans.registry import QUERIES, SQL
 from tests.test_queries import rows
 
 
-@pytest.mark.parametrize("name", ["adapter_macula_hebrew", "adapter_open_cbgm_3_john"])
+@pytest.mark.parametrize("name", ["adapter_macula_hebrew", "adapter_open_cbgm_3_john", "adapter_vulgate_clementine"])
 def test_documents_are_whole_in_every_file(spark, sf_dir, duck, name, monkeypatch):
     from quillgraph.plans import adapter_queries
 
