@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.functions.vectors import dot, unit
+from quillgraph.operators import nearest
 from quillgraph.operators.retrieval import top
 
 MOST_PIVOTS = 4096
@@ -72,21 +73,40 @@ def _scored(index: Index, pairs: DataFrame, where: Column | None, floor: bool) -
     return both.select("query_id", "id", *kept, F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
 
 
-def candidates(index: Index, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """(query_id, id, *kept, score): scored pairs of each query with the items that may be among its first ``k``."""
+def _seen(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Each query with every cell and the best score that the cell may hold; and the next cells, up to ``k`` items."""
     q = queries.select("query_id", unit(F.col("vector")).alias("q"))
     seen = q.crossJoin(F.broadcast(index.cells)).withColumn("angle_q", _angle(F.col("q"), F.col("pivot")))
     # an item's angle to the query is at least what the cell's range of angles leaves
     gap = F.greatest(F.col("least") - F.col("angle_q"), F.col("angle_q") - F.col("most"), F.lit(0.0))
     seen = seen.select("query_id", "q", "cell", "n", "angle_q", F.cos(gap).alias("bound"))
     upto = F.sum("n").over(W.partitionBy("query_id").orderBy("angle_q", "cell").rowsBetween(W.unboundedPreceding, 0))
-    home = seen.withColumn("upto", upto).where(F.col("upto") - F.col("n") < k).drop("upto")
-    first = top(_scored(index, home, where, False).select("query_id", "id", "score"), ["query_id"], k, F.col("score").desc(), F.col("id"))
+    return seen, seen.withColumn("upto", upto).where(F.col("upto") - F.col("n") < k).drop("upto")
+
+
+def _reached(seen: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """The pairs of ``seen`` whose cell may hold one of the first ``k``, by the k-th of some scores."""
+    first = top(scores.select("query_id", "id", "score"), ["query_id"], k, F.col("score").desc(), F.col("id"))
     floor = first.where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("floor"))  # too few there: no floor
-    reach = seen.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0))).where(F.col("bound") >= F.col("floor"))
-    return _scored(index, reach, where, True)
+    return seen.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0))).where(F.col("bound") >= F.col("floor"))
+
+
+def candidates(index: Index, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+    """(query_id, id, *kept, score): scored pairs of each query with the items that may be among its first ``k``."""
+    seen, home = _seen(index, queries, k)
+    return _scored(index, _reached(seen, _scored(index, home, where, False), k), where, True)
 
 
 def search(index: Index, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """(query_id, id, *kept, score, rank): exact cosine top-k of queries (query_id, vector) among the items that hold ``where``."""
-    return top(candidates(index, queries, k, where), ["query_id"], k, F.col("score").desc(), F.col("id"))
+    """(query_id, id, *kept, score, rank): exact cosine top-k of queries (query_id, vector) among the items that hold ``where``.
+
+    A cell's items and the queries that reach it are multiplied in blocks; of each block only a query's first ``k`` are shuffled.
+    """
+    items = (index.items if where is None else index.items.where(where)).drop("angle").withColumnRenamed("v", "vector")
+    kept = [c for c in items.columns if c not in ("cell", "vector", "id")]
+    blocks = -(-(index.cells.agg(F.max("n")).first()[0] or 1) // nearest.ITEMS)
+    pairs = lambda df: df.select("query_id", F.col("q").alias("vector"), "cell")
+    seen, home = _seen(index, queries, k)
+    first = nearest.scored(pairs(home), items.select("id", "vector", "cell"), k, by=["cell"], n_items=blocks)
+    found = nearest.scored(pairs(_reached(seen, first, k)), items, k, keep=kept, by=["cell"], n_items=blocks)
+    return top(found, ["query_id"], k, F.col("score").desc(), F.col("id"))
