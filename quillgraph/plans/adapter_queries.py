@@ -370,7 +370,7 @@ def adapter_brethren_parsed(spark, sf_dir):
     d = F.struct(F.concat(F.lit("slug-"), "n_nationkey").alias("doc_slug"), F.lit("2024-05").alias("source_mtime"), F.when(F.col("n_nationkey") % 3 > 0, F.struct(F.concat(F.lit("Title "), "n_name").alias("title"))).alias("session_metadata"), F.array(piece(F.concat(F.lit(" "), "n_name", F.lit(" "))), piece(F.lit(" ")), piece(F.concat(F.lit("region "), "n_regionkey"))).alias("chunks"))
     docs = nations(spark, sf_dir).select("n_nationkey", F.to_json(d).alias("line")).unionByName(spark.createDataFrame([(-1, "{oops")], "n_nationkey long, line string"))
     folder = shared(spark, "parsed")
-    docs.repartitionByRange(docs.count(), "n_nationkey").select("line").write.option("maxRecordsPerFile", 1).text(folder)
+    docs.repartitionByRange("n_nationkey").select("line").write.option("maxRecordsPerFile", 1).text(folder)
     return flat(adapters.brethren_parsed(spark, f"{folder}/part-*"), CulturalChunk=("chunk_id", F.concat_ws("/", "work_title", "date_written", "text")))
 
 
