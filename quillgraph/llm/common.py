@@ -35,6 +35,7 @@ def prepare(spark: SparkSession) -> None:
 
 def release() -> None:
     """Give memory that Python has freed back to the system: a worker lives on between tasks, beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library

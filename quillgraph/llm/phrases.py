@@ -1,7 +1,7 @@
 """Phrase collocations by word-id suffix arrays.
 
 Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line ends, and pieces into words at spaces and tabs. A shard
-is some megabytes of text in one task: its words become ids, numpy prefix doubling sorts the suffixes of the id sequence
+is a megabyte of text in one task: its words become ids, numpy prefix doubling sorts the suffixes of the id sequence
 (a piece's end sorts before any word), and the intervals between places where the longest common prefix of neighbours
 falls below n words are the shard's n-grams with their counts. Counts are merged over all shards by language and phrase.
 
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import common
 
-#: Bytes of text in one suffix array: bounds a worker's memory (about 40 bytes a byte of text).
-SHARD_BYTES = 3 << 20
+#: Bytes of text in one suffix array: bounds a worker's memory (40 bytes a byte of text, up to 100 where words are short).
+SHARD_BYTES = 1 << 20
+#: Rows of counts in one batch.
+ROWS = 1 << 15
 #: Groups that each language's candidates are ranked in before the last ranking, at two levels.
 SALTS = (256, 16)
 
@@ -66,7 +68,7 @@ def _slices(data: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
-    """(normalised bytes, start of each text, language of each text) for some megabytes of text at a time."""
+    """(normalised bytes, start of each text, language of each text) for a megabyte of text at a time."""
     data, langs, size = [], [], 0
     for batch in batches:
         offsets, raw = _bytes_of(batch.column("text"))
@@ -175,12 +177,12 @@ def _counter(sizes: list[int], known=None):
                 if known is not None:
                     full &= may[at] & may[np.minimum(at + 1, len(w) - 1)]
                 f, at = f[full], at[full]
-                for k in range(0, len(at), 1 << 17):
-                    some = at[k : k + (1 << 17)]
+                for k in range(0, len(at), ROWS):
+                    some = at[k : k + ROWS]
                     parts = [w.dictionary.take(pa.array(w.ids[some + j])) for j in range(n)]
                     phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ")) if n > 1 else parts[0]
                     langs = pa.array(w.langs, pa.string()).take(pa.array(w.lang[some]))
-                    yield pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(some), n, np.int32)), phrase.view(pa.string()), pa.array(f[k : k + (1 << 17)], pa.int64())], schema=COUNTS)
+                    yield pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(some), n, np.int32)), phrase.view(pa.string()), pa.array(f[k : k + ROWS], pa.int64())], schema=COUNTS)
 
     return common.trimmed(run)
 
