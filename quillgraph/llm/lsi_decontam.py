@@ -1,15 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Terms are the benchmark's words, and the ``CONTEXT`` words that most passages of a sample of the corpus have besides: they
-occur near the benchmark's words and so carry meaning between them. Only the benchmark's words count in a passage's
+Terms are the benchmark's words, and besides every word that at least one passage of the corpus in ``CONTEXT`` has: they
+occur near the benchmark's words and so carry meaning between them. A passage has at most 32 words, so there are fewer than
+``32 * CONTEXT`` of these. Only the benchmark's words count in a passage's
 length, so a cosine doesn't depend on how rare other words are in a corpus of some size. An item of more than ``PIECE``
 words is searched by pieces of about equal length, and verified as a whole. Passages are windows of each number of
 blocks in ``WIDTHS``, one at each block of ``BLOCK`` words: narrow ones for close copies, wide ones for those with words put
 between. Their TF-IDF vectors (document frequencies of all documents) are projected on the leading right singular vectors
-of a matrix of passages: a bounded sample of the corpus's, and the benchmark's items with the weight ``ITEM_WEIGHT``, so
-that the latent space keeps what tells items apart. A benchmark of more than ``PIECES_IN_SPACE`` pieces has several spaces,
+of a matrix of passages: all of the corpus's, two blocks each, and the benchmark's items with the weight ``ITEM_WEIGHT``, so
+that the latent space keeps what tells items apart. Nothing is sampled: texts are turned to numbers once, in a table that the
+passes read. A benchmark of more than ``PIECES_IN_SPACE`` pieces has several spaces,
 each of so many pieces and their words, so that no space has fewer dimensions than pieces; all are fitted and searched in
-the same passes over the documents. The singular vectors come from a randomised SVD whose passes over the sample are
+the same passes over the documents. The singular vectors come from a randomised SVD whose passes over the numbers are
 distributed: each partition adds up its part of A'(A X) in blocks of terms, blocks are summed on the executors, and only
 the sum (terms x rank) reaches the driver for its QR.
 
@@ -49,12 +51,11 @@ ANSWER_SHARE = 1 / 3
 SHORT = 8
 #: Words on either side of a passage that it is checked with, as a multiple of the item's length.
 REACH = 3
-#: The bound of the sample that the latent space is fitted on, in documents and in passages of each (spread over it).
-SAMPLE_DOCS = 2048
-SAMPLE_PASSAGES = 16
-#: Words of the sample besides the benchmark's.
-CONTEXT = 2048
+#: A word besides the benchmark's is a term if one passage in so many has it.
+CONTEXT = 1024
 ITEM_WEIGHT = 20.0
+#: Passages that the corpus weighs as, where it has more: the benchmark's part in the space doesn't shrink as the corpus grows.
+CORPUS_WEIGHT = 1 << 15
 RANK = 160
 POWER_ROUNDS = 2
 #: The longest piece of an item that is compared with passages, in words.
@@ -76,7 +77,7 @@ class Terms:
 
     def __init__(self, words: list[bytes], context: list[bytes] = ()):
         self.words, self.context, self.size, self.own = words, context, len(words) + len(context) + 1, len(words) + 1
-        self._of = {w: i + 1 for i, w in enumerate([*words, *context])}
+        self.of = {w: i + 1 for i, w in enumerate([*words, *context])}
 
     def __getstate__(self):
         return self.words, self.context
@@ -84,12 +85,9 @@ class Terms:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def __contains__(self, word: bytes) -> bool:
-        return word in self._of
-
     def numbers(self, text: str | None) -> np.ndarray:
         words = words_of(text)
-        return np.fromiter(map(self._of.get, words, repeat(0)), np.int32, len(words))
+        return np.fromiter(map(self.of.get, words, repeat(0)), np.int32, len(words))
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -265,68 +263,89 @@ def _without(index: Index, least: float, common_share: float):
     return common.trimmed(run)
 
 
-def _passages(terms: Terms | None, text: str | None) -> list:
-    """At most ``SAMPLE_PASSAGES`` stretches of two blocks, spread over the whole text: of its numbers, or of its words."""
-    d = words_of(text) if terms is None else terms.numbers(text)
-    starts = range(0, len(d), 2 * BLOCK)
-    if len(starts) > SAMPLE_PASSAGES:
-        starts = [starts[round(k * (len(starts) - 1) / (SAMPLE_PASSAGES - 1))] for k in range(SAMPLE_PASSAGES)]
-    return [d[k : k + 2 * BLOCK] for k in starts]
+def _passages(words: list[bytes]) -> list[list[bytes]]:
+    """The whole text in stretches of two blocks."""
+    return [words[k : k + 2 * BLOCK] for k in range(0, len(words), 2 * BLOCK)]
+
 
+def _context(terms: Terms, most: int = 1 << 17):
+    """Other words with the number of passages that have them; the empty word stands for all passages."""
 
-def _context(terms: Terms):
-    """Other words of the sample, with the number of passages that have them."""
+    def counts(count: Counter) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                for p in _passages(None, t):
-                    count.update(w for w in set(p) if w not in terms)
-        yield pa.record_batch([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+                for p in _passages(words_of(t)):
+                    count[b""] += 1
+                    count.update(set(p).difference(terms.of))
+                    if len(count) > most:
+                        yield counts(count)
+                        count = Counter()
+        yield counts(count)
 
-    return run
+    return common.trimmed(run)
+
+
+def _numbers(terms: Terms):
+    """A row for each document: how many terms each of its passages has, and their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, numbers = [], []
+            for text in batch.column("text").to_pylist():
+                d = terms.numbers(text)
+                some = np.flatnonzero(d)
+                sizes.append(np.bincount(some // (2 * BLOCK), minlength=-(-len(d) // (2 * BLOCK))).astype("<i4").tobytes())
+                numbers.append(d[some].astype("<i4").tobytes())
+            yield pa.record_batch([pa.array(sizes, pa.binary()), pa.array(numbers, pa.binary())], names=["sizes", "terms"])
+
+    return common.trimmed(run)
+
+
+def _held(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<i4") for x in column.to_pylist()]
 
 
 def _frequencies(terms: Terms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, n = np.zeros(terms.size, dtype=np.int64), 0
+        count = np.zeros(terms.size, dtype=np.int64)
         for batch in batches:
-            docs = [terms.numbers(t) for t in batch.column("text").to_pylist()]
-            n += len(docs)
+            docs = _held(batch.column("terms"))
             doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
             all_ = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
-            keep = all_ > 0
-            count += np.bincount(np.unique(doc[keep] * terms.size + all_[keep]) % terms.size, minlength=terms.size)
-        count[0] = n
+            count += np.bincount(np.unique(doc * terms.size + all_) % terms.size, minlength=terms.size)
         some = np.flatnonzero(count)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(count[some])], names=["term", "n"])
 
     return common.trimmed(run)
 
 
-def _sketch(terms: Terms, idf: np.ndarray, bases: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int = 256):
+def _sketch(idf: np.ndarray, bases: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int = 256):
     """The partition's part of A'(A x) of each space (local numbers, idf, x), as blocks of ``rows`` terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zs = [np.zeros(x.shape) for _, _, x in bases]
+        xs = [x.astype(np.float32) for _, _, x in bases]
+        for x in xs:
+            x[0] = 0  # terms that a space lacks
         for batch in batches:
-            pieces = [p for t in batch.column("text").to_pylist() for p in _passages(terms, t)]
-            for a in range(0, len(pieces), 1024):
-                part = pieces[a : a + 1024]
-                size = np.array([len(p) for p in part])
-                every, rows_of, edge = np.concatenate(part), np.repeat(np.arange(len(part)), size), np.cumsum(size) - size
-                norm2 = np.add.reduceat(idf[every] ** 2, edge)
-                scale = np.where(norm2 > 0, 1 / np.sqrt(np.maximum(norm2, 1e-9)), 0)
-                for z, (local, weight, x) in zip(zs, bases):
-                    t = local[every]
-                    weighted = (weight[:, None] * x).astype(np.float32)
-                    weighted[0] = 0
-                    y = np.add.reduceat(weighted[t], edge, axis=0) * scale[:, None]
-                    order = np.argsort(t, kind="stable")
-                    t, row = t[order], rows_of[order]
-                    first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-                    z[t[first]] += np.add.reduceat(y[row] * (weight[t] * scale[row])[:, None], first, axis=0)
+            sizes, terms = (np.concatenate(_held(batch.column(c)) or [np.zeros(0, "<i4")]) for c in ("sizes", "terms"))
+            sizes = sizes[sizes > 0]
+            ends = np.cumsum(sizes)
+            for a in range(0, len(sizes), 128):
+                size = sizes[a : a + 128]
+                every, rows_of = terms[ends[a] - size[0] : ends[a + len(size) - 1]], np.repeat(np.arange(len(size)), size)
+                # the passages as a small dense matrix of the terms that they have
+                here, t = np.unique(every, return_inverse=True)
+                part = np.bincount(rows_of * len(here) + t, weights=idf[every], minlength=len(size) * len(here)).reshape(len(size), len(here))
+                part /= np.sqrt(np.bincount(rows_of, weights=idf[every] ** 2))[:, None]
+                part = part.astype(np.float32)
+                for z, x, (local, _, _) in zip(zs, xs, bases):
+                    mine = local[here]
+                    z[mine] += part.T @ (part @ x[mine])
         at, data = [], []
         for k, z in enumerate(zs):
             z[0] = 0
@@ -347,19 +366,17 @@ def _summed(table: pa.Table) -> pa.Table:
 def latent_space(docs: DataFrame, items: list[tuple[object, str | None]], rank: int = RANK, seed: int = 7, answer_share: float = MIN_ANSWER) -> Index | None:
     """Fit the spaces: document frequencies of all documents, singular vectors by a distributed randomised SVD."""
     words = sorted({w for _, text in items for w in words_of(text)})
-    order = F.xxhash64("doc_id", "text")
-    n, least = docs.agg(F.count(F.lit(1)), F.min(order)).first()
+    n = docs.count()
     if not words or not n:
         return None
-    # a hash below the share of all hashes that so many rows have, the least always; the limit only bounds chance
-    below = min((1 << 63) - 1, int(2 * SAMPLE_DOCS / n * (1 << 64)) - (1 << 63))
-    few = docs.where(order <= F.lit(max(below, least)).cast("long")).orderBy(order).limit(SAMPLE_DOCS)
-    sample = common.stored(few.select("text").repartition(8), common.run_dir(docs.sparkSession, "latent-sample"))
-    near = sample.mapInArrow(_context(Terms(words)), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    near = near.where("n > 1").orderBy(F.desc("n"), "word").limit(CONTEXT)
+    spark = docs.sparkSession
+    near = common.stored(docs.select("text").mapInArrow(_context(Terms(words)), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), common.run_dir(spark, "latent-words"))
+    passages = near.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
+    near = near.where((F.length("word") > 0) & (F.col("n") > 1) & (F.col("n") * CONTEXT >= passages)).select("word").orderBy("word")
     terms = Terms(words, [bytes(r["word"]) for r in near.collect()])
     numbered = [(name, t) for name, text in items if len(t := terms.numbers(text))]
-    got = docs.select("text").mapInArrow(_frequencies(terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most one row for each term
+    numbers = common.stored(docs.select("text").mapInArrow(_numbers(terms), "sizes binary, terms binary"), common.run_dir(spark, "latent-numbers"))
+    got = numbers.select("terms").mapInArrow(_frequencies(terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most one row for each term
     df = np.zeros(terms.size)
     df[got.column("term").to_numpy()] = got.column("n").to_numpy()
     df[0] = 0
@@ -379,12 +396,12 @@ def latent_space(docs: DataFrame, items: list[tuple[object, str | None]], rank:
         a *= ITEM_WEIGHT / np.linalg.norm(a, axis=1, keepdims=True)
         fits.append([local, weight, rng.standard_normal((len(weight), min(min(rank, len(group)) + 16, len(weight)))), a])
     for _ in range(POWER_ROUNDS + 1):
-        step = _sketch(terms, idf, [(local, weight, x) for local, weight, x, _ in fits])
-        parts = sample.mapInArrow(step, "space int, block int, z binary").groupBy("space", "block").applyInArrow(_summed, "space int, block int, z binary").toArrow()
+        step = _sketch(idf, [(local, weight, x) for local, weight, x, _ in fits])
+        parts = numbers.mapInArrow(step, "space int, block int, z binary").groupBy("space", "block").applyInArrow(_summed, "space int, block int, z binary").toArrow()
         zs = [a.T @ (a @ x) for _, _, x, a in fits]
         for k, block, data in zip(*(parts.column(c).to_pylist() for c in ("space", "block", "z"))):
             part = np.frombuffer(data, dtype="<f8").reshape(-1, zs[k].shape[1])
-            zs[k][block : block + len(part)] += part
+            zs[k][block : block + len(part)] += part * min(1, CORPUS_WEIGHT / max(passages, 1))
         for fit, z in zip(fits, zs):
             fit[2], _ = np.linalg.qr(z)
     return Index(terms, idf, numbered, spaces=[Space(local, weight, x, group) for (local, weight, x, _), group in zip(fits, groups)], answer_share=answer_share)
