@@ -33,11 +33,11 @@ def put(spark: SparkSession, rows: DataFrame, name: str, before: list[str] = (),
 DOCUMENT = 1 << 14
 
 
-def documents(spark: SparkSession, rows: DataFrame, name: str, before: str, after: str) -> str:
-    """Write ``rows`` (at, line) as a set of whole documents, one for each ``DOCUMENT`` positions, each between its own ``before`` and
+def documents(spark: SparkSession, rows: DataFrame, name: str, before: str, after: str, step: int = 1) -> str:
+    """Write ``rows`` (at, line) as a set of whole documents, one for each ``DOCUMENT`` positions, fewer so that it is whole steps, each between its own ``before`` and
     ``after``; gives the path. A part file of one long document is no document, and XML readers take only its first element."""
     folder = f"{shared(spark, 'source')}/{name}"
-    inner = rows.select(F.floor(F.col("at") / DOCUMENT).alias("doc"), F.lit(1).alias("part"), F.col("at").cast("long").alias("at"), "line")
+    inner = rows.select(F.floor(F.col("at") / (DOCUMENT - DOCUMENT % step)).alias("doc"), F.lit(1).alias("part"), F.col("at").cast("long").alias("at"), "line")
     ends = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), F.lit(0).cast("long").alias("at"), F.lit(x).alias("line")) for k, x in ((0, before), (2, after))))).alias("e")
     every = inner.unionByName(inner.select("doc").distinct().select("doc", ends).select("doc", "e.*"))
     every.repartition("doc").sortWithinPartitions("doc", "part", "at", "line").select("doc", "line").write.partitionBy("doc").text(folder)
@@ -54,6 +54,16 @@ def renamed(spark: SparkSession, path: str, target: str) -> str:
     return target
 
 
+def named(spark: SparkSession, folder: str, name: str) -> str:
+    """Give the file of each document of ``documents`` the same name; gives the path of all."""
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.Path(f"{folder}/doc=*/part-*")
+    fs = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.globStatus(files):
+        fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f.getPath().getParent(), name))
+    return f"{folder}/doc=*/{name}"
+
+
 #: Suppliers in the place of nations, twenty to a region: sources of one file for each, whose number grows with the tables.
 NATIONS = "nation AS (SELECT s_suppkey AS n_nationkey, s_name AS n_name, s_suppkey // 20 AS n_regionkey FROM supplier)"
 
@@ -268,7 +278,7 @@ def adapter_oshb(spark, sf_dir):
     read = F.concat(element("w", F.concat(F.lit("K"), K), id=F.concat(F.lit("b"), K), lemma="5", type="x-ketiv"), F.lit("<note><rdg>"), element("w", F.concat(F.lit("Q"), K), id=F.concat(F.lit("q"), K), lemma="6"), F.lit("</rdg></note>"))
     b = F.when(K % 4 == 0, read).otherwise(element("w", TYPE, id=F.concat(F.lit("b"), K), lemma="5"))
     verses = parts(spark, sf_dir).select(K.alias("at"), element("verse", F.concat(a, b), osisID=F.concat(F.lit("Gen."), SIZE, F.lit("."), K)).alias("line"))
-    t = adapters.oshb(spark, put(spark, verses, "oshb", ["<osis>"], ["</osis>"], whole=True))
+    t = adapters.oshb(spark, documents(spark, verses, "oshb", "<osis>", "</osis>"))
     keep = {k: t[k] for k in ("Verse", "Word", "Morpheme", "IS_QERE_OF")}
     return flat(keep, Verse=("osis", "text"), Word=("id", F.concat_ws("/", "strong", "surface")), Morpheme=("id", "form"))
 
@@ -390,8 +400,8 @@ def adapter_tei_history(spark, sf_dir):
     """Divisions by size and key; notes are left out, what follows them stays."""
     K, NAME, TYPE, SIZE = columns("k", "name", "type", "size")
     div = element("div", element("div", F.concat(F.lit("<p>"), NAME, F.lit("<note>no</note> and "), TYPE, F.lit("</p>")), n=K), n=SIZE)
-    path = put(spark, parts(spark, sf_dir).select(K.alias("at"), div.alias("line")), "tei", ["<TEI>"], ["</TEI>"], whole=True)
-    return flat(adapters.tei_history(spark, renamed(spark, path, f"{shared(spark, 'tei')}/work.xml")), HistoricalChunk=("anchor_id", "text"))
+    path = named(spark, documents(spark, parts(spark, sf_dir).select(K.alias("at"), div.alias("line")), "tei", "<TEI>", "</TEI>"), "work.xml")
+    return flat(adapters.tei_history(spark, path), HistoricalChunk=("anchor_id", "text"))
 
 
 @query("adapter_josephus", f"""WITH {P}, s AS (SELECT *, max(CASE WHEN k % 10 = 0 THEN k END) OVER (ORDER BY k) AS ch FROM p) SELECT 'HistoricalChunk' AS kind, 'josephus.ant.18.' || k AS key, 'Ant 18.' || ch || CASE WHEN k % 2 = 0 THEN '.' || size ELSE '' END || ' (Whiston)/' || CASE WHEN k = 63 THEN name || ' was so.' ELSE name || ' [' || brand || '] was so.' END AS value FROM s WHERE k <> 64 UNION ALL SELECT 'quarantine', 'josephus.ant.18.64', ''""")
@@ -400,7 +410,7 @@ def adapter_josephus(spark, sf_dir):
     K, NAME, BRAND, SIZE = columns("k", "name", "brand", "size")
     marks = F.concat(F.when(K % 10 == 0, element("milestone", "", unit="Whiston_chapter", n=K)).otherwise(""), F.when(K % 2 == 0, element("milestone", "", unit="Whiston_section", n=SIZE)).otherwise(""))
     sec = element("div", F.concat(F.lit("<p>"), marks, NAME, F.lit("<note>x</note> ["), BRAND, F.lit("] was so.</p>")), subtype="section", n=K)
-    path = put(spark, parts(spark, sf_dir).select(K.alias("at"), sec.alias("line")), "josephus", ["<TEI><text><body><div><div subtype='book' n='18'>"], ["</div></div></body></text></TEI>"], whole=True)
+    path = documents(spark, parts(spark, sf_dir).select(K.alias("at"), sec.alias("line")), "josephus", "<TEI><text><body><div><div subtype='book' n='18'>", "</div></div></body></text></TEI>", step=10)  # a file ends with a chapter
     t = adapters.josephus(spark, path, "ant", {"josephus.ant.18.63": ("disputed", r"\[[^\]]*\]"), "josephus.ant.18.64": ("lost", "nothing like it")})
     return flat(t, HistoricalChunk=("anchor_id", F.concat_ws("/", "anchor_alt_citation", "text_to_embed")), quarantine=("chunk_id", F.lit("")))
 

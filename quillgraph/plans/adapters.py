@@ -202,8 +202,7 @@ def macula_hebrew(spark: SparkSession, path: str) -> Tables:
 @adapter
 def oshb(spark: SparkSession, path: str) -> Tables:
     """OSIS books, one a task: verses, words with written and read forms, morphemes."""
-    raw = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("x"))
-    w = raw.select(F.explode(markup.osis_words("x")).alias("w")).select("w.*")
+    w = markup.parsed(spark.read.format("binaryFile").load(path).select("content"), "content", markup.osis_rows, markup.WORD)
     code = F.regexp_extract("lemma", "(\\d+\\s?[a-z]?)", 1)
     word = w.select(F.concat(F.lit("oshb:"), "id").alias("id"), F.col("verse").alias("osis"), "pos", F.regexp_replace("surface", "/", "").alias("surface"), strongs.canonical(code, F.lit("hb"))["canonical"].alias("strong"), "morph", "kind")
     parts = w.select(F.concat(F.lit("oshb:"), "id").alias("word_id"), F.posexplode(F.split("surface", "/")).alias("at", "form"))
@@ -344,10 +343,10 @@ def sefaria_mishnah(spark: SparkSession, path: str) -> Tables:
 @adapter
 def tei_history(spark: SparkSession, path: str) -> Tables:
     """TEI editions: a chunk for each innermost numbered division, by its path of numbers."""
-    raw = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)\\.xml$", 1).alias("work_id"), F.decode("content", "UTF-8").alias("x"))
-    s = raw.select("work_id", F.explode(markup.tei_sections("x")).alias("s")).where("s.text <> ''")
-    anchor = F.concat_ws(".", "work_id", "s.path")
-    return {"HistoricalChunk": s.select(anchor.alias("chunk_id"), anchor.alias("anchor_id"), "work_id", F.col("s.text").alias("text"), F.lit("public_domain").alias("license"), F.lit(True).alias("redistribute"))}
+    raw = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)\\.xml$", 1).alias("work_id"), "content")
+    s = markup.parsed(raw, "content", markup.tei_rows, markup.TEI_SECTION).where("text <> ''")
+    anchor = F.concat_ws(".", "work_id", "path")
+    return {"HistoricalChunk": s.select(anchor.alias("chunk_id"), anchor.alias("anchor_id"), "work_id", "text", F.lit("public_domain").alias("license"), F.lit(True).alias("redistribute"))}
 
 
 #: The works of the historian, by short name: label in citations, and whether it has books.
@@ -362,8 +361,7 @@ def josephus(spark: SparkSession, path: str, work: str = "ant", contested: dict[
     isn't there puts its chunk into quarantine.
     """
     label, books = JOSEPHUS[work]
-    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("x"))
-    s = raw.select("path", F.posexplode(markup.milestone_sections("x")).alias("at", "s")).select("path", "at", "s.*")
+    s = markup.parsed(spark.read.format("binaryFile").load(path).select("path", "content"), "content", markup.milestone_rows, markup.MILESTONE_SECTION)
     s = ordered.carry(s.withColumn("book", F.coalesce("book", F.lit("1"))), ["path", "book"], ["at"], "chapter", "of")
     tail = F.filter(F.array(F.regexp_replace("of", "\\.+$", ""), F.col("part")), lambda x: x.isNotNull() & (x != ""))
     cited = F.concat(F.array(F.col("book")), tail) if books else tail

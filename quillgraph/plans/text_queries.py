@@ -245,7 +245,7 @@ def main_content(spark, sf_dir):
 
 @query("page_sections")
 def page_sections(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(markup.sections("html")).alias("at", "s")).select("page_id", "at", "s.number", "s.title", "s.text")
+    return markup.parsed(table(spark, sf_dir, "pages").select("page_id", "html"), "html", markup.section_rows, markup.SECTION)
 
 
 @query("hygiene_flags", r"SELECT doc_id, len(regexp_extract_all(text, '[0-9]{3}-[0-9]{4}')) AS phones, len(regexp_extract_all(text, '[0-9a-f]{40}')) AS secrets, len(regexp_extract_all(text, 'License')) AS licences FROM documents")
