@@ -1,7 +1,7 @@
 """A stored keyword index, and exact BM25 top-k that skips what can't be among the first.
 
-The index is three tables: ``docs`` (id, segment, dl, tokens), ``terms`` (token, df, peak) and ``blocks`` (token, segment, block, peak,
-ids). A token's postings are kept by segments of documents, so that no group grows with the token's frequency, and within a segment in
+The index is three tables: ``docs`` (id, segment, dl, tokens, tfs: each of a document's tokens once, with its count), ``terms`` (token, df, peak) and
+``blocks`` (token, segment, block, peak, ids, tfs, dls). A token's postings are kept by segments of documents, so that no group grows with the token's frequency, and within a segment in
 blocks of ``BLOCK`` by falling impact; ``peak`` is the greatest impact of a block or token, by the index's own k1, b and mean length.
 
 A search has three steps, all joins on tokens or ids: scores of the documents in each token's first blocks give a threshold for each
@@ -20,11 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.operators.retrieval import top
+from quillgraph.operators.retrieval import MOST_TERMS, top
 
 SEGMENT, BLOCK = 65_536, 128
+#: Postings that a task groups: its memory doesn't grow with the table.
+TASK = 1 << 19
 #: Of the threshold, what the tokens that are not read may reach.
 SHARE = 0.3
+#: Pairs of a query and a document that are broadcast (two longs each); more are joined by a shuffle.
+MOST_PAIRS = 1_000_000
 #: What rounding in sums may take off a score.
 SLACK = 1e-9
 
@@ -47,19 +51,34 @@ class Index:
         return F.log(1 + (self.n - df + 0.5) / (df + 0.5))
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(id, dl, tokens, tfs) of (id, tokens): each token of a document once, in order, with its count; null tokens are none.
+
+    Equal tokens lie together once sorted, so a row is counted by itself in linear time. Each step's arrays are named before the next
+    uses them, so that no lambda computes them again.
+    """
+    rows = docs.select("id", F.array_sort(F.coalesce("tokens", F.expr("array()"))).alias("said"))
+    new = lambda i: (i == 0) | ~F.get("said", i).eqNullSafe(F.get("said", i - 1))
+    at = F.when(F.size("said") > 0, F.filter(F.sequence(F.lit(0), F.size("said") - 1), new)).otherwise(F.expr("array()").cast("array<int>"))
+    rows = rows.select("id", "said", F.size("said").alias("dl"), at.alias("at"))
+    tfs = F.transform("at", lambda i, k: F.coalesce(F.get("at", k + 1), F.col("dl")) - i)
+    return rows.select("id", "dl", F.transform("at", lambda i: F.get("said", i)).alias("tokens"), tfs.alias("tfs"))
+
+
 def build(docs: DataFrame, path: str, k1: float = 1.2, b: float = 0.75, segment: int = SEGMENT, block: int = BLOCK) -> Index:
     """Write the index of ``docs`` (id, tokens) to ``path``, in place of what is there, and open it."""
     spark = docs.sparkSession
     n = docs.count()
     number = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // segment)))).cast("int")
-    docs.select("id", number.alias("segment"), F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), "tokens").write.mode("overwrite").parquet(f"{path}/docs")
+    counted(docs).select("id", number.alias("segment"), "dl", "tokens", "tfs").write.mode("overwrite").parquet(f"{path}/docs")
     stored = spark.read.parquet(f"{path}/docs")
-    mean = stored.agg(F.avg("dl")).first()[0] or 1.0
+    mean, postings = stored.agg(F.avg("dl"), F.sum(F.size("tokens"))).first()
+    mean = mean or 1.0
     spark.createDataFrame([(n, float(mean) or 1.0, k1, b)], "n long, mean double, k1 double, b double").coalesce(1).write.mode("overwrite").json(f"{path}/about")
     index = Index(stored, None, None, n, float(mean) or 1.0, k1, b, path)
-    # one shuffle: counting and grouping both keep to the partitions of (token, segment)
-    said = stored.select("id", "segment", "dl", F.explode("tokens").alias("token")).repartition("token", "segment")
-    tf = said.groupBy("token", "segment", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    # one shuffle, of a row for each token of a document: adding up (ids that repeat) and grouping keep to the partitions of (token, segment)
+    said = stored.select("id", "segment", "dl", F.explode(F.arrays_zip("tokens", "tfs")).alias("t")).select("id", "segment", "dl", F.col("t.tokens").alias("token"), F.col("t.tfs").alias("tf"))
+    tf = said.repartition(max(1, -(-(postings or 0) // TASK)), "token", "segment").groupBy("token", "segment", "id", "dl").agg(F.sum("tf").alias("tf"))
     posting = F.struct(index.impact(F.col("tf"), F.col("dl")).alias("impact"), "id", F.col("tf").cast("int").alias("tf"), "dl")
     group = tf.groupBy("token", "segment").agg(F.sort_array(F.collect_list(posting), asc=False).alias("p"))
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / block).cast("int")), lambda i: F.slice("p", i * block + 1, F.lit(block)))
@@ -90,13 +109,18 @@ def _stored(index: Index, terms: DataFrame) -> DataFrame:
 
 
 def _scored(index: Index, pairs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, id, score) in full of pairs of a query and a document."""
+    """(query_id, id, score) in full of pairs of a query and a document. Documents are shuffled only for more than ``MOST_PAIRS`` pairs."""
+    pairs, docs = _stored(index, pairs), index.docs.select("id", "dl", "tokens", "tfs")
+    few = F.broadcast if pairs.count() <= MOST_PAIRS else lambda df: df
     asked = terms.groupBy("query_id").agg(F.collect_list(F.struct("token", "idf")).alias("asked"))
-    rows = pairs.join(asked, "query_id").join(index.docs.select("id", "dl", "tokens"), "id")
+    if terms.count() <= MOST_TERMS:
+        rows = docs.join(few(pairs), "id").join(F.broadcast(asked), "query_id")
+    else:
+        rows = docs.join(pairs.join(asked, "query_id"), "id")
 
     def one(t: Column) -> Column:
-        tf = F.size(F.filter("tokens", lambda x: x == t["token"]))
-        return F.when(tf > 0, t["idf"] * index.impact(tf, F.col("dl"))).otherwise(0.0)
+        tf = F.get("tfs", (F.array_position("tokens", t["token"]) - 1).cast("int"))
+        return F.coalesce(t["idf"] * index.impact(tf, F.col("dl")), F.lit(0.0))
 
     return rows.select("query_id", "id", F.aggregate("asked", F.lit(0.0), lambda s, t: s + one(t)).alias("score"))
 
@@ -123,9 +147,10 @@ def plan(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame
 def candidates(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(query terms, pairs of a query and a document that may be among its first ``k``)."""
     terms, blocks = plan(index, queries, k)
-    p = blocks.where("read").select("query_id", "idf", "floor", "weak", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+    # blocks are shuffled whole, by query and segment, and opened there
+    p = blocks.where("read").select("query_id", "segment", "idf", "floor", "weak", "ids", "tfs", "dls").repartition("query_id", "segment").select("query_id", "segment", "idf", "floor", "weak", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
     part = F.sum(F.col("idf") * index.impact(F.col("p.tfs"), F.col("p.dls")))
-    some = p.groupBy("query_id", F.col("p.ids").alias("id")).agg(part.alias("part"), F.max(F.col("floor") - F.col("weak")).alias("least"))
+    some = p.groupBy("query_id", "segment", F.col("p.ids").alias("id")).agg(part.alias("part"), F.max(F.col("floor") - F.col("weak")).alias("least"))
     return terms, some.where("part >= least").select("query_id", "id")
 
 

@@ -182,3 +182,40 @@ def test_block_max_search_is_exact_and_skips(spark, tmp_path, segment, block, k)
     assert n[False] > 1000  # postings of weak tokens, and of blocks that can't reach the threshold, are never read
     again = postings.search(postings.opened(spark, f"file://{tmp_path}/i"), q, k)
     assert again.count() == sum(map(len, got.values()))
+
+
+def test_tokens_are_counted_within_their_document(spark):
+    rng = random.Random(5)
+    docs = {i: [f"t{rng.randrange(9)}" for _ in range(rng.randint(0, 40))] for i in range(50)} | {90: None, 91: [], 92: ["one"], 93: ["b", "a", "b"]}
+    got = {r["id"]: (r["dl"], dict(zip(r["tokens"], r["tfs"], strict=True)), r["tokens"]) for r in postings.counted(spark.createDataFrame(list(docs.items()), "id long, tokens array<string>")).collect()}
+    for i, t in docs.items():
+        t = t or []
+        assert got[i] == (len(t), {w: t.count(w) for w in t}, sorted(set(t)))
+
+
+def test_a_search_shuffles_no_document_and_opens_blocks_after_their_shuffle(spark, tmp_path):
+    docs = [(i, [f"w{i % 7}", f"w{i % 7}", f"v{i % 11}"]) for i in range(200)]
+    index = postings.build(spark.createDataFrame(docs, "id long, tokens array<string>"), f"file://{tmp_path}/i")
+    assert index.docs.agg(F.sum(F.size("tokens"))).first()[0] == 400  # two rows a document are shuffled, not three
+    queries = spark.createDataFrame([(1, ["w1", "v2"]), (2, ["w3"])], "query_id long, tokens array<string>")
+    terms, pairs = postings.candidates(index, queries, 2)
+    rows = postings._scored(index, pairs, terms)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    read = pairs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    shuffled = next(k for k, line in enumerate(read) if "RepartitionByExpression [query_id" in line)
+    opened = next(k for k, line in enumerate(read) if "Generate explode(arrays_zip(ids" in line)
+    assert opened < shuffled  # the plan's root is its first line
+
+
+def test_many_pairs_and_many_terms_are_joined_by_a_shuffle(spark, tmp_path, monkeypatch):
+    docs = {i: [f"w{i % 7}", f"w{i % 5}", f"v{i % 11}"] for i in range(120)}
+    queries = {q: [f"w{q % 7}", f"v{q % 11}"] for q in range(9)}
+    index = postings.build(spark.createDataFrame(list(docs.items()), "id long, tokens array<string>"), f"file://{tmp_path}/i")
+    q = spark.createDataFrame(list(queries.items()), "query_id long, tokens array<string>")
+    few = rows_of(postings.search(index, q, 3))
+    monkeypatch.setattr(postings, "MOST_PAIRS", 0)
+    assert rows_of(postings.search(index, q, 3)) == few
+    monkeypatch.setattr(postings, "MOST_TERMS", 0)
+    assert rows_of(postings.search(index, q, 3)) == few and len(few) == 27
