@@ -11,9 +11,10 @@ of a matrix of passages: all of the corpus's, two blocks each, and the benchmark
 that the latent space keeps what tells items apart. Nothing is sampled: texts are turned to numbers once, in a table that the
 passes read. A benchmark of more than ``PIECES_IN_SPACE`` pieces has several spaces,
 each of so many pieces and their words, so that no space has fewer dimensions than pieces; all are fitted and searched in
-the same passes over the documents. The singular vectors come from a randomised SVD whose passes over the numbers are
+the same passes over the documents. The singular vectors come from a randomised SVD whose passes are
 distributed: each partition adds up its part of A'(A X) in blocks of terms, blocks are summed on the executors, and only
-the sum (terms x rank) reaches the driver for its QR.
+the sum (terms x rank) reaches the driver for its QR. Up to ``PRODUCTS`` pairs of terms, A'A is added up once, over all passages
+and for all spaces, in a table that the passes read; beyond that they read the passages' numbers.
 
 A passage and an item whose latent cosine reaches ``MIN_COSINE`` are a candidate. It is checked on the words around the
 passage, as many as ``REACH`` times the item's length on both sides: the longest common subsequence with the item, and the
@@ -58,6 +59,10 @@ ITEM_WEIGHT = 20.0
 CORPUS_WEIGHT = 1 << 15
 RANK = 160
 POWER_ROUNDS = 2
+#: Pairs of terms whose products a task holds at once (four bytes each).
+PRODUCTS = 1 << 25
+#: Passages of a task that adds up products, where there are more tasks than cores.
+PASSAGES_A_TASK = 1 << 19
 #: The longest piece of an item that is compared with passages, in words.
 PIECE = 4 * BLOCK
 #: Pieces of items in one latent space: no more than its dimensions, or items lose their own direction.
@@ -323,6 +328,85 @@ def _frequencies(terms: Terms):
     return common.trimmed(run)
 
 
+def _triangle(terms: int) -> np.ndarray:
+    """Where term i's row of an upper triangle begins, less i: the pair (i, j), i <= j, is at place i of this, plus j."""
+    i = np.arange(terms + 1, dtype=np.int64)
+    return i * terms - i * (i + 1) // 2
+
+
+def _products(idf: np.ndarray, rows: int = 32):
+    """The partition's part of A'A, its upper triangle in blocks of ``rows`` terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = _triangle(len(idf))
+        total = np.zeros(len(idf) * (len(idf) + 1) // 2, dtype=np.float32)
+        for batch in batches:
+            sizes, terms = (np.concatenate(_held(batch.column(c)) or [np.zeros(0, "<i4")]) for c in ("sizes", "terms"))
+            sizes = sizes[sizes > 0]
+            ends = np.cumsum(sizes)
+            for a in range(0, len(sizes), 1024):
+                size = sizes[a : a + 1024]
+                every, rows_of = terms[ends[a] - size[0] : ends[a + len(size) - 1]], np.repeat(np.arange(len(size)), size)
+                # each passage's terms once, in order: a term's pairs are with itself and those after it
+                pair, count = np.unique(rows_of * len(idf) + every, return_counts=True)
+                of, t = pair // len(idf), pair % len(idf)
+                w = (count * idf[t] / np.sqrt(np.bincount(rows_of, weights=idf[every] ** 2))[of]).astype(np.float32)
+                after = np.cumsum(np.bincount(of, minlength=len(size)))[of] - np.arange(len(of))
+                left, right = np.repeat(np.arange(len(of)), after), ragged(np.arange(len(of)), after)
+                np.add.at(total, at[t[left]] + t[right], w[left] * w[right])
+        for b in range(0, len(idf), rows):
+            part = total[at[b] + b : at[min(b + rows, len(idf))] + min(b + rows, len(idf))]
+            if part.any():
+                yield pa.record_batch([pa.array([b], pa.int32()), pa.array([part.astype("<f4").tobytes()], pa.binary())], names=["block", "products"])
+
+    return common.trimmed(run)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(b, dtype="<f4").astype("<f8") for b in table.column("products").to_pylist())
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "products": pa.array([total.tobytes()], pa.binary())})
+
+
+def _multiplied(bases: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int = 256):
+    """The same as ``_sketch`` from blocks of A'A."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # over all terms; those that a space lacks have no vector
+        xs = [np.where(local[:, None] > 0, x[local], 0).astype(np.float32) for local, _, x in bases]
+        zs = [np.zeros(x.shape) for x in xs]
+        for batch in batches:
+            for b, data in zip(batch.column("block").to_pylist(), batch.column("products").to_pylist()):
+                values, size = np.frombuffer(data, dtype="<f8"), len(xs[0]) - b
+                n = next(n for n in range(1, size + 1) if n * size - n * (n - 1) // 2 == len(values))
+                part = np.zeros((n, size), dtype=np.float32)
+                part[np.triu_indices(n, 0, size)] = values
+                rest = part.copy()
+                rest[np.arange(n), np.arange(n)] = 0
+                for z, x in zip(zs, xs):
+                    z[b : b + n] += part @ x[b:]
+                    z[b:] += rest.T @ x[b : b + n]
+        yield _blocks([_of_space(z, local, x) for z, (local, _, x) in zip(zs, bases)], rows)
+
+    return common.trimmed(run)
+
+
+def _of_space(z: np.ndarray, local: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rows of all terms as those of a space's own numbers."""
+    out = np.zeros(x.shape)
+    out[local[local > 0]] = z[local > 0]
+    return out
+
+
+def _blocks(zs: list[np.ndarray], rows: int) -> pa.RecordBatch:
+    at, data = [], []
+    for k, z in enumerate(zs):
+        z[0] = 0
+        for b in range(0, len(z), rows):
+            at.append((k, b))
+            data.append(z[b : b + rows].astype("<f8").tobytes())
+    return pa.record_batch([pa.array([k for k, _ in at], pa.int32()), pa.array([b for _, b in at], pa.int32()), pa.array(data, pa.binary())], names=["space", "block", "z"])
+
+
 def _sketch(idf: np.ndarray, bases: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int = 256):
     """The partition's part of A'(A x) of each space (local numbers, idf, x), as blocks of ``rows`` terms."""
 
@@ -346,13 +430,7 @@ def _sketch(idf: np.ndarray, bases: list[tuple[np.ndarray, np.ndarray, np.ndarra
                 for z, x, (local, _, _) in zip(zs, xs, bases):
                     mine = local[here]
                     z[mine] += part.T @ (part @ x[mine])
-        at, data = [], []
-        for k, z in enumerate(zs):
-            z[0] = 0
-            for b in range(0, len(z), rows):
-                at.append((k, b))
-                data.append(z[b : b + rows].astype("<f8").tobytes())
-        yield pa.record_batch([pa.array([k for k, _ in at], pa.int32()), pa.array([b for _, b in at], pa.int32()), pa.array(data, pa.binary())], names=["space", "block", "z"])
+        yield _blocks(zs, rows)
 
     return run
 
@@ -395,9 +473,13 @@ def latent_space(docs: DataFrame, items: list[tuple[object, str | None]], rank:
             np.add.at(a[k], local[t], idf[t])
         a *= ITEM_WEIGHT / np.linalg.norm(a, axis=1, keepdims=True)
         fits.append([local, weight, rng.standard_normal((len(weight), min(min(rank, len(group)) + 16, len(weight)))), a])
+    held, step = numbers, lambda bases: _sketch(idf, bases)
+    if terms.size * (terms.size + 1) // 2 <= PRODUCTS:
+        some = numbers.coalesce(max(spark.sparkContext.defaultParallelism, -(-passages // PASSAGES_A_TASK)))
+        some = some.mapInArrow(_products(idf), "block int, products binary").groupBy("block").applyInArrow(_added, "block int, products binary")
+        held, step = common.stored(some, common.run_dir(spark, "latent-products")), _multiplied
     for _ in range(POWER_ROUNDS + 1):
-        step = _sketch(idf, [(local, weight, x) for local, weight, x, _ in fits])
-        parts = numbers.mapInArrow(step, "space int, block int, z binary").groupBy("space", "block").applyInArrow(_summed, "space int, block int, z binary").toArrow()
+        parts = held.mapInArrow(step([(local, weight, x) for local, weight, x, _ in fits]), "space int, block int, z binary").groupBy("space", "block").applyInArrow(_summed, "space int, block int, z binary").toArrow()
         zs = [a.T @ (a @ x) for _, _, x, a in fits]
         for k, block, data in zip(*(parts.column(c).to_pylist() for c in ("space", "block", "z"))):
             part = np.frombuffer(data, dtype="<f8").reshape(-1, zs[k].shape[1])
