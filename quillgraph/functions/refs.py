@@ -34,13 +34,13 @@ def _span(lo: Column, hi: Column, most: int | None = None) -> Column:
 
 
 def to_keys(human: Column) -> Column:
-    """``John 1:1-3`` as an array of verse keys; empty if the form or the book is unknown."""
+    """``John 1:1-3`` as an array of verse keys; empty if the form or the book is unknown. Each part is taken once: what a lambda's body
+    holds would be taken again for every use."""
     form = "^\\s*((?:[1-3] )?[A-Za-z ]+?)\\s+(\\d+):(\\d+)(?:-(\\d+))?\\s*$"
     part = lambda k: F.regexp_extract(human, form, k)
-    book, lo = book_key(part(1)), part(3).try_cast("int")
-    hi = F.coalesce(part(4).try_cast("int"), lo)
-    keys = F.transform(_span(lo, hi), lambda v: F.concat_ws(".", book, part(2), v.cast("string")))
-    return F.when(human.rlike(form) & book.isNotNull(), keys).otherwise(F.array().cast("array<string>"))
+    found = F.struct(book_key(part(1)).alias("book"), part(2).alias("chapter"), part(3).try_cast("int").alias("lo"), F.when(part(4) != "", part(4).try_cast("int")).alias("hi"))  # a cast that fails costs more than all else here
+    keys = lambda x: F.transform(_span(x["lo"], F.coalesce(x["hi"], x["lo"])), lambda v: F.concat_ws(".", x["book"], x["chapter"], v.cast("string")))
+    return F.flatten(F.transform(F.array(found), lambda x: F.when(x["book"].isNotNull(), keys(x)).otherwise(F.array().cast("array<string>"))))
 
 
 def expand(token: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import licence, refs, text
 from quillgraph.operators import documents, graph, ordered, retrieval, substrings, verdict
 from quillgraph.operators.checks import bounds
+from quillgraph.plans.registry import stored
 
 QUESTION_ID = "^[a-z0-9][a-z0-9-]*$"
 
@@ -275,7 +276,7 @@ def variants(units: DataFrame, readings: DataFrame, at: DataFrame, most: int) ->
 
 def syntax(phrases: DataFrame, verses: DataFrame, at: DataFrame, most: int) -> DataFrame:
     """(question_id, ref, clause, phrase, function, rank): phrases of each known verse; a verse without one has a row of blanks."""
-    of = phrases.select("verse_id", "clause_id", F.col("id").alias("phrase_id"), "clause", "phrase", "function").distinct()
+    of = phrases.select("verse_id", "clause_id", F.col("id").alias("phrase_id"), "clause", "phrase", "function").repartition("verse_id").distinct()
     known = at.join(verses.select(F.col("id").alias("verse_id")).distinct(), "verse_id")
     got = retrieval.top(known.join(of, "verse_id", "left"), ["question_id"], most, F.col("ref"), F.col("clause_id"), F.col("phrase_id"), F.col("phrase"))
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
@@ -291,14 +292,19 @@ def lexical_bundle(lex: Lexical, questions: DataFrame, anchors: int = 40, xrefs:
     questions: (question_id, scripture_anchors array of human refs). All questions go through one plan; a table that the store
     lacks leaves its part out.
     """
-    r = questions.select("question_id", F.explode(F.flatten(F.transform("scripture_anchors", refs.to_keys))).alias("ref")).distinct()
-    at = r.withColumn("verse_id", F.concat(F.lit("verse:"), "ref"))
+    keys = questions.select("question_id", F.explode_outer("scripture_anchors").alias("human")).select("question_id", refs.to_keys(F.col("human")).alias("keys"))
+    # an outer explode, as a plain one makes Spark take the keys a second time to leave empty ones out
+    r = keys.select("question_id", F.explode_outer("keys").alias("ref")).where("ref IS NOT NULL").distinct()
+    # made once, and dealt by verse once for all parts; then each part is dealt by question once, and all its groups and ranks lie in that
+    at = stored(r.select("question_id", F.concat(F.lit("verse:"), "ref").alias("verse_id")), "anchored").repartition("verse_id").withColumn("ref", F.substring("verse_id", len("verse:") + 1, 1 << 30))
     every = lex.tokens.select("id", "strong", "verse_id").unionByName(lex.words.select("id", "strong", "verse_id"))
-    local = at.join(every, "verse_id").where("strong IS NOT NULL").groupBy("question_id", "strong").agg(F.countDistinct("id").alias("local"))
-    top = retrieval.top(local, ["question_id"], anchors, F.col("local").desc(), F.col("strong"))
-    canon = every.join(top.select("strong").distinct(), "strong", "left_semi").groupBy("strong").agg(F.countDistinct("id").alias("canon"))
+    said = at.join(every, "verse_id").where("strong IS NOT NULL").select("question_id", "strong", "id").repartition("question_id")
+    local = said.groupBy("question_id", "strong").agg(F.countDistinct("id").alias("local"))
+    top = stored(retrieval.top(local, ["question_id"], anchors, F.col("local").desc(), F.col("strong")), "anchors")
+    canon = every.select("strong", "id").where("strong IS NOT NULL").repartition("strong").groupBy("strong").agg(F.countDistinct("id").alias("canon"))
     lemmas = top.join(canon, "strong").select("question_id", F.lit("lemma").alias("part"), F.col("strong").alias("key"), "rank", F.concat_ws("/", F.col("local").cast("string"), F.col("canon").cast("string")).alias("value"))
-    c = at.select("question_id", "ref").join(lex.crossrefs.select(F.col("from_ref").alias("ref"), "to_ref", F.coalesce("votes", F.lit(1)).alias("votes")), "ref").groupBy("question_id", "to_ref").agg(F.max("votes").alias("votes"))
+    x = lex.crossrefs.select(F.concat(F.lit("verse:"), "from_ref").alias("verse_id"), "to_ref", F.coalesce("votes", F.lit(1)).alias("votes"))
+    c = at.join(x, "verse_id").select("question_id", "to_ref", "votes").repartition("question_id").groupBy("question_id", "to_ref").agg(F.max("votes").alias("votes"))
     c = retrieval.top(c, ["question_id"], xrefs, F.col("votes").desc(), F.col("to_ref")).select("question_id", F.lit("xref").alias("part"), F.col("to_ref").alias("key"), "rank", F.col("votes").cast("string").alias("value"))
     w = at.join(lex.words.select("id", "verse_id", "surface"), "verse_id", "left")
     w = w.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy("ref", "id"))).select("question_id", F.lit("word").alias("part"), F.coalesce("id", F.concat(F.lit("none:"), "ref")).alias("key"), "rank", F.col("surface").alias("value"))
@@ -311,8 +317,9 @@ def lexical_bundle(lex: Lexical, questions: DataFrame, anchors: int = 40, xrefs:
         out.append(row(variants(lex.units, lex.readings, at, MOST["variant"]), "variant", F.concat_ws(" ", "ref", "id"), F.coalesce(said, F.lit(""))))
     if lex.phrases is not None:
         out.append(row(syntax(lex.phrases, lex.verses, at, MOST["syntax"]), "syntax", F.col("ref"), F.concat_ws(" | ", "clause", "phrase", "function")))
-    keys = F.flatten(F.transform("scripture_anchors", refs.to_keys))
-    outside = questions.select("question_id", F.lit("scope").alias("part"), F.lit("not_in_ecm_scope").alias("key"), F.lit(1).alias("rank"), (~F.coalesce(refs.in_scope(keys, *apparatus), F.lit(False))).cast("string").alias("value"))
+    inside = at.select("question_id", F.coalesce(refs.in_scope(F.array("ref"), *apparatus), F.lit(False)).alias("inside"))
+    inside = inside.unionByName(questions.select("question_id", F.lit(False).alias("inside"))).groupBy("question_id").agg(F.max("inside").alias("inside"))
+    outside = inside.select("question_id", F.lit("scope").alias("part"), F.lit("not_in_ecm_scope").alias("key"), F.lit(1).alias("rank"), (~F.col("inside")).cast("string").alias("value"))
     return reduce(DataFrame.unionByName, [*out, outside])
 
 

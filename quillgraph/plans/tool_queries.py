@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text
+from quillgraph.operators import ordered
 from quillgraph.plans import rule_queries, surface
 from quillgraph.plans.ranking_queries import COS, vectors
-from quillgraph.plans.registry import query, table
+from quillgraph.plans.registry import query, stored, table
 from quillgraph.plans.text_queries import DOC_LICENCE, GUARD, LICENCES
 
 #: The lexical store in SQL.
@@ -18,14 +19,22 @@ words AS (SELECT 'w' || k AS id, * FROM lines WHERE l_returnflag <> 'N'), tokens
 occ AS (SELECT strong, count(*) AS n FROM lines GROUP BY 1), lemmas AS (SELECT printf('H%04d', p_partkey) AS strong, p_name AS lemma, p_brand AS translit, p_type || ' ' || p_size AS english FROM part)"""
 
 
-def lexical(spark, sf_dir) -> surface.Lexical:
+def order_lines(spark, sf_dir):
+    """Order lines with what their order says."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag")
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def lexical(spark, sf_dir, li=None) -> surface.Lexical:
+    """The lexical store; ``li``: the order lines, if they are there already."""
     o = table(spark, sf_dir, "orders")
     book = F.when(F.col("o_orderstatus") == "F", "Gen").when(F.col("o_orderstatus") == "O", "John").otherwise("Rom")
     osis = F.concat_ws(".", book, F.floor(F.col("o_orderkey") / 100 + 1).cast("string"), (F.col("o_orderkey") % 100 + 1).cast("string"))
     v = o.select("o_orderkey", "o_custkey", "o_orderpriority", osis.alias("osis"), F.concat(F.lit("the "), "o_orderpriority", F.lit(" of "), "o_custkey").alias("text"), F.when(F.col("o_orderstatus") == "F", "OT").otherwise("NT").alias("canon_section"))
     verses = v.select(F.concat(F.lit("verse:"), "osis").alias("id"), "osis", "text", "canon_section")
-    li = table(spark, sf_dir, "lineitem").join(v, F.col("l_orderkey") == F.col("o_orderkey"))
-    code = lambda c: F.format_string("H%04d", F.col(c))
+    li = (li or order_lines(spark, sf_dir)).withColumn("osis", osis)
+    code = lambda c: F.concat(F.lit("H"), ordered.padded(F.col(c), 4))
     k = F.concat_ws(".", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     said = lambda mark: [F.concat(F.lit(mark), k).alias("id"), F.lit("x").alias("source"), code("l_partkey").alias("strong"), F.col("l_linestatus").alias("lemma"), F.regexp_extract("o_orderpriority", "^\\S+", 0).alias("surface"), F.concat("l_linestatus", "l_suppkey").alias("morph"), F.concat(F.lit("verse:"), "osis").alias("verse_id")]
     words, tokens = li.where("l_returnflag <> 'N'").select(*said("w")), li.where("l_returnflag = 'N'").select(*said("t")).drop("lemma")
@@ -226,13 +235,13 @@ UNION ALL SELECT question_id, 'scope', 'not_in_ecm_scope', 1, CASE WHEN bool_or(
 def tool_lexical_bundle(spark, sf_dir):
     """Bundles of every customer with orders: the anchors are human references of the orders' verses. Parts of a brand and size are a
     domain; second lines of later books are variant units; lines of the first book are phrases."""
-    lex = lexical(spark, sf_dir)
+    li = stored(order_lines(spark, sf_dir), "order_lines")
+    lex = lexical(spark, sf_dir, li)
     o = table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.when(F.col("o_orderstatus") == "F", "Genesis").when(F.col("o_orderstatus") == "O", "John").otherwise("Romans"), F.lit(" "), F.floor(F.col("o_orderkey") / 100 + 1), F.lit(":"), F.col("o_orderkey") % 100 + 1).alias("ref"))
     q = o.groupBy(F.concat(F.lit("q"), "o_custkey").alias("question_id")).agg(F.collect_list("ref").alias("scripture_anchors"))  # a customer's own orders
     p = table(spark, sf_dir, "part")
-    lex.domains = p.select(F.format_string("H%04d", "p_partkey").alias("strong"), F.col("p_name").alias("lemma"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("domain_code"))
-    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.floor(F.col("o_orderkey") / 100 + 1).cast("int").alias("chapter"), (F.col("o_orderkey") % 100 + 1).cast("int").alias("verse"))
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey").join(od, F.col("l_orderkey") == F.col("o_orderkey"))
+    lex.domains = p.select(F.concat(F.lit("H"), ordered.padded(F.col("p_partkey"), 4)).alias("strong"), F.col("p_name").alias("lemma"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("domain_code"))
+    li = li.withColumns({"chapter": F.floor(F.col("o_orderkey") / 100 + 1).cast("int"), "verse": (F.col("o_orderkey") % 100 + 1).cast("int")})
     unit, line = F.concat(F.lit("u"), "l_orderkey"), F.col("l_linenumber")
     lex.units = li.where("l_linenumber = 2 AND o_orderstatus <> 'F'").select(unit.alias("id"), F.when(F.col("o_orderstatus") == "O", "John").otherwise("Rom").alias("book"), "chapter", "verse").distinct()
     lex.readings = li.where("l_linenumber <= 3").select(F.concat(F.lit("r"), line).alias("id"), unit.alias("unit_id"), F.col("l_returnflag").alias("text"))
