@@ -207,11 +207,11 @@ def license_audit(requests: DataFrame) -> DataFrame:
 def classify(propositions: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, matched, confidence): vectors if both tables have them, else keywords."""
     if "vector" in propositions.columns and "vector" in questions.columns:
-        ranked = retrieval.dense(propositions, questions.select(F.col("question_id").alias("id"), "vector"), 50)
+        ranked = retrieval.dense_leading(propositions, questions.select(F.col("question_id").alias("id"), "vector"), F.col("id").startswith("doc-"))
         return retrieval.assess(ranked.withColumn("score", F.round("score", 4)), "semantic")
     q = propositions.select("query_id", text.keywords(F.col("proposition")).alias("tokens"))
     d = questions.select(F.col("question_id").alias("id"), text.keywords(F.concat_ws(" ", "statement", F.translate("question_id", "-", " "))).alias("tokens"))
-    ranked = retrieval.top(retrieval.keyword_rank(q, d), ["query_id"], 50, F.col("score").desc(), F.col("id"))
+    ranked = retrieval.leading(retrieval.keyword_rank(q, d), F.col("id").startswith("doc-"))
     # queries that share no word with any question match none
     found = retrieval.assess(ranked, "keyword")
     return q.select("query_id").join(found, "query_id", "left").select("query_id", "matched", F.coalesce("confidence", F.lit("none")).alias("confidence"))
