@@ -420,7 +420,7 @@ def adapter_philo(spark, sf_dir):
     """Paragraphs in a row, with numbers out of turn, notes and damaged dashes between."""
     K, NAME, TYPE = columns("k", "name", "type")
     said = F.concat(F.lit("("), F.when(K % 3 == 0, " ").otherwise(""), K + 1, F.lit(") "), NAME, F.lit("--"), TYPE, F.lit(" {note} (#Ge 1:1). end"))
-    path = put(spark, parts(spark, sf_dir).select(K.alias("at"), said.alias("line")), "philo", ["<html><body><p>title {**n}"], ["<p>Go to the Tables of Contents (9999) </body></html>"], whole=True)
+    path = put(spark, parts(spark, sf_dir).select(K.alias("at"), said.alias("line")), "philo", ["<html><body><p>title {**n}"], ["<p>Go to the Tables of Contents (9999) </body></html>"])
     return flat(more_adapters.philo(spark, path, "philo.de-x"), HistoricalChunk=("anchor_id", "text"))
 
 
@@ -429,7 +429,7 @@ def adapter_philo_two_numbers(spark, sf_dir):
     """A treatise cited by book and paragraph: two books in turn, and references in between that are no marks."""
     K, NAME, TYPE = columns("k", "name", "type")
     said = F.concat(F.lit("("), F.when(K % 2 == 0, "1").otherwise("7"), F.lit("."), F.floor(K / 2) + 1, F.lit(") "), NAME, F.lit("--"), TYPE, F.when(K % 5 == 0, " (9.9) more").otherwise(""))
-    path = put(spark, parts(spark, sf_dir).select(K.alias("at"), said.alias("line")), "philo2", ["<html><body><p>title"], ["<p>Go to the Tables of Contents </body></html>"], whole=True)
+    path = put(spark, parts(spark, sf_dir).select(K.alias("at"), said.alias("line")), "philo2", ["<html><body><p>title"], ["<p>Go to the Tables of Contents </body></html>"])
     return flat(more_adapters.philo(spark, path, "philo.de-y", {1: "-i"}), HistoricalChunk=("anchor_id", "text"))
 
 

@@ -14,15 +14,16 @@ def lines(spark: SparkSession, path: str, encoding: str = "UTF-8", glob: str | N
 
     The part files of a folder that Spark wrote are one source in the order of their names; its ``file`` is the folder.
 
-    UTF-8 files are read in splits, whatever their size: a line's number is that of the lines in the file's splits before
+    UTF-8 and Latin-1 files are read in splits, whatever their size: a line's number is that of the lines in the file's splits before
     (one small row a split) and its place in its own. Other encodings are read whole, a row each, then split.
     """
-    if encoding.upper() not in ("UTF-8", "US-ASCII"):
+    latin = encoding.upper() == "ISO-8859-1"
+    if not latin and encoding.upper() not in ("UTF-8", "US-ASCII"):
         raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", encoding).alias("t"))
         out = raw.select("file", F.posexplode(F.split(F.regexp_replace("t", "(\r\n|\n|\r)\\z", ""), "\r\n|\n|\r")).alias("at", "line"))
         return out.select("file", (F.col("at") + 1).alias("line_no"), "line")
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob) if glob else spark.read
-    raw = reader.text(path).select(F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("line"))
+    raw = reader.text(path).select(F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line") if latin else F.col("value").alias("line"))
     split = raw.groupBy("__path", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
     split = split.withColumn("file", F.regexp_replace("__path", "/part-[0-9]{5}[^/]*$", ""))
     before = F.coalesce(F.sum("__n").over(W.partitionBy("file").orderBy("__path", "__start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
